@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, fertility, linededup, linkgraph, mixing, reshard, tiff, tokenfile
+from vellum.llm import bpe, fertility, linededup, linkgraph, mixing, neardup, reshard, tiff, tokenfile, toxicity
 from vellum.llm.common import Scratch
 
 
@@ -46,6 +46,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = f"WITH docs AS (SELECT * FROM documents), {mixing.MIX_SQL} SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed"
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.components(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.drop_lines(table(spark, sf_dir, "documents"), "source")
     return cleaned.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), "text")
@@ -61,7 +72,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_linkgraph, op2_fertility, op3_flow_reshard, op4_bpe, op5_tokenfile, op6_mixing, op9_linededup, op10_tiff)}
+    return {f.__name__: f for f in (op1_linkgraph, op2_fertility, op3_flow_reshard, op4_bpe, op5_tokenfile, op6_mixing, op7_toxicity, op8_neardup, op9_linededup, op10_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
