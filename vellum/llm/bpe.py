@@ -8,6 +8,7 @@ one-by-one order: a pair that holds the merged symbol always has a later rank.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Callable
@@ -27,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 END = tuple(".,;:!?")
 
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -245,6 +246,12 @@ def gather(pool: Pieces, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndar
     return pool.ids[ranges(pool.at[index], length)], sums(length, counts)
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The encoder that all tasks of a Python worker share, so that its words stay known from task to task."""
+    return Encoder(ByteBpe(path))
+
+
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
@@ -258,10 +265,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
 
     def make():
-        encoder = Encoder(ByteBpe(path))
+        shared = encoder(path)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, counts = encoder.encode(texts_of(batch))
+            ids, counts = shared.encode(texts_of(batch))
             flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
             return record(ENCODED, doc_id=batch.column("doc_id"), ids=flat)
 
@@ -303,11 +310,11 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
 
     def make():
-        bpe = ByteBpe(path)
-        encoder = Encoder(bpe)
+        shared = encoder(path)
+        bpe = shared.bpe
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, counts = encoder.encode(texts_of(batch))
+            ids, counts = shared.encode(texts_of(batch))
             ends = np.cumsum(counts)
             packed, decoded = memoryview(ids.astype("<u4").tobytes()), memoryview(bpe.decode_bytes(ids))
             size = sums(bpe.token_len[ids], counts)

@@ -10,6 +10,7 @@ frame for a document.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -57,7 +58,9 @@ class LibraryWords:
         return np.array([i for x in ids for i in x], np.int64), np.array(list(map(len, ids)), np.int64)
 
 
+@functools.cache
 def library_encoder(path: str) -> Encoder:
+    """The encoder that all tasks of a Python worker share."""
     return Encoder(ByteBpe(path), LibraryWords(path))
 
 
