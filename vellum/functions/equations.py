@@ -85,6 +85,6 @@ def normalized(latex: Column) -> Column:
 
 def latex_from_html(html: Column) -> Column:
     """The math elements' contents, else the text without tags, else null."""
-    math = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<math[^>]*>(.*?)</math>"), 1), F.trim), lambda x: x != "")
+    math = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<math[^>]*>(.*?)</math>"), 1), lambda x: F.trim(x)), lambda x: x != "")
     text = F.trim(F.regexp_replace(html, "<[^>]+>", ""))
     return F.when(F.size(math) > 0, F.array_join(math, " ")).otherwise(F.nullif(text, F.lit("")))
