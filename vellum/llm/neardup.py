@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,8 @@ from vellum.llm.common import BROADCAST_ROWS, Scratch, map_arrow, record, texts_
 
 WORDS, PERCENT = 5, 85
 SIDE, WIDTH = 10, 3
-#: All pairs of a bucket of up to so many different sets are verified; larger buckets go by pivots.
-SMALL = 32
+#: All pairs of a bucket of up to so many different sets are verified; larger buckets go by so many pivots, then by a join on prefixes.
+SMALL, PIVOTS = 32, 2
 #: Words that a worker remembers the hashes of.
 REMEMBERED = 500_000
 
@@ -48,6 +48,10 @@ class WordHashes(dict):
         return np.array(list(map(self.__getitem__, text.encode().lower().split())), np.uint64)
 
 
+#: Shared by the tasks of a Python worker.
+HASHES = WordHashes()
+
+
 def shingle_set(words: np.ndarray) -> np.ndarray:
     """Sorted hashes of the distinct runs of WORDS words; of fewer words one for all of them; none of none."""
     n = len(words)
@@ -67,7 +71,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_shingles, sig, keys) of docs: the text's hash, its set's size and 128-bit hash, and the 2 * SIDE keys."""
 
     def make():
-        hashes = WordHashes()
+        hashes = HASHES
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(hashes.of(t)) for t in texts_of(batch)]
@@ -100,7 +104,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
     """(text, sig) to (sig, members), the set's sorted hashes, where the text has that set."""
 
     def make():
-        hashes = WordHashes()
+        hashes = HASHES
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [(sig, s) for t, sig in zip(texts_of(batch), batch.column("sig").to_pylist(), strict=True) if xxhash.xxh3_128_digest((s := shingle_set(hashes.of(t))).tobytes()) == sig]
@@ -115,7 +119,7 @@ class Linker:
     """The steps from sketches to components; every intermediate table is written to the shared folder."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
-        self.docs, self.scratch = docs, scratch
+        self.docs, self.scratch, self.tested = docs, scratch, []
 
     def small(self, df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -133,8 +137,11 @@ class Linker:
         return self.scratch.table(mine.select(F.xxhash64("a", "b").alias("bucket"), "sig"), "buckets")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (x, y) of different sets whose similarity on full sets is PERCENT or more."""
+        """The pairs (x, y) of different sets whose similarity on full sets is PERCENT or more; a pair is tested once."""
+        for before in self.tested:
+            pairs = pairs.join(before, ["x", "y"], "left_anti")
         pairs = self.scratch.table(pairs, f"{name}-pairs")
+        self.tested.append(pairs)
         sets = self.sets.withColumn("n", F.size("members"))
         sizes = self.small(self.sizes, self.n_sets)
         close = pairs.join(sizes.select(F.col("sig").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("sig").alias("y"), F.col("n").alias("ny")), "y")
@@ -167,32 +174,66 @@ class Linker:
             if not changed:
                 return labels
 
-    def pivots(self, large: DataFrame, links: list[DataFrame]) -> DataFrame:
+    def still_apart(self, large: DataFrame, links: list[DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+        """(bucket, sig, label) of the large buckets that hold several components, and the labels of all sets with links."""
+        labels = self.components(links, f"labels-{name}")
+        here = large.join(self.small(labels, self.n_sets), "sig", "left").select("bucket", "sig", F.coalesce("label", "sig").alias("label"))
+        here = self.scratch.table(here, f"here-{name}")
+        several = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        return self.scratch.table(here.join(several, "bucket"), f"apart-{name}"), labels
+
+    def in_large_buckets(self, large: DataFrame, links: list[DataFrame]) -> DataFrame:
         """Links within the large buckets, complete; returns the labels.
 
-        In each round every bucket that holds several components takes some of its sets as pivots, those of the
-        smallest components first, verifies them against all sets of other components in the bucket, and lets
-        them go; two sets of one component need no more. The number of pivots grows fourfold from round to round, so that the
-        rounds are few; a bucket ends when it is one component or has no sets left.
+        First, PIVOTS times, one set of each bucket is verified against all the others, the one that is in most
+        buckets, as what the copies were made from is: a group of near copies mostly becomes one component, and two
+        sets of one component need no more. The sets of buckets that still hold several
+        components go through an exact join (`prefix_pairs`).
         """
-        k, most = 0, 2
-        while True:
-            labels = self.components(links, f"labels-{k}")
-            size = labels.groupBy("label").agg(F.count("*").alias("size"))
-            known = self.small(labels.join(size, "label"), labels.count())
-            here = large.join(known, "sig", "left").select("bucket", "sig", F.coalesce("label", "sig").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-            here = self.scratch.table(here, f"here-{k}")
-            active = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-            here = self.scratch.table(here.join(active, "bucket"), f"active-{k}")
+        degree = self.scratch.table(large.groupBy("sig").agg(F.count("*").alias("degree")), "degree")
+        for k in range(PIVOTS):
+            here, labels = self.still_apart(large, links, str(k))
             if here.isEmpty():
                 return labels
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.xxhash64("sig"), "sig"))
-            chosen = self.scratch.table(here.withColumn("rank", rank).where(F.col("rank") <= most).select("bucket", F.col("sig").alias("pivot"), F.col("label").alias("theirs")), f"pivots-{k}")
-            pairs = here.join(chosen, "bucket").where("label <> theirs").select(F.least("sig", "pivot").alias("x"), F.greatest("sig", "pivot").alias("y")).distinct()
-            links.append(self.verify(pairs, f"round-{k}"))
-            gone = chosen.select("bucket", F.col("pivot").alias("sig"))
-            large = self.scratch.table(here.select("bucket", "sig").join(gone, ["bucket", "sig"], "left_anti"), f"large-{k}")
-            k, most = k + 1, most * 4
+            best = F.max_by(F.struct("sig", "label"), F.struct("degree", F.xxhash64("sig")))
+            pivot = here.join(self.small(degree, self.n_sets), "sig").groupBy("bucket").agg(best.alias("p")).select("bucket", F.col("p.sig").alias("pivot"), F.col("p.label").alias("theirs"))
+            pivot = self.scratch.table(pivot, f"pivot-{k}")
+            pairs = here.join(pivot, "bucket").where("label <> theirs").select(F.least("sig", "pivot").alias("x"), F.greatest("sig", "pivot").alias("y")).distinct()
+            links.append(self.verify(pairs, f"pivots-{k}"))
+            used = pivot.select(F.col("pivot").alias("sig")).distinct()
+            degree = self.scratch.table(degree.join(self.small(used, self.n_sets), "sig", "left_anti").unionByName(used.withColumn("degree", F.lit(0).cast("long"))), f"degree-{k}")
+        here, labels = self.still_apart(large, links, "rest")
+        if here.isEmpty():
+            return labels
+        links.append(self.verify(self.prefix_pairs(here.select("sig", "label").distinct()), "prefixes"))
+        return self.components(links, "labels-end")
+
+    def prefix_pairs(self, rest: DataFrame) -> DataFrame:
+        """(x, y) for all sets of rest (sig, label) of different labels that can be linked.
+
+        With the shingles of each set in one order, the rarest first, two sets of similarity s share one of the first
+        n - ceil(s * n) + 1 of each, and behind the first one that they share enough must be left. What a copy adds of its own is rarest, so the passages that many share are seldom
+        among them. Within a shingle the sets of the most frequent label meet only those of others.
+        """
+        table = self.scratch.table
+        rest = table(rest, "rest")
+        members = rest.join(self.sets, "sig").select("sig", "label", F.size("members").alias("n"), F.explode("members").alias("shingle"))
+        often = members.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+        shared = members.join(often, "shingle").groupBy("sig", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
+        # a shingle that no other set has comes first and joins with nothing
+        alone = F.col("n") - F.size("ordered")
+        length = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1 - alone
+        listed = shared.where(length > 0).select("sig", "label", "n", alone.alias("alone"), F.posexplode(F.slice("ordered", 1, length.cast("int"))).alias("at", "s"))
+        prefix = table(listed.select("sig", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), "s.shingle"), "prefix")
+        by_label = prefix.groupBy("shingle", "label").agg(F.count("*").alias("sets"))
+        major = table(by_label.groupBy("shingle").agg(F.max_by("label", F.struct("sets", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("shingle", "major"), "major")
+        there = prefix.join(major, "shingle")
+        few = there.where("label <> major").select("shingle", F.col("sig").alias("other"), F.col("label").alias("theirs"), F.col("n").alias("their_n"), F.col("left").alias("their_left"))
+        apart = (F.col("label") != F.col("theirs")) & ((F.col("label") == F.col("major")) | (F.col("sig") < F.col("other")))
+        # the first shingle that two sets share leaves so many at most to share
+        most = F.least("left", "their_left")
+        both = there.join(few, "shingle").where(apart & (100 * most >= PERCENT * (F.col("n") + F.col("their_n") - most)))
+        return both.select(F.least("sig", "other").alias("x"), F.greatest("sig", "other").alias("y")).distinct()
 
     def run(self) -> DataFrame:
         """(doc_id, h, n_shingles, sig, component_id) for each row of docs."""
@@ -213,7 +254,7 @@ class Linker:
         texts = self.docs.select("doc_id", "text").join(self.small(reps, self.n_sets), F.col("doc_id").eqNullSafe(F.col("_rep")))
         self.sets = table(full_sets(texts).dropDuplicates(["sig"]), "sets")
         links = [self.verify(pairs, "couples")]
-        labels = self.pivots(large, links)
+        labels = self.in_large_buckets(large, links)
         group = table(nodes.select("sig", "rep").join(self.small(labels, self.n_sets), "sig").select("sig", "rep", "label"), "group")
         least = group.groupBy("label").agg(F.min("rep").alias("component_id"))
         moved = table(group.join(self.small(least, self.n_sets), "label").select("sig", "component_id"), "moved")
