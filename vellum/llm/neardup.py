@@ -174,13 +174,11 @@ class Linker:
             if not changed:
                 return labels
 
-    def still_apart(self, large: DataFrame, links: list[DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-        """(bucket, sig, label) of the large buckets that hold several components, and the labels of all sets with links."""
+    def labelled(self, large: DataFrame, links: list[DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+        """(bucket, sig, label) of the large buckets' sets, and the labels of all sets with links."""
         labels = self.components(links, f"labels-{name}")
         here = large.join(self.small(labels, self.n_sets), "sig", "left").select("bucket", "sig", F.coalesce("label", "sig").alias("label"))
-        here = self.scratch.table(here, f"here-{name}")
-        several = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        return self.scratch.table(here.join(several, "bucket"), f"apart-{name}"), labels
+        return self.scratch.table(here, f"here-{name}"), labels
 
     def in_large_buckets(self, large: DataFrame, links: list[DataFrame]) -> DataFrame:
         """Links within the large buckets, complete; returns the labels.
@@ -190,11 +188,11 @@ class Linker:
         sets of one component need no more. The sets of buckets that still hold several
         components go through an exact join (`prefix_pairs`).
         """
+        if large.isEmpty():
+            return self.components(links, "labels-end")
         degree = self.scratch.table(large.groupBy("sig").agg(F.count("*").alias("degree")), "degree")
         for k in range(PIVOTS):
-            here, labels = self.still_apart(large, links, str(k))
-            if here.isEmpty():
-                return labels
+            here, _ = self.labelled(large, links, str(k))
             best = F.max_by(F.struct("sig", "label"), F.struct("degree", F.xxhash64("sig")))
             pivot = here.join(self.small(degree, self.n_sets), "sig").groupBy("bucket").agg(best.alias("p")).select("bucket", F.col("p.sig").alias("pivot"), F.col("p.label").alias("theirs"))
             pivot = self.scratch.table(pivot, f"pivot-{k}")
@@ -202,10 +200,12 @@ class Linker:
             links.append(self.verify(pairs, f"pivots-{k}"))
             used = pivot.select(F.col("pivot").alias("sig")).distinct()
             degree = self.scratch.table(degree.join(self.small(used, self.n_sets), "sig", "left_anti").unionByName(used.withColumn("degree", F.lit(0).cast("long"))), f"degree-{k}")
-        here, labels = self.still_apart(large, links, "rest")
-        if here.isEmpty():
+        here, labels = self.labelled(large, links, "rest")
+        several = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        rest = self.scratch.table(here.join(several, "bucket").select("sig", "label").distinct(), "apart")
+        if rest.isEmpty():
             return labels
-        links.append(self.verify(self.prefix_pairs(here.select("sig", "label").distinct()), "prefixes"))
+        links.append(self.verify(self.prefix_pairs(rest), "prefixes"))
         return self.components(links, "labels-end")
 
     def prefix_pairs(self, rest: DataFrame) -> DataFrame:
@@ -216,7 +216,6 @@ class Linker:
         among them. Within a shingle the sets of the most frequent label meet only those of others.
         """
         table = self.scratch.table
-        rest = table(rest, "rest")
         members = rest.join(self.sets, "sig").select("sig", "label", F.size("members").alias("n"), F.explode("members").alias("shingle"))
         often = members.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         shared = members.join(often, "shingle").groupBy("sig", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
