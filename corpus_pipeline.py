@@ -10,6 +10,9 @@ from vellum.llm.common import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Similarity in percent that makes two documents near copies.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold. Null and empty texts stay, as do all rows where no labels are."""
@@ -25,7 +28,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least doc_id; texts without words all stay."""
-    return neardup.dedup(docs.select(*COLUMNS), Scratch(spark, "pipeline-near"))
+    return neardup.dedup(docs.select(*COLUMNS), Scratch(spark, "pipeline-near"), NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,6 +250,24 @@ def test_near_copies(spark, monkeypatch, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(docs)
 
 
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_copies_at_the_pipeline_s_threshold(spark, monkeypatch, small):
+    """Copies at 0.836, 0.806 and 0.778 of their source: none links at 85, the first two do in the pipeline's stage."""
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(neardup, "SMALL", small)
+    docs = {}
+    for k in range(0, 40, 4):
+        base = [f"a{k}b{i}" for i in range(60)]
+        for j, changed in enumerate([(), (30,), (29, 30), (1, 30)]):
+            docs[k + j] = " ".join(f"n{j}" if i in changed else w for i, w in enumerate(base))
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {percent: {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(df, Scratch(spark, "t"), percent).collect()} for percent in (80, 85)}
+    assert got[80] == brute_components(docs, 80) and got[85] == brute_components(docs) and got[80] != got[85]
+    rest = p.drop_near_copies(spark, df, DIR)
+    assert sorted(r.doc_id for r in rest.collect()) == sorted(k for k, (_, root) in got[80].items() if k == root)
+
+
 def test_near_copies_on_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_neardup(spark, DIR).collect()}

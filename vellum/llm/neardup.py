@@ -2,7 +2,8 @@
 
 A text has two collections of SIDE keys, each of WIDTH minhashes. Every pair of a key of one and a key of the
 other is a table key, so 2 * SIDE * WIDTH minhashes serve SIDE * SIDE tables of 2 * WIDTH minhashes. A pair that
-links with similarity s meets in some table with probability (1 - (1 - s ** WIDTH) ** SIDE) ** 2: 0.9997 at 0.85.
+links with similarity s meets in some table with probability (1 - (1 - s ** WIDTH) ** SIDE) ** 2: 0.9997 at 0.85,
+0.9985 at 0.8.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from vellum.llm.common import BROADCAST_ROWS, Scratch, map_arrow, record, texts_of
 
+#: Words of a shingle, and the similarity in percent that links where a caller names no other.
 WORDS, PERCENT = 5, 85
 SIDE, WIDTH = 10, 3
 #: All pairs of a bucket of up to so many different sets are verified; larger buckets go by so many pivots, then by a join on prefixes.
@@ -118,8 +120,8 @@ def full_sets(texts: DataFrame) -> DataFrame:
 class Linker:
     """The steps from sketches to components; every intermediate table is written to the shared folder."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch):
-        self.docs, self.scratch, self.tested = docs, scratch, []
+    def __init__(self, docs: DataFrame, scratch: Scratch, percent: int = PERCENT):
+        self.docs, self.scratch, self.percent, self.tested = docs, scratch, percent, []
 
     def small(self, df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -137,7 +139,7 @@ class Linker:
         return self.scratch.table(mine.select(F.xxhash64("a", "b").alias("bucket"), "sig"), "buckets")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (x, y) of different sets whose similarity on full sets is PERCENT or more; a pair is tested once."""
+        """The pairs (x, y) of different sets whose similarity on full sets is `percent` or more; a pair is tested once."""
         for before in self.tested:
             pairs = pairs.join(before, ["x", "y"], "left_anti")
         pairs = self.scratch.table(pairs, f"{name}-pairs")
@@ -145,11 +147,11 @@ class Linker:
         sets = self.sets.withColumn("n", F.size("members"))
         sizes = self.small(self.sizes, self.n_sets)
         close = pairs.join(sizes.select(F.col("sig").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("sig").alias("y"), F.col("n").alias("ny")), "y")
-        close = close.where((100 * F.col("nx") >= PERCENT * F.col("ny")) & (100 * F.col("ny") >= PERCENT * F.col("nx"))).select("x", "y")
+        close = close.where((100 * F.col("nx") >= self.percent * F.col("ny")) & (100 * F.col("ny") >= self.percent * F.col("nx"))).select("x", "y")
         both = close.join(sets.select(F.col("sig").alias("x"), F.col("members").alias("mx")), "x").join(sets.select(F.col("sig").alias("y"), F.col("members").alias("my")), "y")
         common = F.size(F.array_intersect("mx", "my"))
         both = both.withColumn("common", common).withColumn("either", F.size("mx") + F.size("my") - F.col("common"))
-        return self.scratch.table(both.where(100 * F.col("common") >= PERCENT * F.col("either")).select("x", "y"), f"{name}-links")
+        return self.scratch.table(both.where(100 * F.col("common") >= self.percent * F.col("either")).select("x", "y"), f"{name}-links")
 
     def components(self, links: list[DataFrame], name: str) -> DataFrame:
         """(sig, label): the least sig that the links reach, for sets with links. Labels jump to their labels' labels in each round."""
@@ -221,7 +223,7 @@ class Linker:
         shared = members.join(often, "shingle").groupBy("sig", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
         # a shingle that no other set has comes first and joins with nothing
         alone = F.col("n") - F.size("ordered")
-        length = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1 - alone
+        length = F.col("n") - F.expr(f"({self.percent} * n + 99) div 100") + 1 - alone
         listed = shared.where(length > 0).select("sig", "label", "n", alone.alias("alone"), F.posexplode(F.slice("ordered", 1, length.cast("int"))).alias("at", "s"))
         prefix = table(listed.select("sig", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), "s.shingle"), "prefix")
         by_label = prefix.groupBy("shingle", "label").agg(F.count("*").alias("sets"))
@@ -231,7 +233,7 @@ class Linker:
         apart = (F.col("label") != F.col("theirs")) & ((F.col("label") == F.col("major")) | (F.col("sig") < F.col("other")))
         # the first shingle that two sets share leaves so many at most to share
         most = F.least("left", "their_left")
-        both = there.join(few, "shingle").where(apart & (100 * most >= PERCENT * (F.col("n") + F.col("their_n") - most)))
+        both = there.join(few, "shingle").where(apart & (100 * most >= self.percent * (F.col("n") + F.col("their_n") - most)))
         return both.select(F.least("sig", "other").alias("x"), F.greatest("sig", "other").alias("y")).distinct()
 
     def run(self) -> DataFrame:
@@ -263,22 +265,22 @@ class Linker:
         return marks.where(F.col("sig").isNotNull()).join(every, "sig").select("doc_id", "h", "n_shingles", "sig", "component_id").unionByName(empty.select("doc_id", "h", "n_shingles", "sig", "component_id"))
 
 
-def components(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, h, n_shingles, sig, component_id, kept.
 
-    Documents link when their sets of five-word shingles are similar by PERCENT or more; component_id is the least
+    Documents link when their sets of five-word shingles are similar by `percent` or more; component_id is the least
     doc_id that links reach. Texts of equal sets are one node, so exact copies are never paired. A null or empty
     text, or one of white space, has no shingles and stands alone under its own doc_id. A null doc_id
     counts after all others: it is a component's id only where nothing else is. Repeated rows get the same component;
     further columns don't matter; an empty table gives an empty one.
     """
-    out = Linker(docs, scratch).run()
+    out = Linker(docs, scratch, percent).run()
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def dedup(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, all its columns as they were; rows without words all stay."""
-    found = scratch.table(components(docs, scratch), "found")
+    found = scratch.table(components(docs, scratch, percent), "found")
     key = [F.col("doc_id").alias("_id"), F.col("h").alias("_h")]
     dropped = scratch.table(found.where(~F.col("kept")).select(*key).distinct(), "dropped")
     # a doc_id that stands in a component more than once: the row of the least hash stays
