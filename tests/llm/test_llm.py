@@ -140,6 +140,16 @@ def test_line_dedup(spark, odd, none):
     assert got == {k: f"own {k}\n" for k in range(9)} | {10: "menu\nx", 11: None}
 
 
+def test_copies_are_one_page_of_their_site(spark):
+    """600 copies of one text keep their lines; the menu of 20 different texts goes from all, copies too."""
+    rows = [(k, f"menu\nown {k}", "a") for k in range(20)] + [(100 + k, "menu\nfirst\nsecond", "a") for k in range(600)] + [(1000 + k, None, "a") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, site string")
+    got = {r.doc_id: r.text for r in linededup.drop_lines(df, "site", ratio=0.5).collect()}
+    assert got == {k: f"own {k}" for k in range(20)} | {100 + k: "first\nsecond" for k in range(600)} | {1000 + k: None for k in range(300)}
+    every = {r.doc_id: r.text for r in linededup.drop_lines(df, "site", ratio=0.5, every_copy=True).collect()}
+    assert every[100] == ""
+
+
 def test_urls(spark):
     urls = ["HTTP://A.Example.NET/en/x?y", "x://net", "http://b.org/fr/", "http://b.org/f", "no url", None, "http://example.com/de/#", "http://notexample.com/de/", "a://NET/?q", "http://u.net?x/", "ftp://h://i/j"]
     df = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")

@@ -17,12 +17,21 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("a"), F.hash(bare).alias("b"))
 
 
-def boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def one_of_each(pages: DataFrame, site: str, text: str) -> DataFrame:
+    """(site, text) of the distinct texts of each site, by two hashes; null texts are one."""
+    hashes = [F.xxhash64(text).alias("_h"), F.hash(text).alias("_g")]
+    return pages.select(site, text, *hashes).dropDuplicates([site, "_h", "_g"]).select(site, text)
+
+
+def boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least: int = LEAST, every_copy: bool = False) -> DataFrame:
     """One row (site, lines) for each site with boilerplate: the keys of the lines that it drops.
 
-    Each page counts a line once. A site with P pages and L distinct lines a page has L / ratio such lines at most,
+    Each page counts a line once, and each text of a site counts as one page however many copies of it there are, so
+    that copies don't turn their own content into boilerplate; with every_copy each row is a page. A site with P pages and L distinct lines a page has L / ratio such lines at most,
     whatever P is, so that the array is bounded.
     """
+    if not every_copy:
+        pages = one_of_each(pages, site, text)
     # the expressions of the split stay outside the lambdas, where Spark evaluates them once
     lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""), line_key))
     seen = pages.select(F.col(site).alias("site"), F.explode(lines).alias("line"))
@@ -32,13 +41,14 @@ def boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float =
     return common.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_lines(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_lines(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least: int = LEAST, every_copy: bool = False) -> DataFrame:
     """pages with the text freed of its site's boilerplate lines, `_lines` before and `_dropped` lines.
 
     All rows stay. A null site is a site; a null or empty text stays as it is and its page counts; blank lines are
-    never dropped; two equal lines of one page go or stay together; repeated rows count as pages of their own.
+    never dropped; two equal lines of one page go or stay together. Repeated texts of a site count as one page, or with every_copy
+    as pages of their own, which is the rule of LINES_SQL.
     """
-    found = boilerplate(pages, site, text, ratio, least).withColumnRenamed("site", site)
+    found = boilerplate(pages, site, text, ratio, least, every_copy).withColumnRenamed("site", site)
     joined = small_join(pages, found.withColumnRenamed("lines", "_boilerplate"), site)
     split = joined.withColumn("_split", F.split(F.col(text), "\n"))
     kept = F.filter("_split", lambda x: ~F.array_contains(F.col("_boilerplate"), line_key(x)))

@@ -57,11 +57,20 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = linededup.drop_lines(table(spark, sf_dir, "documents"), "source")
+def _freed(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), "text")
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the rule of its SQL: each copy of a text is a page."""
+    return _freed(linededup.drop_lines(table(spark, sf_dir, "documents"), "source", every_copy=True))
+
+
+def op9_linededup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline does it: copies of a text are one page of their source."""
+    return _freed(linededup.drop_lines(table(spark, sf_dir, "documents"), "source"))
+
+
 OP9_SQL = f"""WITH docs AS (SELECT * FROM documents), {linededup.LINES_SQL}
 SELECT doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(parts) - len(keep), 0) AS BIGINT) AS n_dropped,
   CASE WHEN len(keep) < len(parts) THEN array_to_string(keep, chr(10)) ELSE text END AS text FROM cleaned"""
@@ -72,7 +81,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_linkgraph, op2_fertility, op3_flow_reshard, op4_bpe, op5_tokenfile, op6_mixing, op7_toxicity, op8_neardup, op9_linededup, op10_tiff)}
+    return {f.__name__: f for f in (op1_linkgraph, op2_fertility, op3_flow_reshard, op4_bpe, op5_tokenfile, op6_mixing, op7_toxicity, op8_neardup, op9_linededup, op9_linededup_texts, op10_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
