@@ -91,19 +91,30 @@ b AS (SELECT *, coalesce(lead(dup) OVER w, false) AS next_dup, regexp_matches(tr
 SELECT doc_id, seq, dup OR (lab AND next_dup) OR coalesce(lag(lab) OVER w, false) AS skip, CASE WHEN lab AND NOT next_dup THEN concat(head, ': ', nxt) END AS merged FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY seq)"""
 
 
-def j8_regions(spark, sf_dir):
-    """Glyphs on a grid, one for each character of short lines, read back by the blocks' boxes."""
-    short = d.lines(spark, sf_dir).where((F.length("line") > 0) & (F.length("line") <= 120)).withColumn("page", (C("seq") / 40).cast("int") + 1)
+def _read_back(lines, width):
+    """Glyphs on a grid, one for each character of the lines, read back by the blocks' boxes."""
+    placed = lines.withColumn("page", (C("seq") / 40).cast("int") + 1)
     at = C("k").cast("double")
     base = 800.0 - (C("seq") % 40) * 15.0
-    g = short.select("doc_id", "page", "seq", F.posexplode(F.split("line", "")).alias("k", "ch"))
-    g = g.select("doc_id", "page", (C("seq") * 200 + C("k")).alias("draw_idx"), "ch", (at * 6).alias("l"), base.alias("b"), (at * 6 + 5).alias("r"), (base + 10).alias("t"))
-    box = F.struct(F.lit(0.0).alias("x0"), base.alias("y0"), F.lit(720.0).alias("x1"), (base + 10).alias("y1"))
-    blocks = short.select("doc_id", F.concat(F.lit("#/texts/"), "seq").alias("block_id"), "page", box.alias("bbox"))
+    g = placed.select("doc_id", "page", "seq", F.posexplode(F.split("line", "")).alias("k", "ch"))
+    g = g.select("doc_id", "page", (C("seq").cast("long") * 10_000_000 + C("k")).alias("draw_idx"), "ch", (at * 6).alias("l"), base.alias("b"), (at * 6 + 5).alias("r"), (base + 10).alias("t"))
+    box = F.struct(F.lit(0.0).alias("x0"), base.alias("y0"), width.alias("x1"), (base + 10).alias("y1"))
+    blocks = placed.select("doc_id", F.concat(F.lit("#/texts/"), "seq").alias("block_id"), "page", box.alias("bbox"))
     return glyphs.regions(blocks, g).select("doc_id", "block_id", "reading", F.length("marks").alias("n_marks"), F.trim("marks").alias("raised"))
 
 
+def j8_regions(spark, sf_dir):
+    """The short lines alone, as in its SQL."""
+    return _read_back(d.lines(spark, sf_dir).where((F.length("line") > 0) & (F.length("line") <= 120)), F.lit(720.0))
+
+
+def j8_regions_whole(spark, sf_dir):
+    """All lines with characters, in boxes as wide as they are."""
+    return _read_back(d.lines(spark, sf_dir).where(F.length("line") > 0), F.length("line") * 6.0)
+
+
 J8 = f"WITH lines AS ({d.LINES_SQL}) SELECT doc_id, concat('#/texts/', CAST(seq AS STRING)) AS block_id, line AS reading, CAST(length(line) AS INT) AS n_marks, '' AS raised FROM lines WHERE length(line) BETWEEN 1 AND 120"
+J8_WHOLE = f"WITH lines AS ({d.LINES_SQL}) SELECT doc_id, concat('#/texts/', CAST(seq AS STRING)) AS block_id, line AS reading, CAST(length(line) AS INT) AS n_marks, '' AS raised FROM lines WHERE length(line) > 0"
 
 
 def cells(spark, sf_dir):
@@ -207,5 +218,5 @@ def s_text_blocks(spark, sf_dir):
 
 S_TEXT = rf"""WITH lines AS ({d.LINES_SQL}) SELECT doc_id, seq, concat('#/texts/', CAST(seq AS STRING)) AS block_id, CASE WHEN regexp_matches(line, '^\s*[-*•] ') THEN 'list' WHEN regexp_matches(line, '^\s*[0-9]+(\.[0-9]+)*\s+\p{{Lu}}') AND length(line) < 80 THEN 'heading' ELSE 'paragraph' END AS type, line AS text, CAST(seq // 40 + 1 AS INT) AS page, CAST(NULL AS INT) AS level FROM lines"""
 
-QUERIES = {f.__name__: f for f in (w1_sections, w3_section_of_block, w2_bookmark_tree, j7_section_by_page, e9_splits, w9_files, w4_heading_plan, j8_regions, x42_tables, x36_metadata, w13_pruned, w15_next_version, f9_crops, s_html_blocks, s_text_blocks)}
-SQL = {"w1_sections": W1, "w3_section_of_block": W3, "w2_bookmark_tree": W2, "j7_section_by_page": J7, "e9_splits": E9, "w9_files": W9, "w4_heading_plan": W4, "j8_regions": J8, "x42_tables": X42, "x36_metadata": X36, "w13_pruned": W13, "w15_next_version": W15, "f9_crops": F9, "s_html_blocks": S_HTML, "s_text_blocks": S_TEXT}
+QUERIES = {f.__name__: f for f in (w1_sections, w3_section_of_block, w2_bookmark_tree, j7_section_by_page, e9_splits, w9_files, w4_heading_plan, j8_regions, j8_regions_whole, x42_tables, x36_metadata, w13_pruned, w15_next_version, f9_crops, s_html_blocks, s_text_blocks)}
+SQL = {"w1_sections": W1, "w3_section_of_block": W3, "w2_bookmark_tree": W2, "j7_section_by_page": J7, "e9_splits": E9, "w9_files": W9, "w4_heading_plan": W4, "j8_regions": J8, "j8_regions_whole": J8_WHOLE, "x42_tables": X42, "x36_metadata": X36, "w13_pruned": W13, "w15_next_version": W15, "f9_crops": F9, "s_html_blocks": S_HTML, "s_text_blocks": S_TEXT}
