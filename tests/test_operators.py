@@ -1,5 +1,9 @@
 """Operators against small cases with known results."""
 
+import hashlib
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -11,6 +15,9 @@ from vellum.functions import text as t
 from vellum.operators import audit, coverage, crops, emit, enrich, glyphs, structure, versions
 from vellum.operators import tables as tb
 from vellum.plans import convert
+from vellum.queries import scalars, trees
+
+DIR = "/root/testdata/sf0.001"
 
 
 def one(spark, text, *columns):
@@ -179,3 +186,10 @@ def test_regressions(spark):
     was = spark.createDataFrame([("a", 0, 0, 0, 0, 0, True), ("gone", 0, 0, 0, 0, 0, True)], schema)
     now = spark.createDataFrame([("a", 1, 0, 0, 0, 0, False), ("new", 0, 0, 0, 0, 0, True)], schema)
     assert {(r.source, r.verdict, r.key) for r in audit.compare(now, was).collect()} == {("a", "regressed", "dropped"), ("a", "regressed", "lossless"), ("new", "new", None), ("gone", "missing", None)}
+
+
+def test_vocabulary_of_all_lines(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").collect()
+    words = {r.doc_id: sorted(set(re.findall("[A-Za-z]+", unicodedata.normalize("NFKC", r.text)))) for r in docs}
+    got = {r.doc_id: (r.n, r.digest) for r in scalars.t1_vocabulary_whole(spark, DIR).collect()}
+    assert got == {k: (len(w), hashlib.md5(" ".join(w).encode()).hexdigest()) for k, w in words.items() if w}

@@ -109,11 +109,20 @@ def _unwrapped(x: str) -> str:
 X41 = rf"WITH {d.BLOCKS_SQL} SELECT doc_id, seq, lower({d.gone('replace(replace(' + d.gone(_unwrapped(d.gone('text', r'\\tag\{[^}]*\}')), r'\\(sin|cos|tan|max|min|exp|log|ln)\b', r'\1') + ', concat(chr(92), ' + chr(39) + 'left' + chr(39) + '), ' + chr(39) * 2 + '), concat(chr(92), ' + chr(39) + 'right' + chr(39) + '), ' + chr(39) * 2 + ')', r'\\[,!;:> ]|\s+')}) AS normalized FROM blocks"
 
 
-def t1_vocabulary(spark, sf_dir):
-    pages = d.blocks(spark, sf_dir).select("doc_id", "line").withColumnRenamed("line", "text").where(~C("text").rlike(r"[^\x00-\x7F]"))
+def _vocabulary(pages):
     return vocabulary.vocabulary(pages).select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
+def t1_vocabulary(spark, sf_dir):
+    """The ASCII lines alone, as in its SQL."""
+    return _vocabulary(d.blocks(spark, sf_dir).select("doc_id", "line").withColumnRenamed("line", "text").where(~C("text").rlike(r"[^\x00-\x7F]")))
+
+
+def t1_vocabulary_whole(spark, sf_dir):
+    """All lines; DuckDB has no compatibility folding, so no SQL."""
+    return _vocabulary(d.lines(spark, sf_dir).select("doc_id", C("line").alias("text")))
+
+
 T1 = rf"WITH {d.BLOCKS_SQL}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS word FROM blocks WHERE NOT regexp_matches(line, '[^\x00-\x7F]')) SELECT doc_id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY encode(word))) AS digest FROM w GROUP BY doc_id"
 
 
@@ -164,5 +173,5 @@ w AS (SELECT *, r - l < 4 OR b - t < 4 AS tiny FROM s)
 SELECT doc_id, seq, CAST(trunc(CASE WHEN tiny THEN 0 ELSE l END * 2) AS INT) AS l, CAST(trunc(CASE WHEN tiny THEN 0 ELSE t END * 2) AS INT) AS t, CAST(trunc(CASE WHEN tiny THEN 600 ELSE r END * 2) AS INT) AS r, CAST(trunc(CASE WHEN tiny THEN 800 ELSE b END * 2) AS INT) AS b FROM w"""
 
 
-QUERIES = {f.__name__: f for f in (x11_legibility, f5_preformatted, f6_split_tests, x4_clean, x34_headings, x21_equations, x26_markup, x41_normalized, t1_vocabulary, x9_repaired, s7_translated, x39_prompts, r4_pixels)}
+QUERIES = {f.__name__: f for f in (x11_legibility, f5_preformatted, f6_split_tests, x4_clean, x34_headings, x21_equations, x26_markup, x41_normalized, t1_vocabulary, t1_vocabulary_whole, x9_repaired, s7_translated, x39_prompts, r4_pixels)}
 SQL = {"x11_legibility": X11, "f5_preformatted": F5, "f6_split_tests": F6, "x4_clean": X4, "x34_headings": X34, "x21_equations": X21, "x26_markup": X26, "x41_normalized": X41, "t1_vocabulary": T1, "s7_translated": S7, "x39_prompts": X39, "r4_pixels": R4}
