@@ -193,3 +193,25 @@ def test_vocabulary_of_all_lines(spark):
     words = {r.doc_id: sorted(set(re.findall("[A-Za-z]+", unicodedata.normalize("NFKC", r.text)))) for r in docs}
     got = {r.doc_id: (r.n, r.digest) for r in scalars.t1_vocabulary_whole(spark, DIR).collect()}
     assert got == {k: (len(w), hashlib.md5(" ".join(w).encode()).hexdigest()) for k, w in words.items() if w}
+
+
+def test_tables_of_all_words(spark):
+    def brute(doc_id, text):
+        spans, places, at = doc_id % 4 == 0, {}, 0
+        for w in text.replace("\n", " ").split(" "):
+            while at % 7 == 5 or (spans and at == 1):
+                at += 1
+            places[at], at = w, at + 1
+        rows = [[3 * r + c for c in range(3)] for r in range(max(places) // 3 + 1)]
+        head = [r == 0 or (r == 1 and doc_id % 3 == 0 and any(p in places for p in row)) for r, row in enumerate(rows)]
+        tags = ["th" if h else "td" for h in head]
+        cell = [["" if spans and p == 1 else f"<{t}{' colspan=' + chr(34) + '2' + chr(34) if spans and p == 0 else ''}>{places[p]}</{t}>" if p in places else "<td></td>" for p in row] for t, row in zip(tags, rows, strict=True)]
+        lines = ["| " + " | ".join(places.get(p, "").replace("|", "\\|") for p in row) + " |" for row in rows]
+        first = int(len(head) > 1 and head[1])
+        html = "<table><tbody>" + "".join(f"<tr>{''.join(c)}</tr>" for c in cell) + "</tbody></table>"
+        gfm = "\n".join([lines[first], "|---|---|---|", *lines[:first], *lines[first + 1 :]])
+        return html, gfm, hashlib.md5((html if spans else gfm).encode()).hexdigest()
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").collect()
+    got = {r.doc_id: (r.html, r.gfm, r.rendered) for r in trees.x42_tables_whole(spark, DIR).collect()}
+    assert got == {r.doc_id: brute(r.doc_id, r.text) for r in docs}

@@ -126,9 +126,28 @@ def cells(spark, sf_dir):
     return kept.select("doc_id", F.lit("#/tables/0").alias("block_id"), row.alias("row"), col.alias("col"), F.lit(1).alias("row_span"), F.when(wide, 2).otherwise(1).alias("col_span"), ((row == 0) | ((C("doc_id") % 3 == 0) & (row == 1))).alias("header"), "text", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("bbox"))
 
 
+def cells_whole(spark, sf_dir):
+    """All words of each document in a table of three columns. Every seventh place from the sixth on stays empty; in every fourth table the first cell spans two columns."""
+    words = d.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("k", "text"))
+    spans = C("doc_id") % 4 == 0
+    nth = C("k") + F.when(spans & (C("k") > 0), 1).otherwise(0)
+    place = F.floor(nth / 6) * 7 + F.when(nth % 6 == 5, 6).otherwise(nth % 6)
+    placed = words.withColumn("row", F.floor(place / 3).cast("int")).withColumn("col", (place % 3).cast("int"))
+    return placed.select("doc_id", F.lit("#/tables/0").alias("block_id"), "row", "col", F.lit(1).alias("row_span"), F.when(spans & (C("k") == 0), 2).otherwise(1).alias("col_span"), ((C("row") == 0) | ((C("doc_id") % 3 == 0) & (C("row") == 1))).alias("header"), "text", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("bbox"))
+
+
 def x42_tables(spark, sf_dir):
-    found = cells(spark, sf_dir)
+    """The first nine words, as in its SQL."""
     sizes = d.table(spark, sf_dir, "documents").select("doc_id", F.lit("#/tables/0").alias("block_id"), F.lit(3).alias("num_rows"), F.lit(3).alias("num_cols"))
+    return _tables(cells(spark, sf_dir), sizes)
+
+
+def x42_tables_whole(spark, sf_dir):
+    found = cells_whole(spark, sf_dir)
+    return _tables(found, found.groupBy(*tb.KEY).agg((F.max("row") + 1).alias("num_rows"), F.lit(3).alias("num_cols")))
+
+
+def _tables(found, sizes):
     plain = found.withColumn("text", tb.markdown_cell(C("text")))
     spans = found.groupBy("doc_id").agg(F.bool_or((C("row_span") > 1) | (C("col_span") > 1)).alias("spans"))
     j = tb.html(tb.grid(found, sizes)).join(tb.gfm(tb.grid(plain, sizes)), tb.KEY).join(spans, "doc_id")
@@ -148,10 +167,19 @@ SELECT doc_id, html, gfm, md5(CASE WHEN EXISTS (SELECT 1 FROM cells x WHERE x.do
 
 
 def x36_metadata(spark, sf_dir):
+    """The first 40 characters, as in its SQL."""
+    return _metadata(spark, sf_dir, F.substring("text", 1, 40))
+
+
+def x36_metadata_whole(spark, sf_dir):
+    return _metadata(spark, sf_dir, C("text"))
+
+
+def _metadata(spark, sf_dir, text):
     docs = d.table(spark, sf_dir, "documents")
     first = docs.select("doc_id", F.lit(0).alias("seq"), F.lit("heading").alias("type"), F.lit(1).alias("page"), F.concat(F.lit(" Title "), "doc_id").alias("text"))
-    body = F.concat(F.lit("doi 10.1234/ab"), "doc_id", F.lit("; in "), (C("doc_id") % 120 + 1900).cast("string"), F.lit(". "), F.substring("text", 1, 40))
-    second = docs.select("doc_id", F.lit(1).alias("seq"), F.lit("paragraph").alias("type"), F.lit(1).alias("page"), F.when(C("doc_id") % 3 > 0, body).otherwise(F.substring("text", 1, 40)).alias("text"))
+    body = F.concat(F.lit("doi 10.1234/ab"), "doc_id", F.lit("; in "), (C("doc_id") % 120 + 1900).cast("string"), F.lit(". "), text)
+    second = docs.select("doc_id", F.lit(1).alias("seq"), F.lit("paragraph").alias("type"), F.lit(1).alias("page"), F.when(C("doc_id") % 3 > 0, body).otherwise(text).alias("text"))
     own = F.when(C("doc_id") % 2 == 0, F.create_map(F.lit("Author"), F.concat(F.lit("A B; C and D"), "doc_id"), F.lit("Title"), F.lit(" "))).otherwise(F.create_map(F.lit("Title"), F.lit("Own")))
     name = F.concat(F.lpad((C("doc_id") % 30).cast("string"), 2, "0"), F.lit("05.12345.pdf"))
     found = bibliography.metadata(first.unionByName(second), docs.select("doc_id", name.alias("file_name"), own.alias("embedded")))
@@ -163,6 +191,8 @@ y AS (SELECT *, nullif(regexp_extract(page, '\b(?:19|20)[0-9]{2}\b'), '') AS fir
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN head ELSE 'Own' END AS title, CASE WHEN doc_id % 2 = 0 THEN concat('A B|C|D', CAST(doc_id AS STRING)) END AS authors,
   CASE WHEN pre IS NOT NULL AND (first IS NULL OR pre > first) THEN pre ELSE first END AS year, nullif(regexp_extract(page, '10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+'), '') AS doi FROM y"""
 
+X36_WHOLE = X36.replace("substr(text, 1, 40)", "text")
+
 
 def versions_of(spark, sf_dir):
     return d.table(spark, sf_dir, "customer").select(C("c_custkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), (C("c_custkey") % 4 + 1).cast("int"))).alias("version")).withColumn("complete", (C("doc_id") * C("version")) % 3 != 0)
@@ -218,5 +248,5 @@ def s_text_blocks(spark, sf_dir):
 
 S_TEXT = rf"""WITH lines AS ({d.LINES_SQL}) SELECT doc_id, seq, concat('#/texts/', CAST(seq AS STRING)) AS block_id, CASE WHEN regexp_matches(line, '^\s*[-*•] ') THEN 'list' WHEN regexp_matches(line, '^\s*[0-9]+(\.[0-9]+)*\s+\p{{Lu}}') AND length(line) < 80 THEN 'heading' ELSE 'paragraph' END AS type, line AS text, CAST(seq // 40 + 1 AS INT) AS page, CAST(NULL AS INT) AS level FROM lines"""
 
-QUERIES = {f.__name__: f for f in (w1_sections, w3_section_of_block, w2_bookmark_tree, j7_section_by_page, e9_splits, w9_files, w4_heading_plan, j8_regions, j8_regions_whole, x42_tables, x36_metadata, w13_pruned, w15_next_version, f9_crops, s_html_blocks, s_text_blocks)}
-SQL = {"w1_sections": W1, "w3_section_of_block": W3, "w2_bookmark_tree": W2, "j7_section_by_page": J7, "e9_splits": E9, "w9_files": W9, "w4_heading_plan": W4, "j8_regions": J8, "j8_regions_whole": J8_WHOLE, "x42_tables": X42, "x36_metadata": X36, "w13_pruned": W13, "w15_next_version": W15, "f9_crops": F9, "s_html_blocks": S_HTML, "s_text_blocks": S_TEXT}
+QUERIES = {f.__name__: f for f in (w1_sections, w3_section_of_block, w2_bookmark_tree, j7_section_by_page, e9_splits, w9_files, w4_heading_plan, j8_regions, j8_regions_whole, x42_tables, x42_tables_whole, x36_metadata, x36_metadata_whole, w13_pruned, w15_next_version, f9_crops, s_html_blocks, s_text_blocks)}
+SQL = {"w1_sections": W1, "w3_section_of_block": W3, "w2_bookmark_tree": W2, "j7_section_by_page": J7, "e9_splits": E9, "w9_files": W9, "w4_heading_plan": W4, "j8_regions": J8, "j8_regions_whole": J8_WHOLE, "x42_tables": X42, "x36_metadata": X36, "x36_metadata_whole": X36_WHOLE, "w13_pruned": W13, "w15_next_version": W15, "f9_crops": F9, "s_html_blocks": S_HTML, "s_text_blocks": S_TEXT}
