@@ -171,6 +171,13 @@ def test_distrust_runs_against_links(spark):
     assert got["friend.info"].trust == pytest.approx(rank["friend.info"] * 6)
 
 
+def test_hosts_with_few_blocked_pages_are_seeds(spark):
+    """Two of five pages are blocked: the site that links to the host is blocked, the host's other pages stay."""
+    rows = [(k, f"http://example.com/{'de' if k < 2 else 'x'}/", "") for k in range(5)] + [(5, "http://fan.info/", '<a href="http://example.com/">x</a>')] + [(6 + k, f"http://alone{k}.info/", "") for k in range(4)]
+    got = {r.page_id: r.verdict for r in linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {0, 1, 5}
+
+
 @pytest.mark.parametrize("kind", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("tile", [None, (16, 16)])
 def test_tiff_round_trip(kind, tile):

@@ -46,7 +46,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: (host, score) of the hosts that the seeds (host, seed) reach; the seeds' sum is kept below 1.
+    """Personalised PageRank: (host, score, arrived) of the hosts that the seeds (host, seed) reach; the seeds' sum is kept below 1.
+
+    arrived: the part of the score that came over links, which is all but what the host's own seed puts in.
 
     A host gives DAMPING of its score to the hosts that it links to, by the number of pages with such a link; what a
     host without links would give goes nowhere, so a host that nothing trusted reaches has no score. Each round reads
@@ -57,11 +59,11 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, roun
     total = seeds.agg(F.sum("seed")).first()[0] or 1.0
     start = scratch.table(seeds.where(F.col("seed") > 0).select("host", (F.col("seed") / F.lit(float(total))).alias("score")), f"{name}-0")
     if shares.isEmpty() or start.isEmpty():
-        return start
-    rank, base = start, start.select("host", (F.col("score") * (1 - DAMPING)).alias("score"))
+        return start.withColumn("arrived", F.lit(0.0))
+    rank, base = start, start.select("host", (F.col("score") * (1 - DAMPING)).alias("score"), F.lit(0.0).alias("arrived"))
     for k in range(1, rounds + 1):
-        sent = shares.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("share") * F.col("score") * DAMPING).alias("score"))
-        rank = scratch.table(sent.unionByName(base).groupBy("host").agg(F.sum("score").alias("score")), f"{name}-{k}")
+        sent = shares.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("share") * F.col("score") * DAMPING).alias("score")).withColumn("arrived", F.col("score"))
+        rank = scratch.table(sent.unionByName(base).groupBy("host").agg(F.sum("score").alias("score"), F.sum("arrived").alias("arrived")), f"{name}-{k}")
         if k > 1:
             scratch.drop(f"{name}-{k - 1}")
     return rank
@@ -72,9 +74,10 @@ def judge(pages: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, st
 
     A page that a rule fits gets the rule's verdict. Others get their host's: trust spreads from hosts with allowed
     pages along links, distrust from hosts with blocked pages against them (who links to blocked hosts is suspect).
-    A seed weighs the share of its allowed or blocked pages in all the host's; a host with half of its pages blocked
-    or fewer is no seed of distrust. Scores are taken times the
+    A seed weighs the share of its allowed or blocked pages in all the host's. Scores are taken times the
     number of hosts, so that 1 is the mean: block if distrust > LEAST and distrust > FACTOR * trust, else allow.
+    A host with half of its pages blocked or fewer is judged on the distrust that links bring, without what its own
+    seed puts in, so that its clean pages stay; the column distrust is the whole score.
     Null urls and urls without :// have an empty host, which no rule fits and no link reaches: allow. Null html
     has no links. Rows are kept as they are, repeated ones too; further columns don't matter.
     """
@@ -88,9 +91,12 @@ def judge(pages: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, st
     hosts = named.select("host").union(edges.select("dst")).distinct().count()
     trust = spread(edges, named.select("host", (F.col("allowed") / F.col("pages")).alias("seed")), scratch, "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(back, named.select("host", F.when(2 * F.col("blocked") > F.col("pages"), F.col("blocked") / F.col("pages")).otherwise(F.lit(0.0)).alias("seed")), scratch, "distrust")
-    scores = named.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
-    scaled = scores.select("host", *[(F.coalesce(c, F.lit(0.0)) * hosts).alias(c) for c in ("trust", "distrust")])
-    out = small_join(judged, scaled.select(F.col("host"), "trust", "distrust"), "host")
-    bad = (F.coalesce("distrust", F.lit(0.0)) > LEAST) & (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) * FACTOR)
+    distrust = spread(back, named.select("host", (F.col("blocked") / F.col("pages")).alias("seed")), scratch, "distrust")
+    trusted, distrusted = trust.select("host", F.col("score").alias("trust")), distrust.select("host", F.col("score").alias("distrust"), "arrived")
+    scores = named.select("host", (2 * F.col("blocked") > F.col("pages")).alias("mostly")).join(trusted, "host", "left").join(distrusted, "host", "left")
+    scaled = scores.select("host", "mostly", *[(F.coalesce(c, F.lit(0.0)) * hosts).alias(c) for c in ("trust", "distrust", "arrived")])
+    against = F.when(F.col("mostly"), F.col("distrust")).otherwise(F.col("arrived"))
+    scaled = scaled.select("host", "trust", "distrust", ((against > LEAST) & (against > F.col("trust") * FACTOR)).alias("bad"))
+    out = small_join(judged, scaled, "host")
+    bad = F.coalesce("bad", F.lit(False))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
