@@ -338,7 +338,7 @@ def test_pipeline(spark):
             docs = Scratch(spark, "t").table(docs, name)
         stages[name] = docs
     texts = {r.doc_id: r.text for r in stages["line_dedup"].collect()}
-    alone = brute_components(texts)
+    alone = brute_components(texts, p.NEAR_PERCENT)
     assert {r.doc_id for r in stages["near_dedup"].collect()} == {k for k, (n, root) in alone.items() if k == root}
     assert sorted(r.doc_id for r in stages["mixing"].collect()) == sorted(r.doc_id for r in stages["bpe"].collect())
     assert json.dumps([n for n, _ in p.STAGES]) == json.dumps(["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"])

@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellum.llm.common import map_arrow, record, texts_of
+from vellum.llm.words import range_hashes, runs
 
 #: Fixed value of the byte-level vocabulary: how it cuts text into words (\s read as Unicode white space).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: A letter run with one of these behind it is two words; the pattern needn't be asked.
-END = tuple(".,;:!?")
+END = b".,;:!?"
 
-#: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 700_000
+#: What a worker remembers of pieces: those of up to SHORT bytes, in a table of SLOTS places (a power of 2), with POOL
+#: ids; about 60 MB in all. Pieces are looked up for so many bytes at a time.
+SHORT, SLOTS, POOL, BATCH_BYTES = 64, 1 << 21, 8_000_000, 1 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -94,11 +96,11 @@ class ByteBpe:
         out[inside] = np.where(self.keys[found] == key, self.ranks[found], self.none)
         return out
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the words one after the other, and how many each has."""
-        lengths = np.array([len(w) for w in words], np.int64)
-        symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
+    def encode_ranges(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in the ranges one after the other, and how many each has."""
+        lengths = ends - starts
+        symbols = self.of_byte[raw[ranges(starts, lengths)]]
+        word = np.repeat(np.arange(len(lengths)), lengths)
         rank = self._ranks(symbols, word, np.arange(len(symbols)))
         done_s, done_w = [], []
         while len(symbols):
@@ -125,113 +127,208 @@ class ByteBpe:
         if not done_s:
             return np.zeros(0, np.int64), lengths
         of, ids = np.concatenate(done_w), np.concatenate(done_s)
-        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(lengths))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return self.token_bytes[ranges(self.token_at[ids], self.token_len[ids])].tobytes()
 
 
-class Pieces(dict):
-    """Ids of text pieces, remembered: piece -> index into a pool of ids.
+#: Fixed values of Unicode: white space beyond ASCII in UTF-8.
+WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
-    resolve gets new pieces and gives their ids, flat, and how many each has.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER, _AFTER_C3, _END = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_AFTER_C3[[b for b in range(0x80, 0xC0) if bytes((0xC3, b)).decode().isalpha()]] = True
+_END[list(END)] = True
+_LEADS = np.zeros(256, bool)
+_LEADS[[w[0] for w in WIDE_SPACES]] = True
+
+
+def white_space(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte whether a white-space character begins there, and whether one ends there."""
+    begins = _SPACE[raw]
+    ends = begins.copy()
+    leads = np.flatnonzero(_LEADS[raw])
+    for w in WIDE_SPACES if len(leads) else ():
+        at = leads[leads + len(w) <= len(raw)]
+        for k, b in enumerate(w):
+            at = at[raw[at + k] == b]
+        begins[at] = ends[at + len(w) - 1] = True
+    return begins, ends
+
+
+def piece_ranges(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of all texts, and how many each text has; `at`: where each text begins, with the end.
+
+    A text is cut before each space that stands between two characters other than white space. There the
+    vocabulary's pattern always begins a word: no word runs on from such a character over a space, and the space
+    goes with what follows it. So a piece is encoded alike alone and in the text.
+    """
+    begins, ends = white_space(raw)
+    cut = raw == 0x20
+    cut[:1] = cut[-1:] = False
+    cut[1:] &= ~ends[:-1]
+    cut[:-1] &= ~begins[1:]
+    first = at[:-1][at[:-1] < at[1:]]
+    cut[first[1:] - 1] = False  # a text's last character has nothing behind it
+    cut[first] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.r_[starts[1:], len(raw)] if len(starts) else starts, np.diff(np.searchsorted(starts, at))
+
+
+class Remembered:
+    """Ids of short pieces by their hash, in arrays of bounded size.
+
+    Each hash has one place in a table of SLOTS; a later piece takes the place of an earlier one. The ids lie in a
+    pool; when it holds more than POOL ids or entries, all is forgotten.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        super().__init__()
-        self.resolve, self.new = resolve, []
-        self.ids, self.length, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self):
+        self.forget()
 
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = n = len(self)
-        return n
+    def forget(self) -> None:
+        self.hash, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.ids, self.at, self.length = (np.zeros(1 << 12, np.int32) for _ in range(3))
+        self.used = self.n = 0
 
-    def settle(self) -> None:
-        if self.new:
-            ids, length = self.resolve(self.new)
-            self.ids = np.concatenate([self.ids, ids])
-            self.length = np.concatenate([self.length, length])
-            self.at = np.cumsum(self.length) - self.length
-            self.new = []
+    @property
+    def full(self) -> bool:
+        return max(self.used, self.n) > POOL
 
-    def forget(self, most: int = REMEMBERED) -> None:
-        if len(self) > most:
-            self.clear()
-            self.__init__(self.resolve)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the hashes, and which of them are known."""
+        slot = (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        return self.entry[slot], self.hash[slot] == hashes
 
+    def add(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Puts ids into the pool, `length` of them for each entry; returns the entries."""
+        first, self.n = self.n, self.n + len(length)
+        self.at, self.length = room(self.at, self.n), room(self.length, self.n)
+        self.length[first : self.n] = length
+        self.at[first : self.n] = self.used + np.cumsum(length) - length
+        self.ids = room(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return np.arange(first, self.n)
 
-def pieces_of(text: str) -> list[str]:
-    """The text cut before single spaces; each piece is encoded alike alone and in the text.
+    def name(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        slot = (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        self.hash[slot], self.entry[slot] = hashes, entries
+
+    def gather(self, entries: np.ndarray) -> np.ndarray:
+        return self.ids[ranges(self.at[entries].astype(np.int64), self.length[entries].astype(np.int64))]
 
-    A word of the vocabulary's pattern never runs on from a non-space over a space, and it takes one space
-    before it at most. Where two spaces meet, or one ends the text, white space may be joined across the
-    cut, so such a text is one piece.
-    """
-    if "  " in text or text.endswith(" "):
-        return [text]
-    first, *rest = text.split(" ")
-    out = [" " + x for x in rest]
-    return [first, *out] if first else out
+
+def room(values: np.ndarray, size: int) -> np.ndarray:
+    """The array, copied into a larger one if it is too small."""
+    if size <= len(values):
+        return values
+    out = np.zeros(max(size, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
 
 
 class Encoder:
-    """Encodes texts with the words of `merge`; words and pieces that were seen before aren't merged again.
+    """Encodes texts; short pieces that were seen lately aren't merged again.
 
-    merge: new words to their ids, flat, and how many each has; ByteBpe.encode_words, or a library's encoding of
-    single words.
+    merge: new words, as ranges of bytes in order, to ids, flat, and how many each has, in place of the numpy merges (a
+    library's encoding). Pieces and words are told apart by a 64-bit hash.
     """
 
-    def __init__(self, bpe: ByteBpe, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None):
-        self.bpe = bpe
-        self.words = Pieces(merge or (lambda new: bpe.encode_words([w.encode() for w in new])))
-        self.pieces = Pieces(self._pieces)
-
-    def _cut(self, piece: str) -> list[str]:
-        body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha():
-            return [piece]
-        if body[-1:] in END and body[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.bpe.split(piece)
-
-    def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(self._cut, new))
-        index = np.array([self.words[w] for ws in found for w in ws], np.int64)
-        self.words.settle()
-        return gather(self.words, index, np.array(list(map(len, found)), np.int64))
+    def __init__(self, bpe: ByteBpe, merge: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
+        self.bpe, self.merge, self.known = bpe, merge or bpe.encode_ranges, Remembered()
+
+    def _merged(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.known.add(*self.merge(raw, starts, ends))
+
+    def _by_words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        begins, stops, counts = self._words(raw, starts, ends)
+        words = self._entries(raw, begins, stops, self._merged)
+        first = np.cumsum(counts) - counts
+        out, many = words[first], np.flatnonzero(counts > 1)
+        theirs = words[ranges(first[many], counts[many])]
+        out[many] = self.known.add(self.known.gather(theirs), sums(self.known.length[theirs].astype(np.int64), counts[many]))
+        return out
+
+    def _words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces' words by the vocabulary's pattern, as ranges, and how many each piece has.
+
+        Letters of ASCII and Latin-1, alone or with one of END behind them, are cut by numpy, other pieces by the pattern.
+        """
+        letter = _LETTER[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        lead = lead[_AFTER_C3[raw[lead + 1]]]
+        letter[lead] = letter[lead + 1] = True
+        other = np.r_[0, np.cumsum(~letter, dtype=np.int32)]
+        body = starts + (raw[starts] == 0x20)
+        stop = ends - (_END[raw[ends - 1]] & (ends - 1 > body))
+        plain = (stop > body) & (other[stop] == other[body])
+        counts, rest = np.where(stop < ends, 2, 1), np.flatnonzero(~plain)
+        view, split = memoryview(raw), self.bpe.split
+        found = [split(str(view[a:b], "utf-8")) for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        counts[rest] = list(map(len, found))
+        first = np.cumsum(counts) - counts
+        stops = np.zeros(counts.sum(), np.int64)
+        stops[first[plain]], stops[(first + counts - 1)[plain]] = stop[plain], ends[plain]
+        size = np.array([len(w.encode()) for ws in found for w in ws], np.int64)
+        so_far = np.cumsum(size)
+        before = np.cumsum(ends[rest] - starts[rest]) - (ends[rest] - starts[rest])
+        stops[ranges(first[rest], counts[rest])] = so_far + np.repeat(starts[rest] - before, counts[rest])
+        begins = np.r_[0, stops[:-1]]
+        begins[first] = starts
+        return begins, stops, counts
+
+    def _entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, resolve: Callable[..., np.ndarray]) -> np.ndarray:
+        """Pool entries of the pieces in the ranges; the unknown ones go through resolve, each different short one once."""
+        short = ends - starts <= SHORT
+        hashes = range_hashes(raw, starts, ends)
+        entries, hit = self.known.find(hashes)
+        entries, hit = entries.astype(np.int64), hit & short
+        new, long = np.flatnonzero(short & ~hit), np.flatnonzero(~short)
+        if not len(new) and not len(long):
+            return entries
+        different, first, place = np.unique(hashes[new], return_index=True, return_inverse=True)
+        wanted = np.r_[new[first], long]
+        order = np.argsort(wanted)
+        made = np.zeros(len(wanted), np.int64)
+        made[order] = resolve(raw, starts[wanted[order]], ends[wanted[order]])
+        self.known.name(different, made[: len(different)])
+        entries[new], entries[long] = made[place], made[len(different) :]
+        return entries
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts one after the other, and how many each text has."""
-        self.pieces.forget()
-        self.words.forget()
         cut, added = self.bpe.cut, self.bpe.added
-        parts: list[int] = []
-        counts, special = [], []
+        parts, counts, special = [], [], []
         for text in texts:
             before = len(parts)
             if cut is None or not any(a in text for a in added):
-                parts.extend(map(self.pieces.__getitem__, pieces_of(text)))
+                parts.append(text.encode())
             else:
-                for k, x in enumerate(x for x in cut.split(text) if x is not None):
+                for x in (x for x in cut.split(text) if x):
                     if x in added:
                         special.append((len(parts), added[x]))
-                        parts.append(-1)
-                    elif x:
-                        parts.extend(map(self.pieces.__getitem__, pieces_of(x)))
+                    parts.append(b"" if x in added else x.encode())
             counts.append(len(parts) - before)
-        self.pieces.settle()
-        index, counts = np.array(parts, np.int64), np.array(counts, np.int64)
-        if not special:
-            return gather(self.pieces, index, counts)
-        length = np.where(index >= 0, self.pieces.length[index] if len(self.pieces) else 0, 1)
-        ids = np.zeros(length.sum(), np.int64)
-        at = np.cumsum(length) - length
-        plain = index >= 0
-        ids[ranges(at[plain], length[plain])] = self.pieces.ids[ranges(self.pieces.at[index[plain]], length[plain])]
-        for part, i in special:
-            ids[at[part]] = i
-        return ids, sums(length, counts)
+        at = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        starts, ends, pieces = piece_ranges(raw, at)
+        flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i, j in runs(starts, ends, BATCH_BYTES):
+            if self.known.full:
+                self.known.forget()
+            base = starts[i]
+            entries = self._entries(raw[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, self._by_words)
+            flat.append(self.known.gather(entries))
+            lengths.append(self.known.length[entries].astype(np.int64))
+        ids, by_part = np.concatenate(flat), sums(np.concatenate(lengths), pieces)
+        if special:
+            where, said = np.array([k for k, _ in special]), np.array([i for _, i in special], ids.dtype)
+            ids = np.insert(ids, (np.cumsum(by_part) - by_part)[where], said)
+            by_part[where] = 1
+        return ids, sums(by_part, np.array(counts, np.int64))
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -241,11 +338,6 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def gather(pool: Pieces, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    length = pool.length[index]
-    return pool.ids[ranges(pool.at[index], length)], sums(length, counts)
-
-
 @functools.cache
 def encoder(path: str) -> Encoder:
     """The encoder that all tasks of a Python worker share, so that its words stay known from task to task."""

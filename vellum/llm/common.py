@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A word is a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Tables of at most this many rows, a few machine words each, are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables of at most so many rows and bytes are broadcast; larger ones are joined by shuffle, each key over SALTS partitions.
+BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 1_000_000, 32 << 20, 16
 
 #: Text that a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
@@ -24,7 +26,8 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where the session names none (tests, one machine), a fresh local folder is set.
+    Where the session names none, a fresh local folder is set on one machine (tests); on a cluster that is an error, as
+    executors would write to disks of their own.
     """
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
@@ -32,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -58,21 +63,45 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_join(left: DataFrame, small: DataFrame, on: str, salts: int = 16) -> DataFrame:
-    """Left join with a table that has one row for each key and is usually small.
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with as many underscores behind it as make it none of the frames' columns."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Broadcast up to BROADCAST_ROWS rows (counted first); beyond, a shuffle join in which each key is
-    spread over `salts` partitions, so that a key with a third of all rows doesn't land in one task.
-    Null keys match null keys.
+
+def fits(df: DataFrame) -> bool:
+    """Whether a table may be broadcast: BROADCAST_ROWS rows and BROADCAST_BYTES at most; an element of an array counts 16 bytes."""
+
+    def size_of(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(f"`{f.name}`")
+        return F.size(f"`{f.name}`") * 16 if isinstance(f.dataType, (T.ArrayType, T.MapType)) else F.lit(16)
+
+    rows, size = df.agg(F.count("*"), F.sum(sum((F.coalesce(size_of(f), F.lit(0)) for f in df.schema.fields), F.lit(0)))).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
+def small_join(left: DataFrame, small: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """Join with a table that has one row for each key and is usually small; how: left, inner, left_semi or left_anti.
+
+    Broadcast where its rows and bytes are few (counted first); beyond, a shuffle join in which each key is spread over
+    SALTS partitions, so that a key with a third of all rows doesn't land in one task. Null keys match null keys.
+    Columns of `left` come first, whatever their names; the others must have names of their own.
     """
-    if small.count() <= BROADCAST_ROWS:
-        right = small.withColumnRenamed(on, "_on")
-        return left.join(F.broadcast(right), left[on].eqNullSafe(right["_on"]), "left").drop("_on")
-    salted = small.withColumnRenamed(on, "_on").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    other = [c for c in left.columns if c != on] or [on]
-    spread = left.withColumn("_at", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in other if not isinstance(left.schema[c].dataType, T.MapType)]), F.lit(salts)).cast("int"))
-    hit = spread[on].eqNullSafe(salted["_on"]) & (spread["_at"] == salted["_salt"])
-    return spread.join(salted, hit, "left").drop("_on", "_salt", "_at")
+    keys = [on] if isinstance(on, str) else on
+    names = {k: fresh(f"_{k}", left, small) for k in keys}
+    right = small.withColumnsRenamed(names)
+    hit = [left[f"`{k}`"].eqNullSafe(right[f"`{n}`"]) for k, n in names.items()]
+    if fits(small):
+        return left.join(F.broadcast(right), functools.reduce(operator.and_, hit), how).drop(*names.values())
+    salt, at = fresh("_salt", left, right), fresh("_at", left, right)
+    others = [f"`{f.name}`" for f in left.schema.fields if f.name not in keys and not isinstance(f.dataType, T.MapType)]
+    spread = left.withColumn(at, F.pmod(F.xxhash64(*(others or [f"`{k}`" for k in keys])), F.lit(SALTS)).cast("int"))
+    salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = [spread[f"`{k}`"].eqNullSafe(salted[f"`{n}`"]) for k, n in names.items()]
+    return spread.join(salted, functools.reduce(operator.and_, [*hit, spread[at] == salted[salt]]), how).drop(*names.values(), salt, at)
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType) -> DataFrame:

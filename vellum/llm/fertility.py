@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellum.llm.bpe import Pieces, ranges, sums, vocabulary_path
+from vellum.llm.bpe import ranges, sums, vocabulary_path
 from vellum.llm.common import map_arrow, record, texts_of
 
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\r\v\f"
@@ -27,6 +28,9 @@ BANDS = {
 }
 BASE_WORDS, BASE_REPEATED = 50, 50
 
+#: Words that a worker remembers before it starts afresh.
+REMEMBERED = 300_000
+
 SCORED = T.StructType(
     [T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]]
     + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("band", T.StringType())]
@@ -34,6 +38,36 @@ SCORED = T.StructType(
 )
 
 
+class Pieces(dict):
+    """Ids of text pieces, remembered: piece -> index into a pool of ids.
+
+    resolve gets new pieces and gives their ids, flat, and how many each has.
+    """
+
+    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        super().__init__()
+        self.resolve, self.new = resolve, []
+        self.ids, self.length, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+    def settle(self) -> None:
+        if self.new:
+            ids, length = self.resolve(self.new)
+            self.ids = np.concatenate([self.ids, ids])
+            self.length = np.concatenate([self.length, length])
+            self.at = np.cumsum(self.length) - self.length
+            self.new = []
+
+    def forget(self, most: int = REMEMBERED) -> None:
+        if len(self) > most:
+            self.clear()
+            self.__init__(self.resolve)
+
+
 def repeated_words(words: np.ndarray) -> int:
     """Words in windows of three that occur twice or more; words: numbers below 2**21, equal for equal words."""
     if len(words) < 4:

@@ -15,15 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import BROADCAST_ROWS, Scratch, map_arrow, record, texts_of
+from vellum.llm.common import Scratch, fits, fresh, map_arrow, record, small_join
+from vellum.llm.words import mixed, word_hashes
 
 #: Words of a shingle, and the similarity in percent that links where a caller names no other.
 WORDS, PERCENT = 5, 85
 SIDE, WIDTH = 10, 3
-#: All pairs of a bucket of up to so many different sets are verified; larger buckets go by so many pivots, then by a join on prefixes.
+#: All pairs of a bucket of up to so many different sets are verified; larger ones go by so many pivots, then by a join on prefixes.
 SMALL, PIVOTS = 32, 2
-#: Words that a worker remembers the hashes of.
-REMEMBERED = 500_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
@@ -31,29 +30,6 @@ _A = _random.integers(0, 1 << 64, 2 * SIDE * WIDTH, np.uint64) | np.uint64(1)
 _B = _random.integers(0, 1 << 64, 2 * SIDE * WIDTH, np.uint64)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, text: str) -> np.ndarray:
-        """Hashes of the text's words, A-Z in lower case."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        # bytes.lower and bytes.split know ASCII alone, which is what the words are defined by
-        return np.array(list(map(self.__getitem__, text.encode().lower().split())), np.uint64)
-
-
-#: Shared by the tasks of a Python worker.
-HASHES = WordHashes()
-
-
 def shingle_set(words: np.ndarray) -> np.ndarray:
     """Sorted hashes of the distinct runs of WORDS words; of fewer words one for all of them; none of none."""
     n = len(words)
@@ -66,6 +42,12 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(h)
 
 
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The shingle set of each text; a null or empty text has none."""
+    words, counts = word_hashes(texts)
+    return [shingle_set(w) for w in np.split(words, np.cumsum(counts)[:-1])] if len(counts) else []
+
+
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
@@ -73,10 +55,8 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_shingles, sig, keys) of docs: the text's hash, its set's size and 128-bit hash, and the 2 * SIDE keys."""
 
     def make():
-        hashes = HASHES
-
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(hashes.of(t)) for t in texts_of(batch)]
+            sets = shingle_sets(batch.column("text"))
             size = np.array([len(s) for s in sets], np.int64)
             full, keys = np.flatnonzero(size), []
             if len(full):
@@ -106,10 +86,9 @@ def full_sets(texts: DataFrame) -> DataFrame:
     """(text, sig) to (sig, members), the set's sorted hashes, where the text has that set."""
 
     def make():
-        hashes = HASHES
-
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [(sig, s) for t, sig in zip(texts_of(batch), batch.column("sig").to_pylist(), strict=True) if xxhash.xxh3_128_digest((s := shingle_set(hashes.of(t))).tobytes()) == sig]
+            sets = zip(batch.column("sig").to_pylist(), shingle_sets(batch.column("text")), strict=True)
+            found = [(sig, s) for sig, s in sets if xxhash.xxh3_128_digest(s.tobytes()) == sig]
             return record(SETS, sig=[sig for sig, _ in found], members=pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64())))
 
         return f
@@ -123,20 +102,18 @@ class Linker:
     def __init__(self, docs: DataFrame, scratch: Scratch, percent: int = PERCENT):
         self.docs, self.scratch, self.percent, self.tested = docs, scratch, percent, []
 
-    def small(self, df: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
     def buckets(self, nodes: DataFrame) -> DataFrame:
-        """(bucket, sig) for the table keys that a set may share with another.
+        """(bucket, sig, left) for the table keys that a set may share with another; left: the key of the first collection.
 
         A set's own keys are counted first: only keys that two sets have are paired, so that a set without
         near copies leaves after its 2 * SIDE keys and never makes SIDE * SIDE table keys.
         """
         keys = nodes.select("sig", F.posexplode("keys").alias("place", "key"))
         shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        mine = keys.join(shared, "key").groupBy("sig").agg(*[F.collect_list(F.when(F.col("place") < SIDE if left else F.col("place") >= SIDE, F.col("key"))).alias(n) for n, left in (("a", True), ("b", False))])
-        mine = mine.where((F.size("a") > 0) & (F.size("b") > 0)).withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
-        return self.scratch.table(mine.select(F.xxhash64("a", "b").alias("bucket"), "sig"), "buckets")
+        sides = [F.collect_list(F.when((F.col("place") < SIDE) == left, F.col("key"))).alias(n) for n, left in (("a", True), ("b", False))]
+        mine = keys.join(shared, "key").groupBy("sig").agg(*sides).where((F.size("a") > 0) & (F.size("b") > 0))
+        mine = mine.withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
+        return self.scratch.table(mine.select(F.xxhash64("a", "b").alias("bucket"), "sig", F.col("a").alias("left")), "buckets")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (x, y) of different sets whose similarity on full sets is `percent` or more; a pair is tested once."""
@@ -144,28 +121,30 @@ class Linker:
             pairs = pairs.join(before, ["x", "y"], "left_anti")
         pairs = self.scratch.table(pairs, f"{name}-pairs")
         self.tested.append(pairs)
-        sets = self.sets.withColumn("n", F.size("members"))
-        sizes = self.small(self.sizes, self.n_sets)
-        close = pairs.join(sizes.select(F.col("sig").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("sig").alias("y"), F.col("n").alias("ny")), "y")
-        close = close.where((100 * F.col("nx") >= self.percent * F.col("ny")) & (100 * F.col("ny") >= self.percent * F.col("nx"))).select("x", "y")
-        both = close.join(sets.select(F.col("sig").alias("x"), F.col("members").alias("mx")), "x").join(sets.select(F.col("sig").alias("y"), F.col("members").alias("my")), "y")
-        common = F.size(F.array_intersect("mx", "my"))
-        both = both.withColumn("common", common).withColumn("either", F.size("mx") + F.size("my") - F.col("common"))
-        return self.scratch.table(both.where(100 * F.col("common") >= self.percent * F.col("either")).select("x", "y"), f"{name}-links")
-
-    def components(self, links: list[DataFrame], name: str) -> DataFrame:
-        """(sig, label): the least sig that the links reach, for sets with links. Labels jump to their labels' labels in each round."""
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
+        size = [self.sizes.select(F.col("sig").alias(side), F.col("n").alias(f"n{side}")) for side in ("x", "y")]
+        close = small_join(small_join(pairs, size[0], "x", "inner"), size[1], "y", "inner")
+        low, high = F.least("nx", "ny"), F.greatest("nx", "ny")
+        close = close.where(100 * low >= self.percent * high).select("x", "y")
+        full = [self.sets.select(F.col("sig").alias(side), F.col("members").alias(f"m{side}")) for side in ("x", "y")]
+        both = close.join(full[0], "x").join(full[1], "y").withColumn("common", F.size(F.array_intersect("mx", "my")))
+        either = F.size("mx") + F.size("my") - F.col("common")
+        return self.scratch.table(both.where(100 * F.col("common") >= self.percent * either).select("x", "y"), f"{name}-links")
+
+    def components(self, edges: DataFrame, name: str) -> DataFrame:
+        """(sig, label): the least sig that the edges (x, y) reach. Labels jump to their labels' labels in each round."""
         edges = self.scratch.table(edges.union(edges.select("y", "x")).distinct(), f"{name}-edges")
-        labels = self.scratch.table(edges.groupBy(F.col("x").alias("sig")).agg(F.least(F.min("y"), F.col("sig")).alias("label")), f"{name}-0")
-        rows, k = labels.count(), 0
+        first = edges.groupBy(F.col("x").alias("sig")).agg(F.least(F.min("y"), F.col("sig")).alias("label"))
+        labels, k = self.scratch.table(first, f"{name}-0"), 0
+        small = fits(labels)
+
+        def side(df: DataFrame) -> DataFrame:
+            return F.broadcast(df) if small else df
+
         while True:
             k += 1
-            there = self.small(labels, rows)
+            there = side(labels)
             near = edges.join(there.select(F.col("sig").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
-            low = labels.join(self.small(near.withColumnRenamed("x", "sig"), rows), "sig").withColumn("low", F.least("label", "near"))
+            low = labels.join(side(near.withColumnRenamed("x", "sig")), "sig").withColumn("low", F.least("label", "near"))
             jump = there.select(F.col("sig").alias("low"), F.col("label").alias("further"))
             new = low.join(jump, "low").select("sig", F.least("low", "further").alias("label"), F.col("label").alias("old"))
             new = self.scratch.table(new, f"{name}-{k}")
@@ -176,46 +155,60 @@ class Linker:
             if not changed:
                 return labels
 
-    def labelled(self, large: DataFrame, links: list[DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-        """(bucket, sig, label) of the large buckets' sets, and the labels of all sets with links."""
-        labels = self.components(links, f"labels-{name}")
-        here = large.join(self.small(labels, self.n_sets), "sig", "left").select("bucket", "sig", F.coalesce("label", "sig").alias("label"))
-        return self.scratch.table(here, f"here-{name}"), labels
-
-    def in_large_buckets(self, large: DataFrame, links: list[DataFrame]) -> DataFrame:
-        """Links within the large buckets, complete; returns the labels.
-
-        First, PIVOTS times, one set of each bucket is verified against all the others, the one that is in most
-        buckets, as what the copies were made from is: a group of near copies mostly becomes one component, and two
-        sets of one component need no more. The sets of buckets that still hold several
-        components go through an exact join (`prefix_pairs`).
+    def merged(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """The labels after more links: components of the labels that the links join, of which there are few, carried to the sets."""
+        for side in ("x", "y"):
+            own = labels.select(F.col("sig").alias(side), F.col("label").alias(f"l{side}"))
+            links = small_join(links, own, side).withColumn(side, F.coalesce(f"l{side}", side)).drop(f"l{side}")
+        joins = self.scratch.table(links.where("x <> y").distinct(), f"{name}-joins")
+        if joins.isEmpty():
+            return labels
+        root = self.components(joins, name).select(F.col("sig").alias("label"), F.col("label").alias("root"))
+        known = labels.select("label").distinct()
+        more = small_join(root.select("label"), known, "label", "left_anti").select(F.col("label").alias("sig"), "label")
+        out = small_join(labels.unionByName(more), root, "label").select("sig", F.coalesce("root", "label").alias("label"))
+        return self.scratch.table(out, f"{name}-labels")
+
+    def in_large_buckets(self, large: DataFrame, labels: DataFrame) -> DataFrame:
+        """The labels after all links within the large buckets (bucket, sig, left).
+
+        A set has one row here, with the keys of the first collection that its large buckets have (SIDE at most): sets
+        that share such a bucket share one of those. First, PIVOTS times, one set of each key is verified against all
+        the others, the one that is in most large buckets, as what the copies were made from is: a group of near copies
+        mostly becomes one component, and two sets of one component need no more. The sets of keys that still hold
+        several components go through an exact join (`prefix_pairs`).
         """
-        if large.isEmpty():
-            return self.components(links, "labels-end")
-        degree = self.scratch.table(large.groupBy("sig").agg(F.count("*").alias("degree")), "degree")
-        for k in range(PIVOTS):
-            here, _ = self.labelled(large, links, str(k))
-            best = F.max_by(F.struct("sig", "label"), F.struct("degree", F.xxhash64("sig")))
-            pivot = here.join(self.small(degree, self.n_sets), "sig").groupBy("bucket").agg(best.alias("p")).select("bucket", F.col("p.sig").alias("pivot"), F.col("p.label").alias("theirs"))
+        crowd = large.groupBy("sig").agg(F.collect_set("left").alias("keys"), F.count("*").alias("degree"))
+        crowd = self.scratch.table(crowd, "crowd")
+        if crowd.isEmpty():
+            return labels
+        for k in range(PIVOTS + 1):
+            here = small_join(crowd, labels, "sig").withColumn("label", F.coalesce("label", "sig"))
+            here = self.scratch.table(here.select(F.explode("keys").alias("key"), "sig", "label", "degree"), f"here-{k}")
+            if k == PIVOTS:
+                break
+            best = F.max_by(F.struct("sig", "label"), F.struct("degree", F.xxhash64("sig"))).alias("p")
+            pivot = here.groupBy("key").agg(best).select("key", F.col("p.sig").alias("pivot"), F.col("p.label").alias("theirs"))
             pivot = self.scratch.table(pivot, f"pivot-{k}")
-            pairs = here.join(pivot, "bucket").where("label <> theirs").select(F.least("sig", "pivot").alias("x"), F.greatest("sig", "pivot").alias("y")).distinct()
-            links.append(self.verify(pairs, f"pivots-{k}"))
-            used = pivot.select(F.col("pivot").alias("sig")).distinct()
-            degree = self.scratch.table(degree.join(self.small(used, self.n_sets), "sig", "left_anti").unionByName(used.withColumn("degree", F.lit(0).cast("long"))), f"degree-{k}")
-        here, labels = self.labelled(large, links, "rest")
-        several = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        rest = self.scratch.table(here.join(several, "bucket").select("sig", "label").distinct(), "apart")
+            pairs = small_join(here, pivot, "key", "inner").where("label <> theirs")
+            pairs = pairs.select(F.least("sig", "pivot").alias("x"), F.greatest("sig", "pivot").alias("y")).distinct()
+            labels = self.merged(labels, self.verify(pairs, f"pivots-{k}"), f"labels-{k}")
+            used = pivot.select(F.col("pivot").alias("sig"), F.lit(0).cast("long").alias("spent")).distinct()
+            crowd = small_join(crowd, used, "sig").withColumn("degree", F.coalesce("spent", "degree")).drop("spent")
+            crowd = self.scratch.table(crowd, f"crowd-{k}")
+        several = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        rest = small_join(here, several.select("key"), "key", "left_semi").select("sig", "label").distinct()
+        rest = self.scratch.table(rest, "apart")
         if rest.isEmpty():
             return labels
-        links.append(self.verify(self.prefix_pairs(rest), "prefixes"))
-        return self.components(links, "labels-end")
+        return self.merged(labels, self.verify(self.prefix_pairs(rest), "prefixes"), "labels-end")
 
     def prefix_pairs(self, rest: DataFrame) -> DataFrame:
         """(x, y) for all sets of rest (sig, label) of different labels that can be linked.
 
         With the shingles of each set in one order, the rarest first, two sets of similarity s share one of the first
-        n - ceil(s * n) + 1 of each, and behind the first one that they share enough must be left. What a copy adds of its own is rarest, so the passages that many share are seldom
-        among them. Within a shingle the sets of the most frequent label meet only those of others.
+        n - ceil(s * n) + 1 of each, and behind the first one that they share enough must be left. What a copy adds of
+        its own is rarest, so the passages that many share are seldom among them. Within a shingle the sets of the most frequent label meet only those of others.
         """
         table = self.scratch.table
         members = rest.join(self.sets, "sig").select("sig", "label", F.size("members").alias("n"), F.explode("members").alias("shingle"))
@@ -240,29 +233,34 @@ class Linker:
         """(doc_id, h, n_shingles, sig, component_id) for each row of docs."""
         table = self.scratch.table
         marks = table(sketch(self.docs), "sketch")
-        nodes = table(marks.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.min("n_shingles").alias("n")), "nodes")
+        one = F.min(F.struct("h", "doc_id")).alias("one")
+        nodes = marks.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep"), one, F.first("keys").alias("keys"), F.min("n_shingles").alias("n"), F.count("*").alias("rows"))
+        nodes = table(nodes, "nodes")
         buckets = self.buckets(nodes)
-        count = table(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sig").alias("x"), F.max("sig").alias("y")).where("n > 1"), "bucket-sizes")
+        count = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sig").alias("x"), F.max("sig").alias("y"))
+        count = table(count.where("n > 1"), "bucket-sizes")
         members = table(buckets.join(count.where("n > 2").select("bucket", "n"), "bucket"), "members")
         listed = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
-        couples = listed.select(F.posexplode("sigs").alias("at", "x"), "sigs").select("x", F.explode(F.slice("sigs", F.col("at") + 2, F.size("sigs"))).alias("y"))
+        couples = listed.select(F.posexplode("sigs").alias("at", "x"), "sigs")
+        couples = couples.select("x", F.explode(F.slice("sigs", F.col("at") + 2, F.size("sigs"))).alias("y"))
         pairs = table(count.where("n = 2").select("x", "y").unionByName(couples).distinct(), "couples")
-        large = members.where(F.col("n") > SMALL).select("bucket", "sig")
+        large = members.where(F.col("n") > SMALL).select("bucket", "sig", "left")
         wanted = table(pairs.select(F.explode(F.array("x", "y")).alias("sig")).union(large.select("sig")).distinct(), "wanted")
-        self.n_sets = wanted.count()
-        self.sizes = table(nodes.select("sig", "n").join(self.small(wanted, self.n_sets), "sig"), "sizes")
-        reps = nodes.select("sig", F.col("rep").alias("_rep")).join(self.small(wanted, self.n_sets), "sig")
-        texts = self.docs.select("doc_id", "text").join(self.small(reps, self.n_sets), F.col("doc_id").eqNullSafe(F.col("_rep")))
+        chosen = table(small_join(nodes.select("sig", "n", "one"), wanted, "sig", "left_semi"), "chosen")
+        self.sizes = chosen.select("sig", "n")
+        # one row's text for each set, named by its hash and its doc_id
+        sources = chosen.select("sig", F.col("one.h").alias("h"), F.col("one.doc_id").alias("doc_id"))
+        texts = small_join(self.docs.select("doc_id", "text", F.xxhash64("text").alias("h")), sources, ["h", "doc_id"], "inner")
         self.sets = table(full_sets(texts).dropDuplicates(["sig"]), "sets")
-        links = [self.verify(pairs, "couples")]
-        labels = self.in_large_buckets(large, links)
-        group = table(nodes.select("sig", "rep").join(self.small(labels, self.n_sets), "sig").select("sig", "rep", "label"), "group")
+        labels = self.in_large_buckets(large, self.components(self.verify(pairs, "couples"), "labels-couples"))
+        group = table(small_join(nodes.select("sig", "rep"), labels, "sig", "inner"), "group")
         least = group.groupBy("label").agg(F.min("rep").alias("component_id"))
-        moved = table(group.join(self.small(least, self.n_sets), "label").select("sig", "component_id"), "moved")
-        alone = nodes.select("sig", "rep").join(self.small(moved.select("sig"), self.n_sets), "sig", "left_anti")
-        every = table(moved.unionByName(alone.withColumnRenamed("rep", "component_id")), "every")
-        empty = marks.where(F.col("sig").isNull()).withColumn("component_id", F.col("doc_id"))
-        return marks.where(F.col("sig").isNotNull()).join(every, "sig").select("doc_id", "h", "n_shingles", "sig", "component_id").unionByName(empty.select("doc_id", "h", "n_shingles", "sig", "component_id"))
+        linked = table(small_join(group, least, "label", "inner").select("sig", "component_id"), "linked")
+        # a set that one row has and nothing links to keeps that row's doc_id; the others are joined
+        copied = small_join(nodes.where("rows > 1").select("sig", "rep"), linked, "sig", "left_anti")
+        named = table(linked.unionByName(copied.withColumnRenamed("rep", "component_id")).withColumn("named", F.lit(True)), "named")
+        found = small_join(marks.drop("keys"), named, "sig")
+        return found.withColumn("component_id", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("named")
 
 
 def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
@@ -279,21 +277,24 @@ def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
 
 
 def dedup(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, all its columns as they were; rows without words all stay."""
+    """docs with one row of each component, all its columns as they were; rows without words all stay.
+
+    The row of the component's least doc_id stays; of several with that doc_id, one of the least text hash. Cases as in
+    `components`; columns of docs may have any names.
+    """
+    text_hash = fresh("_hash", docs)
     found = scratch.table(components(docs, scratch, percent), "found")
-    key = [F.col("doc_id").alias("_id"), F.col("h").alias("_h")]
-    dropped = scratch.table(found.where(~F.col("kept")).select(*key).distinct(), "dropped")
-    # a doc_id that stands in a component more than once: the row of the least hash stays
-    twice = found.where(F.col("kept") & F.col("sig").isNotNull()).groupBy("component_id").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1")
-    twice = scratch.table(twice, "twice")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    n = dropped.count()
-    rest = rows.join(F.broadcast(dropped) if n <= BROADCAST_ROWS else dropped, same, "left_anti")
+    dropped = found.where(~F.col("kept")).select("doc_id", F.col("h").alias(text_hash)).distinct()
+    rest = small_join(docs.withColumn(text_hash, F.xxhash64("text")), scratch.table(dropped, "dropped"), ["doc_id", text_hash], "left_anti")
+    # a doc_id that stands in its component more than once
+    twice = found.where(F.col("kept") & F.col("sig").isNotNull()).groupBy("component_id").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    least = fresh("_least", docs)
+    twice = scratch.table(twice.where("n > 1").select(F.col("component_id").alias("doc_id"), F.col("least").alias(least)), "twice")
     if twice.isEmpty():
-        return rest.drop("_hash")
-    again = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    repeated = rest["doc_id"].eqNullSafe(again["component_id"])
-    once = rest.join(again, repeated).where(F.col("_hash") == F.col("first")).dropDuplicates(["doc_id"]).select(*rest.columns)
-    bare = rest.join(again, repeated, "left_semi").where(F.coalesce(F.trim(F.col("text")), F.lit("")) == "")
-    return rest.join(again, repeated, "left_anti").unionByName(once).unionByName(bare).drop("_hash")
+        return rest.drop(text_hash)
+    # rows without words have no component
+    with_words = F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) != ""
+    again = small_join(rest.where(with_words), twice, "doc_id", "inner").where(F.col(text_hash) == F.col(least))
+    once = again.dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in rest.columns])
+    others = small_join(rest.where(with_words), twice, "doc_id", "left_anti")
+    return others.unionByName(once).unionByName(rest.where(~with_words)).drop(text_hash)
