@@ -314,8 +314,9 @@ def test_toxicity_on_held_out_texts(spark, odd, none):
     held = {k: y for k, _, y in rows if zlib.crc32(str(k).encode()) % 3 == 1}
     scored = {s.doc_id: s for s in toxicity.with_score(docs, model).collect()}
     assert sum(scored[k].predicted == y for k, y in held.items()) / len(held) > 0.95
-    got = toxicity.with_score(odd.drop("score"), model)
-    assert got.count() == odd.count() and toxicity.with_score(none.drop("score"), model).count() == 0
+    got = toxicity.with_score(odd, model)
+    assert got.columns == [*[c for c in odd.columns if c != "score"], "score", "predicted"]
+    assert got.count() == odd.count() and toxicity.with_score(none, model).count() == 0
     assert toxicity.fit(docs, labels.limit(0)) is None and toxicity.with_score(docs, None).where("predicted = 1").count() == 0
 
 
@@ -342,3 +343,65 @@ def test_pipeline(spark):
     assert {r.doc_id for r in stages["near_dedup"].collect()} == {k for k, (n, root) in alone.items() if k == root}
     assert sorted(r.doc_id for r in stages["mixing"].collect()) == sorted(r.doc_id for r in stages["bpe"].collect())
     assert json.dumps([n for n, _ in p.STAGES]) == json.dumps(["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"])
+
+
+CLASHES = "source_size target copies copy shard slot block tie size_class bucket extra score predicted _split _kept _lines _dropped _boilerplate _hash _least _on _salt _at _source _doc_id h sig label n"
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_names_that_clash(spark, odd, monkeypatch, rows):
+    """All operators that keep columns, broadcasting and, the second time, with shuffle joins alone."""
+    from vellum.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    names = [c for c in CLASHES.split() if c not in odd.columns]
+    wide = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    mixed = mixing.mix(wide.withColumn("size", mixing.words()))
+    assert mixed.count() == odd.count() and mixing.repeat(mixed).where("copy = 3").count() == mixing.repeat(mixed).count()
+    rest = neardup.dedup(wide, Scratch(spark, "t"))
+    assert rest.columns == wide.columns and rest.count() == neardup.dedup(odd, Scratch(spark, "t")).count()
+    assert linededup.drop_lines(wide, "source").count() == odd.count()
+    sized = wide.withColumn("size", F.lit(5).cast("long")).withColumn("old_shard", F.lit(0).cast("int"))
+    placed = reshard.reshard(sized, 2, 1, Scratch(spark, "t")).collect()
+    assert sorted(r.slot for r in placed if r.shard == 0) == list(range(sum(r.shard == 0 for r in placed)))
+    assert all(r.tie == names.index("tie") and r.block == names.index("block") for r in placed)
+
+
+def test_many_null_ids(spark):
+    """300 rows without an id: their sets are made once each, and none is lost."""
+    rows = [(None, f"a b c d e f g h {k % 100}") for k in range(300)] + [(1, "a b c d e f g h 5"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.components(df, Scratch(spark, "t")).collect()
+    assert len(got) == 302 and sum(r.component_id == 1 for r in got) == 4
+    assert neardup.dedup(df, Scratch(spark, "t")).count() == 101
+
+
+def test_pieces_of_spaced_texts():
+    """Source code, aligned columns, white space of all kinds: equal to the library, within a fixed memory."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    library, ours = Tokenizer.from_file(path), bpe.Encoder(bpe.ByteBpe(path))
+    r = random.Random(3)
+    white = [" ", "  ", "\n", "\n \n", "\t", " \n", "\u00a0", "\u3000", "\u2009 ", "\r\n", "        "]
+    texts = ["".join(r.choice(white) + r.choice(["x", "if", "'s", "12", "\u00e9t\u00e9", "\u4e2d", "=", "foo.bar", "w" * 70]) for _ in range(r.randrange(1, 30))) + r.choice(["", *white]) for _ in range(4000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        ids, counts = ours.encode(part)
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    for k in range(40):
+        ours.encode(["\n".join(" " * r.randrange(40) + f"v{r.randrange(10**9)} = {r.random()}" for _ in range(5000)) for _ in range(2)])
+        known = ours.known
+        assert known.used <= bpe.POOL + 2 * bpe.BATCH_BYTES and sum(x.nbytes for x in (known.hash, known.entry, known.ids, known.at, known.length)) < 200 << 20
+
+
+def test_word_hashes_know_bytes_alone():
+    import pyarrow as pa
+
+    from vellum.llm import words
+
+    texts = ["The cat", None, "", " the  CAT\n", "x" * 600_000, "y " + "x" * 600_000, "a\u00a0b", "a b"]
+    hashes, counts = words.word_hashes(pa.array(texts))
+    assert counts.tolist() == [2, 0, 0, 2, 1, 2, 1, 2]
+    assert hashes[:2].tolist() == hashes[2:4].tolist() and hashes[4] == hashes[6] and len(set(hashes.tolist())) == 7

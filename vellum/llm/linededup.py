@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_join
+from vellum.llm.common import fresh, small_join
 
-#: A line goes if it stands in more than RATIO of its site's pages, and in LEAST pages at least.
+#: A line goes if it stands in more than RATIO of its site's pages, and in LEAST pages at least: on a site of fewer than
+#: 1 / RATIO pages each line of a single page exceeds the ratio, and nothing would be left.
 RATIO, LEAST = 0.02, 4
 
 
@@ -27,8 +28,8 @@ def boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float =
     """One row (site, lines) for each site with boilerplate: the keys of the lines that it drops.
 
     Each page counts a line once, and each text of a site counts as one page however many copies of it there are, so
-    that copies don't turn their own content into boilerplate; with every_copy each row is a page. A site with P pages and L distinct lines a page has L / ratio such lines at most,
-    whatever P is, so that the array is bounded.
+    that copies don't turn their own content into boilerplate; with every_copy each row is a page. A site with P pages
+    and L distinct lines a page has L / ratio such lines at most, whatever P is, so that the array is bounded.
     """
     if not every_copy:
         pages = one_of_each(pages, site, text)
@@ -45,16 +46,20 @@ def drop_lines(pages: DataFrame, site: str, text: str = "text", ratio: float = R
     """pages with the text freed of its site's boilerplate lines, `_lines` before and `_dropped` lines.
 
     All rows stay. A null site is a site; a null or empty text stays as it is and its page counts; blank lines are
-    never dropped; two equal lines of one page go or stay together. Repeated texts of a site count as one page, or with every_copy
-    as pages of their own, which is the rule of LINES_SQL.
+    never dropped; two equal lines of one page go or stay together. Repeated texts of a site count as one page, or with
+    every_copy as pages of their own, which is the rule of LINES_SQL. Columns named _lines or _dropped are replaced; an
+    empty table stays empty. The site may be any column: `source` in documents, which have no url, the host of the url in
+    pages.
     """
-    found = boilerplate(pages, site, text, ratio, least, every_copy).withColumnRenamed("site", site)
-    joined = small_join(pages, found.withColumnRenamed("lines", "_boilerplate"), site)
-    split = joined.withColumn("_split", F.split(F.col(text), "\n"))
-    kept = F.filter("_split", lambda x: ~F.array_contains(F.col("_boilerplate"), line_key(x)))
-    out = split.withColumn("_kept", F.when(F.col("_boilerplate").isNull(), F.col("_split")).otherwise(kept))
-    out = out.withColumn("_lines", F.coalesce(F.size("_split"), F.lit(0))).withColumn("_dropped", F.coalesce(F.size("_split") - F.size("_kept"), F.lit(0)))
-    return out.withColumn(text, F.when(F.col("_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_boilerplate", "_split", "_kept")
+    pages = pages.drop("_lines", "_dropped")
+    bad, split, left = fresh("_boilerplate", pages), fresh("_split", pages), fresh("_kept", pages)
+    found = boilerplate(pages, site, text, ratio, least, every_copy).select(F.col("site").alias(site), F.col("lines").alias(bad))
+    out = small_join(pages, found, site).withColumn(split, F.split(F.col(text), "\n"))
+    kept = F.filter(split, lambda x: ~F.array_contains(F.col(bad), line_key(x)))
+    out = out.withColumn(left, F.when(F.col(bad).isNull(), F.col(split)).otherwise(kept))
+    out = out.withColumn("_lines", F.coalesce(F.size(split), F.lit(0)))
+    out = out.withColumn("_dropped", F.coalesce(F.size(split) - F.size(left), F.lit(0)))
+    return out.withColumn(text, F.when(F.col("_dropped") > 0, F.array_join(left, "\n")).otherwise(F.col(text))).drop(bad, split, left)
 
 
 LINES_SQL = f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WORD, small_join
+from vellum.llm.common import WORD, fresh, small_join
 
 #: Weights of the sources in the order of their names, repeating; the mix takes SHARE of all sizes, a source at most MOST times its own.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -28,7 +28,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     ordered = Window.orderBy(F.col("source").isNull(), "source")
     limit = (F.col("source_size") * MOST).cast("double")
     w = sizes.withColumn("place", F.row_number().over(ordered) - 1)
-    w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("double")).withColumn("limit", limit)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    w = w.withColumn("weight", weight.cast("double")).withColumn("limit", limit)
     before = Window.orderBy(F.col("limit") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     w = w.withColumn("rest", F.lit(SHARE) * F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
@@ -51,8 +52,13 @@ def mix(sized: DataFrame, by_source: DataFrame | None = None) -> DataFrame:
     copies = floor(rate), and one more with probability rate - floor(rate), where rate = target / source_size; the
     draw is a hash of doc_id and size, so reruns agree and repeated rows get the same number. A source without
     words has rate 0. Null source: a source of its own, the last one; null doc_id: drawn like another value. An
-    empty table stays empty.
+    empty table stays empty. Columns named source_size, target or copies are replaced.
+
+    The draws are independent, so a source's taken words have a variance of the sum of size**2 * f * (1 - f), f the
+    fraction of the rate: they come within a few hundredths of the target where a source has many documents, and may
+    miss it by more where it has few or one very long one.
     """
+    sized = sized.drop("source_size", "target", "copies")
     by_source = by_source or sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rated = small_join(sized, targets(by_source), "source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -62,7 +68,8 @@ def mix(sized: DataFrame, by_source: DataFrame | None = None) -> DataFrame:
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """Each row as often as its copies say; rows with none go."""
-    return mixed.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy")
+    copy = fresh("copy", mixed)
+    return mixed.where(F.col("copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(copy)
 
 
 MIX_SQL = rf"""

@@ -230,7 +230,7 @@ class Linker:
         return both.select(F.least("sig", "other").alias("x"), F.greatest("sig", "other").alias("y")).distinct()
 
     def run(self) -> DataFrame:
-        """(doc_id, h, n_shingles, sig, component_id) for each row of docs."""
+        """(doc_id, h, n_shingles, sig, component_id, label) for each row of docs; label: the least sig of its component."""
         table = self.scratch.table
         marks = table(sketch(self.docs), "sketch")
         one = F.min(F.struct("h", "doc_id")).alias("one")
@@ -255,12 +255,13 @@ class Linker:
         labels = self.in_large_buckets(large, self.components(self.verify(pairs, "couples"), "labels-couples"))
         group = table(small_join(nodes.select("sig", "rep"), labels, "sig", "inner"), "group")
         least = group.groupBy("label").agg(F.min("rep").alias("component_id"))
-        linked = table(small_join(group, least, "label", "inner").select("sig", "component_id"), "linked")
+        linked = table(small_join(group, least, "label", "inner").select("sig", "component_id", "label"), "linked")
         # a set that one row has and nothing links to keeps that row's doc_id; the others are joined
         copied = small_join(nodes.where("rows > 1").select("sig", "rep"), linked, "sig", "left_anti")
-        named = table(linked.unionByName(copied.withColumnRenamed("rep", "component_id")).withColumn("named", F.lit(True)), "named")
+        named = table(linked.unionByName(copied.select("sig", F.col("rep").alias("component_id"), F.col("sig").alias("label"))).withColumn("named", F.lit(True)), "named")
         found = small_join(marks.drop("keys"), named, "sig")
-        return found.withColumn("component_id", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("named")
+        own = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+        return found.withColumn("component_id", own).withColumn("label", F.coalesce("label", "sig")).drop("named")
 
 
 def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
@@ -284,17 +285,16 @@ def dedup(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFram
     """
     text_hash = fresh("_hash", docs)
     found = scratch.table(components(docs, scratch, percent), "found")
-    dropped = found.where(~F.col("kept")).select("doc_id", F.col("h").alias(text_hash)).distinct()
-    rest = small_join(docs.withColumn(text_hash, F.xxhash64("text")), scratch.table(dropped, "dropped"), ["doc_id", text_hash], "left_anti")
-    # a doc_id that stands in its component more than once
-    twice = found.where(F.col("kept") & F.col("sig").isNotNull()).groupBy("component_id").agg(F.count("*").alias("n"), F.min("h").alias("least"))
-    least = fresh("_least", docs)
-    twice = scratch.table(twice.where("n > 1").select(F.col("component_id").alias("doc_id"), F.col("least").alias(least)), "twice")
-    if twice.isEmpty():
+    # several rows of a component may have its least doc_id, or none has an id
+    kept = found.where(F.col("kept") & F.col("sig").isNotNull())
+    several = kept.groupBy("label").agg(F.count("*").alias("rows"), F.min("h").alias("least")).where("rows > 1")
+    crowd = scratch.table(small_join(kept, scratch.table(several, "several"), "label", "inner"), "crowd-kept")
+    row = [F.col("doc_id"), F.col("h").alias(text_hash)]
+    dropped = found.where(~F.col("kept")).select(*row).union(crowd.where("h <> least").select(*row)).distinct()
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    rest = small_join(hashed, scratch.table(dropped, "dropped"), ["doc_id", text_hash], "left_anti")
+    once = scratch.table(crowd.where("h = least").select(*row).distinct(), "once")
+    if once.isEmpty():
         return rest.drop(text_hash)
-    # rows without words have no component
-    with_words = F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) != ""
-    again = small_join(rest.where(with_words), twice, "doc_id", "inner").where(F.col(text_hash) == F.col(least))
-    once = again.dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in rest.columns])
-    others = small_join(rest.where(with_words), twice, "doc_id", "left_anti")
-    return others.unionByName(once).unionByName(rest.where(~with_words)).drop(text_hash)
+    repeated = small_join(rest, once, ["doc_id", text_hash], "left_semi").dropDuplicates(["doc_id", text_hash])
+    return small_join(rest, once, ["doc_id", text_hash], "left_anti").unionByName(repeated).drop(text_hash)

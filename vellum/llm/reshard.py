@@ -70,14 +70,21 @@ def reshard(rows: DataFrame, capacities: list[int] | int, old_shards: int, scrat
     capacities: bytes that each new shard is to hold, or a number of new shards of equal size. Each old shard is
     laid out in blocks, large documents first, and the flow cuts that line: what stays comes first, so the cuts
     fall among the smallest documents and a shard misses its capacity by a few small documents.
-    Null doc_ids, ties and repeated rows each keep a place of their own; an empty table stays empty. The
-    driver gets one row for each block (ROWS_PER_BLOCK rows and one size class) and each block's part in a shard.
+    Null doc_ids, ties and repeated rows each keep a place of their own; an empty table stays empty; columns named shard
+    or slot are replaced, others kept. The driver gets one row for each block (ROWS_PER_BLOCK rows of one size class of an
+    old shard) and each block's part in a shard.
     """
-    extra = [c for c in rows.columns if c not in ("doc_id", "size", "old_shard")]
-    buckets = max(1, -(-rows.count() // (ROWS_PER_BLOCK * old_shards)))
-    tie = F.xxhash64("doc_id", "size", *extra)
-    laid = rows.withColumn("size_class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int")).withColumn("bucket", F.pmod(tie, F.lit(buckets)).cast("int")).withColumn("tie", tie)
-    blocks = sorted(laid.groupBy(*BLOCK).agg(F.sum("size").alias("bytes")).collect(), key=lambda b: (b.old_shard, -b.size_class, b.bucket))
+    extra = [c for c in rows.columns if c not in ("doc_id", "size", "old_shard", "shard", "slot")]
+    rows = rows.select("doc_id", "size", "old_shard", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in extra]).alias("extra"))
+    tie = F.xxhash64("doc_id", "size", "extra")
+    rows = rows.withColumn("size_class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int")).withColumn("tie", tie)
+    spark = rows.sparkSession
+    # a class of an old shard is cut into as many buckets as its rows need
+    classes = [(c.old_shard, c.size_class, -(-c["count"] // ROWS_PER_BLOCK)) for c in rows.groupBy(*BLOCK[:2]).count().collect()]
+    buckets = spark.createDataFrame(classes, "old_shard int, size_class int, buckets long")
+    laid = small_join(rows, buckets, BLOCK[:2]).withColumn("bucket", F.pmod("tie", "buckets").cast("int")).drop("buckets")
+    blocks = laid.groupBy(*BLOCK).agg(F.sum("size").alias("bytes")).collect()
+    blocks = sorted(blocks, key=lambda b: (b.old_shard, -b.size_class, b.bucket))
     sizes = [0] * old_shards
     for b in blocks:
         sizes[b.old_shard] += b.bytes
@@ -95,7 +102,6 @@ def reshard(rows: DataFrame, capacities: list[int] | int, old_shards: int, scrat
         here = [(stop - begin, j) for stop, j in cuts[b.old_shard] if stop > begin]
         most = next((k for k, (stop, _) in enumerate(here) if stop >= end - begin), len(here) - 1)
         plan.append((b.old_shard, b.size_class, b.bucket, [stop for stop, _ in here[:most]], [j for _, j in here[: most + 1]]))
-    spark = rows.sparkSession
     key = F.concat_ws("-", *BLOCK)
     table = spark.createDataFrame(plan, "old_shard int, size_class int, bucket int, cuts array<long>, targets array<int>").withColumn("block", key).drop(*BLOCK)
     joined = small_join(laid.withColumn("block", key), table, "block")
@@ -103,7 +109,7 @@ def reshard(rows: DataFrame, capacities: list[int] | int, old_shards: int, scrat
     middle = F.sum("size").over(order) - F.col("size") / 2
     placed = joined.withColumn("middle", middle).withColumn("shard", F.expr("element_at(targets, 1 + size(filter(cuts, c -> c <= middle)))"))
     placed = placed.withColumn("in_block", F.row_number().over(Window.partitionBy("block", "shard").orderBy(F.col("size").desc(), "doc_id", "tie")) - 1)
-    placed = scratch.table(placed.select("doc_id", "size", "old_shard", *extra, "block", "shard", "in_block"), "placed")
+    placed = scratch.table(placed.select("doc_id", "size", "old_shard", "extra", "block", "shard", "in_block"), "placed")
     counts = sorted(placed.groupBy("shard", "block").count().collect())
     first, starts = {}, []
     for c in counts:
@@ -111,13 +117,14 @@ def reshard(rows: DataFrame, capacities: list[int] | int, old_shards: int, scrat
         first[c.shard] = first.get(c.shard, 0) + c["count"]
     begins = spark.createDataFrame(starts, "part string, begin long")
     out = small_join(placed.withColumn("part", F.concat_ws("/", "shard", "block")), begins, "part")
-    return out.withColumn("slot", F.col("begin") + F.col("in_block")).drop("block", "part", "begin", "in_block")
+    kept = [F.col(f"extra.`{c}`").alias(c) for c in extra]
+    return out.select("doc_id", "size", "old_shard", *kept, "shard", (F.col("begin") + F.col("in_block")).alias("slot"))
 
 
 def rewrite(placed: DataFrame, docs: DataFrame, old_uri: str, new_uri: str) -> list[int]:
     """Writes the rows of the shards whose content changed to new_uri/shard=<n>, and returns those shards.
 
-    placed: what reshard() gave, with `doc_id` unique; docs: the rows with their texts and `old_shard`. A shard that
+    placed: what reshard() gave; `doc_id` must be unique (a repeated one would multiply its rows), null is an id; docs: the rows with their texts and `old_shard`. A shard that
     keeps just what it had is not written: its folder below old_uri stays as it is.
     """
     moved = placed.where(F.col("shard") != F.col("old_shard"))

@@ -1,15 +1,16 @@
 """Toxicity by compression distance: windows of a text are compressed with two zstandard dictionaries.
 
-One dictionary is trained on ordinary text. The other is trained on toxic text: behind the ordinary content, which
-toxic texts have as well, it holds the words with letter runs that toxic texts use in many contexts and ordinary
-ones don't. Where the second makes a window shorter, the window is like toxic text. How many windows are
-shorter by how many bytes goes through a logistic calibration, fitted on the same labelled texts.
+Both are trained by zstandard's trainer. The ordinary one learns windows of ordinary text. The toxic one has the same
+content, so that whatever both kinds of text say costs the same, and behind it a dictionary trained on windows of
+toxic text, weighted by label: runs of RUN bytes are counted by label in different contexts, and a window, one word
+with its spaces, counts as often as it occurs if it holds a run that is typical of toxic text. Where the toxic
+dictionary makes a window shorter, the window is like toxic text. How many windows are shorter by how many bytes goes
+through a logistic calibration, fitted on texts whose half of the sample the dictionary hadn't seen.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,15 +21,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.common import map_arrow, record, texts_of
-
-#: The classifier is fitted on at most so many labelled texts of each label, those of the lowest hash, and on none of more than FIT_CHARS characters.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1500, 3000, 50_000
-#: Bytes of a window and from one to the next; letters of the runs; how typical of toxic text a run must be (G-squared, ratio, contexts).
-WINDOW, STEP, RUNS, TYPICAL, RATIO, CONTEXTS = 128, 112, (5, 6, 7, 8), 40.0, 20.0, 3
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 16_384
-#: Differences in bytes from which windows are counted, and the score from which a document is toxic.
+from vellum.llm.words import mixed
+
+#: The classifier is fitted on at most so many labelled texts of each label, those of the lowest hash, on none of more
+#: than FIT_CHARS characters, and on FIT_BYTES of each label.
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS, FIT_BYTES = 1500, 3000, 16_000, 12 << 20
+#: Bytes of a scored window and from one to the next; of a run, and in how many contexts it must stand in toxic text, how
+#: often as in ordinary text, and with what G-squared.
+WINDOW, STEP, RUN, CONTEXTS, RATIO, TYPICAL = 128, 112, 6, 3, 50.0, 60.0
+#: Bytes of the dictionaries and of the ordinary windows, and the trainer's segment and run for the toxic windows.
+ORDINARY_BYTES, TOXIC_BYTES, TRAINED_WINDOW, SEGMENT, LONGEST_WORD = 32_768, 16_384, 256, 16, 40
 #: How zstandard searches: lazily, for matches of so many bytes, 2**SEARCH candidates each.
 STRATEGY, MIN_MATCH, SEARCH = zstandard.STRATEGY_LAZY2, 6, 6
+#: Differences in bytes from which windows are counted, and the score from which a document is toxic.
 STEPS, THRESHOLD = (1, 2, 3, 4, 5, 6, 8), 0.7
 
 
@@ -45,90 +50,115 @@ class Model:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
 
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """A logistic regression of the labels on the features, by Newton's steps with a ridge of 1 on all but the constant."""
+        self.mean, self.spread = x.mean(0), x.std(0) + 1e-9
+        z = np.c_[np.ones(len(x)), (x - self.mean) / self.spread]
+        w, ridge = np.zeros(z.shape[1]), np.r_[1e-6, np.ones(z.shape[1] - 1)]
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        self.weights = w
+
+
+#: Zero bytes part texts: no run crosses them, as no text may hold a run with one.
+PART = b"\0" * 16
+SPACES = np.zeros(256, bool)
+SPACES[list(b"\0\t\n\r ")] = True
+
+
+def run_keys(raw: bytes) -> np.ndarray:
+    """The RUN bytes from each place on as one number."""
+    b = np.frombuffer(raw, np.uint8)
+    keys = np.zeros(max(0, len(b) - RUN + 1), np.uint64)
+    for k in range(RUN):
+        keys = keys << np.uint64(8) | b[k : k + len(keys)]
+    return keys
+
+
+def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs and behind how many different runs each stands. A passage that is copied often counts once."""
+    keys = run_keys(raw)
+    found = []
+    for k in range(8):  # an eighth of the runs at a time
+        at = np.flatnonzero(keys % np.uint64(251) % np.uint64(8) == k)
+        own, before = keys[at], np.where(at >= RUN, keys[at - RUN], 0).astype(np.uint64)
+        first = np.unique(mixed(mixed(own) + before), return_index=True)[1]
+        found.append(np.unique(own[first], return_counts=True))
+    runs, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(runs)
+    return runs[order], counts[order]
+
+
+def typical_runs(toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Runs that toxic text has in many contexts and ordinary text hardly ever, by G-squared and ratio."""
+    (runs, t), (others, o) = contexts(toxic), contexts(ordinary)
+    total_t, total_o = max(int(t.sum()), 1), max(int(o.sum()), 1)
+    at = np.minimum(np.searchsorted(others, runs), max(len(others) - 1, 0))
+    o = np.where(others[at] == runs, o[at], 0) if len(others) else np.zeros(len(runs))
+    share, n = total_t / (total_t + total_o), t + o
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (t * np.log(t / (n * share)) + np.where(o > 0, o * np.log(o / (n * (1 - share))), 0))
+    return runs[(t >= CONTEXTS) & (t * total_o > RATIO * o * total_t) & (g >= TYPICAL)]
 
-def contexts(texts: list[str], number: dict[str, int]) -> np.ndarray:
-    """By word number: how many different words stand before it. A passage that is copied often counts once."""
-    pairs = []
-    for t in texts:
-        w = np.array([number.setdefault(x, len(number)) for x in t.split()], np.int64)
-        if len(w):
-            pairs.append(np.r_[0, w[:-1] + 1] << 32 | w)
-    found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    return np.bincount(found & 0xFFFFFFFF, minlength=len(number))
-
-
-def runs(word: str) -> set[str]:
-    word = f" {word} "
-    return {word[k : k + n] for n in RUNS for k in range(len(word) - n + 1)}
 
+def toxic_windows(raw: bytes, typical: np.ndarray) -> list[bytes]:
+    """Each occurrence of a word in which a typical run has its middle.
 
-def typical_words(toxic: list[str], ordinary: list[str]) -> Counter:
-    """Words with a run of letters that is typical of the toxic texts, by their contexts there."""
-    number: dict[str, int] = {}
-    t, o = contexts(toxic, number), contexts(ordinary, number)
-    t = np.r_[t, np.zeros(len(o) - len(t), np.int64)]
-    total_t, total_o = max(int(t.sum()), 1), max(int(o.sum()), 1)
-    in_t, in_o = Counter(), Counter()
-    words = list(number)
-    for w in np.flatnonzero(t).tolist():
-        for r in runs(words[w]):
-            in_t[r] += int(t[w])
-    for w in np.flatnonzero(o).tolist():
-        for r in runs(words[w]):
-            if r in in_t:
-                in_o[r] += int(o[w])
-    share = total_t / (total_t + total_o)
-
-    def typical(r: str, a: int, b: int) -> bool:
-        if a < CONTEXTS or a * total_o <= RATIO * b * total_t:
-            return False
-        n = a + b
-        return 2 * (a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0)) >= TYPICAL
-
-    rich = {r for r, a in in_t.items() if typical(r, a, in_o[r])}
-    return Counter({words[w]: int(t[w]) for w in np.flatnonzero(t).tolist() if not rich.isdisjoint(runs(words[w]))})
-
-
-def dictionary(samples: list[bytes], size: int) -> bytes:
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too few samples to train on: they serve as they are
-        return b"".join(samples)[-size:]
+    The word stands twice in its window, as the trainer doesn't look at the last bytes of a sample.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    gaps = np.flatnonzero(SPACES[b])
+    middle = np.flatnonzero(np.isin(run_keys(raw), typical)) + RUN // 2
+    ends = np.unique(np.searchsorted(gaps, middle[~SPACES[b[middle]]]))
+    words = [raw[gaps[k - 1] + 1 : gaps[k]] for k in ends.tolist() if gaps[k] - gaps[k - 1] <= LONGEST_WORD]
+    return [b" %b %b " % (w, w) for w in words]
+
+
+def dictionary(samples: list[bytes], size: int, **how: int) -> bytes:
+    """What the trainer makes of the samples; of too few, which it refuses, they are given often enough."""
+    total = sum(map(len, samples))
+    if not total:
+        return b""
+    size = max(256, min(size, 4 * total))
+    return zstandard.train_dictionary(size, samples * max(1, -(-2 * size // total)), **how).as_bytes()
+
+
+def learn(toxic: list[bytes], ordinary: list[bytes], base: bytes) -> Model:
+    """The dictionaries, without a calibration."""
+    raw, other = (PART + PART.join(x) + PART for x in (toxic, ordinary))
+    special = dictionary(toxic_windows(raw, typical_runs(raw, other)), TOXIC_BYTES, k=SEGMENT, d=RUN, steps=1)
+    # the filler keeps the ordinary content equally far from the window, so that its matches cost the same
+    return Model(base + b"\x01" * len(special), base + special)
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """None if either label has no text."""
+    """None if either label has fewer than two texts, or all of a label's together are too short to train on."""
     toxic, ordinary = [t.lower() for t in toxic if t], [t.lower() for t in ordinary if t]
-    if not toxic or not ordinary:
+    if min(len(toxic), len(ordinary)) < 2:
         return None
-    raw = [t.encode() for t in ordinary]
-    windows = [b[k : k + 256] for b in raw for k in range(0, len(b), 256)]
-    base = dictionary(windows[:: max(1, len(windows) // 20_000)], ORDINARY_BYTES)
-    special = b""
-    for w, _ in sorted(typical_words(toxic, ordinary).items(), key=lambda x: (-x[1], x[0])):
-        special = f" {w} ".encode() + special  # the most usual last, where matches cost least
-        if len(special) > TOXIC_BYTES:
-            break
-    # the filler keeps the ordinary content equally far from the window, so that its matches cost the same
-    model = Model(base + b"\x01" * len(special), base + special)
-    scorer = Scorer(model)
-    x = np.concatenate([scorer.measure(part) for texts in (toxic, ordinary) for part in parts(texts)])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[np.ones(len(x)), (x - model.mean) / model.spread]
-    w = np.zeros(z.shape[1])
-    for _ in range(30):  # Newton's steps, with a ridge of 1 on all but the constant
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        ridge = np.r_[1e-6, np.ones(len(w) - 1)]
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    model.weights = w
+    raw = [[t.encode().replace(b"\0", b" ") for t in texts] for texts in (toxic, ordinary)]
+    windows = [b[k : k + TRAINED_WINDOW] for b in raw[1] for k in range(0, len(b), TRAINED_WINDOW)]
+    try:
+        base = dictionary(windows, ORDINARY_BYTES)
+        x, y = [], []
+        for half in (0, 1):
+            scorer = Scorer(learn(raw[0][half::2], raw[1][half::2], base))
+            for texts, label in ((toxic, 1.0), (ordinary, 0.0)):
+                unseen = texts[1 - half :: 2]
+                x += [scorer.measure(part) for part in parts(unseen)]
+                y.append(np.full(len(unseen), label))
+        model = learn(*raw, base)
+    except zstandard.ZstdError:
+        return None
+    model.calibrate(np.concatenate(x), np.concatenate(y))
     return model
 
 
-def parts(texts: list[str], most: int = 2 << 20):
+def parts(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
     """Runs of texts of about so many characters."""
     part, size = [], 0
     for t in texts:
@@ -189,16 +219,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     small = docs.sparkSession.createDataFrame(chosen, "id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(small), F.col("doc_id") == F.col("id")).where(F.length("text").between(1, FIT_CHARS)).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic])
+    place = {i: k for k, (i, _) in enumerate(chosen)}
+    rows.sort(key=lambda r: place[r.doc_id])
+    return train(*([t for t in within(r.text for r in rows if r.toxic == label)] for label in (1, 0)))
+
+
+def within(texts: Iterator[str], most: int = FIT_BYTES) -> Iterator[str]:
+    """The first texts, up to so many bytes."""
+    for t in texts:
+        most -= len(t.encode())
+        if most < 0:
+            return
+        yield t
 
 
 def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with `score` (0 to 1) and `predicted` (1 from THRESHOLD on), all other columns as they are.
 
-    Null and empty texts are scored as one empty window; without a model (no labelled text of either kind) every score
-    is 0. Null ids and repeated rows are kept; an empty table stays empty.
+    Columns of these names that docs has are replaced. Null and empty texts are scored as one empty window; without a
+    model (too few labelled texts of either kind) every score is 0. Null ids and repeated rows are kept; an empty table
+    stays empty.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
     if model is None:
         return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
     names = docs.columns
@@ -209,7 +251,7 @@ def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             score = scorer.score(texts_of(batch))
-            return record(schema, **{n: batch.column(n) for n in names}, score=pa.array(score), predicted=pa.array((score >= THRESHOLD).astype(np.int32)))
+            return record(schema, **dict(zip(names, batch.columns, strict=True)), score=pa.array(score), predicted=pa.array((score >= THRESHOLD).astype(np.int32)))
 
         return f
 
