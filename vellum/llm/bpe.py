@@ -29,8 +29,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 END = b".,;:!?"
 
 #: What a worker remembers of pieces: those of up to SHORT bytes, in a table of SLOTS places (a power of 2), with POOL
-#: ids; about 50 MB in all. Pieces are looked up for so many bytes at a time.
-SHORT, SLOTS, POOL, BATCH_BYTES = 64, 1 << 20, 6_000_000, 1 << 20
+#: ids; about 40 MB in all. Pieces are looked up for so many bytes at a time.
+SHORT, SLOTS, POOL, BATCH_BYTES = 64, 1 << 20, 3_000_000, 1 << 19
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

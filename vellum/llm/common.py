@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 1_000_000, 32 << 20, 16
 
 #: Text that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ from vellum.llm.words import mixed
 
 #: The classifier is fitted on at most so many labelled texts of each label, those of the lowest hash, on none of more
 #: than FIT_CHARS characters, and on FIT_BYTES of each label.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS, FIT_BYTES = 1500, 3000, 16_000, 12 << 20
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS, FIT_BYTES = 1500, 3000, 16_000, 8 << 20
 #: Bytes of a scored window and from one to the next; of a run, and in how many contexts it must stand in toxic text, how
 #: often as in ordinary text, and with what G-squared.
 WINDOW, STEP, RUN, CONTEXTS, RATIO, TYPICAL = 128, 112, 6, 3, 50.0, 60.0
@@ -66,6 +66,8 @@ class Model:
 
 #: Zero bytes part texts: no run crosses them, as no text may hold a run with one.
 PART = b"\0" * 16
+#: Places that are looked up at a time.
+CHUNK = 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[list(b"\0\t\n\r ")] = True
 
@@ -75,16 +77,19 @@ def run_keys(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     keys = np.zeros(max(0, len(b) - RUN + 1), np.uint64)
     for k in range(RUN):
-        keys = keys << np.uint64(8) | b[k : k + len(keys)]
+        keys <<= np.uint64(8)
+        keys |= b[k : k + len(keys)]
     return keys
 
 
 def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted runs and behind how many different runs each stands. A passage that is copied often counts once."""
     keys = run_keys(raw)
-    found = []
-    for k in range(8):  # an eighth of the runs at a time
-        at = np.flatnonzero(keys % np.uint64(251) % np.uint64(8) == k)
+    found, part = [], np.zeros(len(keys), np.uint8)
+    for k in range(0, len(keys), CHUNK):
+        part[k : k + CHUNK] = keys[k : k + CHUNK] % np.uint64(251) % np.uint64(16)
+    for k in range(16):  # a sixteenth of the runs at a time
+        at = np.flatnonzero(part == k)
         own, before = keys[at], np.where(at >= RUN, keys[at - RUN], 0).astype(np.uint64)
         first = np.unique(mixed(mixed(own) + before), return_index=True)[1]
         found.append(np.unique(own[first], return_counts=True))
@@ -112,7 +117,11 @@ def toxic_windows(raw: bytes, typical: np.ndarray) -> list[bytes]:
     """
     b = np.frombuffer(raw, np.uint8)
     gaps = np.flatnonzero(SPACES[b])
-    middle = np.flatnonzero(np.isin(run_keys(raw), typical)) + RUN // 2
+    keys, hits = run_keys(raw), []
+    for k in range(0, len(keys) if len(typical) else 0, CHUNK):
+        some = keys[k : k + CHUNK]
+        hits.append(k + np.flatnonzero(typical[np.minimum(np.searchsorted(typical, some), len(typical) - 1)] == some))
+    middle = np.concatenate([np.zeros(0, np.int64), *hits]) + RUN // 2
     ends = np.unique(np.searchsorted(gaps, middle[~SPACES[b[middle]]]))
     words = [raw[gaps[k - 1] + 1 : gaps[k]] for k in ends.tolist() if gaps[k] - gaps[k - 1] <= LONGEST_WORD]
     return [b" %b %b " % (w, w) for w in words]
