@@ -16,6 +16,7 @@ from vellum.operators import audit, coverage, crops, emit, enrich, glyphs, struc
 from vellum.operators import tables as tb
 from vellum.plans import convert
 from vellum.queries import scalars, trees
+from vellum.sources import outputs
 
 DIR = "/root/testdata/sf0.001"
 
@@ -215,3 +216,27 @@ def test_tables_of_all_words(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").collect()
     got = {r.doc_id: (r.html, r.gfm, r.rendered) for r in trees.x42_tables_whole(spark, DIR).collect()}
     assert got == {r.doc_id: brute(r.doc_id, r.text) for r in docs}
+
+
+def test_a_run_that_died_leaves_no_second_copy(spark, tmp_path):
+    """Files of a run that wrote no provenance, then the same version again: each file is read once, as last written."""
+    root = str(tmp_path / "out")
+    files = spark.createDataFrame([("d", 1, "a.md", "old"), ("e", 1, "a.md", "e")], "doc_id string, version int, file_name string, content string")
+    again = files.withColumn("content", F.concat("content", F.lit("!")))
+    said = files.select("doc_id", "version").distinct()
+    outputs.write(files, said.where("doc_id = 'e'"), root)
+    outputs.write(again.where("doc_id = 'd'"), said.where("doc_id = 'd'"), root)
+    got = {(r.doc_id, r.file_name): r.content for r in outputs.read(spark, root).collect()}
+    assert got == {("d", "a.md"): "old!", ("e", "a.md"): "e"} and outputs.read(spark, root).count() == 2
+    listed = outputs.export(outputs.read(spark, root), f"file://{tmp_path}/files").collect()
+    assert len(listed) == 2 and (tmp_path / "files" / "d" / "v1" / "a.md").read_text() == "old!"
+
+
+def test_entry_without_a_third_party_module(tmp_path):
+    """A module that the training-data part needs is absent: the rest is still registered."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), 'op7_toxicity' in e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(said[0]) > 30 and said[1] == "False"

@@ -44,16 +44,16 @@ def _fence(x: str) -> str:
     return f"concat('```', chr(10), {x}, chr(10), '```')"
 
 
-_SEEN = "CASE WHEN seq % 4 = 0 THEN concat(chr(10), chr(10), '> **[vellum: AI-generated description]**', chr(10), chr(10), 'seen') ELSE '' END"
+_SEEN = "CASE WHEN seq % 4 = 0 THEN concat(chr(10), chr(10), '> **[vellum: description written by a model]**', chr(10), chr(10), 'seen') ELSE '' END"
 _UNSURE = "type = 'equation' AND confidence < 0.9"
 _READ = "seq % 2 = 0 AND confidence >= 0.5 AND line <> ''"
 _HINT = f"CASE WHEN seq % 5 = 0 THEN concat('$$', chr(10), 'x + y', chr(10), '$$') WHEN {_READ} THEN line ELSE {d.markup('bare')} END"
-_SOURCE = "CASE WHEN seq % 5 = 0 AND seq % 2 = 0 THEN 're-transcribed from the image (math OCR)' WHEN seq % 5 = 0 THEN 're-transcribed from the image' ELSE 'the image below is the authoritative source' END"
+_SOURCE = "CASE WHEN seq % 5 = 0 AND seq % 2 = 0 THEN 'read again from the picture (math OCR)' WHEN seq % 5 = 0 THEN 'read again from the picture' ELSE 'the picture decides' END"
 _ALT = f"coalesce(nullif(trim(translate({d.gone('line', r'\s+', ' ')}, '[]', '()')), ''), 'figure')"
 _RULES = [
     ("type = 'page_header'", "NULL", "emitted", None),
     ("pre AND bare <> ''", _fence("text"), "emitted", None),
-    ("crop_path IS NOT NULL AND type <> 'equation'", f"concat('> **[vellum: ', CASE WHEN ocr THEN 'scanned page — the image is the source, the OCR text is unreliable' ELSE 'table not extracted as text — the image below is the source' END, ']**', chr(10), chr(10), '![table](', crop_path, ')', {_SEEN})", "cropped", "table image fallback"),
+    ("crop_path IS NOT NULL AND type <> 'equation'", f"concat('> **[vellum: ', CASE WHEN ocr THEN 'from a scan: trust the picture, its text was guessed' ELSE 'no text came of this table: see the picture' END, ']**', chr(10), chr(10), '![table](', crop_path, ')', {_SEEN})", "cropped", "table image fallback"),
     ("type = 'table' AND seq % 2 = 0", "concat('| ', CAST(seq AS STRING), ' |')", "emitted", None),
     ("type = 'figure' AND seq % 2 = 0", f"concat('![', {_ALT}, '](assets/f.png)')", "cropped", None),
     ("type = 'figure'", _mark("'figure crop missing'"), "flagged", "figure crop missing"),
@@ -67,8 +67,8 @@ _RULES = [
     ("type = 'list'", "concat('- ', bare)", "emitted", None),
     ("type = 'caption'", "concat('*', bare, '*')", "emitted", None),
     ("type = 'code'", _fence("text"), "emitted", None),
-    (f"{_UNSURE} AND crop_path IS NOT NULL", f"concat('> **[vellum: equation extraction unverified — ', {_SOURCE}, ']**', chr(10), chr(10), '![equation](', crop_path, ')', chr(10), chr(10), {_HINT})", "cropped", "equation: image is authoritative"),
-    (_UNSURE, f"concat('> **[vellum: equation extraction unverified — the rendering below may differ from the source]**', chr(10), chr(10), {_HINT})", "flagged", "equation extraction unverified"),
+    (f"{_UNSURE} AND crop_path IS NOT NULL", f"concat('> **[vellum: unchecked equation: ', {_SOURCE}, ']**', chr(10), chr(10), '![equation](', crop_path, ')', chr(10), chr(10), {_HINT})", "cropped", "equation: image is authoritative"),
+    (_UNSURE, f"concat('> **[vellum: unchecked equation: what follows may differ from the page]**', chr(10), chr(10), {_HINT})", "flagged", "equation extraction unverified"),
     ("type = 'equation'", d.markup("bare"), "emitted", None),
 ]
 
@@ -122,9 +122,9 @@ kinds AS (SELECT doc_id, string_agg(concat(type, '=', CAST(k AS STRING)), ',' OR
 j AS (SELECT n.*, by_type, CAST(n.doc_id % 9 AS INT) AS pages, n.doc_id % 9 > 0 AND ocr_pages * 2 > n.doc_id % 9 AS most FROM n JOIN kinds USING (doc_id))
 SELECT doc_id, pages, blocks, by_type, equations, backed AS equations_image_backed, code_blocks, ill AS illegible_blocks, illegible_prose, ocr_pages, true AS lossless, CASE WHEN prose = 0 THEN 1.0e0 ELSE round((prose - ill) / CAST(prose AS DOUBLE), 4) END AS prose_legibility,
   CASE WHEN ill > 5 THEN 'low' WHEN ill > 0 OR most THEN 'medium' ELSE 'high' END AS confidence,
-  coalesce(nullif(concat_ws('; ', CASE WHEN ill > 0 THEN concat(CAST(ill AS STRING), ' illegible block(s) — broken font not recovered') END,
-    CASE WHEN most THEN concat(CAST(ocr_pages AS STRING), '/', CAST(pages AS STRING), ' pages scanned — OCR text, verify against the images') WHEN ocr_pages > 0 THEN concat(CAST(ocr_pages AS STRING), ' scanned page(s) — OCR text, not a born-digital layer') END,
-    CASE WHEN equations > 0 AND backed > 0 THEN concat(CAST(backed AS STRING), '/', CAST(equations AS STRING), ' equations image-backed — LaTeX unverified, the crop is authoritative') END), ''), 'clean born-digital extraction, nothing flagged') AS reasons FROM j"""
+  coalesce(nullif(concat_ws('; ', CASE WHEN ill > 0 THEN concat(CAST(ill AS STRING), ' blocks can not be read: their font has no usable text') END,
+    CASE WHEN most THEN concat(CAST(ocr_pages AS STRING), '/', CAST(pages AS STRING), ' pages come from a scan: OCR text; compare with the page images') WHEN ocr_pages > 0 THEN concat(CAST(ocr_pages AS STRING), ' pages from a scan: OCR text; not text of the file itself') END,
+    CASE WHEN equations > 0 AND backed > 0 THEN concat(CAST(backed AS STRING), '/', CAST(equations AS STRING), ' equations rest on their picture; the LaTeX is unchecked') END), ''), 'text of the file itself, no block in doubt') AS reasons FROM j"""
 
 
 def a11_signals(spark, sf_dir):

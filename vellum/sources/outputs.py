@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,14 @@ from vellum.operators.versions import newest_rows
 
 
 def write(files: DataFrame, provenance: DataFrame, root: str) -> None:
-    """files (doc_id, version, file_name, content) first, then provenance (doc_id, version, ...): what has no provenance isn't complete."""
-    files.write.mode("append").partitionBy("version").parquet(f"{root}/files")
-    provenance.write.mode("append").partitionBy("version").json(f"{root}/provenance")
+    """files (doc_id, version, file_name, content) first, then provenance (doc_id, version, ...), which names the attempt.
+
+    What has no provenance isn't complete: files of an attempt that died are never read, also where a later attempt
+    writes the same version.
+    """
+    attempt = F.lit(f"a{uuid.uuid4().hex}")  # a letter first, so that the folder's name is read as text
+    files.withColumn("attempt", attempt).write.mode("append").partitionBy("version", "attempt").parquet(f"{root}/files")
+    provenance.withColumn("attempt", attempt).write.mode("append").partitionBy("version").json(f"{root}/provenance")
 
 
 def provenance(spark: SparkSession, root: str) -> DataFrame:
@@ -19,10 +26,11 @@ def provenance(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """The files of each document's newest complete version."""
+    """The files of each document's newest complete version, of the attempt that its provenance names; of several the last by name."""
     files = spark.read.parquet(f"{root}/files")
-    done = newest_rows(provenance(spark, root).select("doc_id", "version").distinct().withColumn("complete", F.lit(True)))
-    return files.join(done.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+    said = provenance(spark, root).groupBy("doc_id", "version").agg(F.max("attempt").alias("attempt"))
+    done = newest_rows(said.withColumn("complete", F.lit(True))).select("doc_id", "version", "attempt")
+    return files.join(done, ["doc_id", "version", "attempt"], "left_semi").drop("attempt")
 
 
 def markdown(files: DataFrame) -> DataFrame:
@@ -35,6 +43,7 @@ def export(files: DataFrame, uri: str) -> DataFrame:
     """Writes each row as a file of its own, uri/doc_id/v<version>/file_name, under another name first; returns what was written."""
     import pandas as pd
     from pyarrow import fs
+    from pyspark import TaskContext
 
     def run(batches):
         store, root = fs.FileSystem.from_uri(uri)
@@ -43,9 +52,11 @@ def export(files: DataFrame, uri: str) -> DataFrame:
             for r in batch.itertuples():
                 folder = f"{root}/{r.doc_id}/v{r.version}"
                 store.create_dir(folder, recursive=True)
-                with store.open_output_stream(f"{folder}/.{r.file_name}") as out:
+                # a name of its own for each attempt, as Spark may run two of one task at a time
+                started = f"{folder}/.{r.file_name}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(started) as out:
                     out.write(r.content.encode())
-                store.move(f"{folder}/.{r.file_name}", f"{folder}/{r.file_name}")
+                store.move(started, f"{folder}/{r.file_name}")
                 names.append(f"{folder}/{r.file_name}")
             yield pd.DataFrame({"path": names})
 
