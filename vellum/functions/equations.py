@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum.functions.text import bind
+
 # Thresholds, LaTeX commands whose content or name is visible text, spacing commands.
 RECOVER_BELOW, SCRAMBLED_ABOVE, HINT_LEAST = 0.9, 0.12, 0.5
 TOKEN = "[A-Za-z0-9]{2,}"
@@ -26,16 +28,23 @@ def latex_tokens(latex: Column) -> Column:
 
 def agreement(latex: Column, text_layer: Column) -> Column:
     """The lesser of recall and precision of the tokens; null where the layer has fewer than three."""
-    found = F.regexp_extract_all(text_layer, F.lit(TOKEN), 0)
-    there, said = F.array_distinct(found), latex_tokens(latex)
-    common = F.size(F.array_intersect(there, said))
-    precision = F.when(F.size(said) == 0, 1.0).otherwise(common / F.size(said))
-    return F.when(F.size(found) >= 3, F.least(common / F.size(there), precision))
+
+    def sets(x: Column) -> Column:
+        there = F.array_distinct(x["found"])
+        common = F.size(F.array_intersect(there, x["said"]))
+        return F.struct(F.size(x["found"]).alias("found"), F.size(there).alias("there"), F.size(x["said"]).alias("said"), common.alias("common"))
+
+    def least(n: Column) -> Column:
+        precision = F.when(n["said"] == 0, 1.0).otherwise(n["common"] / n["said"])
+        return F.when(n["found"] >= 3, F.least(n["common"] / n["there"], precision))
+
+    tokens = F.struct(F.regexp_extract_all(text_layer, F.lit(TOKEN), 0).alias("found"), latex_tokens(latex).alias("said"))
+    return bind(bind(tokens, sets), least)
 
 
-def suspect_reading(latex: Column, text_layer: Column) -> Column:
-    """The text layer on one line where the agreement is too low, else null."""
-    return F.when(agreement(latex, text_layer) < RECOVER_BELOW, F.trim(F.regexp_replace(text_layer, r"(?U)\s+", " ")))
+def reading_below(agreed: Column, text_layer: Column) -> Column:
+    """The text layer on one line where an agreement already computed is too low, else null."""
+    return F.when(agreed < RECOVER_BELOW, F.trim(F.regexp_replace(text_layer, r"(?U)\s+", " ")))
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -43,12 +52,15 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def balance_braces(body: Column) -> Column:
-    opened, closed = count(body, OPEN), count(body, CLOSE)
-    return F.concat(F.repeat(F.lit("{"), F.greatest(closed - opened, F.lit(0))), body, F.repeat(F.lit("}"), F.greatest(opened - closed, F.lit(0))))
+    def even(x: Column) -> Column:
+        missing = lambda n: F.concat(F.repeat(F.lit("{"), F.greatest(-n, F.lit(0))), x, F.repeat(F.lit("}"), F.greatest(n, F.lit(0))))
+        return bind(count(x, OPEN) - count(x, CLOSE), missing)
+
+    return bind(body, even)
 
 
 def balance_delimiters(body: Column) -> Column:
-    return F.when(count(body, LEFT) != count(body, RIGHT), F.regexp_replace(body, f"{LEFT}|{RIGHT}", "")).otherwise(body)
+    return bind(body, lambda x: F.when(count(x, LEFT) != count(x, RIGHT), F.regexp_replace(x, f"{LEFT}|{RIGHT}", "")).otherwise(x))
 
 
 def tidy(body: Column) -> Column:
@@ -61,10 +73,13 @@ def tidy(body: Column) -> Column:
 
 def markup(text: Column) -> Column:
     """A display equation; what needs alignment is wrapped in an aligned environment."""
+
+    def wrapped(x: Column) -> Column:
+        aligned = F.concat(F.lit("\\begin{aligned}\n"), x, F.lit("\n\\end{aligned}"))
+        return F.when(x.contains("&") | x.contains("\\\\"), aligned).otherwise(x)
+
     bare = F.regexp_replace(F.regexp_replace(text, r"^\$+|\$+$", ""), r"(?U)^\s+|\s+$", "")
-    body = balance_delimiters(tidy(bare))
-    body = F.when(body.contains("&") | body.contains("\\\\"), F.concat(F.lit("\\begin{aligned}\n"), body, F.lit("\n\\end{aligned}"))).otherwise(body)
-    return F.concat(F.lit("$$\n"), body, F.lit("\n$$"))
+    return F.concat(F.lit("$$\n"), bind(balance_delimiters(tidy(bare)), wrapped), F.lit("\n$$"))
 
 
 def unbalanced(markdown: Column) -> Column:

@@ -20,6 +20,14 @@ PROSE = ("paragraph", "heading", "list", "caption", "footnote", "other")
 GARBAGE_BELOW = 0.6
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once a row, however often f's expression names it.
+
+    f may name nothing but its argument: Spark takes no Python UDF inside a lambda, and other columns may come from one.
+    """
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -31,10 +39,17 @@ def is_blank(text: Column) -> Column:
 
 def legibility(text: Column) -> Column:
     """Letters / (letters + substitutes + glyph names); 1 where there is none of them; null for null."""
-    bare = F.regexp_replace(text, GLYPH_NAME, "")
-    suspect = F.regexp_count(text, F.lit(GLYPH_NAME)) + F.regexp_count(bare, F.lit(SUBSTITUTE))
-    letters = F.regexp_count(bare, F.lit(r"\p{L}"))
-    return F.when(letters + suspect == 0, 1.0).otherwise(letters / (letters + suspect))
+
+    def among(bare: Column, characters: str) -> Column:
+        return F.length(bare) - F.length(F.regexp_replace(bare, f"{characters}+", ""))
+
+    def counts(x: Column) -> Column:
+        letters, marks = among(x["bare"], r"\p{L}"), among(x["bare"], SUBSTITUTE)
+        return F.struct(letters.alias("letters"), (x["names"] + marks).alias("suspect"))
+
+    parts = F.struct(F.regexp_replace(text, GLYPH_NAME, "").alias("bare"), F.regexp_count(text, F.lit(GLYPH_NAME)).alias("names"))
+    counted = bind(parts, counts)
+    return bind(counted, lambda c: F.when(c["letters"] + c["suspect"] == 0, 1.0).otherwise(c["letters"] / (c["letters"] + c["suspect"])))
 
 
 def is_garbage(text: Column) -> Column:

@@ -31,9 +31,10 @@ def blocks(blocks: DataFrame, regions: DataFrame, words: DataFrame, scanned: Dat
     repaired = repair.apply_scripts(repair.repair_words(F.col("refilled"), F.col("words")), reading, F.coalesce("marks", F.lit("")))
     reread = readable & (F.col("type") == "code") & (F.length(laid) > 0) & ~t.is_garbage(laid)
     equation = (F.col("type") == "equation") & boxed
-    suspect = F.when(equation & readable, e.suspect_reading(text, reading))
+    j = j.withColumn("agreed", F.when(equation, e.agreement(text, reading)))
+    suspect = F.when(equation & readable, e.reading_below(F.col("agreed"), reading))
     new = F.when(reread | F.col("preformatted"), laid).when(prose, repaired).otherwise(text)
-    confidence = F.when(equation & ocr, 0.0).when(equation, F.coalesce(e.agreement(text, reading), "confidence")).otherwise(F.col("confidence"))
+    confidence = F.when(equation & ocr, 0.0).when(equation, F.coalesce("agreed", "confidence")).otherwise(F.col("confidence"))
     ordered = F.when(suspect.isNotNull(), t.is_clean(reading) & (F.coalesce("disorder", F.lit(0.0)) < e.SCRAMBLED_ABOVE))
     source = F.when(prose & ~F.col("preformatted") & (F.col("refilled") != text), "glyphs")
     kept = [c for c in blocks.columns if c not in ("text", "confidence")]

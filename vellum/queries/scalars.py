@@ -77,8 +77,9 @@ X34 = rf"""WITH {d.BLOCKS_SQL} SELECT doc_id, seq, regexp_matches(trim(text), '{
 
 
 def x21_equations(spark, sf_dir):
-    text = C("text")
-    return d.blocks(spark, sf_dir).select("doc_id", "seq", F.array_join(F.sort_array(e.latex_tokens(text)), " ").alias("tokens"), e.agreement(text, C("line")).alias("agreement"), e.suspect_reading(text, C("line")).alias("reading"))
+    text, tokens = C("text"), F.array_join(F.sort_array(e.latex_tokens(C("text"))), " ").alias("tokens")
+    scored = d.blocks(spark, sf_dir).select("doc_id", "seq", "line", tokens, e.agreement(text, C("line")).alias("agreement"))
+    return scored.select("doc_id", "seq", "tokens", "agreement", e.reading_below(C("agreement"), C("line")).alias("reading"))
 
 
 _TOKENS = f"list_distinct(regexp_extract_all({d.gone(d.gone(d.gone('text', r'\\(?:text|mathrm|mathbf|mathit|operatorname)\s*\{([^{}]*)\}', r'\1'), r'\\(max|min|exp|log|ln|sin|cos|tan|det|lim|sup|inf|deg|arg|gcd)([^a-zA-Z]|$)', r'\1\2'), r'\\[a-zA-Z]+|[_^{}\s]')}, '[A-Za-z0-9]{{2,}}'))".replace("{{", "{").replace("}}", "}")
