@@ -1,9 +1,11 @@
 """Operators for training data: against libraries, brute force and round trips; nulls, empties, ties, clashing columns."""
 
+import hashlib
 import itertools
 import json
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -210,6 +212,44 @@ def test_tiff_rows(spark, odd, none):
     assert len({r.media_sha256 for r in rows if r.doc_id in (5, 6)}) == 1
 
 
+def test_tiff_query_against_its_contract(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    long = {-1: "long text " * 200_000, -2: ""}  # three pages; one row of spaces
+    more = spark.createDataFrame(list(long.items()), "doc_id long, text string")
+    rows = [*queries.op10_tiff(spark, DIR).collect(), *tiff.round_trip(more).collect()]
+    assert len(rows) == len(docs) + 2
+    for r in rows:
+        raw = (docs | long)[r.doc_id].encode()
+        payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        media = tiff.store(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+        flat = list(payload)
+        n = len(flat)
+        means = "/".join(str(sum(flat[k::3]) * 100 // (n // 3)) for k in range(3))
+        found, rest = r.feature.split(":", 1)
+        assert rest == f"{sum(flat) * 100 // n}:{sum(x * x for x in flat) // n}:{means}"
+        assert found.split("x")[0] == str(-(-n // (192 * tiff.PAGE_ROWS)))
+    codecs = {next(iter(tiff.pages(tiff.store(tiff.payload_of(t))))).compression for t in docs.values()}
+    assert codecs == {tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE}
+
+
+def test_tiff_pages_behind_a_bad_one(spark):
+    images = [np.full((4, 5, 1), k, np.uint8) for k in range(3)]
+    whole = bytearray(tiff.write(images, tiff.NONE, 1))
+    at = whole.index(struct.pack("<HHI", tiff.COMPRESSION, 3, 1))
+    fax, huge = bytearray(whole), bytearray(whole)
+    fax[at + 8 : at + 10] = struct.pack("<H", 3)
+    wide = whole.index(struct.pack("<HHI", tiff.WIDTH, 4, 1))
+    huge[wide + 8 : wide + 12] = struct.pack("<I", 1 << 31)
+    files = spark.createDataFrame([(1, fax, "a"), (2, huge, "b")], "file_id long, content binary, name string")
+    rows = sorted(tiff.explode_pages(files, ["name"]).collect(), key=lambda r: (r.file_id, r.page))
+    assert [(r.file_id, r.page, r.error is None, r.name) for r in rows] == [(f, p, p > 0, n) for f, n in ((1, "a"), (2, "b")) for p in range(3)]
+    assert all(r.data == images[r.page].tobytes() for r in rows if r.page)
+    bomb = tiff.write([np.zeros((4, 5, 1), np.uint8)], tiff.DEFLATE, 1)
+    assert len(tiff.inflate(zlib.compress(bytes(1 << 24)), 100)) == 100 and len(list(tiff.pages(bomb))) == 1
+
+
 def test_fertility_counts(spark, odd, none):
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")

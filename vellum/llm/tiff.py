@@ -2,6 +2,7 @@
 
 Classic and BigTIFF in both byte orders; uncompressed, PackBits, LZW and deflate; predictors 2 (differences) and
 3 (floating point); chunky and planar samples of 8, 16, 32 or 64 bits. Samples come out row by row, chunky, in little-endian.
+A page of more than PAGE_BYTES, or of more than its file's bytes could ever unpack to, is an error and never allocated.
 """
 
 from __future__ import annotations
@@ -9,25 +10,29 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import map_arrow, record, texts_of
+from vellum.llm.common import SLICE_BYTES, map_arrow, record, texts_of
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 # Fixed values of the format: tag numbers, and for each field type its struct letter.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 LETTERS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
-#: How payloads are stored: rows of 64 RGB pixels, so many rows in a strip and in a page.
-PIXELS, STRIP_ROWS, PAGE_ROWS = 64, 256, 4096
+#: How payloads are stored: rows of 64 RGB pixels, so many rows in a strip and in a page, so many pixels across and down in a tile.
+PIXELS, STRIP_ROWS, PAGE_ROWS, TILE = 64, 256, 4096, 32
 ROW = PIXELS * 3
 
+#: The most bytes of samples a page may state, and the most a byte of any codec here can unpack to (an LZW code of 12 bits: under 4096).
+PAGE_BYTES, BYTES_PER_BYTE = 512 << 20, 4096
+
 
 @dataclass
 class Page:
@@ -43,9 +48,10 @@ class Page:
     data: bytes
 
 
-def unpack_bits(raw: bytes) -> bytes:
+def unpack_bits(raw: bytes, most: int | None = None) -> bytes:
+    """All bytes, or what is unpacked once `most` are there."""
     out, i = bytearray(), 0
-    while i < len(raw):
+    while i < len(raw) and (most is None or len(out) < most):
         n = raw[i]
         if n < 128:
             out += raw[i + 1 : i + 2 + n]
@@ -73,8 +79,8 @@ def pack_bits(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(raw: bytes) -> bytes:
-    """Codes from the high bit on; a code's width grows one entry early; 256 clears, 257 ends."""
+def unpack_lzw(raw: bytes, most: int | None = None) -> bytes:
+    """Codes from the high bit on; a code's width grows one entry early; 256 clears, 257 ends; it stops once `most` bytes are there."""
     out, table, width, held, bits, last = bytearray(), [], 9, 0, 0, b""
     for byte in raw:
         held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
@@ -98,6 +104,8 @@ def unpack_lzw(raw: bytes) -> bytes:
         if last:
             table.append(last + said[:1])
         out += said
+        if most is not None and len(out) >= most:
+            break
         last = said
         width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
     return bytes(out)
@@ -141,7 +149,11 @@ def pack_lzw(raw: bytes) -> bytes:
     return bytes(out)
 
 
-UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(raw: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(raw, most) if most else b""
+
+
+UNPACK = {NONE: lambda raw, most: raw, LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 PACK = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda raw: zlib.compress(raw, 6), PACKBITS: pack_bits}
 
 
@@ -191,13 +203,35 @@ def undo(raw: bytes, order: str, rows: int, width: int, samples: int, bits: int,
     return np.cumsum(values, axis=1, dtype=values.dtype) if predictor == 2 else values
 
 
-def pages(raw: bytes) -> Iterator[Page]:
-    """The pages of a file; ValueError for what isn't TIFF or isn't decoded here."""
-    try:
-        for number, (order, f) in enumerate(directories(raw)):
-            yield page_of(raw, number, order, f)
-    except (struct.error, zlib.error, KeyError, IndexError) as e:
-        raise ValueError(f"damaged: {e}") from e
+DAMAGE = (ValueError, struct.error, zlib.error, KeyError, IndexError, OverflowError, TypeError)
+
+
+@dataclass
+class Broken:
+    page: int
+    error: str
+
+
+def pages(raw: bytes) -> Iterator[Page | Broken]:
+    """The pages of a file under their numbers in the chain of directories.
+
+    A page that is damaged or not decoded here is Broken, and the pages behind it follow; a broken chain ends the file,
+    Broken under the number that the next page would have had.
+    """
+    chain, number = directories(raw), 0
+    while True:
+        try:
+            order, fields = next(chain)
+        except StopIteration:
+            return
+        except DAMAGE as e:
+            yield Broken(number, f"damaged: {e}")
+            return
+        try:
+            yield page_of(raw, number, order, fields)
+        except DAMAGE as e:
+            yield Broken(number, f"damaged: {e}")
+        number += 1
 
 
 def page_of(raw: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
@@ -206,7 +240,7 @@ def page_of(raw: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
 
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if bits not in (8, 16, 32, 64) or len(set(f[BITS])) > 1:
+    if bits not in (8, 16, 32, 64) or len(set(f[BITS])) > 1 or predictor == 3 and bits == 8:
         raise ValueError(f"{bits} bits a sample")
     if compression not in UNPACK or predictor not in (1, 2, 3):
         raise ValueError(f"compression {compression} with predictor {predictor}")
@@ -214,13 +248,20 @@ def page_of(raw: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     tiled = TILE_OFFSETS in f
     across, down = (one(TILE_W), one(TILE_H)) if tiled else (width, min(one(ROWS, height), height))
     offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[OFFSETS], f[COUNTS])
-    out = np.zeros((height, width, samples), f"<u{bits // 8}")
     cols, lines = -(-width // max(across, 1)), -(-height // max(down, 1))
-    for k in range(cols * lines * (samples if planar else 1)):
+    chunks, unit = cols * lines * (samples if planar else 1), (1 if planar else samples) * bits // 8
+    room = BYTES_PER_BYTE * len(raw)
+    if max(height * width * samples * bits // 8, down * across * unit) > min(room, PAGE_BYTES):
+        raise ValueError(f"{width} x {height} x {samples} samples are too many")
+    if min(len(offsets), len(counts)) < chunks:
+        raise ValueError("a strip or tile is missing")
+    out = np.zeros((height, width, samples), f"<u{bits // 8}")
+    for k in range(chunks):
         plane, rest = divmod(k, cols * lines)
         y, x = rest // cols * down, rest % cols * across
         rows = down if tiled else min(down, height - y)
-        part = undo(UNPACK[compression](raw[offsets[k] : offsets[k] + counts[k]]), order, rows, across, 1 if planar else samples, bits, predictor)
+        packed = raw[offsets[k] : offsets[k] + counts[k]]
+        part = undo(UNPACK[compression](packed, rows * across * unit), order, rows, across, 1 if planar else samples, bits, predictor)
         part = part[: height - y, : width - x]
         out[y : y + part.shape[0], x : x + part.shape[1], slice(plane, plane + 1) if planar else slice(None)] = part
     return Page(number, width, height, samples, bits, compression, predictor, one(PHOTOMETRIC, 1), len(offsets), out.tobytes())
@@ -270,8 +311,11 @@ def payload_of(text: str) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS, 3)
-    return write([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)])
+    """A file of the payload's rows. Codec, predictor, strips or tiles and byte order follow from the payload's hash."""
+    rows, h = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS, 3), zlib.crc32(payload)
+    images = [rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)]
+    codec, predictor = (NONE, PACKBITS, LZW, DEFLATE)[h % 4], 1 + (h >> 2) % 2
+    return write(images, codec, predictor, tile=(TILE, TILE) if h >> 3 & 1 else None, order="<>"[h >> 4 & 1])
 
 
 PAGE = T.StructType(
@@ -280,41 +324,55 @@ PAGE = T.StructType(
 )
 
 
-def explode_pages(files: DataFrame) -> DataFrame:
-    """(file_id, content) to one row for each page, with its samples in `data`.
+def explode_pages(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(file_id, content) to one row for each page, with its samples in `data`; columns of `carry` come along with each page.
 
-    A null or damaged file gives one row with page 0 and `error` set; pages before the damage come too. Files of any
-    size are held one at a time, a page's samples at a time. Repeated rows and null ids are kept, further columns
+    A null or damaged file gives one row with page 0 and `error` set; so does a damaged page under its own number, and the
+    pages behind it come too. Files of any size are held one at a time, with about SLICE_BYTES of pages or one larger page.
+    The pages of a file are neighbours in one partition, in order. Repeated rows and null ids are kept, further columns
     ignored; an empty table gives an empty one.
     """
-    names = PAGE.names
+    schema = T.StructType([*PAGE.fields, *[files.schema[c] for c in carry]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(**said) -> pa.RecordBatch:
-            return record(PAGE, **{n: [said.get(n)] for n in names})
-
+        held, size = [], 0
         for batch in batches:
+            along = [batch.column(c) for c in carry]
             for i in range(batch.num_rows):
                 file_id, content = batch.column("file_id")[i].as_py(), batch.column("content")[i].as_py()
-                try:
-                    for p in pages(content or b""):
-                        yield row(file_id=file_id, **vars(p))
-                except ValueError as e:
-                    yield row(file_id=file_id, page=0, error=str(e))
+                more = {c: a[i].as_py() for c, a in zip(carry, along, strict=True)}
+                for p in pages(content or b""):
+                    held.append({"file_id": file_id, **vars(p), **more})
+                    size += len(held[-1].get("data", b""))
+                    if size > SLICE_BYTES or len(held) == ROWS_HELD:
+                        yield record(schema, **{n: [r.get(n) for r in held] for n in schema.names})
+                        held, size = [], 0
+        if held:
+            yield record(schema, **{n: [r.get(n) for r in held] for n in schema.names})
 
-    return files.select("file_id", "content").mapInArrow(run, PAGE)
+    return files.select("file_id", "content", *carry).mapInArrow(run, schema)
 
 
+#: The most rows of a batch that leaves a Python worker here.
+ROWS_HELD = 1000
 STORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
-def store_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, content): each text's payload as a TIFF file. Null counts as empty."""
+def store_documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text) to (doc_id, content): each text's payload as a TIFF file; columns of `carry` come along.
+
+    Null counts as empty. Equal texts give equal files; null ids and repeated rows are kept, further columns ignored.
+    """
+    schema = T.StructType([*STORED.fields, *[docs.schema[c] for c in carry]])
 
     def make():
-        return lambda batch: record(STORED, doc_id=batch.column("doc_id"), content=[store(payload_of(t)) for t in texts_of(batch)])
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            files = [store(payload_of(t)) for t in texts_of(batch)]
+            return record(schema, doc_id=batch.column("doc_id"), content=files, **{c: batch.column(c) for c in carry})
+
+        return f
 
-    return map_arrow(docs.select("doc_id", "text"), make, STORED)
+    return map_arrow(docs.select("doc_id", "text", *carry), make, schema)
 
 
 CHECKED = T.StructType(
@@ -323,31 +381,76 @@ CHECKED = T.StructType(
 )
 
 
-def feature_of(found: list[Page]) -> str:
-    """Pages, strips, mean and spread of all samples, and the mean of each channel, in hundredths."""
-    samples = np.concatenate([np.frombuffer(p.data, np.uint8).reshape(-1, p.samples) for p in found])
-    sums, n = samples.sum(0, dtype=np.int64), len(samples)
-    mean, square = int(sums.sum()) * 100 // (3 * n), int((samples.astype(np.int64) ** 2).sum()) // (3 * n)
-    return f"{len(found)}x{sum(p.chunks for p in found)}:{mean}:{square}:" + "/".join(str(int(s) * 100 // n) for s in sums)
+@dataclass
+class Summary:
+    """What is known of a file after the pages read so far."""
+
+    head: dict
+    sha: object = field(default_factory=hashlib.sha256)
+    size: int = 0
+    tail: bytes = b""
+    pages: int = 0
+    chunks: int = 0
+    squares: int = 0
+    sums: np.ndarray = field(default_factory=lambda: np.zeros(3, np.int64))
+
+    def add(self, data: bytes, chunks: int) -> None:
+        samples = np.frombuffer(data, np.uint8).reshape(-1, 3)
+        self.sha.update(data)
+        self.size, self.tail = self.size + len(data), (self.tail + data[-16:])[-16:]
+        self.pages, self.chunks = self.pages + 1, self.chunks + chunks
+        self.sums = self.sums + samples.sum(0, dtype=np.int64)
+        self.squares += int((samples.astype(np.int64) ** 2).sum())
+
+    def row(self) -> dict:
+        """The feature: pages, strips or tiles, mean and mean square of all samples, and the mean of each channel, means in hundredths."""
+        n = self.size // 3
+        channels = "/".join(str(int(s) * 100 // n) for s in self.sums)
+        feature = f"{self.pages}x{self.chunks}:{int(self.sums.sum()) * 100 // (3 * n)}:{self.squares // (3 * n)}:{channels}"
+        return {**self.head, "payload_bytes": self.size, "payload_sha256": self.sha.hexdigest(), "tail_crc32": zlib.crc32(self.tail), "feature": feature}
+
+
+def summarize(pages_of_files: DataFrame) -> DataFrame:
+    """Pages as explode_pages gives them, with n_bytes, media_bytes and media_sha256 along, to a row a file.
+
+    Reads a page at a time; a page with an error stops the job, as these files are the library's own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, []
+        for batch in batches:
+            columns = {n: batch.column(n) for n in ("file_id", "n_bytes", "media_bytes", "media_sha256", "page", "chunks", "data", "error")}
+            for i in range(batch.num_rows):
+                r = {n: c[i].as_py() for n, c in columns.items()}
+                if r["error"] is not None:
+                    raise ValueError(f"document {r['file_id']}, page {r['page']}: {r['error']}")
+                if r["page"] == 0:
+                    if now:
+                        done.append(now.row())
+                    now = Summary({"doc_id": r["file_id"], **{n: r[n] for n in ("n_bytes", "media_bytes", "media_sha256")}})
+                now.add(r["data"], r["chunks"])
+            if len(done) >= ROWS_HELD:
+                yield record(CHECKED, **{n: [d[n] for d in done] for n in CHECKED.names})
+                done = []
+        if now:
+            done.append(now.row())
+        yield record(CHECKED, **{n: [d[n] for d in done] for n in CHECKED.names})
+
+    return pages_of_files.mapInArrow(run, CHECKED)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Stores each text as a TIFF file, decodes its pages again and describes both.
+    """Stores each text as a TIFF file, reads it as a row for each page, and describes file and pages; no shuffle.
 
     Null counts as an empty text, whose payload is one row of spaces. Equal texts give equal values; null ids and
     repeated rows are kept, further columns ignored; an empty table gives an empty one.
     """
-
-    def make():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for text in texts_of(batch):
-                media = store(payload_of(text))
-                found = list(pages(media))
-                back = b"".join(p.data for p in found)
-                rows.append((len(text.encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(found)))
-            return record(CHECKED, doc_id=batch.column("doc_id"), **dict(zip(CHECKED.names[1:], map(list, zip(*rows, strict=True)), strict=True)))
-
-        return f
-
-    return map_arrow(docs.select("doc_id", "text"), make, CHECKED)
+    sized = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    files = store_documents(sized, ["n_bytes"]).select(
+        F.col("doc_id").alias("file_id"),
+        "content",
+        "n_bytes",
+        F.octet_length("content").cast("long").alias("media_bytes"),
+        F.sha2("content", 256).alias("media_sha256"),
+    )
+    return summarize(explode_pages(files, ["n_bytes", "media_bytes", "media_sha256"]))
