@@ -8,6 +8,7 @@ A page of more than PAGE_BYTES, or of more than its file's bytes could ever unpa
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -27,7 +28,7 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, P
 LETTERS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 #: How payloads are stored: rows of 64 RGB pixels, so many rows in a strip and in a page, so many pixels across and down in a tile.
-PIXELS, STRIP_ROWS, PAGE_ROWS, TILE = 64, 256, 4096, 32
+PIXELS, STRIP_ROWS, PAGE_ROWS, TILE = 64, 256, 4096, (32, 16)
 ROW = PIXELS * 3
 
 #: The most bytes of samples a page may state, and the most a byte of any codec here can unpack to (an LZW code of 12 bits: under 4096).
@@ -63,19 +64,21 @@ def unpack_bits(raw: bytes, most: int | None = None) -> bytes:
     return bytes(out)
 
 
+#: A run worth a code of its own.
+RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(raw: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(raw):
-        j = i + 1
-        while j < len(raw) and j - i < 128 and raw[j] == raw[i]:
-            j += 1
-        if j - i > 1:
-            out += bytes((257 - (j - i), raw[i]))
-        else:
-            while j < len(raw) and j - i < 128 and (j + 1 >= len(raw) or raw[j] != raw[j + 1]):
-                j += 1
-            out += bytes((j - i - 1,)) + raw[i:j]
-        i = j
+    out, at = bytearray(), 0
+    for m in (*RUN.finditer(raw), None):
+        begin, end = m.span() if m else (len(raw), len(raw))
+        for k in range(at, begin, 128):
+            part = raw[k : min(k + 128, begin)]
+            out.append(len(part) - 1)
+            out += part
+        if m:
+            out += bytes((257 - (end - begin), raw[begin]))
+        at = end
     return bytes(out)
 
 
@@ -111,42 +114,39 @@ def unpack_lzw(raw: bytes, most: int | None = None) -> bytes:
     return bytes(out)
 
 
+#: Table sizes at which codes grow by a bit.
+WIDER = (512, 1024, 2048)
+
+
 def pack_lzw(raw: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-    table, width = {bytes((k,)): k for k in range(256)}, 9
-    size = 258
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    put(256)
-    seen = b""
-    for k in range(len(raw)):
-        more = seen + raw[k : k + 1]
-        if more in table:
-            seen = more
-            continue
-        put(table[seen])
-        table[more] = size
-        size += 1
-        width = 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
-        if size == 4094:
-            put(256)
-            table, width, size = {bytes((k,)): k for k in range(256)}, 9, 258
-        seen = raw[k : k + 1]
-    if seen:
-        put(table[seen])
-        size += 1
-        width = 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
-    put(257)
-    if bits:
-        out.append(held << 8 - bits & 255)
-    return bytes(out)
+    """Strings are known by the code of what precedes their last byte, and that byte."""
+    out, table, width, size, seen = bytearray(), {}, 9, 258, -1
+    held, bits = 256, 9  # a clearing code comes first
+    for byte in raw:
+        key = seen << 8 | byte
+        if seen < 0:
+            seen = byte
+        elif key in table:
+            seen = table[key]
+        else:
+            held, bits = held << width | seen, bits + width
+            table[key], seen = size, byte
+            size += 1
+            if size in WIDER:
+                width += 1
+            elif size == 4094:
+                held, bits = held << width | 256, bits + width
+                table, width, size = {}, 9, 258
+            if bits >= 512:
+                out += (held >> bits % 8).to_bytes(bits // 8)
+                bits %= 8
+                held &= (1 << bits) - 1
+    if seen >= 0:
+        held, bits, size = held << width | seen, bits + width, size + 1
+        width += size in WIDER
+    held, bits = held << width | 257, bits + width
+    held, bits = held << -bits % 8, bits + -bits % 8
+    return bytes(out + held.to_bytes(bits // 8))
 
 
 def inflate(raw: bytes, most: int) -> bytes:
@@ -315,7 +315,7 @@ def store(payload: bytes) -> bytes:
     rows, h = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS, 3), zlib.crc32(payload)
     images = [rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)]
     codec, predictor = (NONE, PACKBITS, LZW, DEFLATE)[h % 4], 1 + (h >> 2) % 2
-    return write(images, codec, predictor, tile=(TILE, TILE) if h >> 3 & 1 else None, order="<>"[h >> 4 & 1])
+    return write(images, codec, predictor, tile=TILE if h >> 3 & 1 else None, order="<>"[h >> 4 & 1])
 
 
 PAGE = T.StructType(
