@@ -307,6 +307,30 @@ def test_near_copies(spark, monkeypatch, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(docs)
 
 
+def test_near_copies_of_one_source(spark, monkeypatch):
+    """Copies of one text, half of them too far from any hub: one component or none, with few pairs for each set."""
+    r = random.Random(3)
+    base, docs, pairs = [f"w{k}" for k in range(150)], {}, {}
+    for k in range(240):
+        w = list(base)
+        for at in r.sample(range(150), 1 if k % 2 else 2):
+            w[at] = f"n{k}"
+        docs[k] = " ".join(w)
+    written = Scratch.table
+
+    def counted(scratch, df, name):
+        out = written(scratch, df, name)
+        if name.endswith("-pairs"):
+            pairs[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(Scratch, "table", counted)
+    got = neardup.components(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), Scratch(spark, "t"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(docs)
+    assert sum(pairs.values()) < 12 * len(docs), pairs
+
+
 @pytest.mark.parametrize("small", [32, 2])
 def test_near_copies_at_the_pipeline_s_threshold(spark, monkeypatch, small):
     """Copies at 0.836, 0.806 and 0.778 of their source: none links at 85, the first two do in the pipeline's stage."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ WORDS, PERCENT = 5, 85
 SIDE, WIDTH = 10, 3
 #: All pairs of a bucket of up to so many different sets are verified; larger ones go by so many pivots, then by a join on prefixes.
 SMALL, PIVOTS = 32, 2
+#: Sets of a large bucket's key from which its hub is made, about.
+SAMPLE = 32
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
@@ -176,7 +178,8 @@ class Linker:
         that share such a bucket share one of those. First, PIVOTS times, one set of each key is verified against all
         the others, the one that is in most large buckets, as what the copies were made from is: a group of near copies
         mostly becomes one component, and two sets of one component need no more. The sets of keys that still hold
-        several components go through an exact join (`prefix_pairs`).
+        several components go through their differences from what they have in common: each is verified against the middle
+        one (`middle_pairs`), and what is left goes through an exact join (`prefix_pairs`).
         """
         crowd = large.groupBy("sig").agg(F.collect_set("left").alias("keys"), F.count("*").alias("degree"))
         crowd = self.scratch.table(crowd, "crowd")
@@ -196,37 +199,97 @@ class Linker:
             used = pivot.select(F.col("pivot").alias("sig"), F.lit(0).cast("long").alias("spent")).distinct()
             crowd = small_join(crowd, used, "sig").withColumn("degree", F.coalesce("spent", "degree")).drop("spent")
             crowd = self.scratch.table(crowd, f"crowd-{k}")
-        several = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        rest = small_join(here, several.select("key"), "key", "left_semi").select("sig", "label").distinct()
+        several = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("crowded")).where("low <> high")
+        rest = small_join(here.select("key", "sig"), several.select("key", "crowded"), "key", "inner")
         rest = self.scratch.table(rest, "apart")
         if rest.isEmpty():
             return labels
-        return self.merged(labels, self.verify(self.prefix_pairs(rest), "prefixes"), "labels-end")
+        marks, listed = self.differences(rest)
+        labels = self.merged(labels, self.verify(self.middle_pairs(marks, listed, labels), "middles"), "labels-middles")
+        return self.merged(labels, self.verify(self.prefix_pairs(marks, listed, labels), "prefixes"), "labels-end")
 
-    def prefix_pairs(self, rest: DataFrame) -> DataFrame:
-        """(x, y) for all sets of rest (sig, label) of different labels that can be linked.
+    def differences(self, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(hub, sig, n, d, f, least) and (hub, sig, d, f, left, shingle) of rest (key, sig, crowded).
 
-        With the shingles of each set in one order, the rarest first, two sets of similarity s share one of the first
-        n - ceil(s * n) + 1 of each, and behind the first one that they share enough must be left. What a copy adds of
-        its own is rarest, so the passages that many share are seldom among them. Within a shingle the sets of the most frequent label meet only those of others.
+        The hub of a key is what more than half of its sets have in common, taken from about SAMPLE sets of it by their hash;
+        keys of the same shingles in common are one hub. It need not be a set of any row, and any hub gives the same links: a set of
+        n shingles differs from it by d, two sets by d + d' less twice the differences that they share. They link if they
+        share (f + f') / (2 * (100 + percent)) at least, where f = (100 + percent) * d - (100 - percent) * n. `least` is the least f
+        of the hub. In copies of one source few shingles are differences, and those that all copies have are none.
+
+        The second table holds the differences that a link may rest on, the rarest of the hub first: `left` counts those from it on.
+        """
+        table, up, down = self.scratch.table, 100 + self.percent, 100 - self.percent
+        some = rest.where(F.shiftrightunsigned(F.xxhash64("sig"), 32) * F.col("crowded") < SAMPLE << 32)
+        taken = some.groupBy("key").agg(F.count("*").alias("taken"))
+        often = some.join(self.sets, "sig").select("key", F.explode("members").alias("shingle")).groupBy("key", "shingle").agg(F.count("*").alias("df"))
+        common = small_join(often, table(taken, "taken"), "key", "inner").where(2 * F.col("df") > F.col("taken"))
+        common = common.groupBy("key").agg(F.sort_array(F.collect_list("shingle")).alias("common"))
+        common = table(common.groupBy("common").agg(F.min("key").alias("hub"), F.collect_list("key").alias("keys")), "hubs")
+        named = small_join(rest, common.select(F.explode("keys").alias("key"), "hub"), "key")
+        # keys without shingles in common have the empty hub
+        named = table(named.select("hub", "sig").distinct(), "hub-sets")
+        marks = small_join(named.join(self.sets, "sig"), common.select("hub", "common"), "hub").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+        other = F.concat(F.array_except("members", "common"), F.array_except("common", "members")).alias("other")
+        marks = marks.select("hub", "sig", F.size("members").cast("long").alias("n"), other).withColumn("d", F.size("other").cast("long"))
+        marks = table(marks.withColumn("f", up * F.col("d") - down * F.col("n")), "differ")
+        marks = small_join(marks, table(marks.groupBy("hub").agg(F.min("f").alias("least")), "least"), "hub")
+        each = marks.select("hub", "sig", "n", "d", "f", "least", F.explode("other").alias("shingle"))
+        often = each.groupBy(F.col("hub").alias("of"), F.col("shingle").alias("s")).agg(F.count("*").alias("df")).where("df > 1")
+        shared = each.join(often, F.col("hub").eqNullSafe(F.col("of")) & (F.col("shingle") == F.col("s")))
+        shared = shared.groupBy("hub", "sig", "n", "d", "f", "least").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
+        # differences that no other set has come first and join with nothing; a partner has the least f at least, and enough differences to share
+        fewest = F.greatest("least", F.col("f") - 1 - F.expr(f"{200 * down} * n div {self.percent}"))
+        needed = F.greatest(F.lit(1), F.ceil((F.col("f") + fewest) / (2 * up)))
+        length = (F.size("ordered") - needed + 1).cast("int")
+        listed = shared.withColumn("length", length).where("length > 0")
+        listed = listed.select("hub", "sig", "d", "f", F.size("ordered").alias("all"), F.posexplode(F.slice("ordered", F.lit(1), F.col("length"))).alias("at", "s"))
+        listed = listed.select("hub", "sig", "d", "f", (F.col("all") - F.col("at")).cast("long").alias("left"), "s.shingle")
+        return marks.drop("other"), table(listed, "listed")
+
+    def middle_pairs(self, marks: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
+        """(x, y) for each set and the one of least f of its hub, and of each difference that it lists, where labels differ.
+
+        Pairs as many as rows. Where f + f' is 0 or less, both sets link with their hub's middle, so those links are all found here.
+        """
+        pairs = []
+        for k, (rows, keys) in enumerate(((marks, ["hub"]), (listed, ["hub", "shingle"]))):
+            rows = self.scratch.table(self.labelled(rows, labels), f"labelled-{k}")
+            # of several with that f each difference takes its own
+            middle = F.min_by(F.struct("sig", "label", "d", "f"), F.struct("f", F.xxhash64("sig", *keys[1:]))).alias("p")
+            middle = rows.groupBy(*keys).agg(middle).select(*keys, F.col("p.sig").alias("other"), F.col("p.label").alias("theirs"), F.col("p.d").alias("their_d"), F.col("p.f").alias("their_f"))
+            near = small_join(rows, self.scratch.table(middle, f"middle-{k}"), keys, "inner").where("label <> theirs")
+            near = near.where(self.enough(F.least("d", "their_d")))
+            pairs.append(near.select(F.least("sig", "other").alias("x"), F.greatest("sig", "other").alias("y")))
+        return pairs[0].union(pairs[1]).distinct()
+
+    def enough(self, most: Column) -> Column:
+        """Whether two sets, of f and their_f, may link if they share so many differences at most."""
+        return 2 * (100 + self.percent) * most >= F.col("f") + F.col("their_f")
+
+    def labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return small_join(rows, labels, "sig").withColumn("label", F.coalesce("label", "sig"))
+
+    def prefix_pairs(self, marks: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
+        """(x, y) for all sets of one hub, of different labels, that can be linked.
+
+        Two sets that link share a difference, and behind the first one that they share enough must be left. Sets of the label of
+        the hub's middle meet others only, and those have an f of more than the middle's with the sign turned, or they
+        would be linked with it. Within a difference the sets of the most frequent label meet only those of others.
         """
         table = self.scratch.table
-        members = rest.join(self.sets, "sig").select("sig", "label", F.size("members").alias("n"), F.explode("members").alias("shingle"))
-        often = members.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-        shared = members.join(often, "shingle").groupBy("sig", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
-        # a shingle that no other set has comes first and joins with nothing
-        alone = F.col("n") - F.size("ordered")
-        length = F.col("n") - F.expr(f"({self.percent} * n + 99) div 100") + 1 - alone
-        listed = shared.where(length > 0).select("sig", "label", "n", alone.alias("alone"), F.posexplode(F.slice("ordered", 1, length.cast("int"))).alias("at", "s"))
-        prefix = table(listed.select("sig", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), "s.shingle"), "prefix")
-        by_label = prefix.groupBy("shingle", "label").agg(F.count("*").alias("sets"))
-        major = table(by_label.groupBy("shingle").agg(F.max_by("label", F.struct("sets", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("shingle", "major"), "major")
-        there = prefix.join(major, "shingle")
-        few = there.where("label <> major").select("shingle", F.col("sig").alias("other"), F.col("label").alias("theirs"), F.col("n").alias("their_n"), F.col("left").alias("their_left"))
+        middle = F.min_by("label", F.struct("f", F.xxhash64("sig"))).alias("middle")
+        middle = table(self.labelled(marks, labels).groupBy("hub").agg(middle, F.min("f").alias("least")), "middles-after")
+        rows = small_join(self.labelled(listed, labels), middle, "hub", "inner")
+        fewest = F.when(F.col("label") == F.col("middle"), F.greatest("least", 1 - F.col("least"))).otherwise(F.col("least"))
+        rows = rows.where(2 * (100 + self.percent) * F.col("left") >= F.col("f") + fewest)
+        prefix = table(rows.select(F.xxhash64("hub", "shingle").alias("place"), "sig", "label", "f", "left"), "prefix")
+        by_label = prefix.groupBy("place", "label").agg(F.count("*").alias("sets"))
+        major = table(by_label.groupBy("place").agg(F.max_by("label", F.struct("sets", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("place", "major"), "major")
+        there = prefix.join(major, "place")
+        few = there.where("label <> major").select("place", F.col("sig").alias("other"), F.col("label").alias("theirs"), F.col("f").alias("their_f"), F.col("left").alias("their_left"))
         apart = (F.col("label") != F.col("theirs")) & ((F.col("label") == F.col("major")) | (F.col("sig") < F.col("other")))
-        # the first shingle that two sets share leaves so many at most to share
-        most = F.least("left", "their_left")
-        both = there.join(few, "shingle").where(apart & (100 * most >= self.percent * (F.col("n") + F.col("their_n") - most)))
+        both = there.join(few, "place").where(apart & self.enough(F.least("left", "their_left")))
         return both.select(F.least("sig", "other").alias("x"), F.greatest("sig", "other").alias("y")).distinct()
 
     def run(self) -> DataFrame:
