@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, fertility, linededup, linkgraph, mixing, neardup, reshard, tiff, tokenfile, toxicity
+from vellum.llm import bpe, fertility, linededup, linkgraph, mixing, neardup, phrases, reshard, tiff, tokenfile, topk, toxicity, variants
 from vellum.llm.common import Scratch
 
 
@@ -80,9 +80,34 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark, "op12"))
+
+
+OP12_SQL = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.forms(variants.word_counts(table(spark, sf_dir, "documents")), Scratch(spark, "op13"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_linkgraph, op2_fertility, op3_flow_reshard, op4_bpe, op5_tokenfile, op6_mixing, op7_toxicity, op8_neardup, op9_linededup, op9_linededup_texts, op10_tiff)}
+    ops = (op1_linkgraph, op2_fertility, op3_flow_reshard, op4_bpe, op5_tokenfile, op6_mixing, op7_toxicity, op8_neardup, op9_linededup, op9_linededup_texts, op10_tiff)
+    return {f.__name__: f for f in (*ops, op11_collocations, op12_topk, op13_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op9_linededup": OP9_SQL}
+    return {"op6_mixing": OP6_SQL, "op9_linededup": OP9_SQL, "op11_collocations": phrases.SQL, "op12_topk": OP12_SQL}

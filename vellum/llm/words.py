@@ -6,6 +6,7 @@ words lies in arrays of a fixed size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes that are hashed at a time; the powers of the base are kept for so many.
 BLOCK = 1 << 18
+#: Ranges of more bytes are hashed one by one.
+LONG = 256
 
 _random = np.random.default_rng(20240229)
 _BASE = int(_random.integers(0, 1 << 64, dtype=np.uint64)) | 1
@@ -23,6 +26,8 @@ _INVERSES = np.multiply.accumulate(np.r_[np.uint64(1), np.full(BLOCK - 1, pow(_B
 #: As _CODES, with A-Z taken for a-z.
 _FOLDED = _CODES.copy()
 _FOLDED[0x41:0x5B] = _CODES[0x61:0x7B]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 #: Which bytes part words: the space and U+0009 to U+000D.
 _GAP = np.zeros(256, bool)
@@ -50,26 +55,24 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
 
     The ranges are in order and don't overlap. The hash is a polynomial in an odd base modulo 2**64: sums of the
     bytes' codes times powers run over the buffer once, and each range is the difference of two, moved to power 0.
+    With that modulus ranges of 1,024 bytes and more can be made that collide under every base and all codes (the
+    Thue-Morse sequence and its mirror), so those over LONG bytes are hashed by BLAKE2b.
     """
     codes, out = _FOLDED if fold else _CODES, np.zeros(len(starts), np.uint64)
     total = np.zeros(BLOCK + 1, np.uint64)
     for i, j in runs(starts, ends, BLOCK):
         base, size = int(starts[i]), int(ends[j - 1] - starts[i])
         if size > BLOCK:
-            out[i] = _long_hash(raw[base : base + size], codes)
             continue
         np.cumsum(codes[raw[base : base + size]] * _POWERS[:size], out=total[1 : size + 1])
         at = starts[i:j] - base
         out[i:j] = (total[ends[i:j] - base] - total[at]) * _INVERSES[at]
-    return mixed(out + (ends - starts).astype(np.uint64))
-
-
-def _long_hash(raw: np.ndarray, codes: np.ndarray) -> np.uint64:
-    h, step = 0, pow(_BASE, BLOCK, 1 << 64)
-    for at in reversed(range(0, len(raw), BLOCK)):
-        part = codes[raw[at : at + BLOCK]]
-        h = h * step + int((part * _POWERS[: len(part)]).sum())
-    return np.uint64(h & (1 << 64) - 1)
+    out = mixed(out + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG):
+        own = raw[starts[k] : ends[k]]
+        digest = hashlib.blake2b((_LOWER[own] if fold else own).tobytes(), digest_size=8).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +87,11 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_ranges(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all rows, and how many each row has; `at` as buffer_of gives it."""
+def word_ranges(raw: np.ndarray, at: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows, and how many each row has; `at` as buffer_of gives it; gap: the bytes that part words."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
-    word = ~_GAP[raw]
+    word = ~gap[raw]
     begins, stops = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     stops[:-1] &= ~word[1:]
