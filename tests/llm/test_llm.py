@@ -307,11 +307,12 @@ def test_near_copies(spark, monkeypatch, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(docs)
 
 
-def test_near_copies_of_one_source(spark, monkeypatch):
-    """Copies of one text, half of them too far from any hub: one component or none, with few pairs for each set."""
+@pytest.mark.parametrize("n", [240, 720])
+def test_near_copies_of_one_source(spark, monkeypatch, n):
+    """Copies of one text, half of them too far from any hub: one component or none, with few pairs for each set at either size."""
     r = random.Random(3)
     base, docs, pairs = [f"w{k}" for k in range(150)], {}, {}
-    for k in range(240):
+    for k in range(n):
         w = list(base)
         for at in r.sample(range(150), 1 if k % 2 else 2):
             w[at] = f"n{k}"
@@ -328,7 +329,7 @@ def test_near_copies_of_one_source(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "table", counted)
     got = neardup.components(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), Scratch(spark, "t"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(docs)
-    assert sum(pairs.values()) < 12 * len(docs), pairs
+    assert sum(pairs.values()) < 4 * len(docs), pairs
 
 
 @pytest.mark.parametrize("small", [32, 2])

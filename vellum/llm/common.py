@@ -58,9 +58,25 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _files(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._files(name)
+        files.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Removes all tables but the named ones."""
+        path, files = self._files()
+        for found in files.listStatus(path):
+            if found.getPath().getName() not in names:
+                files.delete(found.getPath(), True)
+
+    def close(self) -> None:
+        """Removes all tables: nothing that reads them may run afterwards."""
+        path, files = self._files()
+        files.delete(path, True)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

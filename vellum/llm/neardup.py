@@ -178,8 +178,9 @@ class Linker:
         that share such a bucket share one of those. First, PIVOTS times, one set of each key is verified against all
         the others, the one that is in most large buckets, as what the copies were made from is: a group of near copies
         mostly becomes one component, and two sets of one component need no more. The sets of keys that still hold
-        several components go through their differences from what they have in common: each is verified against the middle
-        one (`middle_pairs`), and what is left goes through an exact join (`prefix_pairs`).
+        several components get a hub, what most of them have in common (`marked`), and meet the set nearest to it. Where several
+        components are left, the differences from the hub are listed, and the sets go through those: first each
+        meets the nearest one of each difference (`middle_pairs`), then the rest goes through an exact join (`prefix_pairs`).
         """
         crowd = large.groupBy("sig").agg(F.collect_set("left").alias("keys"), F.count("*").alias("degree"))
         crowd = self.scratch.table(crowd, "crowd")
@@ -199,69 +200,84 @@ class Linker:
             used = pivot.select(F.col("pivot").alias("sig"), F.lit(0).cast("long").alias("spent")).distinct()
             crowd = small_join(crowd, used, "sig").withColumn("degree", F.coalesce("spent", "degree")).drop("spent")
             crowd = self.scratch.table(crowd, f"crowd-{k}")
-        several = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("crowded")).where("low <> high")
-        rest = small_join(here.select("key", "sig"), several.select("key", "crowded"), "key", "inner")
-        rest = self.scratch.table(rest, "apart")
+        several = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        rest = self.scratch.table(small_join(here.select("key", "sig"), several, "key", "inner"), "apart")
         if rest.isEmpty():
             return labels
-        marks, listed = self.differences(rest)
-        labels = self.merged(labels, self.verify(self.middle_pairs(marks, listed, labels), "middles"), "labels-middles")
+        marks = self.marked(rest)
+        labels = self.merged(labels, self.verify(self.middle_pairs(marks, labels, ["hub"]), "hubs"), "labels-hubs")
+        listed = self.listed(marks, labels)
+        if listed.isEmpty():
+            return labels
+        labels = self.merged(labels, self.verify(self.middle_pairs(listed, labels, ["hub", "shingle"]), "middles"), "labels-middles")
         return self.merged(labels, self.verify(self.prefix_pairs(marks, listed, labels), "prefixes"), "labels-end")
 
-    def differences(self, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(hub, sig, n, d, f, least) and (hub, sig, d, f, left, shingle) of rest (key, sig, crowded).
+    def marked(self, rest: DataFrame) -> DataFrame:
+        """(hub, sig, n, other, d, f, least) of rest (key, sig), one row for each set.
 
-        The hub of a key is what more than half of its sets have in common, taken from about SAMPLE sets of it by their hash;
-        keys of the same shingles in common are one hub. It need not be a set of any row, and any hub gives the same links: a set of
-        n shingles differs from it by d, two sets by d + d' less twice the differences that they share. They link if they
-        share (f + f') / (2 * (100 + percent)) at least, where f = (100 + percent) * d - (100 - percent) * n. `least` is the least f
+        Keys that share a set have one hub, so that two sets of a key are always held against the same one: what more than
+        half of its sets have in common, taken from about SAMPLE sets of it by their hash. It need not be a set of any row,
+        and any hub gives the same links: a set of n shingles differs from it by d, the shingles `other`, and two sets by
+        d + d' less twice the differences that they share. They link if they share
+        (f + f') / (2 * (100 + percent)) at least, where f = (100 + percent) * d - (100 - percent) * n. `least` is the least f
         of the hub. In copies of one source few shingles are differences, and those that all copies have are none.
-
-        The second table holds the differences that a link may rest on, the rarest of the hub first: `left` counts those from it on.
         """
         table, up, down = self.scratch.table, 100 + self.percent, 100 - self.percent
-        some = rest.where(F.shiftrightunsigned(F.xxhash64("sig"), 32) * F.col("crowded") < SAMPLE << 32)
-        taken = some.groupBy("key").agg(F.count("*").alias("taken"))
-        often = some.join(self.sets, "sig").select("key", F.explode("members").alias("shingle")).groupBy("key", "shingle").agg(F.count("*").alias("df"))
-        common = small_join(often, table(taken, "taken"), "key", "inner").where(2 * F.col("df") > F.col("taken"))
-        common = common.groupBy("key").agg(F.sort_array(F.collect_list("shingle")).alias("common"))
-        common = table(common.groupBy("common").agg(F.min("key").alias("hub"), F.collect_list("key").alias("keys")), "hubs")
-        named = small_join(rest, common.select(F.explode("keys").alias("key"), "hub"), "key")
-        # keys without shingles in common have the empty hub
-        named = table(named.select("hub", "sig").distinct(), "hub-sets")
-        marks = small_join(named.join(self.sets, "sig"), common.select("hub", "common"), "hub").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+        own = table(rest.groupBy("sig").agg(F.sort_array(F.collect_set("key")).alias("keys")), "own-keys")
+        ties = own.select(F.explode("keys").alias("x"), F.get("keys", F.lit(0)).alias("y")).distinct()
+        hubs = self.components(ties, "hub-keys").select(F.col("sig").alias("key"), F.col("label").alias("hub"))
+        named = table(small_join(own.select(F.get("keys", F.lit(0)).alias("key"), "sig"), hubs, "key", "inner").select("hub", "sig"), "hub-sets")
+        crowded = table(named.groupBy("hub").agg(F.count("*").alias("crowded")), "hub-sizes")
+        some = small_join(named, crowded, "hub", "inner").where(F.shiftrightunsigned(F.xxhash64("sig"), 32) * F.col("crowded") < SAMPLE << 32)
+        some = table(some.select("hub", "sig"), "hub-samples")
+        taken = some.groupBy("hub").agg(F.count("*").alias("taken"))
+        often = some.join(self.sets, "sig").select("hub", F.explode("members").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("df"))
+        common = small_join(often, table(taken, "taken"), "hub", "inner").where(2 * F.col("df") > F.col("taken"))
+        common = table(common.groupBy("hub").agg(F.collect_list("shingle").alias("common")), "hubs")
+        # hubs without shingles in common are empty
+        marks = small_join(named.join(self.sets, "sig"), common, "hub").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
         other = F.concat(F.array_except("members", "common"), F.array_except("common", "members")).alias("other")
         marks = marks.select("hub", "sig", F.size("members").cast("long").alias("n"), other).withColumn("d", F.size("other").cast("long"))
         marks = table(marks.withColumn("f", up * F.col("d") - down * F.col("n")), "differ")
-        marks = small_join(marks, table(marks.groupBy("hub").agg(F.min("f").alias("least")), "least"), "hub")
-        each = marks.select("hub", "sig", "n", "d", "f", "least", F.explode("other").alias("shingle"))
-        often = each.groupBy(F.col("hub").alias("of"), F.col("shingle").alias("s")).agg(F.count("*").alias("df")).where("df > 1")
-        shared = each.join(often, F.col("hub").eqNullSafe(F.col("of")) & (F.col("shingle") == F.col("s")))
-        shared = shared.groupBy("hub", "sig", "n", "d", "f", "least").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
-        # differences that no other set has come first and join with nothing; a partner has the least f at least, and enough differences to share
-        fewest = F.greatest("least", F.col("f") - 1 - F.expr(f"{200 * down} * n div {self.percent}"))
-        needed = F.greatest(F.lit(1), F.ceil((F.col("f") + fewest) / (2 * up)))
-        length = (F.size("ordered") - needed + 1).cast("int")
-        listed = shared.withColumn("length", length).where("length > 0")
-        listed = listed.select("hub", "sig", "d", "f", F.size("ordered").alias("all"), F.posexplode(F.slice("ordered", F.lit(1), F.col("length"))).alias("at", "s"))
-        listed = listed.select("hub", "sig", "d", "f", (F.col("all") - F.col("at")).cast("long").alias("left"), "s.shingle")
-        return marks.drop("other"), table(listed, "listed")
-
-    def middle_pairs(self, marks: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
-        """(x, y) for each set and the one of least f of its hub, and of each difference that it lists, where labels differ.
-
-        Pairs as many as rows. Where f + f' is 0 or less, both sets link with their hub's middle, so those links are all found here.
+        return small_join(marks, table(marks.groupBy("hub").agg(F.min("f").alias("least")), "least"), "hub")
+
+    def listed(self, marks: DataFrame, labels: DataFrame) -> DataFrame:
+        """(hub, sig, d, f, left, shingle): the differences that a link may still rest on, of hubs whose sets have several labels.
+
+        The rarest of the hub come first: `left` counts those from it on. A set's partners have the least f of the hub at
+        least; if the set has the label of the hub's middle, they have another, and so an f of more than the middle's
+        with the sign turned, or they would be linked with it. Of those differences that other sets have too,
+        the set lists so many that any partner shares one of them.
+        """
+        up, down = 100 + self.percent, 100 - self.percent
+        rows = self.labelled(marks, labels)
+        middle = F.min_by("label", F.struct("f", F.xxhash64("sig"))).alias("middle")
+        apart = rows.groupBy("hub").agg(middle, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("hub", "middle")
+        rows = small_join(rows, self.scratch.table(apart, "hubs-apart"), "hub", "inner")
+        fewest = F.when(F.col("label") == F.col("middle"), F.greatest("least", 1 - F.col("least"))).otherwise(F.col("least"))
+        rows = rows.withColumn("fewest", F.greatest(fewest, F.col("f") - 1 - F.expr(f"{200 * down} * n div {self.percent}")))
+        rows = self.scratch.table(rows.where(2 * up * F.col("d") >= F.col("f") + F.col("fewest")).select("hub", "sig", "d", "f", "fewest", "other"), "differing")
+        each = rows.select("hub", "sig", "d", "f", "fewest", F.explode("other").alias("shingle"))
+        often = each.groupBy("hub", "shingle").agg(F.count("*").alias("df")).where("df > 1")
+        shared = each.join(often, ["hub", "shingle"]).groupBy("hub", "sig", "d", "f", "fewest").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
+        needed = F.greatest(F.lit(1), F.ceil((F.col("f") + F.col("fewest")) / (2 * up)))
+        shared = shared.withColumn("length", (F.size("ordered") - needed + 1).cast("int")).where("length > 0")
+        out = shared.select("hub", "sig", "d", "f", F.size("ordered").alias("all"), F.posexplode(F.slice("ordered", F.lit(1), F.col("length"))).alias("at", "s"))
+        return self.scratch.table(out.select("hub", "sig", "d", "f", (F.col("all") - F.col("at")).cast("long").alias("left"), "s.shingle"), "listed")
+
+    def middle_pairs(self, rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+        """(x, y) for each row and the one of least f of its keys, where labels differ and the two can link: pairs as many as rows.
+
+        By hub: where f + f' is 0 or less both sets link with their hub's middle, so those links are all found here.
         """
-        pairs = []
-        for k, (rows, keys) in enumerate(((marks, ["hub"]), (listed, ["hub", "shingle"]))):
-            rows = self.scratch.table(self.labelled(rows, labels), f"labelled-{k}")
-            # of several with that f each difference takes its own
-            middle = F.min_by(F.struct("sig", "label", "d", "f"), F.struct("f", F.xxhash64("sig", *keys[1:]))).alias("p")
-            middle = rows.groupBy(*keys).agg(middle).select(*keys, F.col("p.sig").alias("other"), F.col("p.label").alias("theirs"), F.col("p.d").alias("their_d"), F.col("p.f").alias("their_f"))
-            near = small_join(rows, self.scratch.table(middle, f"middle-{k}"), keys, "inner").where("label <> theirs")
-            near = near.where(self.enough(F.least("d", "their_d")))
-            pairs.append(near.select(F.least("sig", "other").alias("x"), F.greatest("sig", "other").alias("y")))
-        return pairs[0].union(pairs[1]).distinct()
+        name = "-".join(keys)
+        rows = self.scratch.table(self.labelled(rows, labels).select(*keys, "sig", "label", "d", "f"), f"labelled-{name}")
+        # of several with that f each difference takes its own
+        middle = F.min_by(F.struct("sig", "label", "d", "f"), F.struct("f", F.xxhash64("sig", *keys[1:]))).alias("p")
+        middle = rows.groupBy(*keys).agg(middle).select(*keys, F.col("p.sig").alias("other"), F.col("p.label").alias("theirs"), F.col("p.d").alias("their_d"), F.col("p.f").alias("their_f"))
+        near = small_join(rows, self.scratch.table(middle, f"middle-{name}"), keys, "inner").where("label <> theirs")
+        near = near.where(self.enough(F.least("d", "their_d")))
+        return near.select(F.least("sig", "other").alias("x"), F.greatest("sig", "other").alias("y")).distinct()
 
     def enough(self, most: Column) -> Column:
         """Whether two sets, of f and their_f, may link if they share so many differences at most."""
@@ -324,7 +340,9 @@ class Linker:
         named = table(linked.unionByName(copied.select("sig", F.col("rep").alias("component_id"), F.col("sig").alias("label"))).withColumn("named", F.lit(True)), "named")
         found = small_join(marks.drop("keys"), named, "sig")
         own = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
-        return found.withColumn("component_id", own).withColumn("label", F.coalesce("label", "sig")).drop("named")
+        found = table(found.withColumn("component_id", own).withColumn("label", F.coalesce("label", "sig")).drop("named"), "linked-rows")
+        self.scratch.keep("linked-rows")
+        return found
 
 
 def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
