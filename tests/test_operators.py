@@ -192,7 +192,7 @@ def test_regressions(spark):
 def test_vocabulary_of_all_lines(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").collect()
     words = {r.doc_id: sorted(set(re.findall("[A-Za-z]+", unicodedata.normalize("NFKC", r.text)))) for r in docs}
-    got = {r.doc_id: (r.n, r.digest) for r in scalars.t1_vocabulary_whole(spark, DIR).collect()}
+    got = {r.doc_id: (r.n, r.digest) for r in scalars.t1_vocabulary(spark, DIR).collect()}
     assert got == {k: (len(w), hashlib.md5(" ".join(w).encode()).hexdigest()) for k, w in words.items() if w}
 
 
@@ -214,7 +214,7 @@ def test_tables_of_all_words(spark):
         return html, gfm, hashlib.md5((html if spans else gfm).encode()).hexdigest()
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet").collect()
-    got = {r.doc_id: (r.html, r.gfm, r.rendered) for r in trees.x42_tables_whole(spark, DIR).collect()}
+    got = {r.doc_id: (r.html, r.gfm, r.rendered) for r in trees.x42_tables(spark, DIR).collect()}
     assert got == {r.doc_id: brute(r.doc_id, r.text) for r in docs}
 
 

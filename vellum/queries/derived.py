@@ -104,3 +104,14 @@ def markup(x: str) -> str:
     left, right = r"\\left([^a-zA-Z]|$)", r"\\right([^a-zA-Z]|$)"
     free = f"CASE WHEN {count(even, left)} <> {count(even, right)} THEN {gone(gone(even, left, r'\1'), right, r'\1')} ELSE {even} END"
     return f"(SELECT CASE WHEN contains(b, '&') THEN concat('$$', chr(10), chr(92), 'begin{{aligned}}', chr(10), b, chr(10), chr(92), 'end{{aligned}}', chr(10), '$$') ELSE concat('$$', chr(10), b, chr(10), '$$') END FROM (SELECT {free} AS b))".replace("{{", "{").replace("}}", "}")
+
+
+def displayed(x: str) -> str:
+    return f"concat('$$', chr(10), {x}, chr(10), '$$')"
+
+
+def unbalanced(x: str) -> str:
+    """How many display equations have unequal braces or delimiters; the derived blocks have no escaped braces."""
+    left, right = r"\\left([^a-zA-Z]|$)", r"\\right([^a-zA-Z]|$)"
+    body = rf"regexp_extract_all({x}, '(?ms)^\$\$\n(.*?)\n\$\$', 1)"
+    return f"CAST(coalesce(len(list_filter({body}, lambda b: {count('b', '[{]')} <> {count('b', '[}]')} OR {count('b', left)} <> {count('b', right)})), 0) AS INT)"

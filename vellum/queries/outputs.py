@@ -130,20 +130,19 @@ SELECT doc_id, pages, blocks, by_type, equations, backed AS equations_image_back
 def a11_signals(spark, sf_dir):
     r = rendered(spark, sf_dir)
     files = emit.files(r, ["doc_id"]).select("doc_id", F.concat(F.lit("d"), "doc_id").alias("source"), F.lit(1).alias("pages"), F.lit(0).alias("tables"), F.col("body").alias("markdown"))
-    return audit.signals(r, files).select("doc_id", "blocks", "dropped", "lossless", "eq_total", "eq_image_backed", "ocr_pages", "illegible", "ligature_residual", "illegible_table_rows")
+    return audit.signals(r, files).select("doc_id", "blocks", "dropped", "lossless", "eq_total", "eq_image_backed", "ocr_pages", "illegible", "ligature_residual", "unbalanced_eq", "illegible_table_rows")
 
 
 A11 = rf"""WITH {RENDERED_SQL}, md AS (SELECT doc_id, string_agg(coalesce(rendered, footnote), chr(10) || chr(10) ORDER BY seq) AS m FROM rendered WHERE coalesce(rendered, footnote) <> '' GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (status = 'dropped') AS dropped, true AS lossless, count(*) FILTER (type = 'equation') AS eq_total, count(*) FILTER (type = 'equation' AND crop_path IS NOT NULL) AS eq_image_backed, count(DISTINCT CASE WHEN ocr THEN page END) AS ocr_pages, count(*) FILTER (type IN {d.PROSE_SQL} AND bare <> '' AND bad) AS illegible FROM rendered GROUP BY doc_id)
-SELECT n.*, CAST(coalesce(len(regexp_extract_all(m, '{d.WORD} (?:ff|fi|fl|ffi|ffl) {d.WORD}')), 0) AS INT) AS ligature_residual, CAST(coalesce(len(list_filter(string_split(m, chr(10)), lambda x: starts_with(x, '|') AND {d.garbage('x')})), 0) AS INT) AS illegible_table_rows FROM n LEFT JOIN md USING (doc_id)"""
+SELECT n.*, CAST(coalesce(len(regexp_extract_all(m, '{d.WORD} (?:ff|fi|fl|ffi|ffl) {d.WORD}')), 0) AS INT) AS ligature_residual, {d.unbalanced('m')} AS unbalanced_eq, CAST(coalesce(len(list_filter(string_split(m, chr(10)), lambda x: starts_with(x, '|') AND {d.garbage('x')})), 0) AS INT) AS illegible_table_rows FROM n LEFT JOIN md USING (doc_id)"""
 
 
-def _run(spark, sf_dir, shift: int, whole: bool = False):
-    """A run's counts: without each tenth document, or of all documents and, in place of each tenth, one source of the run's own."""
+def _run(spark, sf_dir, shift: int):
+    """A run's counts of all documents and, in place of each tenth, one source of the run's own."""
     docs = d.table(spark, sf_dir, "documents")
-    tenth = (C("doc_id") + shift) % 10 == 0
     docs = docs.withColumn("name", F.concat(F.lit("d"), "doc_id"))
-    docs = docs.unionByName(docs.where(tenth).withColumn("name", F.concat(F.lit(f"only{shift}-"), "doc_id"))) if whole else docs.where(~tenth)
+    docs = docs.unionByName(docs.where((C("doc_id") + shift) % 10 == 0).withColumn("name", F.concat(F.lit(f"only{shift}-"), "doc_id")))
     n = [((C("doc_id") * (k + 2) + shift * k) % 3).alias(name) for k, name in enumerate(audit.INVARIANTS)]
     return docs.select(C("name").alias("source"), *n, ((C("doc_id") + shift) % 4 > 0).alias("lossless"))
 
@@ -152,62 +151,37 @@ def j14_regressions(spark, sf_dir):
     return audit.compare(_run(spark, sf_dir, 1), _run(spark, sf_dir, 0))
 
 
-def j14_regressions_whole(spark, sf_dir):
-    return audit.compare(_run(spark, sf_dir, 1, True), _run(spark, sf_dir, 0, True))
-
-
 def _run_sql(shift: int) -> str:
-    n = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS key, CAST((doc_id * {k + 2} + {shift * k}) % 3 AS BIGINT) AS v FROM documents WHERE (doc_id + {shift}) % 10 > 0" for k, name in enumerate(audit.INVARIANTS))
-    return f"{n} UNION ALL SELECT doc_id, 'lossless', CAST((doc_id + {shift}) % 4 > 0 AS BIGINT) FROM documents WHERE (doc_id + {shift}) % 10 > 0"
+    n = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS key, CAST((doc_id * {k + 2} + {shift * k}) % 3 AS BIGINT) AS v FROM documents" for k, name in enumerate(audit.INVARIANTS))
+    return f"{n} UNION ALL SELECT doc_id, 'lossless', CAST((doc_id + {shift}) % 4 > 0 AS BIGINT) FROM documents"
 
 
 J14 = f"""WITH cur AS ({_run_sql(1)}), base AS ({_run_sql(0)})
 SELECT concat('d', CAST(doc_id AS STRING)) AS source, 'regressed' AS verdict, key, base.v AS was, cur.v AS now FROM cur JOIN base USING (doc_id, key) WHERE CASE WHEN key = 'lossless' THEN cur.v < base.v ELSE cur.v > base.v END
-UNION ALL SELECT DISTINCT concat('d', CAST(doc_id AS STRING)), 'new', NULL, NULL::BIGINT, NULL::BIGINT FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM base)
-UNION ALL SELECT DISTINCT concat('d', CAST(doc_id AS STRING)), 'missing', NULL, NULL, NULL FROM base WHERE doc_id NOT IN (SELECT doc_id FROM cur)"""
-
-J14_WHOLE = f"""WITH cur AS ({_run_sql(1).replace(" WHERE (doc_id + 1) % 10 > 0", "")}), base AS ({_run_sql(0).replace(" WHERE (doc_id + 0) % 10 > 0", "")})
-SELECT concat('d', CAST(doc_id AS STRING)) AS source, 'regressed' AS verdict, key, base.v AS was, cur.v AS now FROM cur JOIN base USING (doc_id, key) WHERE CASE WHEN key = 'lossless' THEN cur.v < base.v ELSE cur.v > base.v END
 UNION ALL SELECT concat('only1-', CAST(doc_id AS STRING)), 'new', NULL, NULL::BIGINT, NULL::BIGINT FROM documents WHERE (doc_id + 1) % 10 = 0
 UNION ALL SELECT concat('only0-', CAST(doc_id AS STRING)), 'missing', NULL, NULL, NULL FROM documents WHERE doc_id % 10 = 0"""
 
 
 def f14_facts(spark, sf_dir):
-    return _facts(spark, sf_dir, False)
-
-
-def f14_facts_whole(spark, sf_dir):
     """All documents checked; labels without an output are rows of their own."""
-    return _facts(spark, sf_dir, True)
-
-
-def _facts(spark, sf_dir, whole: bool):
     docs = d.table(spark, sf_dir, "documents")
-    out = (docs if whole else docs.where("doc_id % 6 > 0")).select(F.concat(F.lit("d"), "doc_id").alias("source"), F.col("text").alias("markdown"), ((C("doc_id") % 10) / 10).alias("prose_legibility"), F.when(C("doc_id") % 2 == 0, "high").otherwise("low").alias("confidence"), (C("doc_id") % 4).alias("ocr_pages"))
+    out = docs.select(F.concat(F.lit("d"), "doc_id").alias("source"), F.col("text").alias("markdown"), ((C("doc_id") % 10) / 10).alias("prose_legibility"), F.when(C("doc_id") % 2 == 0, "high").otherwise("low").alias("confidence"), (C("doc_id") % 4).alias("ocr_pages"))
     named = docs.withColumn("source_name", F.concat(F.lit("d"), "doc_id"))
-    if whole:
-        named = named.unionByName(named.where("doc_id % 6 = 0").withColumn("source_name", F.concat(F.lit("gone"), "doc_id")))
+    named = named.unionByName(named.where("doc_id % 6 = 0").withColumn("source_name", F.concat(F.lit("gone"), "doc_id")))
     labels = named.select(C("source_name").alias("source"), F.array(F.lit("the"), F.lit(" de ")).alias("must_contain"), F.when(C("doc_id") % 2 == 0, F.array(F.lit("idiot"))).alias("must_not_contain"), F.lit(0.5).alias("min_legibility"), F.lit("high").alias("confidence"), F.when(C("doc_id") % 3 == 0, 2).alias("min_ocr_pages"))
     return audit.facts(out, labels)
 
 
 F14 = """WITH f AS (SELECT doc_id, 'contains the' AS fact, contains(text, 'the') AS p FROM documents UNION ALL SELECT doc_id, 'contains  de ', contains(text, ' de ') FROM documents UNION ALL SELECT doc_id, 'absent idiot', NOT contains(text, 'idiot') FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT doc_id, 'legibility >= 0.5', doc_id % 10 >= 5 FROM documents UNION ALL SELECT doc_id, 'confidence == high', doc_id % 2 = 0 FROM documents UNION ALL SELECT doc_id, 'ocr_pages >= 2', doc_id % 4 >= 2 FROM documents WHERE doc_id % 3 = 0)
-SELECT concat('d', CAST(doc_id AS STRING)) AS source, fact, CASE WHEN doc_id % 6 > 0 THEN p END AS passed FROM f"""
-
-F14_WHOLE = F14.replace("CASE WHEN doc_id % 6 > 0 THEN p END AS passed FROM f", "p AS passed FROM f UNION ALL SELECT concat('gone', CAST(doc_id AS STRING)), fact, NULL FROM f WHERE doc_id % 6 = 0")
+SELECT concat('d', CAST(doc_id AS STRING)) AS source, fact, p AS passed FROM f UNION ALL SELECT concat('gone', CAST(doc_id AS STRING)), fact, NULL FROM f WHERE doc_id % 6 = 0"""
 
 
 def a15_fact_totals(spark, sf_dir):
     return audit.totals(f14_facts(spark, sf_dir))
 
 
-def a15_fact_totals_whole(spark, sf_dir):
-    return audit.totals(f14_facts_whole(spark, sf_dir))
-
-
-A15 = f"WITH t AS ({F14.replace('WITH f AS', 'WITH f AS')}) SELECT count(*) FILTER (passed) AS passed, count(passed) AS total, CAST(floor(100 * count(*) FILTER (passed) / CAST(count(passed) AS DOUBLE)) AS BIGINT) AS percent FROM t"
-A15_WHOLE = A15.replace(F14, F14_WHOLE)
+A15 = f"WITH t AS ({F14}) SELECT count(*) FILTER (passed) AS passed, count(passed) AS total, CAST(floor(100 * count(*) FILTER (passed) / CAST(count(passed) AS DOUBLE)) AS BIGINT) AS percent FROM t"
 
 
 def a13_benchmark(spark, sf_dir):
@@ -238,5 +212,5 @@ def stream_windows(spark, sf_dir):
 
 STREAM = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"
 
-QUERIES = {f.__name__: f for f in (e4_rendered, e5_files, a1_coverage, a4_profile, a11_signals, j14_regressions, j14_regressions_whole, f14_facts, f14_facts_whole, a15_fact_totals, a15_fact_totals_whole, a13_benchmark, x41_similarity, e10_converted, stream_windows)}
-SQL = {"e4_rendered": E4, "e5_files": E5, "a1_coverage": A1, "a4_profile": A4, "a11_signals": A11, "j14_regressions": J14, "j14_regressions_whole": J14_WHOLE, "f14_facts": F14, "f14_facts_whole": F14_WHOLE, "a15_fact_totals": A15, "a15_fact_totals_whole": A15_WHOLE, "a13_benchmark": A13, "stream_windows": STREAM}
+QUERIES = {f.__name__: f for f in (e4_rendered, e5_files, a1_coverage, a4_profile, a11_signals, j14_regressions, f14_facts, a15_fact_totals, a13_benchmark, x41_similarity, e10_converted, stream_windows)}
+SQL = {"e4_rendered": E4, "e5_files": E5, "a1_coverage": A1, "a4_profile": A4, "a11_signals": A11, "j14_regressions": J14, "f14_facts": F14, "a15_fact_totals": A15, "a13_benchmark": A13, "stream_windows": STREAM}

@@ -90,11 +90,11 @@ SELECT doc_id, seq, tokens, agreement, CASE WHEN agreement < 0.9 THEN trim({d.go
 
 
 def x26_markup(spark, sf_dir):
-    rows = d.blocks(spark, sf_dir).where(C("text").contains("$"))
-    return rows.select("doc_id", "seq", e.markup(C("text")).alias("markup"), e.unbalanced(F.concat(F.lit("$$\n"), "text", F.lit("\n$$"))).alias("unbalanced"))
+    blocks = d.blocks(spark, sf_dir)
+    return blocks.select("doc_id", "seq", e.markup(C("text")).alias("markup"), e.unbalanced(F.concat(F.lit("$$\n"), "text", F.lit("\n$$"))).alias("unbalanced"))
 
 
-X26 = rf"WITH {d.BLOCKS_SQL} SELECT doc_id, seq, {d.markup('text')} AS markup, CAST(CASE WHEN {d.count('text', '[{]')} <> {d.count('text', '[}]')} OR {d.count('text', 'left')} <> {d.count('text', 'right')} THEN 1 ELSE 0 END AS INT) AS unbalanced FROM blocks WHERE contains(text, '$')".replace("count_", "count")
+X26 = rf"WITH {d.BLOCKS_SQL} SELECT doc_id, seq, {d.markup('text')} AS markup, {d.unbalanced(d.displayed('text'))} AS unbalanced FROM blocks"
 
 
 def x41_normalized(spark, sf_dir):
@@ -110,21 +110,13 @@ def _unwrapped(x: str) -> str:
 X41 = rf"WITH {d.BLOCKS_SQL} SELECT doc_id, seq, lower({d.gone('replace(replace(' + d.gone(_unwrapped(d.gone('text', r'\\tag\{[^}]*\}')), r'\\(sin|cos|tan|max|min|exp|log|ln)\b', r'\1') + ', concat(chr(92), ' + chr(39) + 'left' + chr(39) + '), ' + chr(39) * 2 + '), concat(chr(92), ' + chr(39) + 'right' + chr(39) + '), ' + chr(39) * 2 + ')', r'\\[,!;:> ]|\s+')}) AS normalized FROM blocks"
 
 
-def _vocabulary(pages):
-    return vocabulary.vocabulary(pages).select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
-
-
 def t1_vocabulary(spark, sf_dir):
-    """The ASCII lines alone, as in its SQL."""
-    return _vocabulary(d.blocks(spark, sf_dir).select("doc_id", "line").withColumnRenamed("line", "text").where(~C("text").rlike(r"[^\x00-\x7F]")))
-
-
-def t1_vocabulary_whole(spark, sf_dir):
-    """All lines; DuckDB has no compatibility folding, so no SQL."""
-    return _vocabulary(d.lines(spark, sf_dir).select("doc_id", C("line").alias("text")))
+    """The words of all lines. Its SQL has no compatibility folding, which leaves the letters of the tables as they are; a test has others."""
+    found = vocabulary.vocabulary(d.lines(spark, sf_dir).select("doc_id", C("line").alias("text")))
+    return found.select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
-T1 = rf"WITH {d.BLOCKS_SQL}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS word FROM blocks WHERE NOT regexp_matches(line, '[^\x00-\x7F]')) SELECT doc_id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY encode(word))) AS digest FROM w GROUP BY doc_id"
+T1 = rf"WITH lines AS ({d.LINES_SQL}), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS word FROM lines) SELECT doc_id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY encode(word))) AS digest FROM w GROUP BY doc_id"
 
 
 def x9_repaired(spark, sf_dir):
@@ -141,23 +133,23 @@ def s7_translated(spark, sf_dir):
     items = d.lines(spark, sf_dir).select("doc_id", "seq", F.concat(F.lit("#/texts/"), "seq").alias("item_id"), F.element_at(F.array(*map(F.lit, kinds)), (C("seq") % len(kinds) + 1).cast("int")).alias("label"), F.col("line").alias("text"), F.lit(1).alias("level"), prov.alias("prov"))
     out = translate.blocks(items)
     turned = translate.flipped(C("bbox"), F.when(C("seq") % 2 == 0, "TOPLEFT").otherwise("BOTTOMLEFT"), F.lit(800.0))
-    return out.select("doc_id", "seq", "block_id", "type", "page", turned["y0"].alias("y0"), turned["y1"].alias("y1"))
+    return out.select("doc_id", "seq", "block_id", "type", "text", "page", turned["y0"].alias("y0"), turned["y1"].alias("y1"))
 
 
 _KINDS = ", ".join(f"'{v}'" for v in [*translate.LABELS.values(), "other"])
-S7 = f"""WITH lines AS ({d.LINES_SQL}) SELECT doc_id, seq, concat('#/texts/', CAST(seq AS STRING)) AS block_id, [{_KINDS}][seq % {len(translate.LABELS) + 1} + 1] AS type, CAST(seq + 1 AS INT) AS page,
+S7 = f"""WITH lines AS ({d.LINES_SQL}) SELECT doc_id, seq, concat('#/texts/', CAST(seq AS STRING)) AS block_id, [{_KINDS}][seq % {len(translate.LABELS) + 1} + 1] AS type, line AS text, CAST(seq + 1 AS INT) AS page,
   CASE WHEN seq % 2 = 0 THEN 800.0e0 - 2 * seq ELSE 2.0e0 * seq END AS y0, CASE WHEN seq % 2 = 0 THEN 800.0e0 - 4 * seq ELSE 4.0e0 * seq END AS y1 FROM lines WHERE seq % 4 <> 0"""
 
 
 def x39_prompts(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("figure", "table", "equation", "ocr"))), (C("seq") % 4 + 1).cast("int"))
     png = C("line").cast("binary")
-    return d.lines(spark, sf_dir).select("doc_id", "seq", F.length(crops.prompt(kind, F.when(C("seq") % 2 == 0, "near"))).alias("prompt_length"), F.md5(crops.data_uri(png)).alias("uri"), crops.cache_key(crops.model_for(kind, "m", "o"), kind, png).alias("key"))
+    return d.lines(spark, sf_dir).select("doc_id", "seq", crops.prompt(kind, F.when(C("seq") % 2 == 0, "near")).alias("prompt"), F.md5(crops.data_uri(png)).alias("uri"), crops.cache_key(crops.model_for(kind, "m", "o"), kind, png).alias("key"))
 
 
-_LENGTHS = ", ".join(str(len(crops.PROMPTS[k])) for k in ("figure", "table", "equation", "ocr"))
+_PROMPTS = ", ".join("'" + crops.PROMPTS[k].replace("'", "''") + "'" for k in ("figure", "table", "equation", "ocr"))
 X39 = f"""WITH lines AS ({d.LINES_SQL}), k AS (SELECT *, ['figure', 'table', 'equation', 'ocr'][seq % 4 + 1] AS kind FROM lines)
-SELECT doc_id, seq, CAST([{_LENGTHS}][seq % 4 + 1] + CASE WHEN seq % 2 = 0 THEN 15 ELSE 0 END AS INT) AS prompt_length, md5(concat('data:image/png;base64,', base64(encode(line)))) AS uri,
+SELECT doc_id, seq, concat([{_PROMPTS}][seq % 4 + 1], CASE WHEN seq % 2 = 0 THEN concat(chr(10), chr(10), 'Context: near') ELSE '' END) AS prompt, md5(concat('data:image/png;base64,', base64(encode(line)))) AS uri,
   concat(CASE WHEN kind IN ('table', 'ocr') THEN 'o' ELSE 'm' END, ':', kind, ':', sha256(line)) AS key FROM k"""
 
 
@@ -174,5 +166,5 @@ w AS (SELECT *, r - l < 4 OR b - t < 4 AS tiny FROM s)
 SELECT doc_id, seq, CAST(trunc(CASE WHEN tiny THEN 0 ELSE l END * 2) AS INT) AS l, CAST(trunc(CASE WHEN tiny THEN 0 ELSE t END * 2) AS INT) AS t, CAST(trunc(CASE WHEN tiny THEN 600 ELSE r END * 2) AS INT) AS r, CAST(trunc(CASE WHEN tiny THEN 800 ELSE b END * 2) AS INT) AS b FROM w"""
 
 
-QUERIES = {f.__name__: f for f in (x11_legibility, f5_preformatted, f6_split_tests, x4_clean, x34_headings, x21_equations, x26_markup, x41_normalized, t1_vocabulary, t1_vocabulary_whole, x9_repaired, s7_translated, x39_prompts, r4_pixels)}
+QUERIES = {f.__name__: f for f in (x11_legibility, f5_preformatted, f6_split_tests, x4_clean, x34_headings, x21_equations, x26_markup, x41_normalized, t1_vocabulary, x9_repaired, s7_translated, x39_prompts, r4_pixels)}
 SQL = {"x11_legibility": X11, "f5_preformatted": F5, "f6_split_tests": F6, "x4_clean": X4, "x34_headings": X34, "x21_equations": X21, "x26_markup": X26, "x41_normalized": X41, "t1_vocabulary": T1, "s7_translated": S7, "x39_prompts": X39, "r4_pixels": R4}

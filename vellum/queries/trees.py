@@ -104,29 +104,14 @@ def _read_back(lines, width):
 
 
 def j8_regions(spark, sf_dir):
-    """The short lines alone, as in its SQL."""
-    return _read_back(d.lines(spark, sf_dir).where((F.length("line") > 0) & (F.length("line") <= 120)), F.lit(720.0))
-
-
-def j8_regions_whole(spark, sf_dir):
     """All lines with characters, in boxes as wide as they are."""
     return _read_back(d.lines(spark, sf_dir).where(F.length("line") > 0), F.length("line") * 6.0)
 
 
-J8 = f"WITH lines AS ({d.LINES_SQL}) SELECT doc_id, concat('#/texts/', CAST(seq AS STRING)) AS block_id, line AS reading, CAST(length(line) AS INT) AS n_marks, '' AS raised FROM lines WHERE length(line) BETWEEN 1 AND 120"
-J8_WHOLE = f"WITH lines AS ({d.LINES_SQL}) SELECT doc_id, concat('#/texts/', CAST(seq AS STRING)) AS block_id, line AS reading, CAST(length(line) AS INT) AS n_marks, '' AS raised FROM lines WHERE length(line) > 0"
+J8 = f"WITH lines AS ({d.LINES_SQL}) SELECT doc_id, concat('#/texts/', CAST(seq AS STRING)) AS block_id, line AS reading, CAST(length(line) AS INT) AS n_marks, '' AS raised FROM lines WHERE length(line) > 0"
 
 
 def cells(spark, sf_dir):
-    """A table of up to nine cells from each document's first words; in every fourth one the first cell spans two columns."""
-    words = d.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 9)).alias("k", "text"))
-    row, col = (C("k") / 3).cast("int"), (C("k") % 3).cast("int")
-    wide = (C("doc_id") % 4 == 0) & (C("k") == 0)
-    kept = words.where(~((C("doc_id") % 4 == 0) & (C("k") == 1)) & (C("k") % 7 != 5))
-    return kept.select("doc_id", F.lit("#/tables/0").alias("block_id"), row.alias("row"), col.alias("col"), F.lit(1).alias("row_span"), F.when(wide, 2).otherwise(1).alias("col_span"), ((row == 0) | ((C("doc_id") % 3 == 0) & (row == 1))).alias("header"), "text", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("bbox"))
-
-
-def cells_whole(spark, sf_dir):
     """All words of each document in a table of three columns. Every seventh place from the sixth on stays empty; in every fourth table the first cell spans two columns."""
     words = d.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("k", "text"))
     spans = C("doc_id") % 4 == 0
@@ -137,13 +122,7 @@ def cells_whole(spark, sf_dir):
 
 
 def x42_tables(spark, sf_dir):
-    """The first nine words, as in its SQL."""
-    sizes = d.table(spark, sf_dir, "documents").select("doc_id", F.lit("#/tables/0").alias("block_id"), F.lit(3).alias("num_rows"), F.lit(3).alias("num_cols"))
-    return _tables(cells(spark, sf_dir), sizes)
-
-
-def x42_tables_whole(spark, sf_dir):
-    found = cells_whole(spark, sf_dir)
+    found = cells(spark, sf_dir)
     return _tables(found, found.groupBy(*tb.KEY).agg((F.max("row") + 1).alias("num_rows"), F.lit(3).alias("num_cols")))
 
 
@@ -154,28 +133,23 @@ def _tables(found, sizes):
     return j.select("doc_id", "html", "gfm", F.md5(tb.rendered(C("spans"), C("html"), C("gfm"))).alias("rendered"))
 
 
-X42 = r"""WITH w AS (SELECT doc_id, CAST(g - 1 AS INT) AS k, parts[g] AS text FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ')[1:9] AS parts FROM documents), UNNEST(range(1, len(parts) + 1)) AS t(g)),
-cells AS (SELECT doc_id, k // 3 AS r, k % 3 AS c, CASE WHEN doc_id % 4 = 0 AND k = 0 THEN 2 ELSE 1 END AS span, k // 3 = 0 OR (doc_id % 3 = 0 AND k // 3 = 1) AS header, text FROM w WHERE NOT (doc_id % 4 = 0 AND k = 1) AND k % 7 <> 5),
-grid AS (SELECT d.doc_id, r.g AS r, c.g AS c, cells.text, coalesce(cells.header, false) AS header, cells.span, d.doc_id % 4 = 0 AND r.g = 0 AND c.g = 1 AND EXISTS (SELECT 1 FROM cells x WHERE x.doc_id = d.doc_id AND x.r = 0 AND x.c = 0) AS covered
-  FROM documents d CROSS JOIN UNNEST(range(0, 3)) AS r(g) CROSS JOIN UNNEST(range(0, 3)) AS c(g) LEFT JOIN cells ON cells.doc_id = d.doc_id AND cells.r = r.g AND cells.c = c.g),
+CELLS_SQL = """w AS (SELECT doc_id, CAST(g - 1 AS INT) AS k, parts[g] AS text FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS parts FROM documents), UNNEST(range(1, len(parts) + 1)) AS t(g)),
+nth AS (SELECT *, k + CASE WHEN doc_id % 4 = 0 AND k > 0 THEN 1 ELSE 0 END AS n FROM w),
+placed AS (SELECT *, n // 6 * 7 + CASE WHEN n % 6 = 5 THEN 6 ELSE n % 6 END AS place FROM nth),
+cells AS (SELECT doc_id, place // 3 AS r, place % 3 AS c, CASE WHEN doc_id % 4 = 0 AND k = 0 THEN 2 ELSE 1 END AS span, place // 3 = 0 OR (doc_id % 3 = 0 AND place // 3 = 1) AS header, text FROM placed)"""
+X42 = f"""WITH {CELLS_SQL},
+grid AS (SELECT s.doc_id, r.g AS r, c.g AS c, cells.text, coalesce(cells.header, false) AS header, cells.span, s.doc_id % 4 = 0 AND r.g = 0 AND c.g = 1 AS covered
+  FROM (SELECT doc_id, max(r) AS last FROM cells GROUP BY doc_id) s CROSS JOIN UNNEST(range(0, last + 1)) AS r(g) CROSS JOIN UNNEST(range(0, 3)) AS c(g) LEFT JOIN cells ON cells.doc_id = s.doc_id AND cells.r = r.g AND cells.c = c.g),
 rows AS (SELECT doc_id, r, string_agg(CASE WHEN covered THEN '' WHEN span IS NULL THEN '<td></td>' ELSE concat(CASE WHEN header THEN '<th' ELSE '<td' END, CASE WHEN span > 1 THEN ' colspan="2"' ELSE '' END, '>', text, CASE WHEN header THEN '</th>' ELSE '</td>' END) END, '' ORDER BY c) AS h,
   concat('| ', string_agg(coalesce(replace(text, '|', chr(92) || '|'), ''), ' | ' ORDER BY c), ' |') AS line, bool_or(header) AS head FROM grid GROUP BY doc_id, r),
-hrow AS (SELECT doc_id, CASE WHEN bool_or(head AND r = 0) AND bool_or(head AND r = 1) AND bool_or(head AND r = 2) THEN 2 WHEN bool_or(head AND r = 0) AND bool_or(head AND r = 1) THEN 1 ELSE 0 END AS hr FROM rows GROUP BY doc_id),
+hrow AS (SELECT doc_id, CASE WHEN bool_or(head AND r = 1) THEN 1 ELSE 0 END AS hr FROM rows GROUP BY doc_id),
 built AS (SELECT rows.doc_id, concat('<table><tbody>', string_agg(concat('<tr>', h, '</tr>'), '' ORDER BY r), '</tbody></table>') AS html,
-  concat(any_value(CASE WHEN r = hr THEN line END), chr(10), '|---|---|---|', chr(10), string_agg(CASE WHEN r <> hr THEN line END, chr(10) ORDER BY r)) AS gfm FROM rows JOIN hrow USING (doc_id) GROUP BY rows.doc_id)
-SELECT doc_id, html, gfm, md5(CASE WHEN EXISTS (SELECT 1 FROM cells x WHERE x.doc_id = built.doc_id AND x.span > 1) THEN html ELSE gfm END) AS rendered FROM built WHERE doc_id IN (SELECT doc_id FROM cells)"""
+  concat_ws(chr(10), any_value(CASE WHEN r = hr THEN line END), '|---|---|---|', string_agg(CASE WHEN r <> hr THEN line END, chr(10) ORDER BY r)) AS gfm FROM rows JOIN hrow USING (doc_id) GROUP BY rows.doc_id)
+SELECT doc_id, html, gfm, md5(CASE WHEN doc_id % 4 = 0 THEN html ELSE gfm END) AS rendered FROM built"""
 
 
 def x36_metadata(spark, sf_dir):
-    """The first 40 characters, as in its SQL."""
-    return _metadata(spark, sf_dir, F.substring("text", 1, 40))
-
-
-def x36_metadata_whole(spark, sf_dir):
-    return _metadata(spark, sf_dir, C("text"))
-
-
-def _metadata(spark, sf_dir, text):
+    text = C("text")
     docs = d.table(spark, sf_dir, "documents")
     first = docs.select("doc_id", F.lit(0).alias("seq"), F.lit("heading").alias("type"), F.lit(1).alias("page"), F.concat(F.lit(" Title "), "doc_id").alias("text"))
     body = F.concat(F.lit("doi 10.1234/ab"), "doc_id", F.lit("; in "), (C("doc_id") % 120 + 1900).cast("string"), F.lit(". "), text)
@@ -186,13 +160,11 @@ def _metadata(spark, sf_dir, text):
     return found.select("doc_id", "title", F.array_join("authors", "|").alias("authors"), "year", "doi")
 
 
-X36 = r"""WITH b AS (SELECT doc_id, concat('Title ', CAST(doc_id AS STRING)) AS head, concat(' Title ', CAST(doc_id AS STRING), chr(10), CASE WHEN doc_id % 3 > 0 THEN concat('doi 10.1234/ab', CAST(doc_id AS STRING), '; in ', CAST(doc_id % 120 + 1900 AS STRING), '. ', substr(text, 1, 40)) ELSE substr(text, 1, 40) END) AS page FROM documents),
+X36 = r"""WITH b AS (SELECT doc_id, concat('Title ', CAST(doc_id AS STRING)) AS head, concat(' Title ', CAST(doc_id AS STRING), chr(10), CASE WHEN doc_id % 3 > 0 THEN concat('doi 10.1234/ab', CAST(doc_id AS STRING), '; in ', CAST(doc_id % 120 + 1900 AS STRING), '. ', text) ELSE text END) AS page FROM documents),
 y AS (SELECT *, nullif(regexp_extract(page, '\b(?:19|20)[0-9]{2}\b'), '') AS first, CASE WHEN doc_id % 30 >= 7 THEN concat('20', lpad(CAST(doc_id % 30 AS STRING), 2, '0')) END AS pre FROM b)
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN head ELSE 'Own' END AS title, CASE WHEN doc_id % 2 = 0 THEN concat('A B|C|D', CAST(doc_id AS STRING)) END AS authors,
   CASE WHEN pre IS NOT NULL AND (first IS NULL OR pre > first) THEN pre ELSE first END AS year, nullif(regexp_extract(page, '10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+'), '') AS doi FROM y"""
 
-X36_WHOLE = X36.replace("substr(text, 1, 40)", "text")
-
 
 def versions_of(spark, sf_dir):
     return d.table(spark, sf_dir, "customer").select(C("c_custkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), (C("c_custkey") % 4 + 1).cast("int"))).alias("version")).withColumn("complete", (C("doc_id") * C("version")) % 3 != 0)
@@ -248,5 +220,5 @@ def s_text_blocks(spark, sf_dir):
 
 S_TEXT = rf"""WITH lines AS ({d.LINES_SQL}) SELECT doc_id, seq, concat('#/texts/', CAST(seq AS STRING)) AS block_id, CASE WHEN regexp_matches(line, '^\s*[-*•] ') THEN 'list' WHEN regexp_matches(line, '^\s*[0-9]+(\.[0-9]+)*\s+\p{{Lu}}') AND length(line) < 80 THEN 'heading' ELSE 'paragraph' END AS type, line AS text, CAST(seq // 40 + 1 AS INT) AS page, CAST(NULL AS INT) AS level FROM lines"""
 
-QUERIES = {f.__name__: f for f in (w1_sections, w3_section_of_block, w2_bookmark_tree, j7_section_by_page, e9_splits, w9_files, w4_heading_plan, j8_regions, j8_regions_whole, x42_tables, x42_tables_whole, x36_metadata, x36_metadata_whole, w13_pruned, w15_next_version, f9_crops, s_html_blocks, s_text_blocks)}
-SQL = {"w1_sections": W1, "w3_section_of_block": W3, "w2_bookmark_tree": W2, "j7_section_by_page": J7, "e9_splits": E9, "w9_files": W9, "w4_heading_plan": W4, "j8_regions": J8, "j8_regions_whole": J8_WHOLE, "x42_tables": X42, "x36_metadata": X36, "x36_metadata_whole": X36_WHOLE, "w13_pruned": W13, "w15_next_version": W15, "f9_crops": F9, "s_html_blocks": S_HTML, "s_text_blocks": S_TEXT}
+QUERIES = {f.__name__: f for f in (w1_sections, w3_section_of_block, w2_bookmark_tree, j7_section_by_page, e9_splits, w9_files, w4_heading_plan, j8_regions, x42_tables, x36_metadata, w13_pruned, w15_next_version, f9_crops, s_html_blocks, s_text_blocks)}
+SQL = {"w1_sections": W1, "w3_section_of_block": W3, "w2_bookmark_tree": W2, "j7_section_by_page": J7, "e9_splits": E9, "w9_files": W9, "w4_heading_plan": W4, "j8_regions": J8, "x42_tables": X42, "x36_metadata": X36, "w13_pruned": W13, "w15_next_version": W15, "f9_crops": F9, "s_html_blocks": S_HTML, "s_text_blocks": S_TEXT}
