@@ -12,7 +12,7 @@ from vellum.functions import equations as e
 from vellum.functions import headings as h
 from vellum.functions import repair
 from vellum.functions import text as t
-from vellum.operators import audit, coverage, crops, emit, enrich, glyphs, structure, versions
+from vellum.operators import audit, coverage, crops, emit, glyphs, structure, versions
 from vellum.operators import tables as tb
 from vellum.plans import convert
 from vellum.queries import scalars, trees
@@ -43,13 +43,6 @@ def test_text_clean_up(spark):
     assert one(spark, None, repair.normalize(F.col("text"))) == [None]
 
 
-def test_words_are_joined_only_to_known_words():
-    words = {"different", "Lowdin", "off", "the", "wdin", "of"}
-    assert repair.religature("di ff erent o ff the", words) == "different off the"
-    assert repair.religature("x ff y", words) == "x ff y"
-    assert repair.rejoin("Lo wdin of the", words) == "Lowdin of the"
-
-
 def test_scripts():
     water = [glyph("C", 0, 100, 8, 110), glyph("2", 8, 98, 12, 104), glyph("H", 12, 100, 20, 110)]
     assert glyphs.score(water) == " _ "
@@ -144,20 +137,6 @@ def test_links_skip_front_matter_and_fences():
     assert got == "---\ntitle: section 1.1\n---\nsee [section 1.1](#11-x) and section 7\n```\nsection 1.1\n```\n[Sect. 9.2](b.md#92-y)\n"
 
 
-def test_enriched_blocks(spark):
-    box = Row(x0=0.0, y0=0.0, x1=100.0, y1=10.0)
-    rows = [("d", 0, "a", "paragraph", "①②③④⑤⑥", 1, box, None), ("d", 1, "b", "equation", "xy", 1, box, None), ("d", 2, "c", "equation", "xy", 2, box, 0.8), ("d", 3, "e", "code", "①②③④", 1, box, None)]
-    blocks = spark.createDataFrame(rows, "doc_id string, seq int, block_id string, type string, text string, page int, bbox struct<x0:double,y0:double,x1:double,y1:double>, confidence double")
-    regions = spark.createDataFrame([("d", "a", "clean text", "          ", 0.0, "clean text"), ("d", "b", "ab cd ef", "        ", 0.0, "ab cd ef"), ("d", "e", "x = 1", "     ", 0.0, "x = 1\ny = 2 ")], "doc_id string, block_id string, reading string, marks string, disorder double, layout string")
-    words = spark.createDataFrame([("d", ["clean"])], "doc_id string, words array<string>")
-    scanned = spark.createDataFrame([("d", 2)], "doc_id string, page int")
-    got = {r.block_id: r for r in enrich.blocks(blocks, regions, words, scanned).collect()}
-    assert (got["a"].text, got["a"].text_source, got["a"].ocr) == ("clean text", "glyphs", False)
-    assert (got["b"].confidence, got["b"].text_layer, got["b"].ordered) == (0.0, "ab cd ef", True)
-    assert (got["c"].confidence, got["c"].ocr) == (0.0, True)
-    assert got["e"].text == "x = 1\ny = 2"
-
-
 def test_versions(spark):
     v = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 3, False), ("b", 1, False)], "doc_id string, version int, complete boolean")
     assert [tuple(r) for r in versions.latest(v).orderBy("doc_id").collect()] == [("a", 2, 3), ("b", None, 1)]

@@ -14,9 +14,14 @@ from pyspark.sql import types as T
 
 from vellum.functions import text as t
 
-# The Greek letters by name, upper case with a capital.
-GREEK = dict(zip("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split(), "αβγδεζηθικλμνξοπρστυφχψω", strict=True))
-GREEK |= {name.capitalize(): letter.upper() for name, letter in GREEK.items()}
+# The names of the Greek letters in fonts, and the one that Unicode spells otherwise.
+GREEK_NAMES = (
+    "alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu",
+    "nu", "xi", "omicron", "pi", "rho", "sigma", "tau", "upsilon", "phi", "chi", "psi", "omega",
+)
+UNICODE_NAMES = {"lambda": "lamda"}
+GREEK = {n: unicodedata.lookup(f"GREEK SMALL LETTER {UNICODE_NAMES.get(n, n)}") for n in GREEK_NAMES}
+GREEK |= {n.capitalize(): unicodedata.lookup(f"GREEK CAPITAL LETTER {UNICODE_NAMES.get(n, n)}") for n in GREEK_NAMES}
 GREEK_NAME = re.compile(r"/(" + "|".join(sorted(GREEK, key=len, reverse=True)) + r")(?:\d+|\b)")
 LIGATURE = re.compile(r"(\w+) (ff|ffi|ffl|fi|fl) (\w+)")
 SPLIT_WORD = re.compile(r"\b([A-Za-z]{2,}) +([a-z]{2,})\b")
@@ -73,7 +78,7 @@ def vocabulary_of(text: str) -> list[str]:
 vocabulary = mapped(vocabulary_of, T.ArrayType(T.StringType()))
 
 
-def religature(s: str, known: set[str]) -> str:
+def join_ligatures_once(s: str, known: set[str]) -> str:
     """Joins a ligature that stands alone to its neighbours where the vocabulary has the word."""
 
     def join(m: re.Match) -> str:
@@ -83,24 +88,18 @@ def religature(s: str, known: set[str]) -> str:
                 return form
         return m[0]
 
-    for _ in range(PASSES):
-        s, before = LIGATURE.sub(join, s), s
-        if s == before:
-            break
-    return s
+    return LIGATURE.sub(join, s)
 
 
-def rejoin(s: str, known: set[str]) -> str:
-    """Joins two pieces where the first is no word of the document and the whole is."""
-    return SPLIT_WORD.sub(lambda m: m[1] + m[2] if m[1] not in known and m[1] + m[2] in known else m[0], s)
+join_ligatures = mapped(lambda s, hits: join_ligatures_once(s, set(hits)))
 
 
-_repaired = mapped(lambda s, words: rejoin(religature(s, known := set(words if words is not None else ())), known))
+def join_split_words(s: str, good: set[tuple[str, str]]) -> str:
+    """Joins two pieces that are among the good ones: (first piece, whole)."""
+    return SPLIT_WORD.sub(lambda m: m[1] + m[2] if (m[1], m[1] + m[2]) in good else m[0], s)
 
 
-def repair_words(text: Column, vocabulary: Column) -> Column:
-    """Split ligatures, then split words; of texts that show none Python gets a null."""
-    return guarded(t.has_split_ligature(text) | t.has_split_word(text), text, _repaired, vocabulary)
+join_words = mapped(lambda s, good: join_split_words(s, {(x["left"], x["whole"]) for x in (good if good is not None else ())}))
 
 
 def transfer(s: str, glyphs: str, flags: list[str | None]) -> list[str | None]:

@@ -87,6 +87,19 @@ def has_split_word(text: Column) -> Column:
     return text.rlike(SPLIT_WORD)
 
 
+def ligature_forms(text: Column) -> Column:
+    """The words that a ligature standing alone would make with its neighbours: with both, with the left, with the right one."""
+    left, middle, right = (F.regexp_extract_all(text, F.lit(rf"({WORD}+) (ff|ffi|ffl|fi|fl) ({WORD}+)"), F.lit(k)) for k in (1, 2, 3))
+    forms = F.transform(F.arrays_zip(left.alias("l"), middle.alias("m"), right.alias("r")), lambda x: F.array(F.concat(x["l"], x["m"], x["r"]), F.concat(x["l"], x["m"]), F.concat(x["m"], x["r"])))
+    return F.array_distinct(F.flatten(forms))
+
+
+def split_words(text: Column) -> Column:
+    """Pairs (left, right) of ASCII words with spaces between, the right one in lower case, no word in two pairs."""
+    left, right = (F.regexp_extract_all(text, F.lit(rf"(?<!{WORD})([A-Za-z]{{2,}}) +([a-z]{{2,}})(?!{WORD})"), F.lit(k)) for k in (1, 2))
+    return F.array_distinct(F.arrays_zip(left.alias("left"), right.alias("right")))
+
+
 def expand_ligatures(text: Column) -> Column:
     for byte, letters in LIGATURE_BYTES:
         text = F.replace(text, F.lit(byte), F.lit(letters))

@@ -115,8 +115,63 @@ def transcribed(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     return j.withColumn("transcribed_source", F.when(take, "math OCR").otherwise(F.col("transcribed_source"))).withColumn("transcribed", F.when(take, F.col("said")).otherwise(F.col("transcribed"))).drop("said")
 
 
+def described(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Cropped blocks take a vision model's answers (doc_id, block_id, said): an equation without a transcription as that, another as its description."""
+    j = blocks.join(answers.select("doc_id", "block_id", "said"), ["doc_id", "block_id"], "left")
+    take = F.col("crop_path").isNotNull() & (F.col("said") != "")
+    hint = take & (F.col("type") == "equation") & F.col("transcribed").isNull()
+    j = j.withColumn("transcribed_source", F.when(hint, "vision model").otherwise(F.col("transcribed_source"))).withColumn("transcribed", F.when(hint, F.col("said")).otherwise(F.col("transcribed")))
+    return j.withColumn("description", F.when(take & (F.col("type") != "equation"), F.col("said")).otherwise(F.col("description"))).drop("said")
+
+
 def reread(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Scanned prose takes a vision model's reading where there is one."""
     j = blocks.join(answers.select("doc_id", "block_id", "said"), ["doc_id", "block_id"], "left")
     take = F.coalesce(F.col("said") != "", F.lit(False))
     return j.withColumn("text", F.when(take, F.col("said")).otherwise(F.col("text"))).withColumn("text_source", F.when(take, "vision-ocr").otherwise(F.col("text_source"))).drop("said")
+
+
+def asset(block_id: Column, page: Column) -> Column:
+    """Where a crop lies below its document's folder."""
+    name = F.translate(F.regexp_replace(block_id, "^[#/]+|[#/]+$", ""), "/", "_")
+    return F.concat(F.lit("assets/"), name, F.lit("_p"), page.cast("string"), F.lit(".png"))
+
+
+def rectangles(regions: DataFrame, pages: DataFrame, dpi: float, padding: float) -> DataFrame:
+    """(doc_id, block_id, crop_kind, page, left, top, right, bottom) in pixels of regions (doc_id, block_id, crop_kind, page, bbox), with pages (doc_id, page, width, height)."""
+    j = regions.join(pages, ["doc_id", "page"]).withColumn("_p", pixels(F.col("bbox"), F.col("width"), F.col("height"), dpi, padding))
+    return j.select("doc_id", "block_id", "crop_kind", "page", "_p.left", "_p.top", "_p.right", "_p.bottom")
+
+
+def shots(files: DataFrame, rects: DataFrame, open_file: Callable[[bytes], Callable[[int, tuple[int, int, int, int]], bytes]]) -> DataFrame:
+    """(doc_id, block_id, crop_kind, page, png, error) of rects (as `rectangles` gives them) and files (doc_id, content).
+
+    A document's file and its rectangles meet in one group, and the file is opened once: open_file(content) gives a function
+    from a page and a rectangle to a PNG, which may have a `close`. What fails, a crop or a whole file, is a row with `error`;
+    so are the rectangles of a document without a file. Of several files of one doc_id the first is taken, as their contents are the same.
+    """
+    names = ("left", "top", "right", "bottom")
+    kind = T.StructType([f for f in rects.schema.fields if f.name in ("doc_id", "block_id", "crop_kind", "page")] + [T.StructField("png", T.BinaryType()), T.StructField("error", T.StringType())])
+
+    def run(mine: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out, crop, failed = [], None, None
+        if len(mine) and not len(there):
+            failed = "no file"
+        elif len(mine):
+            try:
+                crop = open_file(bytes(there["content"].iloc[0]))
+            except Exception as e:  # one bad file must not end the run: its rows say what failed
+                failed = f"{type(e).__name__}: {e}"
+        for r in mine.sort_values("page").to_dict("records"):
+            png, error = None, failed
+            if crop is not None:
+                try:
+                    png = crop(int(r["page"]), tuple(int(r[n]) for n in names))
+                except Exception as e:  # as above, for one crop
+                    error = f"{type(e).__name__}: {e}"
+            out.append((*(r[n] for n in kind.names[:-2]), png, error))
+        if hasattr(crop, "close"):
+            crop.close()
+        return pd.DataFrame(out, columns=kind.names)
+
+    return rects.groupBy("doc_id").cogroup(files.select("doc_id", "content").groupBy("doc_id")).applyInPandas(run, kind)

@@ -2,80 +2,157 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import equations as e
 from vellum.functions import repair
 from vellum.functions import text as t
+from vellum.operators import glyphs as gl
 from vellum.operators import tables as tb
+from vellum.operators import vocabulary
+from vellum.sources.shared import Scratch
+
+#: What names a text or a box of a document; row and col are -1 but for cells, and kind says which text of the block it is.
+PLACE = ["doc_id", "kind", "block_id", "row", "col"]
+
+
+def placed(df: DataFrame, kind: str, *columns: Column | str) -> DataFrame:
+    """Rows of one kind under PLACE; those that are no cells have no row and col."""
+    at = ["row", "col"] if kind in ("cell", "cell-text") else [F.lit(-1).alias("row"), F.lit(-1).alias("col")]
+    return df.select("doc_id", F.lit(kind).alias("kind"), "block_id", *at, *columns)
+
+
+def of_kind(df: DataFrame, kind: str, *columns: Column | str) -> DataFrame:
+    return df.where(F.col("kind") == kind).select("doc_id", "block_id", *(["row", "col"] if kind in ("cell", "cell-text") else []), *columns)
 
 
-def blocks(blocks: DataFrame, regions: DataFrame, words: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Blocks after repair, with ocr, preformatted, text_source, text_layer and ordered.
+def prepared_blocks(blocks: DataFrame, regions: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Blocks with what their repair needs: `_text`, which is laid out, refilled or as it was, `_prose` where words and scripts follow.
 
-    regions: (doc_id, block_id, reading, marks, disorder, layout), layout being the reading with its line breaks; words:
-    (doc_id, words); scanned: (doc_id, page) without a text layer. On a page without one nothing can be checked: ocr is
-    set, and an equation with a box gets confidence 0. Code is read again from the layout. Prose that is laid out
-    becomes preformatted; other prose is refilled where it is garbage, its words are joined, and scripts are marked.
-    An equation is scored against the reading, which is kept where they disagree.
+    regions: (doc_id, block_id, reading, marks, disorder, layout), layout being the reading with its line breaks; scanned:
+    (doc_id, page) without a text layer.
     """
-    j = blocks.join(scanned.select("doc_id", "page", F.lit(True).alias("ocr")), ["doc_id", "page"], "left")
-    j = j.join(regions, ["doc_id", "block_id"], "left").join(words, "doc_id", "left")
-    ocr, boxed = F.coalesce(F.col("ocr"), F.lit(False)), F.col("bbox").isNotNull()
-    readable = ~ocr & boxed
-    text, reading, layout = F.col("text"), F.coalesce("reading", F.lit("")), F.coalesce("layout", F.lit(""))
-    laid = t.clean_preformatted(layout, repair.unglyph)
-    prose = readable & F.col("type").isin(*t.PROSE)
-    j = j.withColumn("preformatted", prose & t.is_preformatted(layout)).withColumn("refilled", t.refilled(text, reading))
-    repaired = repair.apply_scripts(repair.repair_words(F.col("refilled"), F.col("words")), reading, F.coalesce("marks", F.lit("")))
-    reread = readable & (F.col("type") == "code") & (F.length(laid) > 0) & ~t.is_garbage(laid)
-    equation = (F.col("type") == "equation") & boxed
-    j = j.withColumn("agreed", F.when(equation, e.agreement(text, reading)))
-    suspect = F.when(equation & readable, e.reading_below(F.col("agreed"), reading))
-    new = F.when(reread | F.col("preformatted"), laid).when(prose, repaired).otherwise(text)
-    confidence = F.when(equation & ocr, 0.0).when(equation, F.coalesce("agreed", "confidence")).otherwise(F.col("confidence"))
-    ordered = F.when(suspect.isNotNull(), t.is_clean(reading) & (F.coalesce("disorder", F.lit(0.0)) < e.SCRAMBLED_ABOVE))
-    source = F.when(prose & ~F.col("preformatted") & (F.col("refilled") != text), "glyphs")
-    kept = [c for c in blocks.columns if c not in ("text", "confidence")]
-    return j.select(*kept, new.alias("text"), confidence.alias("confidence"), ocr.alias("ocr"), "preformatted", source.alias("text_source"), repair.normalize(suspect).alias("text_layer"), ordered.alias("ordered"))
+    j = blocks.join(scanned.select("doc_id", "page", F.lit(True).alias("_scan")), ["doc_id", "page"], "left").join(regions, ["doc_id", "block_id"], "left")
+    ocr, boxed = F.coalesce(F.col("_scan"), F.lit(False)), F.col("bbox").isNotNull()
+    text, reading, laid = F.col("text"), F.coalesce("reading", F.lit("")), F.coalesce("layout", F.lit(""))
+    j = j.withColumns({"_ocr": ocr, "_reading": reading, "_laid": t.clean_preformatted(laid, repair.unglyph), "_normal": repair.normalize(reading)})
+    prose = ~F.col("_ocr") & boxed & F.col("type").isin(*t.PROSE)
+    j = j.withColumn("_pre", prose & t.is_preformatted(laid)).withColumn("_filled", t.refilled(text, F.col("_normal")))
+    reread = ~F.col("_ocr") & boxed & (F.col("type") == "code") & (F.length("_laid") > 0) & ~t.is_garbage(F.col("_laid"))
+    j = j.withColumn("_prose", prose & ~F.col("_pre"))
+    return j.withColumn("_text", F.when(reread | F.col("_pre"), F.col("_laid")).when(F.col("_prose"), F.col("_filled")).otherwise(text))
 
 
-def cells(cells: DataFrame, regions: DataFrame, words: DataFrame) -> DataFrame:
-    """Cells with `repaired` (for markdown) and `repaired_html`: refilled, rule pipes dropped, words joined, scripts marked.
+def finished_blocks(prepared: DataFrame, joined: DataFrame) -> DataFrame:
+    """Blocks after repair, with ocr, preformatted, text_source, text_layer and ordered; joined: (doc_id, block_id, text) of words joined.
 
-    regions: (doc_id, block_id, row, col, reading, marks) of cells with a box.
+    On a page without a text layer nothing can be checked: ocr is set, and an equation with a box gets confidence 0. Code is
+    read again from the layout. Prose that is laid out becomes preformatted; other prose is refilled where it is
+    garbage, its words are joined, and scripts are marked. An equation is scored against the reading, which is kept where they disagree.
     """
-    j = cells.join(regions, ["doc_id", "block_id", "row", "col"], "left").join(words, "doc_id", "left")
-    reading = F.coalesce("reading", F.lit(""))
-    filled = F.when(F.col("bbox").isNotNull(), t.refilled(F.col("text"), reading)).otherwise(F.col("text"))
-    tidy = F.when(filled != F.col("text"), t.drop_rule_pipes(filled)).otherwise(F.col("text"))
-    whole = repair.repair_words(tidy, F.col("words"))
-    marks = F.coalesce("marks", F.lit(""))
-    return j.select(*cells.columns, tb.markdown_cell(repair.apply_scripts(whole, reading, marks)).alias("repaired"), repair.apply_scripts(whole, reading, marks, escape=True).alias("repaired_html"))
+    j = prepared.join(joined.select("doc_id", "block_id", F.col("text").alias("_joined")), ["doc_id", "block_id"], "left")
+    ocr, reading = F.col("_ocr"), F.col("_reading")
+    scripted = repair.apply_scripts(F.coalesce("_joined", "_text"), reading, F.coalesce("marks", F.lit("")))
+    equation = (F.col("type") == "equation") & F.col("bbox").isNotNull()
+    j = j.withColumn("_agreed", F.when(equation & ~ocr, e.agreement(F.col("text"), reading)))
+    suspect = F.when(equation & ~ocr, e.reading_below(F.col("_agreed"), reading))
+    confidence = F.when(equation & ocr, 0.0).when(equation, F.coalesce("_agreed", "confidence")).otherwise(F.col("confidence"))
+    ordered = F.when(suspect.isNotNull(), t.is_clean(reading) & (F.coalesce("disorder", F.lit(0.0)) < e.SCRAMBLED_ABOVE))
+    source = F.when(F.col("_prose") & (F.col("_filled") != F.col("text")), "glyphs")
+    made = ("text", "confidence", "ocr", "preformatted", "text_source", "text_layer", "ordered", "reading", "marks", "disorder", "layout")
+    kept = [c for c in prepared.columns if c not in made and not c.startswith("_")]
+    new = F.when(F.col("_prose"), scripted).otherwise(F.col("_text"))
+    return j.select(*kept, new.alias("text"), confidence.alias("confidence"), ocr.alias("ocr"), F.col("_pre").alias("preformatted"), source.alias("text_source"), repair.normalize(suspect).alias("text_layer"), ordered.alias("ordered"))
+
+
+def prepared_cells(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """Cells with `_text`: refilled where garbage, and then without the pipes that stand for rules. regions: (doc_id, block_id, row, col, reading, marks)."""
+    j = cells.join(regions.select(*tb.KEY, "row", "col", "reading", "marks"), [*tb.KEY, "row", "col"], "left")
+    j = j.withColumn("_normal", repair.normalize(F.coalesce("reading", F.lit(""))))
+    filled = F.when(F.col("bbox").isNotNull(), t.refilled(F.col("text"), F.col("_normal"))).otherwise(F.col("text"))
+    j = j.withColumn("_filled", filled)
+    return j.withColumn("_text", F.when(F.col("_filled") != F.col("text"), t.drop_rule_pipes(F.col("_filled"))).otherwise(F.col("text")))
+
 
+def finished_cells(prepared: DataFrame, joined: DataFrame) -> DataFrame:
+    """Cells with `repaired` (for markdown) and `repaired_html`: words joined, scripts marked."""
+    j = prepared.join(joined.select(*tb.KEY, "row", "col", F.col("text").alias("_joined")), [*tb.KEY, "row", "col"], "left")
+    whole, reading, marks = F.coalesce("_joined", "_text"), F.coalesce("reading", F.lit("")), F.coalesce("marks", F.lit(""))
+    kept = [c for c in prepared.columns if not c.startswith("_") and c not in ("reading", "marks")]
+    return j.select(*kept, tb.markdown_cell(repair.apply_scripts(whole, reading, marks)).alias("repaired"), repair.apply_scripts(whole, reading, marks, escape=True).alias("repaired_html"))
 
-def tables(tables: DataFrame, cells: DataFrame, layouts: DataFrame, words: DataFrame) -> DataFrame:
-    """Tables (doc_id, block_id, num_rows, num_cols, has_spanning_cells, gfm, html) with their final markup.
 
-    layouts: (doc_id, block_id, layout). A table that is laid out by characters is kept as it stands. One with a
-    garbage cell or recovered scripts is built anew from its repaired cells (a spanning one in HTML alone);
-    others have their words joined.
+def finished_tables(tables: DataFrame, cells: DataFrame, layouts: DataFrame, scanned: DataFrame, joined: DataFrame) -> DataFrame:
+    """Tables (doc_id, block_id, page, num_rows, num_cols, has_spanning_cells, gfm, html) with their final markup, and `preformatted`.
+
+    cells: finished; layouts: (doc_id, block_id, layout); joined: (doc_id, kind, block_id, text), kinds gfm and html. A table that is
+    laid out by characters is kept as it stands. One with a garbage cell or recovered scripts, on a page with a text layer, is built anew
+    from its repaired cells (a spanning one in HTML alone); others have their words joined.
     """
     built = tb.grid(cells.withColumn("text", F.col("repaired_html")), tables)
     plain = tb.grid(cells.withColumn("text", F.col("repaired")), tables)
-    j = tables.join(layouts, tb.KEY, "left").join(tb.needs_rebuild(cells), tb.KEY, "left").join(words, "doc_id", "left")
+    j = tables.join(layouts.select(*tb.KEY, "layout"), tb.KEY, "left").join(tb.needs_rebuild(cells), tb.KEY, "left")
+    j = j.join(scanned.select("doc_id", "page", F.lit(True).alias("_scan")), ["doc_id", "page"], "left")
     j = j.join(tb.html(built).withColumnRenamed("html", "new_html"), tb.KEY, "left").join(tb.gfm(plain).withColumnRenamed("gfm", "new_gfm"), tb.KEY, "left")
-    layout = F.coalesce("layout", F.lit(""))
-    anew, spans = F.coalesce("rebuild", F.lit(False)), F.col("has_spanning_cells")
-    gfm = F.when(anew & spans, "").when(anew, F.col("new_gfm")).otherwise(repair.repair_words(F.col("gfm"), F.col("words")))
-    html = F.when(anew & spans, F.col("new_html")).when(anew, F.lit(None)).otherwise(repair.repair_words(F.col("html"), F.col("words")))
-    kept = [c for c in tables.columns if c not in ("gfm", "html")]
-    return j.select(*kept, gfm.alias("gfm"), html.alias("html"), F.when(t.is_preformatted(layout, pipes=True), t.clean_preformatted(layout, repair.unglyph)).alias("preformatted"))
-
-
-def figures(figures: DataFrame, regions: DataFrame, words: DataFrame) -> DataFrame:
-    """Figures with their captions refilled from the caption's own region and their words joined."""
-    j = figures.join(regions.select("doc_id", "block_id", "reading"), ["doc_id", "block_id"], "left").join(words, "doc_id", "left")
-    filled = F.when(F.col("caption_bbox").isNotNull() & F.col("reading").isNotNull(), t.refilled(F.col("caption"), F.col("reading"))).otherwise(F.col("caption"))
-    return j.withColumn("caption", repair.repair_words(filled, F.col("words"))).select(*figures.columns)
+    for kind in ("gfm", "html"):
+        j = j.join(of_kind(joined, kind, F.col("text").alias(f"joined_{kind}")), tb.KEY, "left")
+    readable, layout = F.col("_scan").isNull(), F.coalesce("layout", F.lit(""))
+    pre = readable & F.col("bbox").isNotNull() & t.is_preformatted(layout, pipes=True)
+    anew, spans = F.coalesce("rebuild", F.lit(False)) & readable & ~pre, F.coalesce("has_spanning_cells", F.lit(False))
+    gfm = F.when(anew & spans, "").when(anew, F.col("new_gfm")).when(pre, F.col("gfm")).otherwise(F.coalesce("joined_gfm", "gfm"))
+    html = F.when(anew & spans, F.col("new_html")).when(anew, F.lit(None)).when(pre, F.col("html")).otherwise(F.coalesce("joined_html", "html"))
+    kept = [c for c in tables.columns if c not in ("gfm", "html", "preformatted")]
+    return j.select(*kept, gfm.alias("gfm"), html.alias("html"), F.when(pre, t.clean_preformatted(layout, repair.unglyph)).alias("preformatted"))
+
+
+def prepared_figures(figures: DataFrame, regions: DataFrame) -> DataFrame:
+    """Figures with `_text`, the caption refilled from its own region (doc_id, block_id, reading) where it is garbage."""
+    j = figures.join(regions.select("doc_id", "block_id", "reading"), ["doc_id", "block_id"], "left").withColumn("_normal", repair.normalize(F.col("reading")))
+    refill = F.col("caption_bbox").isNotNull() & F.col("reading").isNotNull()
+    return j.withColumn("_text", F.when(refill, t.refilled(F.col("caption"), F.col("_normal"))).otherwise(F.col("caption"))).drop("reading", "_normal")
+
+
+def finished_figures(prepared: DataFrame, joined: DataFrame) -> DataFrame:
+    j = prepared.join(joined.select("doc_id", "block_id", F.col("text").alias("_joined")), ["doc_id", "block_id"], "left")
+    return j.withColumn("caption", F.coalesce("_joined", "_text")).drop("_joined", "_text")
+
+
+@dataclass
+class Enriched:
+    blocks: DataFrame
+    tables: DataFrame
+    figures: DataFrame
+    scanned: DataFrame
+
+
+def enrich(blocks: DataFrame, glyphs: DataFrame, scratch: Scratch, tables: DataFrame, cells: DataFrame, figures: DataFrame) -> Enriched:
+    """All repairs of blocks, tables, cells and figures against glyphs (doc_id, page, draw_idx, ch, l, b, r, t).
+
+    The glyphs are read once for the boxes of all kinds and once for the words of the pages; all texts go through one
+    repair of words. tables: (doc_id, block_id, page, bbox, num_rows, num_cols, has_spanning_cells, gfm, html); cells: (doc_id,
+    block_id, row, col, row_span, col_span, header, text, bbox); figures: (doc_id, block_id, page, caption, caption_bbox, ...).
+    Empty tables of any of these will do. scanned: the pages (doc_id, page) without a text layer.
+    """
+    shown = blocks.select("doc_id", "page").unionByName(tables.select("doc_id", "page")).unionByName(figures.select("doc_id", "page"))
+    scanned = scratch.table(gl.pages_without_text(shown, glyphs), "scanned")
+    boxes = placed(blocks, "block", "page", "bbox").unionByName(placed(tables, "table", "page", "bbox"))
+    boxes = boxes.unionByName(placed(cells.join(tables.select(*tb.KEY, "page"), tb.KEY), "cell", "page", "bbox"))
+    boxes = boxes.unionByName(placed(figures, "caption", "page", F.col("caption_bbox").alias("bbox")))
+    regions = scratch.table(gl.regions(boxes, glyphs, PLACE), "regions")
+    kinds = ("reading", "marks", "disorder", "layout")
+    b = scratch.table(prepared_blocks(blocks, of_kind(regions, "block", *kinds), scanned), "prepared-blocks")
+    c = scratch.table(prepared_cells(cells, of_kind(regions, "cell", "reading", "marks")), "prepared-cells")
+    f = scratch.table(prepared_figures(figures, of_kind(regions, "caption", "reading")), "prepared-figures")
+    texts = placed(b.where("_prose"), "block", F.col("_text").alias("text")).unionByName(placed(c, "cell-text", F.col("_text").alias("text")))
+    texts = texts.unionByName(placed(f, "caption", F.col("_text").alias("text"))).unionByName(placed(tables, "gfm", F.col("gfm").alias("text"))).unionByName(placed(tables, "html", F.col("html").alias("text")))
+    joined = vocabulary.repaired(texts, vocabulary.words(vocabulary.page_texts(glyphs)), scratch, PLACE)
+    done_cells = finished_cells(c, of_kind(joined, "cell-text", "text"))
+    return Enriched(
+        scratch.table(finished_blocks(b, of_kind(joined, "block", "text")), "blocks"),
+        scratch.table(finished_tables(tables, done_cells, of_kind(regions, "table", "layout"), scanned, joined), "tables"),
+        scratch.table(finished_figures(f, of_kind(joined, "caption", "text")), "figures"),
+        scanned,
+    )

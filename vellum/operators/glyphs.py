@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Shares of the cap height, letters that reach below the line, tolerances in points.
 SMALL, RAISED, LOWERED, DESCENDERS = 0.78, 0.28, 0.15, "gjpqy"
 MARGIN, ON_LINE, BAND = 1.0, 1.5, 3
+#: A fall to the next line of so many usual ones holds an empty line.
+EMPTY_LINE = 1.75
+#: Widths and heights of the grids' cells in points, and of how many cells a box takes a grid.
+GRID, MOST_CELLS = ((48.0, 24.0), (768.0, 384.0)), 64
 
 
 def lines(glyphs: list) -> list[list]:
@@ -67,24 +72,91 @@ def disorder(glyphs: list) -> float:
     return sum(abs(k - place) for place, k in enumerate(order)) / (n * n)
 
 
-@F.pandas_udf(T.StructType([T.StructField("marks", T.StringType()), T.StructField("disorder", T.DoubleType())]))
+def layout(glyphs: list) -> str:
+    """The printing glyphs as lines of text, each at its column.
+
+    Glyphs whose baselines lie within half the median height of the one above are one line; a gap of EMPTY_LINE times the usual
+    distance of lines or more holds an empty line. The column is the distance from the leftmost glyph in advances, or the next
+    free one; the advance is the median step from glyph to glyph, or, where most stand apart, the part of it that just holds a glyph. So a listing in a fixed pitch comes out as it stands; in other fonts words and lines stay apart.
+    """
+    solid = sorted((g for g in glyphs if g["ch"].strip()), key=lambda g: (-g["b"], g["l"]))
+    if not solid:
+        return ""
+    near = median(g["t"] - g["b"] for g in solid) / 2
+    rows: list[list] = []
+    for g in solid:
+        if not rows or rows[-1][0]["b"] - g["b"] > near:
+            rows.append([])
+        rows[-1].append(g)
+    for row in rows:
+        row.sort(key=lambda g: g["l"])
+    steps = [b["l"] - a["l"] for row in rows for a, b in itertools.pairwise(row) if b["l"] > a["l"]]
+    width = max(median(g["r"] - g["l"] for g in solid), 0.1)
+    step = median(steps) if steps else width
+    advance = step / max(1, int(step / width + 0.05))
+    falls = [a[0]["b"] - b[0]["b"] for a, b in itertools.pairwise(rows)]
+    usual, left, out = median(falls) if falls else 0.0, min(row[0]["l"] for row in rows), []
+    for k, row in enumerate(rows):
+        if k and falls[k - 1] > EMPTY_LINE * usual:
+            out.append("")
+        line = ""
+        for g in row:
+            line = line.ljust(round((g["l"] - left) / advance)) + g["ch"]
+        out.append(line)
+    return "\n".join(out)
+
+
+MEASURED = T.StructType([T.StructField("marks", T.StringType()), T.StructField("disorder", T.DoubleType()), T.StructField("layout", T.StringType())])
+
+
+@F.pandas_udf(MEASURED)
 def _measured(regions: pd.Series) -> pd.DataFrame:
-    rows = [("".join(map(score, lines(list(r)))), disorder(list(r))) if len(r) else ("", 0.0) for r in regions]
-    return pd.DataFrame(rows, columns=["marks", "disorder"])
+    rows = [("".join(map(score, lines(list(r)))), disorder(list(r)), layout(list(r))) if len(r) else ("", 0.0, "") for r in regions]
+    return pd.DataFrame(rows, columns=MEASURED.names)
+
+
+def _cells(level: int, x: Column, y: Column) -> list[Column]:
+    wide, high = GRID[level]
+    return [F.floor(x / wide).cast("int"), F.floor(y / high).cast("int")]
 
 
-def regions(blocks: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """(doc_id, block_id, reading, marks, disorder) for blocks (doc_id, block_id, page, bbox) with glyphs in them.
+def inside(boxes: DataFrame, glyphs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, draw_idx, ch, l, b, r, t): the glyphs whose centre lies in a box (keys, page, bbox), with MARGIN around.
 
-    A glyph belongs where its centre lies in the box, with MARGIN around. A join on (doc_id, page) with the
-    box as the rest of the condition; then one array for each block, which is no larger than a page.
+    keys hold doc_id. A page has grids of several widths of cell; a box takes the finest whose cells it meets few of, and
+    a glyph lies in one cell of each, so that glyphs meet only boxes nearby, and no box twice. A glyph belongs to all
+    boxes that hold it. Boxes of null, and glyphs without a place, are in none.
     """
-    box = blocks.where(F.col("bbox").isNotNull()).select("doc_id", "block_id", "page", "bbox")
+    sides = [F.least("bbox.x0", "bbox.x1") - MARGIN, F.greatest("bbox.x0", "bbox.x1") + MARGIN, F.least("bbox.y0", "bbox.y1") - MARGIN, F.greatest("bbox.y0", "bbox.y1") + MARGIN]
+    box = boxes.where(F.col("bbox").isNotNull()).select(*keys, "page", *[s.alias(n) for s, n in zip(sides, ("_x0", "_x1", "_y0", "_y1"), strict=True)])
+    spans, few = [], []
+    for level in range(len(GRID)):
+        (c0, r0), (c1, r1) = _cells(level, F.col("_x0"), F.col("_y0")), _cells(level, F.col("_x1"), F.col("_y1"))
+        spans.append(F.struct(F.lit(level).alias("level"), c0.alias("c0"), c1.alias("c1"), r0.alias("r0"), r1.alias("r1")))
+        few.append((c1 - c0 + 1).cast("long") * (r1 - r0 + 1) <= MOST_CELLS)
+    page = F.struct(F.lit(len(GRID)).alias("level"), *[F.lit(0).alias(n) for n in ("c0", "c1", "r0", "r1")])
+    chosen = page
+    for span, fits in reversed(list(zip(spans, few, strict=True))):
+        chosen = F.when(fits, span).otherwise(chosen)
+    box = box.withColumn("_at", chosen).select("*", F.explode(F.sequence("_at.c0", "_at.c1")).alias("_col")).select("*", F.explode(F.sequence("_at.r0", "_at.r1")).alias("_row"))
+    box = box.withColumn("_level", F.col("_at.level")).drop("_at")
     x, y = (F.col("l") + F.col("r")) / 2, (F.col("b") + F.col("t")) / 2
-    inside = x.between(F.least("bbox.x0", "bbox.x1") - MARGIN, F.greatest("bbox.x0", "bbox.x1") + MARGIN) & y.between(F.least("bbox.y0", "bbox.y1") - MARGIN, F.greatest("bbox.y0", "bbox.y1") + MARGIN)
-    hit = box.join(glyphs, ["doc_id", "page"]).where(inside)
-    found = hit.groupBy("doc_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("draw_idx", "ch", "l", "b", "r", "t"))).alias("region"))
-    return found.withColumn("m", _measured("region")).select("doc_id", "block_id", F.array_join(F.col("region.ch"), "").alias("reading"), "m.marks", "m.disorder")
+    cell = [F.struct(F.lit(k).alias("level"), *[c.alias(n) for c, n in zip(_cells(k, x, y), ("col", "row"), strict=True)]) for k in range(len(GRID))]
+    cell.append(F.struct(F.lit(len(GRID)).alias("level"), F.lit(0).alias("col"), F.lit(0).alias("row")))
+    placed = glyphs.where(x.isNotNull() & y.isNotNull()).select("doc_id", "page", "draw_idx", "ch", "l", "b", "r", "t", x.alias("_x"), y.alias("_y"), F.explode(F.array(*cell)).alias("_c"))
+    placed = placed.select("*", F.col("_c.level").alias("_level"), F.col("_c.col").alias("_col"), F.col("_c.row").alias("_row")).drop("_c")
+    met = box.join(placed, ["doc_id", "page", "_level", "_col", "_row"])
+    return met.where(F.col("_x").between(F.col("_x0"), F.col("_x1")) & F.col("_y").between(F.col("_y0"), F.col("_y1"))).select(*keys, "draw_idx", "ch", "l", "b", "r", "t")
+
+
+def regions(boxes: DataFrame, glyphs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, reading, marks, disorder, layout) for boxes (keys, page, bbox) with glyphs in them; keys are doc_id and block_id where not said.
+
+    One array for each box, which is no larger than a page.
+    """
+    keys = keys or ["doc_id", "block_id"]
+    found = inside(boxes, glyphs, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("draw_idx", "ch", "l", "b", "r", "t"))).alias("region"))
+    return found.withColumn("m", _measured("region")).select(*keys, F.array_join(F.col("region.ch"), "").alias("reading"), "m.*")
 
 
 def pages_without_text(blocks: DataFrame, glyphs: DataFrame) -> DataFrame:

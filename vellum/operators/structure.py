@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import headings as h
 from vellum.functions import text as t
+from vellum.sources.shared import Scratch
 
 SPLIT_PAGES, SPLIT_SECTIONS = 40, 2
 
@@ -57,6 +60,24 @@ def from_bookmarks(bookmarks: DataFrame) -> DataFrame:
     return out.select("doc_id", "seq", named.alias("section_id"), "parent_seq", "title", "depth", kind.alias("kind"), (F.col("page_index") + 1).alias("page_start"))
 
 
+def ancestry(sections: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sections (doc_id, seq, parent_seq, ...) with tree_depth, 1 for those below the root, and root_seq, the top one above.
+
+    Pointer doubling: each section knows an ancestor and how far it is; in each round it takes its ancestor's, so that
+    rounds are as many as the logarithm of the deepest section.
+    """
+    up = F.coalesce("parent_seq", "seq").alias("up")
+    now = scratch.table(sections.select("doc_id", "seq", up, F.col("parent_seq").isNotNull().cast("int").alias("steps")), "up-0")
+    for k in itertools.count(1):
+        above = now.select("doc_id", F.col("seq").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
+        step = now.join(above, ["doc_id", "up"]).select("doc_id", "seq", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("further") != F.col("up")).alias("moved"))
+        step = scratch.table(step, f"up-{k}")
+        now = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    return sections.join(now.select("doc_id", "seq", (F.col("steps") + 1).alias("tree_depth"), F.col("up").alias("root_seq")), ["doc_id", "seq"])
+
+
 def sections_by_page(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """Adds section_seq: sections are gone through in order up to the first that starts behind the block's page.
 

@@ -2,22 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import repair
 from vellum.functions import text as t
+from vellum.sources.shared import Scratch
+
+
+def _found(text: Column) -> Column:
+    """The ASCII words of a text, compatibility forms folded; plain texts stay in the JVM."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), repair.vocabulary(text)).otherwise(F.array_distinct(t.words(text)))
+
+
+def words(pages: DataFrame) -> DataFrame:
+    """(doc_id, word): the distinct words of all pages (doc_id, text)."""
+    return pages.select("doc_id", F.explode(_found(pages["text"])).alias("word")).distinct()
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
-    """(doc_id, words): distinct ASCII words of all pages, compatibility forms folded; plain pages stay in the JVM."""
-    found = F.when(pages["text"].rlike(r"[^\x00-\x7F]"), repair.vocabulary(pages["text"])).otherwise(F.array_distinct(t.words(pages["text"])))
-    return pages.select("doc_id", F.explode(found).alias("word")).groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
+    """(doc_id, words): the distinct words of all pages as one sorted array."""
+    return words(pages).groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words"))
+
+
+def page_texts(glyphs: DataFrame) -> DataFrame:
+    """(doc_id, page, text): each page's glyphs in drawing order."""
+    listed = glyphs.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("draw_idx", "ch"))).alias("g"))
+    return listed.select("doc_id", "page", F.array_join(F.col("g.ch"), "").alias("text"))
+
+
+def repaired(texts: DataFrame, known: DataFrame, scratch: Scratch, keys: list[str]) -> DataFrame:
+    """(keys, text) of the texts (keys, text) that change when split ligatures and split words are joined.
+
+    keys name a row once and hold doc_id; known: (doc_id, word), the words of each document, distinct. A join needs a word that the
+    document has, so what each text could become is put to the known words by a semi-join on (doc_id, word), and only
+    the hits come back to the text: no row ever carries a vocabulary. A joined ligature may be a piece of the next
+    one, so they go through in passes, of which each takes the texts that the one before changed; then split words, whose
+    first piece must not be a word. Null texts don't change.
+    """
+    text = F.col("text")
+    rows = texts.where(t.has_split_ligature(text) | t.has_split_word(text)).select(*keys, "text")
+    rows = scratch.table(rows, "candidates")
+    known = scratch.table(known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "word"), "known")
+    now, passes = rows.where(t.has_split_ligature(text)), []
+    for k in range(repair.PASSES):
+        asked = now.select(*keys, F.explode(t.ligature_forms(text)).alias("word"))
+        hits = asked.join(known, ["doc_id", "word"], "left_semi").groupBy(*keys).agg(F.collect_set("word").alias("hits"))
+        joined = now.join(hits, keys).withColumn("new", repair.join_ligatures(text, F.col("hits"))).where("new <> text")
+        changed = scratch.table(joined.select(*keys, F.col("new").alias("text")), f"pass-{k}")
+        if changed.isEmpty():
+            break
+        passes.append(changed.withColumn("at", F.lit(k)))
+        now = changed.where(t.has_split_ligature(text))
+    if passes:
+        last = functools.reduce(DataFrame.unionByName, passes).groupBy(*keys).agg(F.max_by("text", "at").alias("new"))
+        rows = scratch.table(rows.join(last, keys, "left").select(*keys, F.col("text").alias("was"), F.coalesce("new", "text").alias("text")), "joined")
+    else:
+        rows = rows.withColumn("was", text)
+    halves = rows.select(*keys, F.explode(t.split_words(text)).alias("s")).select(*keys, F.col("s.left").alias("left"), F.concat("s.left", "s.right").alias("whole"))
+    good = halves.join(known.withColumnRenamed("word", "whole"), ["doc_id", "whole"], "left_semi")
+    good = good.join(known.withColumnRenamed("word", "left"), ["doc_id", "left"], "left_anti")
+    good = good.groupBy(*keys).agg(F.collect_set(F.struct("left", "whole")).alias("good"))
+    whole = rows.join(good, keys, "left").withColumn("text", F.when(F.col("good").isNull(), text).otherwise(repair.join_words(text, F.col("good"))))
+    return scratch.table(whole.where("text <> was").select(*keys, "text"), "repaired")
 
 
-def repair_words(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """blocks with split ligatures and words joined again; a vocabulary is built only for documents with a candidate."""
-    shown = t.has_split_ligature(F.col("text")) | t.has_split_word(F.col("text"))
-    needed = blocks.where(shown).select("doc_id").distinct()
-    known = vocabulary(pages.join(needed, "doc_id", "left_semi"))
-    return blocks.join(known, "doc_id", "left").withColumn("text", repair.repair_words(F.col("text"), F.col("words"))).drop("words")
+def repair_words(blocks: DataFrame, pages: DataFrame, scratch: Scratch, keys: tuple[str, ...] = ("doc_id", "block_id")) -> DataFrame:
+    """blocks with split ligatures and words of their texts joined where the document's pages (doc_id, text) have the word."""
+    needed = blocks.where(t.has_split_ligature(F.col("text")) | t.has_split_word(F.col("text"))).select("doc_id").distinct()
+    known = words(pages.join(needed, "doc_id", "left_semi"))
+    new = repaired(blocks, known, scratch, list(keys)).withColumnRenamed("text", "_new")
+    return blocks.join(new, list(keys), "left").withColumn("text", F.coalesce("_new", "text")).drop("_new").select(*blocks.columns)

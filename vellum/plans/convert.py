@@ -1,15 +1,17 @@
-"""From blocks to files, coverage and profiles, lazily and keyed by doc_id throughout."""
+"""From blocks to files, coverage and profiles, keyed by doc_id throughout; and the whole way from an engine's results to outputs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-from vellum.operators import coverage, emit, structure
+from vellum.operators import bibliography, coverage, crops, emit, enrich, structure
 from vellum.operators import tables as tb
+from vellum.sources.config import Config
+from vellum.sources.shared import Scratch
 
 #: Columns that rendering reads, with their types, for blocks that don't have them.
 WANTED = {
@@ -17,6 +19,9 @@ WANTED = {
     "transcribed": "string", "transcribed_source": "string", "text_source": "string", "table_text": "string", "table_preformatted": "string", "has_table": "boolean", "asset_path": "string",
     "caption": "string", "figure_description": "string", "depth": "int", "base_depth": "int", "skip": "boolean", "merged": "string",
 }
+#: As much for documents.
+SAID = {"title": "string", "authors": "array<string>", "year": "string", "doi": "string", "file_name": "string", "page_count": "int", "engine_versions": "map<string,string>"}
+SECTION = ["doc_id", "seq", "section_id", "parent_seq", "title", "depth", "kind", "page_start"]
 
 
 @dataclass
@@ -25,10 +30,11 @@ class Result:
     files: DataFrame
     report: DataFrame
     profile: DataFrame
+    documents: DataFrame
 
 
-def complete(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumns({n: F.lit(None).cast(kind) for n, kind in WANTED.items() if n not in blocks.columns})
+def complete(rows: DataFrame, wanted: dict[str, str] = WANTED) -> DataFrame:
+    return rows.withColumns({n: F.lit(None).cast(kind) for n, kind in wanted.items() if n not in rows.columns})
 
 
 def with_tables(blocks: DataFrame, tables: DataFrame, figures: DataFrame | None = None) -> DataFrame:
@@ -41,37 +47,160 @@ def with_tables(blocks: DataFrame, tables: DataFrame, figures: DataFrame | None
     return out
 
 
-def convert(blocks: DataFrame, documents: DataFrame, rasters: DataFrame | None = None, bookmarks: DataFrame | None = None, label: str = emit.LABEL) -> Result:
-    """blocks (doc_id, seq, block_id, type, text, page, ...), documents (doc_id, title, page_count, file_name).
+def sectioned(blocks: DataFrame, documents: DataFrame, bookmarks: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks with section_seq and depth, sections, documents with section_source and split).
 
-    Documents with bookmarks take their sections from those, and split into one file for each top section when
-    they are long; others are one file, with sections from headings.
+    A document with bookmarks takes its sections from those, and blocks by their page; any other from its headings. The
+    depth of a heading block is that of the section it opens, which bookmarks have none of.
     """
-    blocks = complete(blocks)
-    titles = documents.select("doc_id", F.coalesce("title", F.lit("Document")).alias("doc_title"))
+    heads = structure.from_headings(blocks)
     if bookmarks is None:
-        placed = blocks.withColumn("file_no", F.lit(0)).join(titles, "doc_id", "left")
-        placed = placed.withColumn("title", F.col("doc_title")).withColumn("file_name", F.lit("document.md"))
+        marked = documents.select("doc_id").limit(0)
+        sections, placed = heads.select(*SECTION), structure.sections_of_blocks(blocks)
+        split = documents.select("doc_id", F.lit(False).alias("split"))
     else:
-        sections = structure.from_bookmarks(bookmarks)
-        split = structure.splits(sections, documents).select("doc_id", "split")
-        numbered = emit.file_numbers(structure.sections_by_page(blocks, sections), sections).join(split, "doc_id", "left").join(titles, "doc_id", "left")
-        apart = F.coalesce("split", F.lit(False))
-        placed = numbered.withColumn("file_no", F.when(apart, F.col("file_no")).otherwise(0)).withColumn("title", F.when(apart, F.col("file_title")).otherwise(F.col("doc_title")))
-        placed = placed.withColumn("file_name", F.when(apart, emit.file_name(F.col("file_no"), F.col("title"))).otherwise("document.md")).withColumn("base_depth", apart.cast("int"))
-    plan = structure.heading_plan(placed, ["doc_id", "file_name"]).select("doc_id", "block_id", F.col("skip").alias("_skip"), F.col("merged").alias("_merged"))
-    planned = placed.join(plan, ["doc_id", "block_id"], "left").withColumn("skip", F.col("_skip")).withColumn("merged", F.col("_merged")).drop("_skip", "_merged")
+        marked = bookmarks.select("doc_id").distinct()
+        marks = structure.from_bookmarks(bookmarks)
+        heads = heads.join(marked, "doc_id", "left_anti")
+        sections = marks.select(*SECTION).unionByName(heads.select(*SECTION))
+        by_page = structure.sections_by_page(blocks.join(marked, "doc_id", "left_semi"), marks)
+        placed = by_page.unionByName(structure.sections_of_blocks(blocks.join(marked, "doc_id", "left_anti")))
+        split = structure.splits(marks, documents).select("doc_id", "split")
+    depths = heads.select("doc_id", F.col("section_id").alias("block_id"), F.col("depth").alias("_depth"))
+    placed = placed.join(depths, ["doc_id", "block_id"], "left").withColumn("depth", F.coalesce("_depth", "depth")).drop("_depth")
+    has = heads.select("doc_id").distinct().withColumn("_heads", F.lit(True))
+    named = documents.join(marked.withColumn("_marks", F.lit(True)), "doc_id", "left").join(has, "doc_id", "left").join(split, "doc_id", "left")
+    source = F.when(F.col("_marks"), "bookmarks").when(F.col("_heads"), "heading_outline").otherwise("none")
+    return placed, sections, named.withColumn("section_source", source).withColumn("split", F.coalesce("split", F.lit(False))).drop("_marks", "_heads")
+
+
+def convert(blocks: DataFrame, documents: DataFrame, rasters: DataFrame | None = None, bookmarks: DataFrame | None = None, label: str = emit.LABEL, scratch: Scratch | None = None) -> Result:
+    """blocks (doc_id, seq, block_id, type, text, page, ...), documents (doc_id, title, page_count, file_name, ...).
+
+    Long documents with several top bookmarks become a file for each and one of contents; all others are one file, an
+    empty one where a document has no blocks. Blocks of documents that aren't in `documents` are in no file: the report has them as dropped.
+    With scratch, rendered blocks are written and read again, as files, report and profile all start from them.
+    """
+    blocks, documents = complete(blocks), complete(documents, SAID)
+    known = blocks.join(documents.select("doc_id"), "doc_id", "left_semi")
+    placed, sections, documents = sectioned(known, documents, bookmarks)
+    titles = documents.select("doc_id", F.coalesce("title", F.lit("Document")).alias("doc_title"), "split")
+    numbered = emit.file_numbers(placed, sections).join(titles, "doc_id")
+    apart = F.col("split")
+    numbered = numbered.withColumn("file_no", F.when(apart, F.col("file_no")).otherwise(0)).withColumn("title", F.when(apart, F.col("file_title")).otherwise(F.col("doc_title")))
+    numbered = numbered.withColumn("file_name", F.when(apart, emit.file_name(F.col("file_no"), F.col("title"))).otherwise("document.md")).withColumn("base_depth", apart.cast("int"))
+    plan = structure.heading_plan(numbered, ["doc_id", "file_name"]).select("doc_id", "block_id", F.col("skip").alias("_skip"), F.col("merged").alias("_merged"))
+    planned = numbered.join(plan, ["doc_id", "block_id"], "left").withColumn("skip", F.col("_skip")).withColumn("merged", F.col("_merged")).drop("_skip", "_merged")
     rendered = emit.render(planned, label)
-    keys = ["doc_id", "file_name", "title"]
-    bodies = emit.files(rendered, keys, rasters)
+    if scratch is not None:
+        rendered, documents = scratch.table(rendered, "rendered"), scratch.table(documents, "documents")
+        titles = documents.select("doc_id", F.coalesce("title", F.lit("Document")).alias("doc_title"), "split")
+    keys = ["doc_id", "file_no", "file_name", "title", "split"]
+    bare = titles.join(known.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("file_no"), F.lit("document.md").alias("file_name"), F.col("doc_title").alias("title"), F.lit(False).alias("split"), F.lit("").alias("body"))
+    bodies = emit.files(rendered, keys, rasters).unionByName(bare)
     head = F.coalesce("merged", F.trim("text"))
-    shown = rendered.where((F.col("type") == "heading") & F.col("rendered").isNotNull() & (F.col("status") == "emitted")).select("doc_id", "file_no", "file_name", "seq", head.alias("head"))
-    front = emit.front_matter(documents, [c for c in documents.columns if c != "embedded"])
-    written = bodies.join(front, "doc_id").select("doc_id", "file_name", emit.page(F.col("front"), F.col("title"), F.col("body")).alias("body"))
-    files = emit.linked(written, emit.section_map(shown))
-    report = coverage.report(rendered)
+    shown = rendered.where((F.col("type") == "heading") & F.col("rendered").isNotNull() & (F.col("status") == "emitted"))
+    shown = shown.select("doc_id", "file_no", "file_name", "seq", F.col("heading_level").alias("level"), head.alias("head"))
+    fields = emit.front_fields(documents, coverage.figures_of(known))
+    written = emit.with_front(bodies, fields, F.col("title"))
+    written = written.select("doc_id", "file_name", emit.page(F.col("front"), F.col("title"), F.col("body")).alias("body"))
+    listed = bodies.where("split").select("doc_id", "file_no", "file_name", F.col("title").alias("file_title")).join(shown, ["doc_id", "file_no", "file_name"], "left")
+    contents = emit.with_front(emit.index(listed).join(titles.select("doc_id", "doc_title"), "doc_id"), fields, F.lit("Contents"))
+    contents = contents.select("doc_id", F.lit("index.md").alias("file_name"), emit.page(F.col("front"), F.concat("doc_title", F.lit(" — Contents")), F.col("body")).alias("body"))
+    files = emit.linked(written, emit.section_map(shown)).unionByName(contents)
+    lost = coverage.unplaced(blocks, known.join(documents.select("doc_id"), "doc_id", "left_semi"))
+    report = coverage.report(rendered.unionByName(lost, allowMissingColumns=True))
     profile = coverage.profile(rendered, report, documents)
-    return Result(rendered, files, report, profile)
+    return Result(rendered, files, report, profile, documents)
+
+
+@dataclass
+class Source:
+    """What an engine gives for many documents; all but documents, blocks and glyphs may be left out.
+
+    documents: (doc_id, file_name, page_count, embedded MAP, ...); pages: (doc_id, page, width, height); files: (doc_id, content).
+    """
 
+    documents: DataFrame
+    blocks: DataFrame
+    glyphs: DataFrame
+    tables: DataFrame | None = None
+    cells: DataFrame | None = None
+    figures: DataFrame | None = None
+    bookmarks: DataFrame | None = None
+    pages: DataFrame | None = None
+    files: DataFrame | None = None
 
 
+@dataclass
+class Models:
+    """What is asked of models: open_file renders crops, transcribe reads equations (seams of crops.seam), describe answers prompts."""
+
+    open_file: Callable | None = None
+    transcribe: Callable | None = None
+    describe: Callable | None = None
+    known: DataFrame | None = None  # answers of earlier runs: (key, text)
+
+
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+TABLE = f"doc_id %s, block_id string, page int, bbox {BOX}, num_rows int, num_cols int, has_spanning_cells boolean, gfm string, html string"
+CELL = f"doc_id %s, block_id string, row int, col int, row_span int, col_span int, header boolean, text string, bbox {BOX}"
+FIGURE = f"doc_id %s, block_id string, page int, bbox {BOX}, caption string, caption_bbox {BOX}"
+
+
+def run(source: Source, scratch: Scratch, config: Config | None = None, models: Models | None = None) -> Result:
+    """The whole conversion: repair against glyphs, scanned prose read again, metadata, crops, transcriptions, descriptions, files.
+
+    Each step that a missing part or model would need is left out. Answers come before metadata and structure where they
+    replace text, and transcriptions before descriptions, which don't override them.
+    """
+    config, models, spark = config or Config(), models or Models(), source.blocks.sparkSession
+    key = dict(source.blocks.dtypes)["doc_id"]
+    tables, cells, figures = (df if df is not None else spark.createDataFrame([], kind % key) for df, kind in ((source.tables, TABLE), (source.cells, CELL), (source.figures, FIGURE)))
+    blocks, figures = source.blocks, complete(figures, {"asset_path": "string", "description": "string"})
+    if config.enrich:
+        found = enrich.enrich(blocks, source.glyphs, scratch, tables, cells, figures)
+        blocks, tables, figures = found.blocks, found.tables, found.figures
+    blocks, tables = complete(blocks), complete(tables, {"preformatted": "string"})
+    shooting = models.open_file is not None and source.files is not None and source.pages is not None
+    cache = models.known if models.known is not None else spark.createDataFrame([], "key string, text string")
+
+    def taken(regions: DataFrame, name: str) -> DataFrame:
+        rects = crops.rectangles(regions, source.pages, config.crop_dpi, config.crop_padding)
+        return scratch.table(crops.shots(source.files, rects, models.open_file), name)
+
+    def asked(pictures: DataFrame, contexts: DataFrame, name: str) -> DataFrame:
+        rows = pictures.where("png IS NOT NULL").join(contexts, ["doc_id", "block_id"]).select("doc_id", "block_id", "crop_kind", "context", "png")
+        said, _ = crops.describe(rows, cache, models.describe, config.model or "model", config.ocr_model)
+        return scratch.table(said.where("said IS NOT NULL").select("doc_id", "block_id", "said"), name)
+
+    if shooting and models.describe is not None:
+        prose = crops.scanned_prose(blocks).withColumn("crop_kind", F.lit("ocr"))
+        answers = asked(taken(prose, "ocr-shots"), prose.select("doc_id", "block_id", F.lit("").alias("context")), "ocr-answers")
+        blocks = scratch.table(crops.reread(blocks, answers), "reread")
+    documents = source.documents
+    said = bibliography.metadata(blocks, complete(documents, {"embedded": "map<string,string>", "file_name": "string"}))
+    documents = documents.drop("title", "authors", "year", "doi", "embedded").join(said, "doc_id", "left")
+    if shooting:
+        shown = figures.where("bbox IS NOT NULL").select("doc_id", "block_id", F.lit("figure").alias("crop_kind"), "page", "bbox")
+        rendered = tables.where((F.trim(F.coalesce("gfm", F.lit(""))) != "") | F.col("html").isNotNull())
+        wanted = crops.to_crop(blocks, rendered).select("doc_id", "block_id", "crop_kind", "page", "bbox").unionByName(shown)
+        pictures = taken(wanted, "shots")
+        good = pictures.where("png IS NOT NULL").withColumn("path", crops.asset(F.col("block_id"), F.col("page")))
+        cropped = good.where("crop_kind <> 'figure'").select("doc_id", "block_id", F.col("path").alias("_path"))
+        blocks = blocks.join(cropped, ["doc_id", "block_id"], "left").withColumn("crop_path", F.coalesce("_path", "crop_path")).drop("_path")
+        seen = good.where("crop_kind = 'figure'").select("doc_id", "block_id", F.col("path").alias("_path"))
+        figures = figures.join(seen, ["doc_id", "block_id"], "left").withColumn("asset_path", F.coalesce("_path", "asset_path")).drop("_path")
+        if models.transcribe is not None:
+            equations = good.where("crop_kind = 'equation'")
+            answers = equations.select("doc_id", "block_id", models.transcribe("png", F.lit("")).alias("said")).where("said IS NOT NULL")
+            blocks = crops.transcribed(blocks, scratch.table(answers, "transcriptions"))
+        if models.describe is not None:
+            context = blocks.select("doc_id", "block_id", F.coalesce("text", F.lit("")).alias("context")).join(figures.select("doc_id", "block_id"), ["doc_id", "block_id"], "left_anti")
+            context = context.unionByName(figures.select("doc_id", "block_id", F.coalesce("caption", F.lit("")).alias("context")))
+            untold = good.join(blocks.where("transcribed IS NOT NULL").select("doc_id", "block_id"), ["doc_id", "block_id"], "left_anti")
+            answers = asked(untold, context, "descriptions")
+            blocks = crops.described(blocks, answers)
+            figures = figures.join(answers, ["doc_id", "block_id"], "left").withColumn("description", F.coalesce("said", "description")).drop("said")
+    blocks = scratch.table(with_tables(blocks, tables, figures), "rendering")
+    return convert(blocks, documents, None, source.bookmarks, config.label, scratch)

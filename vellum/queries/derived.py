@@ -6,7 +6,7 @@ doc_id and line number. Every document and every line takes part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The expressions are SQL that both engines read alike: no backslashes in strings, no negative operands of %.
@@ -40,6 +40,28 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).selectExpr("doc_id", "seq", "line", *[f"{e} AS {n}" for n, e in BLOCK.items()])
 
 
+PITCH, LEADING = 6.0, 15.0
+
+
+def glyphs_of(texts: DataFrame, line: str = "text") -> DataFrame:
+    """(doc_id, page, draw_idx, ch, l, b, r, t) of texts (doc_id, page, seq, line, top): a glyph for each character, in a fixed pitch.
+
+    The lines of a text stand below each other from `top` on; seq orders texts by drawing.
+    """
+    rows = texts.select("doc_id", "page", "seq", "top", F.posexplode(F.split(line, "\n")).alias("_n", "_line")).where("_line <> ''")
+    each = rows.select("doc_id", "page", "seq", "_n", (F.col("top") - F.col("_n") * LEADING).alias("b"), F.posexplode(F.split("_line", "")).alias("k", "ch"))
+    at = F.col("k").cast("double") * PITCH
+    order = (F.col("seq").cast("long") * 1000 + F.col("_n")) * 10_000_000 + F.col("k")
+    return each.select("doc_id", "page", order.alias("draw_idx"), "ch", at.alias("l"), "b", (at + PITCH).alias("r"), (F.col("b") + 10).alias("t"))
+
+
+def box_of(line: str = "text") -> Column:
+    """The box of such a text, as wide as its longest line."""
+    parts = F.split(line, "\n")
+    wide = F.array_max(F.transform(parts, lambda x: F.length(x))) * PITCH
+    return F.struct(F.lit(0.0).alias("x0"), (F.col("top") - (F.size(parts) - 1) * LEADING).alias("y0"), wide.alias("x1"), (F.col("top") + 10).alias("y1"))
+
+
 # What DuckDB's regular expressions lack is written out: no lookaround, ASCII word characters.
 WORD = r"[\p{L}\p{N}_]"
 

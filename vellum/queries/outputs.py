@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
-from vellum.operators import audit, coverage, emit, structure
+from vellum.operators import audit, coverage, emit, enrich, structure
 from vellum.plans import convert
 from vellum.queries import derived as d
+from vellum.queries import trees
+from vellum.sources.shared import Scratch
 from vellum.streaming import dropfolder
 
 C = F.col
@@ -200,6 +202,45 @@ def x41_similarity(spark, sf_dir):
     return audit.similarity(labels, own).select("source", "block_id", "engine_ratio", "transcribed_ratio", "winner")
 
 
+def a6_front_figures(spark, sf_dir):
+    """What front matter says of each document's blocks, with its scanned pages in order."""
+    found = coverage.figures_of(convert.complete(d.blocks(spark, sf_dir)))
+    return found.select("doc_id", "equations", "equations_image_backed", "illegible_prose", "ocr_pages", F.array_join("scanned_pages", ",").alias("scanned_pages"))
+
+
+A6 = rf"""WITH {d.BLOCKS_SQL}, pages AS (SELECT doc_id, string_agg(CAST(page AS STRING), ',' ORDER BY page) AS listed FROM (SELECT DISTINCT doc_id, page FROM blocks WHERE ocr) GROUP BY doc_id)
+SELECT doc_id, count(*) FILTER (type = 'equation') AS equations, count(*) FILTER (type = 'equation' AND crop_path IS NOT NULL) AS equations_image_backed, count(*) FILTER (type IN {d.PROSE_SQL} AND regexp_matches(text, '\S') AND {d.garbage('text')}) AS illegible_prose,
+  count(DISTINCT CASE WHEN ocr THEN page END) AS ocr_pages, coalesce(any_value(listed), '') AS scanned_pages FROM blocks LEFT JOIN pages USING (doc_id) GROUP BY doc_id"""
+
+
+def engine_source(spark, sf_dir):
+    """All lines as an engine gives them: damaged blocks with boxes, and the glyphs of what stands on the page; scans have none.
+
+    A block of several lines stands on the page as it is, so that it is laid out; the first of them is its line otherwise.
+    """
+    many = C("text").contains("\n")
+    b = d.blocks(spark, sf_dir).withColumn("shown", F.when(many, C("text")).otherwise(C("line"))).withColumn("top", 800.0 - (C("seq") % 5) * 100.0)
+    b = b.withColumn("bbox", F.when(F.length("shown") > 0, d.box_of("shown"))).withColumn("text", F.when(many, F.regexp_replace("text", "\n", " ")).otherwise(C("text")))
+    glyphs = d.glyphs_of(b.where("NOT ocr").withColumn("text", C("shown")))
+    return b.drop("ocr", "top", "shown", "line", "crop_path"), glyphs
+
+
+def e1_enriched(spark, sf_dir):
+    """All blocks repaired against their glyphs: code and listings laid out, garbage refilled, words joined, equations scored. Python, no SQL."""
+    blocks, glyphs = engine_source(spark, sf_dir)
+    none = [spark.createDataFrame([], kind % "long") for kind in (convert.TABLE, convert.CELL, convert.FIGURE)]
+    done = enrich.enrich(blocks, glyphs, Scratch(spark, "e1"), *none).blocks
+    return done.select("doc_id", "seq", "type", "text", "confidence", "ocr", "preformatted", "text_source", "text_layer", "ordered")
+
+
+def e10_enriched(spark, sf_dir):
+    """The whole conversion of such blocks: files with front matter, contents and links, by document. Python writes the YAML, no SQL."""
+    blocks, glyphs = engine_source(spark, sf_dir)
+    docs = d.table(spark, sf_dir, "documents").select("doc_id", (C("doc_id") % 80 + 1).cast("int").alias("page_count"), F.concat(F.lit("in/d"), "doc_id", F.lit(".pdf")).alias("file_name"))
+    marks = trees.bookmarks(spark, sf_dir).where("doc_id % 2 = 0")
+    return convert.run(convert.Source(docs, blocks, glyphs, bookmarks=marks), Scratch(spark, "e10")).files
+
+
 def e10_converted(spark, sf_dir):
     """The whole conversion: files with front matter and links, by document; Python writes the YAML, no SQL."""
     docs = d.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Document "), "doc_id").alias("title"), F.lit(1).alias("page_count"), F.concat(F.lit("d"), "doc_id").alias("file_name"))
@@ -212,5 +253,5 @@ def stream_windows(spark, sf_dir):
 
 STREAM = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"
 
-QUERIES = {f.__name__: f for f in (e4_rendered, e5_files, a1_coverage, a4_profile, a11_signals, j14_regressions, f14_facts, a15_fact_totals, a13_benchmark, x41_similarity, e10_converted, stream_windows)}
-SQL = {"e4_rendered": E4, "e5_files": E5, "a1_coverage": A1, "a4_profile": A4, "a11_signals": A11, "j14_regressions": J14, "f14_facts": F14, "a15_fact_totals": A15, "a13_benchmark": A13, "stream_windows": STREAM}
+QUERIES = {f.__name__: f for f in (e4_rendered, e5_files, a1_coverage, a4_profile, a11_signals, j14_regressions, f14_facts, a15_fact_totals, a13_benchmark, x41_similarity, a6_front_figures, e1_enriched, e10_converted, e10_enriched, stream_windows)}
+SQL = {"e4_rendered": E4, "e5_files": E5, "a1_coverage": A1, "a4_profile": A4, "a11_signals": A11, "j14_regressions": J14, "f14_facts": F14, "a15_fact_totals": A15, "a13_benchmark": A13, "a6_front_figures": A6, "stream_windows": STREAM}

@@ -10,6 +10,7 @@ from vellum.functions import repair
 from vellum.functions import text as t
 from vellum.operators import crops, translate, vocabulary
 from vellum.queries import derived as d
+from vellum.sources.shared import Scratch
 
 C = F.col
 
@@ -123,7 +124,8 @@ def x9_repaired(spark, sf_dir):
     """Split ligatures and words joined where the document's own lines have the word: Python, no SQL."""
     blocks = d.blocks(spark, sf_dir)
     pages = d.lines(spark, sf_dir).select("doc_id", F.col("line").alias("text")).unionByName(blocks.select("doc_id", F.lit("different lowdin").alias("text")).distinct())
-    return vocabulary.repair_words(blocks, pages).select("doc_id", "seq", repair.normalize(C("text")).alias("text"))
+    done = vocabulary.repair_words(blocks, pages, Scratch(spark, "x9"))
+    return done.select("doc_id", "seq", repair.normalize(C("text")).alias("text"))
 
 
 def s7_translated(spark, sf_dir):

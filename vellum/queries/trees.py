@@ -8,6 +8,7 @@ from vellum.operators import bibliography, crops, emit, glyphs, structure, versi
 from vellum.operators import tables as tb
 from vellum.queries import derived as d
 from vellum.sources import documents as source
+from vellum.sources.shared import Scratch
 
 C = F.col
 HEADINGS_SQL = rf"heads AS (SELECT *, trim(text) AS head, {d.depth('text', 'level')} AS depth FROM blocks WHERE type = 'heading' AND regexp_matches(text, '\S'))"
@@ -30,6 +31,11 @@ def w3_section_of_block(spark, sf_dir):
 W3 = rf"WITH {d.BLOCKS_SQL} SELECT doc_id, seq, max(CASE WHEN type = 'heading' AND regexp_matches(text, '\S') THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq) AS section_seq FROM blocks"
 
 
+E8 = f"""WITH RECURSIVE sections AS ({W1}), up AS (SELECT doc_id, seq, depth, parent_seq, seq AS root, 1 AS steps FROM sections
+UNION ALL SELECT up.doc_id, up.seq, up.depth, s.parent_seq, s.seq, steps + 1 FROM up JOIN sections s ON s.doc_id = up.doc_id AND s.seq = up.parent_seq)
+SELECT doc_id, seq, depth, CAST(max(steps) AS INT) AS tree_depth, arg_max(root, steps) AS root_seq FROM up GROUP BY doc_id, seq, depth"""
+
+
 def bookmarks(spark, sf_dir):
     """Five entries for each document, on pages that go up and down, of levels 0 to 2."""
     entry = d.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("seq"))
@@ -111,6 +117,42 @@ def j8_regions(spark, sf_dir):
 J8 = f"WITH lines AS ({d.LINES_SQL}) SELECT doc_id, concat('#/texts/', CAST(seq AS STRING)) AS block_id, line AS reading, CAST(length(line) AS INT) AS n_marks, '' AS raised FROM lines WHERE length(line) > 0"
 
 
+def j8_cells(spark, sf_dir):
+    """The words of each document's table, read back from the boxes of its cells: (doc_id, row, col, reading)."""
+    top = 800.0 - (C("row") % 40) * 20.0
+    placed = cells(spark, sf_dir).withColumn("page", F.floor(C("row") / 40).cast("int") + 1).withColumn("top", top).withColumn("seq", C("row") * 3 + C("col"))
+    placed = placed.where("text <> ''").withColumn("bbox", d.box_of())
+    shift = C("col") * 20_000.0
+    own = d.glyphs_of(placed.withColumn("page", C("page") * 3 + C("col")))
+    # each column's glyphs stand beside those of the one before
+    column = C("page") % 3
+    own = own.withColumn("l", C("l") + column * 20_000.0).withColumn("r", C("r") + column * 20_000.0).withColumn("page", F.floor(C("page") / 3).cast("int"))
+    moved = placed.withColumn("bbox", F.struct((C("bbox.x0") + shift).alias("x0"), C("bbox.y0").alias("y0"), (C("bbox.x1") + shift).alias("x1"), C("bbox.y1").alias("y1")))
+    found = glyphs.regions(moved, own, [*tb.KEY, "row", "col"])
+    return found.select("doc_id", "row", "col", "reading")
+
+
+def x18_layouts(spark, sf_dir):
+    """The lines of each page, five to one, laid out from their glyphs as one block; empty lines are left out."""
+    page = F.floor(C("seq") / 5).cast("int") + 1
+    placed = d.lines(spark, sf_dir).withColumn("page", page).withColumn("top", 800.0 - (C("seq") % 5) * d.LEADING)
+    wide = F.max(F.length("line")) * d.PITCH
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(800.0 - 4 * d.LEADING).alias("y0"), wide.alias("x1"), F.lit(810.0).alias("y1"))
+    blocks = placed.groupBy("doc_id", "page").agg(box.alias("bbox"))
+    found = glyphs.regions(blocks, d.glyphs_of(placed, "line"), ["doc_id", "page"])
+    return found.select("doc_id", "page", F.regexp_replace("layout", "\n+", "\n").alias("layout"))
+
+
+X18 = f"""WITH lines AS ({d.LINES_SQL}), solid AS (SELECT doc_id, seq, seq // 5 + 1 AS page, line, length(line) - length(ltrim(line)) AS indent FROM lines WHERE trim(line) <> ''),
+least AS (SELECT doc_id, page, min(indent) AS indent FROM solid GROUP BY doc_id, page)
+SELECT solid.doc_id, CAST(solid.page AS INT) AS page, coalesce(string_agg(rtrim(substr(line, least.indent + 1)), chr(10) ORDER BY seq), '') AS layout FROM solid JOIN least ON least.doc_id = solid.doc_id AND least.page = solid.page GROUP BY solid.doc_id, solid.page"""
+
+
+def e8_depths(spark, sf_dir):
+    sections = structure.from_headings(d.blocks(spark, sf_dir))
+    return structure.ancestry(sections, Scratch(spark, "e8")).select("doc_id", "seq", "depth", "tree_depth", "root_seq")
+
+
 def cells(spark, sf_dir):
     """All words of each document in a table of three columns. Every seventh place from the sixth on stays empty; in every fourth table the first cell spans two columns."""
     words = d.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("k", "text"))
@@ -148,6 +190,9 @@ built AS (SELECT rows.doc_id, concat('<table><tbody>', string_agg(concat('<tr>',
 SELECT doc_id, html, gfm, md5(CASE WHEN doc_id % 4 = 0 THEN html ELSE gfm END) AS rendered FROM built"""
 
 
+J8_CELLS = f"WITH {CELLS_SQL} SELECT doc_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, text AS reading FROM cells WHERE text <> ''"
+
+
 def x36_metadata(spark, sf_dir):
     text = C("text")
     docs = d.table(spark, sf_dir, "documents")
@@ -220,5 +265,5 @@ def s_text_blocks(spark, sf_dir):
 
 S_TEXT = rf"""WITH lines AS ({d.LINES_SQL}) SELECT doc_id, seq, concat('#/texts/', CAST(seq AS STRING)) AS block_id, CASE WHEN regexp_matches(line, '^\s*[-*•] ') THEN 'list' WHEN regexp_matches(line, '^\s*[0-9]+(\.[0-9]+)*\s+\p{{Lu}}') AND length(line) < 80 THEN 'heading' ELSE 'paragraph' END AS type, line AS text, CAST(seq // 40 + 1 AS INT) AS page, CAST(NULL AS INT) AS level FROM lines"""
 
-QUERIES = {f.__name__: f for f in (w1_sections, w3_section_of_block, w2_bookmark_tree, j7_section_by_page, e9_splits, w9_files, w4_heading_plan, j8_regions, x42_tables, x36_metadata, w13_pruned, w15_next_version, f9_crops, s_html_blocks, s_text_blocks)}
-SQL = {"w1_sections": W1, "w3_section_of_block": W3, "w2_bookmark_tree": W2, "j7_section_by_page": J7, "e9_splits": E9, "w9_files": W9, "w4_heading_plan": W4, "j8_regions": J8, "x42_tables": X42, "x36_metadata": X36, "w13_pruned": W13, "w15_next_version": W15, "f9_crops": F9, "s_html_blocks": S_HTML, "s_text_blocks": S_TEXT}
+QUERIES = {f.__name__: f for f in (w1_sections, w3_section_of_block, w2_bookmark_tree, j7_section_by_page, e9_splits, w9_files, w4_heading_plan, j8_regions, j8_cells, x18_layouts, e8_depths, x42_tables, x36_metadata, w13_pruned, w15_next_version, f9_crops, s_html_blocks, s_text_blocks)}
+SQL = {"w1_sections": W1, "w3_section_of_block": W3, "w2_bookmark_tree": W2, "j7_section_by_page": J7, "e9_splits": E9, "w9_files": W9, "w4_heading_plan": W4, "j8_regions": J8, "j8_cells": J8_CELLS, "x18_layouts": X18, "e8_depths": E8, "x42_tables": X42, "x36_metadata": X36, "w13_pruned": W13, "w15_next_version": W15, "f9_crops": F9, "s_html_blocks": S_HTML, "s_text_blocks": S_TEXT}
