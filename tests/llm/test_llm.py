@@ -82,38 +82,71 @@ def test_token_files_are_the_library_s(spark):
 
 def test_flow_moves_the_fewest_bytes():
     r = random.Random(3)
-    for _ in range(50):
-        sizes = [r.randrange(9) for _ in range(4)]
-        caps = [r.randrange(9) for _ in range(3)]
+    for n, m in [(4, 4)] * 50 + [(2, 6), (6, 2), (1, 1), (1, 5)]:
+        sizes = [r.randrange(9) for _ in range(n)]
+        caps = [r.randrange(9) for _ in range(m - 1)]
         caps.append(max(0, sum(sizes) - sum(caps)))
         flow = reshard.min_cost_flow(sizes, caps)
-        assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(4)] == sizes
-        assert all(sum(v for (_, j), v in flow.items() if j == k) <= caps[k] for k in range(4))
+        assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(n)] == sizes
+        assert all(sum(v for (_, j), v in flow.items() if j == k) <= caps[k] for k in range(m))
         # what can stay does, so the rest is all that moves
         assert sum(v for (i, j), v in flow.items() if i != j) == sum(sizes) - sum(map(min, sizes, caps))
     with pytest.raises(ValueError, match="hold less"):
         reshard.min_cost_flow([2], [1])
+    many = reshard.min_cost_flow([7] * 10_000, [14] * 5_000)
+    assert sum(many.values()) == 70_000 and sum(v for (i, j), v in many.items() if i != j) == 35_000
 
 
 def test_shards(spark, odd, none):
-    placed = reshard.documents_to_shards(odd, 3, 2, Scratch(spark, "t")).collect()
+    rows = reshard.documents_in_shards(odd, 2)
+    placed = reshard.reshard(rows, 3, 2, Scratch(spark, "t"))
+    assert placed.columns == [*rows.columns, "shard", "slot"]
+    placed = placed.collect()
     assert len(placed) == odd.count()
     for k in {r.shard for r in placed}:
         assert sorted(r.slot for r in placed if r.shard == k) == list(range(sum(r.shard == k for r in placed)))
-    assert reshard.documents_to_shards(none, 3, 2, Scratch(spark, "t")).count() == 0
+    assert reshard.reshard(reshard.documents_in_shards(none, 2), 3, 2, Scratch(spark, "t")).count() == 0
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 97 as int))").alias("text"))
-    sizes = [r[1] for r in reshard.documents_to_shards(many, 40, 32, Scratch(spark, "t")).groupBy("shard").agg(F.sum("size")).collect()]
+    sizes = [r[1] for r in reshard.reshard(reshard.documents_in_shards(many, 32), 40, 32, Scratch(spark, "t")).groupBy("shard").agg(F.sum("size")).collect()]
     assert len(sizes) == 40 and max(sizes) - min(sizes) < 500
 
 
+def test_rows_of_no_shard_and_no_size(spark):
+    """Null, negative and unknown shards, null and negative sizes: every row gets a place, those without a shard move."""
+    rows = [(k, [10, None, -5][k % 3], [0, 1, None, 7, -1][k % 5]) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, old_shard int")
+    for shards in (1, 2, 3, 9):
+        got = reshard.reshard(df, shards, 2, Scratch(spark, "t")).collect()
+        assert len(got) == 300 and {r.shard for r in got} <= set(range(shards))
+        for k in range(shards):
+            assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+        loads = [sum(max(r["size"] or 0, 0) for r in got if r.shard == k) for k in range(shards)]
+        assert max(loads) - min(loads) <= 30
+    assert reshard.reshard(df.where("size < 0"), 3, 2, Scratch(spark, "t")).count() == 100
+
+
 def test_rewrite_touches_changed_shards_alone(spark, tmp_path):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("xxxx").alias("text"), F.when(F.col("id") < 60, 0).when(F.col("id") < 90, 1).otherwise(2).cast("int").alias("old_shard"))
-    rows = docs.select("doc_id", F.lit(1).cast("long").alias("size"), "old_shard")
-    placed = reshard.reshard(rows, [50, 30, 20], 3, Scratch(spark, "t"))
-    changed = reshard.rewrite(placed, docs, "", str(tmp_path / "new"))
-    assert changed == [0, 2]
-    back = spark.read.parquet(str(tmp_path / "new"))
-    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 50, 2: 20}
+    rows = docs.withColumn("size", F.lit(1).cast("long"))
+    plan = reshard.plan(rows, [50, 30, 20], 3, Scratch(spark, "t"))
+    back = reshard.rewritten(rows, plan, str(tmp_path / "new")).collect()
+    assert plan.changed == [0, 2]
+    new = spark.read.parquet(str(tmp_path / "new"))
+    assert {r["shard"]: r["count"] for r in new.groupBy("shard").count().collect()} == {0: 50, 2: 20}
+    assert len(back) == 100 and {k: sorted(r.slot for r in back if r.shard == k) for k in range(3)} == {0: list(range(50)), 1: list(range(30)), 2: list(range(20))}
+    assert {r.doc_id for r in back if r.shard == 1} == set(range(60, 90)) and {r.text for r in back} == {"xxxx"}
+
+
+def test_shards_of_the_documents(spark):
+    """The query's rows, read back from the files: sizes, hashes, near equal shards, gapless slots; every text once."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    rows = queries.op3_flow_reshard(spark, DIR).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        raw = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+    for k in range(40):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
 
 
 def test_mixing(spark, odd, none):
@@ -136,9 +169,12 @@ def test_mixing(spark, odd, none):
 
 
 def test_line_dedup(spark, odd, none):
-    assert linededup.drop_lines(odd, "source").count() == odd.count() and linededup.drop_lines(none, "source").count() == 0
+    def freed(df, **more):
+        return linededup.drop_lines(df, "site", Scratch(spark, "t"), **more)
+
+    assert linededup.drop_lines(odd, "source", Scratch(spark, "t")).count() == odd.count() and linededup.drop_lines(none, "source", Scratch(spark, "t")).count() == 0
     rows = [(k, f"menu\nown {k}\n\n menu ", "a") for k in range(9)] + [(10, "menu\nx", "b"), (11, None, "a")]
-    got = {r.doc_id: r.text for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, site string"), "site", ratio=0.5).collect()}
+    got = {r.doc_id: r.text for r in freed(spark.createDataFrame(rows, "doc_id long, text string, site string"), ratio=0.5).collect()}
     assert got == {k: f"own {k}\n" for k in range(9)} | {10: "menu\nx", 11: None}
 
 
@@ -146,10 +182,24 @@ def test_copies_are_one_page_of_their_site(spark):
     """600 copies of one text keep their lines; the menu of 20 different texts goes from all, copies too."""
     rows = [(k, f"menu\nown {k}", "a") for k in range(20)] + [(100 + k, "menu\nfirst\nsecond", "a") for k in range(600)] + [(1000 + k, None, "a") for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, site string")
-    got = {r.doc_id: r.text for r in linededup.drop_lines(df, "site", ratio=0.5).collect()}
+    got = {r.doc_id: r.text for r in linededup.drop_lines(df, "site", Scratch(spark, "t"), ratio=0.5).collect()}
     assert got == {k: f"own {k}" for k in range(20)} | {100 + k: "first\nsecond" for k in range(600)} | {1000 + k: None for k in range(300)}
-    every = {r.doc_id: r.text for r in linededup.drop_lines(df, "site", ratio=0.5, every_copy=True).collect()}
-    assert every[100] == ""
+
+
+def test_lines_of_hosts(spark):
+    """The pages' html, a line to each tag, by the host of their url, as plain counting gives it."""
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").withColumn("host", linkgraph.host_of(F.col("url"))).withColumn("html", F.replace("html", F.lit(">"), F.lit(">\n")))
+    got = {r.page_id: r.html for r in linededup.drop_lines(pages, "host", Scratch(spark, "t"), text="html").collect()}
+    rows, carried, texts = pages.collect(), {}, {}
+    for r in rows:
+        texts.setdefault(r.host, set()).add(r.html)
+    for host, them in texts.items():
+        for text in them:
+            for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
+                carried[host, line] = carried.get((host, line), 0) + 1
+    bad = {key for key, n in carried.items() if n >= linededup.LEAST and n > linededup.RATIO * len(texts[key[0]])}
+    want = {r.page_id: r.html if r.html is None else "\n".join(x for x in r.html.split("\n") if (r.host, x.strip(" ")) not in bad) for r in rows}
+    assert got == want and bad
 
 
 def test_urls(spark):
@@ -425,7 +475,7 @@ def test_names_that_clash(spark, odd, monkeypatch, rows):
     assert mixed.count() == odd.count() and mixing.repeat(mixed).where("copy = 3").count() == mixing.repeat(mixed).count()
     rest = neardup.dedup(wide, Scratch(spark, "t"))
     assert rest.columns == wide.columns and rest.count() == neardup.dedup(odd, Scratch(spark, "t")).count()
-    assert linededup.drop_lines(wide, "source").count() == odd.count()
+    assert linededup.drop_lines(wide, "source", Scratch(spark, "t")).count() == odd.count()
     sized = wide.withColumn("size", F.lit(5).cast("long")).withColumn("old_shard", F.lit(0).cast("int"))
     placed = reshard.reshard(sized, 2, 1, Scratch(spark, "t")).collect()
     assert sorted(r.slot for r in placed if r.shard == 0) == list(range(sum(r.shard == 0 for r in placed)))

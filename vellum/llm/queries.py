@@ -24,8 +24,13 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard.documents_to_shards(table(spark, sf_dir, "documents"), 40, 32, Scratch(spark, "op3"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """The documents in 40 shards, from 32: the affected shards are written, and sizes, hashes, shards and slots read back from them."""
+    scratch = Scratch(spark, "op3")
+    rows = reshard.documents_in_shards(table(spark, sf_dir, "documents"), 32)
+    back = reshard.rewritten(rows, reshard.plan(rows, 40, 32, scratch), scratch.path("shards"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + reshard.EACH).cast("long")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return back.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +67,8 @@ def _freed(cleaned: DataFrame) -> DataFrame:
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rule of its SQL: each copy of a text is a page."""
-    return _freed(linededup.drop_lines(table(spark, sf_dir, "documents"), "source", every_copy=True))
-
-
-def op9_linededup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the pipeline does it: copies of a text are one page of their source."""
-    return _freed(linededup.drop_lines(table(spark, sf_dir, "documents"), "source"))
+    """Copies of a text are one page of their source."""
+    return _freed(linededup.drop_lines(table(spark, sf_dir, "documents"), "source", Scratch(spark, "op9")))
 
 
 OP9_SQL = f"""WITH docs AS (SELECT * FROM documents), {linededup.LINES_SQL}
@@ -105,7 +105,7 @@ def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_linkgraph, op2_fertility, op3_flow_reshard, op4_bpe, op5_tokenfile, op6_mixing, op7_toxicity, op8_neardup, op9_linededup, op9_linededup_texts, op10_tiff)
+    ops = (op1_linkgraph, op2_fertility, op3_flow_reshard, op4_bpe, op5_tokenfile, op6_mixing, op7_toxicity, op8_neardup, op9_linededup, op10_tiff)
     return {f.__name__: f for f in (*ops, op11_collocations, op12_topk, op13_variants)}
 
 
