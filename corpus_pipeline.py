@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, freed of their source's boilerplate lines; n_chars counts the new text. Null texts stay null."""
-    cleaned = linededup.drop_lines(docs.select(*COLUMNS), "source")
+    cleaned = linededup.drop_lines(docs.select(*COLUMNS), "source", Scratch(spark, "pipeline-lines"))
     return cleaned.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
