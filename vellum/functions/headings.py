@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Digits are ASCII, [0-9], as `\d` is in Java and in the SQL beside the queries; section numbers must equal those of headings.
 # What a structural label, a numbering, a title's prefix and a section reference look like.
 LABEL = r"(?i)^(?:chapter|part|appendix)\s+(?:[0-9]+|[ivxlcdm]+|[a-z])\.?$"
 NUMBERING = r"^\s*([0-9]+(?:\.[0-9]+)*)\s"
 TITLE_PREFIX = r"^(?:(?:part|chapter|appendix)\s+(?:[0-9]+|[ivxlcdm]+)\b[.:]?\s*|(?:[0-9]+|[ivxlcdm]+)\b\s+)"
-SECTION_REFERENCE = r"\b(?:sections?|sect\.?|§)\s*(\d+(?:\.\d+)+)\b"
+SECTION_REFERENCE = r"\b(?:sections?|sect\.?|§)\s*([0-9]+(?:\.[0-9]+)+)\b"
 DOTTED = r"^([0-9]+(?:\.[0-9]+)+)\b"
 DEEPEST = 6
 

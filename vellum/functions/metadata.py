@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Identifiers and years.
+# Identifiers and years; digits are ASCII, as in headings.
 DOI = r"10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+"
 YEAR = r"\b(?:19|20)[0-9]{2}\b"
 PREPRINT = r"(?<![0-9])([0-9]{2})(?:0[1-9]|1[0-2])\.[0-9]{4,5}(?![0-9])"
