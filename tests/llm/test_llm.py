@@ -252,6 +252,58 @@ def test_lzw_and_packbits_against_plain_forms():
     assert tiff.undo(rows.tobytes(), "<", 3, 4, 1, 32, 3).tobytes() == values.astype("<f4").tobytes()
 
 
+def tiff_of_bits(values, bits, codec, order="<", fill=1, planar=1, change=()):
+    """A file of one strip for each plane, with each row's samples packed from the high bit on."""
+    height, width, samples = values.shape
+    planes = [values] if planar == 1 else [values[:, :, k : k + 1] for k in range(samples)]
+    strips = []
+    for plane in planes:
+        rows = ["".join(f"{v:0{bits}b}" for v in row.flatten().tolist()) for row in plane]
+        raw = b"".join(int(r.ljust(-(-len(r) // 8) * 8, "0"), 2).to_bytes(-(-len(r) // 8)) for r in rows)
+        packed = tiff.PACK[codec](raw)
+        strips.append(bytes(int(f"{b:08b}"[::-1], 2) for b in packed) if fill == 2 else packed)
+    fields = {256: [width], 257: [height], 258: [bits], 259: [codec], 262: [1], 266: [fill], 277: [samples], 278: [height], 284: [planar]}
+    at = 8
+    fields[273], fields[279] = [], []
+    for s in strips:
+        fields[273].append(at)
+        fields[279].append(len(s))
+        at += len(s)
+    fields = {t: v for t, v in sorted((fields | dict(change)).items()) if v is not None}
+    after = at + 2 + 12 * len(fields) + 4
+    directory, rest = struct.pack(order + "H", len(fields)), b""
+    for tag, values in fields.items():
+        said = struct.pack(f"{order}{len(values)}I", *values)
+        if len(said) > 4:
+            said, rest = struct.pack(order + "I", after + len(rest)), rest + said
+        directory += struct.pack(order + "HHI", tag, 4, len(values)) + said
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at) + b"".join(strips) + directory + bytes(4) + rest
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("codec", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_tiff_samples_below_a_byte(bits, codec):
+    r = np.random.default_rng(bits)
+    for shape, order, fill, planar in (((5, 13, 1), "<", 1, 1), ((7, 9, 3), ">", 2, 1), ((4, 11, 3), "<", 2, 2), ((1, 1, 1), ">", 1, 1), ((40, 3001, 1), "<", 1, 1)):
+        values = r.integers(0, 2**bits, shape, np.uint8)
+        (page,) = tiff.pages(tiff_of_bits(values, bits, codec, order, fill, planar))
+        assert (page.bits, page.width, page.height, page.samples, page.data) == (bits, shape[1], shape[0], shape[2], values.tobytes())
+
+
+def test_tiff_bits_by_default_and_what_is_refused():
+    values = np.array([[[1], [0], [1]]], np.uint8)
+    (page,) = tiff.pages(tiff_of_bits(values, 1, tiff.NONE, change={258: None}))
+    assert page.data == b"\1\0\1"
+    blank = np.zeros((3000, 8000, 1), np.uint8)  # a blank scan unpacks to far more than its file's bytes
+    (page,) = tiff.pages(tiff_of_bits(blank, 1, tiff.PACKBITS))
+    assert page.data == blank.tobytes()
+    (page,) = tiff.pages(tiff_of_bits(values, 1, tiff.NONE, change={317: [2]}))
+    assert page.error == "damaged: predictor 2 with 1 bits a sample"
+    for empty in (b"II*\0" + bytes(4), b"MM\0*" + bytes(4), b"II+\0\x08\0\0\0" + bytes(8)):
+        (page,) = tiff.pages(empty)
+        assert (page.page, page.error) == (0, "damaged: no directory")
+
+
 def test_tiff_rows(spark, odd, none):
     files = tiff.store_documents(odd).withColumnRenamed("doc_id", "file_id")
     bad = spark.createDataFrame([(90, None), (91, bytearray(b"II*\0\xff\xff\0\0")), (92, bytearray(b"junk"))], "file_id long, content binary")

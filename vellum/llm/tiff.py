@@ -1,7 +1,8 @@
 """TIFF as a column: walks the image directories of a file, decodes strips and tiles, one row for each page.
 
 Classic and BigTIFF in both byte orders; uncompressed, PackBits, LZW and deflate; predictors 2 (differences) and
-3 (floating point); chunky and planar samples of 8, 16, 32 or 64 bits. Samples come out row by row, chunky, in little-endian.
+3 (floating point); chunky and planar samples of 1, 2, 4, 8, 16, 32 or 64 bits. Samples come out row by row, chunky, in
+little-endian; those of fewer than 8 bits take a byte each.
 A page of more than PAGE_BYTES, or of more than its file's bytes could ever unpack to, is an error and never allocated.
 """
 
@@ -24,7 +25,8 @@ from vellum.llm.common import SLICE_BYTES, map_arrow, record, texts_of
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 # Fixed values of the format: tag numbers, and for each field type its struct letter.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL, OFFSETS, SAMPLES, ROWS, COUNTS = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279
+PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, FORMAT = 284, 317, 322, 323, 324, 325, 339
 LETTERS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 #: How payloads are stored: rows of 64 RGB pixels, so many rows in a strip and in a page, so many pixels across and down in a tile.
@@ -167,6 +169,8 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         raise ValueError("not a TIFF file")
     big = version == 43
     at, seen = struct.unpack_from(order + ("Q" if big else "I"), raw, 8 if big else 4)[0], set()
+    if not at:
+        raise ValueError("no directory")
     while at:
         if at in seen:
             raise ValueError("the directories form a loop")
@@ -186,8 +190,20 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at = struct.unpack_from(order + ("Q" if big else "I"), raw, at)[0]
 
 
+def row_bytes(width: int, samples: int, bits: int) -> int:
+    """Each row begins on a byte."""
+    return -(-width * samples * bits // 8)
+
+
 def undo(raw: bytes, order: str, rows: int, width: int, samples: int, bits: int, predictor: int) -> np.ndarray:
     """The samples of one strip or tile as unsigned integers, rows x width x samples."""
+    if bits < 8:
+        across = row_bytes(width, samples, bits)
+        if len(raw) < rows * across:
+            raise ValueError("a strip or tile is too short")
+        packed = np.frombuffer(raw, np.uint8, rows * across).reshape(rows, across, 1)
+        values = packed >> np.arange(8 - bits, -1, -bits, dtype=np.uint8) & np.uint8((1 << bits) - 1)
+        return values.reshape(rows, -1)[:, : width * samples].reshape(rows, width, samples)
     kind = np.dtype(f"{order}u{bits // 8}")
     need = rows * width * samples * kind.itemsize
     if len(raw) < need:
@@ -234,14 +250,20 @@ def pages(raw: bytes) -> Iterator[Page | Broken]:
         number += 1
 
 
+#: Each byte with its bits in the other order.
+MIRRORED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1, bitorder="little").tobytes()
+
+
 def page_of(raw: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     def one(tag: int, other: int | None = None) -> int:
         return f[tag][0] if other is None else f.get(tag, (other,))[0]
 
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if bits not in (8, 16, 32, 64) or len(set(f[BITS])) > 1 or predictor == 3 and bits == 8:
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(f.get(BITS, (1,)))) > 1:
         raise ValueError(f"{bits} bits a sample")
+    if predictor == 2 and bits < 8 or predictor == 3 and bits <= 8:
+        raise ValueError(f"predictor {predictor} with {bits} bits a sample")
     if compression not in UNPACK or predictor not in (1, 2, 3):
         raise ValueError(f"compression {compression} with predictor {predictor}")
     planar = one(PLANAR, 1) == 2 and samples > 1
@@ -249,19 +271,23 @@ def page_of(raw: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     across, down = (one(TILE_W), one(TILE_H)) if tiled else (width, min(one(ROWS, height), height))
     offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[OFFSETS], f[COUNTS])
     cols, lines = -(-width // max(across, 1)), -(-height // max(down, 1))
-    chunks, unit = cols * lines * (samples if planar else 1), (1 if planar else samples) * bits // 8
-    room = BYTES_PER_BYTE * len(raw)
-    if max(height * width * samples * bits // 8, down * across * unit) > min(room, PAGE_BYTES):
+    together = 1 if planar else samples
+    chunks, line = cols * lines * (samples if planar else 1), row_bytes(across, together, bits)
+    # bits that are unpacked to bytes count by what they fill here
+    stated, room = max(bits, 8) // 8, BYTES_PER_BYTE * len(raw) * max(1, 8 // bits)
+    if max(height * width * samples, down * across * together) * stated > min(room, PAGE_BYTES):
         raise ValueError(f"{width} x {height} x {samples} samples are too many")
     if min(len(offsets), len(counts)) < chunks:
         raise ValueError("a strip or tile is missing")
-    out = np.zeros((height, width, samples), f"<u{bits // 8}")
+    out = np.zeros((height, width, samples), f"<u{stated}")
     for k in range(chunks):
         plane, rest = divmod(k, cols * lines)
         y, x = rest // cols * down, rest % cols * across
         rows = down if tiled else min(down, height - y)
         packed = raw[offsets[k] : offsets[k] + counts[k]]
-        part = undo(UNPACK[compression](packed, rows * across * unit), order, rows, across, 1 if planar else samples, bits, predictor)
+        if one(FILL, 1) == 2:
+            packed = packed.translate(MIRRORED)
+        part = undo(UNPACK[compression](packed, rows * line), order, rows, across, together, bits, predictor)
         part = part[: height - y, : width - x]
         out[y : y + part.shape[0], x : x + part.shape[1], slice(plane, plane + 1) if planar else slice(None)] = part
     return Page(number, width, height, samples, bits, compression, predictor, one(PHOTOMETRIC, 1), len(offsets), out.tobytes())
@@ -327,7 +353,7 @@ PAGE = T.StructType(
 def explode_pages(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(file_id, content) to one row for each page, with its samples in `data`; columns of `carry` come along with each page.
 
-    A null or damaged file gives one row with page 0 and `error` set; so does a damaged page under its own number, and the
+    A null or damaged file, or one without a directory, gives one row with page 0 and `error` set; so does a damaged page under its own number, and the
     pages behind it come too. Files of any size are held one at a time, with about SLICE_BYTES of pages or one larger page.
     The pages of a file are neighbours in one partition, in order. Repeated rows and null ids are kept, further columns
     ignored; an empty table gives an empty one.
