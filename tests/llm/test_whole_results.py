@@ -54,12 +54,22 @@ def test_verdicts_over_random_links(spark, seed):
         out = Counter()
         for (a, _), n in links.items():
             out[a] += n
-        rank, arrived = dict(start), {}
-        for _ in range(linkgraph.ROUNDS):
-            arrived = Counter()
+        rank, arrived, going = {h: 0.15 * s for h, s in start.items()}, Counter(), start
+        while sum(going.values()) > linkgraph.RESIDUAL:
+            sent = Counter()
             for (a, b), n in links.items():
-                arrived[b] += 0.85 * rank.get(a, 0) * n / out[a]
-            rank = {h: arrived[h] + 0.15 * start.get(h, 0) for h in {*arrived, *start}}
+                sent[b] += 0.85 * going.get(a, 0) * n / out[a]
+            for h, s in sent.items():
+                rank[h] = rank.get(h, 0) + 0.15 * s
+                arrived[h] += 0.15 * s
+            going = sent
+        limit = dict(start)
+        for _ in range(300):
+            into = Counter()
+            for (a, b), n in links.items():
+                into[b] += 0.85 * limit.get(a, 0) * n / out[a]
+            limit = {h: into[h] + 0.15 * start.get(h, 0) for h in {*into, *start}}
+        assert 0 <= sum(limit.values()) - sum(rank.values()) < linkgraph.RESIDUAL
         return rank, arrived
 
     n = len({*pages, *(b for _, b in edges)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,10 @@ from vellum.llm.common import Scratch, small_join
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Share of a host's score that goes on along its links, rounds, and what a host must show to be blocked: more than
-#: LEAST of distrust for each page of the mean host, and FACTOR times its trust.
-DAMPING, ROUNDS, LEAST, FACTOR = 0.85, 12, 0.5, 1.0
+#: Share of a host's score that goes on along its links, the share of the seeds' sum that may still be on its way at
+#: the end, and what a host must show to be blocked: more than LEAST of distrust, where 1 is the mean host's, and
+#: FACTOR times its trust.
+DAMPING, RESIDUAL, LEAST, FACTOR = 0.85, 1e-3, 0.5, 1.0
 
 
 def host_of(url: Column) -> Column:
@@ -45,14 +47,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.where((F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, residual: float = RESIDUAL) -> DataFrame:
     """Personalised PageRank: (host, score, arrived) of the hosts that the seeds (host, seed) reach; the seeds' sum is kept below 1.
 
     arrived: the part of the score that came over links, which is all but what the host's own seed puts in.
 
     A host gives DAMPING of its score to the hosts that it links to, by the number of pages with such a link; what a
-    host without links would give goes nowhere, so a host that nothing trusted reaches has no score. Each round reads
-    and writes tables of hosts; nothing comes to the driver. Contributions are summed before the shuffle.
+    host without links would give goes nowhere, so a host that nothing trusted reaches has no score. Each round moves
+    on what came in the round before, a sum that shrinks to DAMPING of itself or less, until no more than `residual` of
+    the seeds' sum is under way: the scores then lack less than that of their limits, all hosts together. A round reads
+    and writes tables of hosts; only that sum comes to the driver. Contributions are summed before the shuffle.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = scratch.table(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), f"{name}-shares")
@@ -60,13 +64,17 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, roun
     start = scratch.table(seeds.where(F.col("seed") > 0).select("host", (F.col("seed") / F.lit(float(total))).alias("score")), f"{name}-0")
     if shares.isEmpty() or start.isEmpty():
         return start.withColumn("arrived", F.lit(0.0))
-    rank, base = start, start.select("host", (F.col("score") * (1 - DAMPING)).alias("score"), F.lit(0.0).alias("arrived"))
-    for k in range(1, rounds + 1):
-        sent = shares.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("share") * F.col("score") * DAMPING).alias("score")).withColumn("arrived", F.col("score"))
-        rank = scratch.table(sent.unionByName(base).groupBy("host").agg(F.sum("score").alias("score"), F.sum("arrived").alias("arrived")), f"{name}-{k}")
+    none, stays = F.lit(0.0), F.col("going") * (1 - DAMPING)
+    rank = start.select("host", F.col("score").alias("going"), (F.col("score") * (1 - DAMPING)).alias("score"), none.alias("arrived"))
+    for k in itertools.count(1):
+        moving = rank.where("going > 0").select(F.col("host").alias("src"), "going")
+        sent = shares.join(moving, "src").select(F.col("dst").alias("host"), (F.col("share") * F.col("going") * DAMPING).alias("going"), none.alias("score"), none.alias("arrived"))
+        sums = sent.unionByName(rank.withColumn("going", none)).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("going", "score", "arrived")])
+        rank = scratch.table(sums.select("host", "going", (F.col("score") + stays).alias("score"), (F.col("arrived") + stays).alias("arrived")), f"{name}-{k}")
         if k > 1:
             scratch.drop(f"{name}-{k - 1}")
-    return rank
+        if rank.agg(F.sum("going")).first()[0] <= residual:
+            return rank.select("host", "score", "arrived")
 
 
 def judge(pages: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -96,7 +104,7 @@ def judge(pages: DataFrame, scratch: Scratch, rules: Sequence[tuple[str, str, st
     scores = named.select("host", (2 * F.col("blocked") > F.col("pages")).alias("mostly")).join(trusted, "host", "left").join(distrusted, "host", "left")
     scaled = scores.select("host", "mostly", *[(F.coalesce(c, F.lit(0.0)) * hosts).alias(c) for c in ("trust", "distrust", "arrived")])
     against = F.when(F.col("mostly"), F.col("distrust")).otherwise(F.col("arrived"))
-    scaled = scaled.select("host", "trust", "distrust", ((against > LEAST) & (against > F.col("trust") * FACTOR)).alias("bad"))
+    scaled = scratch.table(scaled.select("host", "trust", "distrust", ((against > LEAST) & (against > F.col("trust") * FACTOR)).alias("bad")), "scores")
     out = small_join(judged, scaled, "host")
     bad = F.coalesce("bad", F.lit(False))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
