@@ -218,7 +218,7 @@ def test_distrust_runs_against_links(spark):
     got = {r.host: r for r in linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t")).collect()}
     assert {h: r.verdict for h, r in got.items()} == {"bad.net": "block", "farm.info": "block", "fan.info": "block", "good.org": "allow", "friend.info": "allow", "alone.info": "allow"}
     rank, seed, links = {"good.org": 1.0}, {"good.org": 1.0}, {("good.org", "friend.info"): 1.0}
-    for _ in range(linkgraph.ROUNDS):
+    for _ in range(100):
         rank = {h: 0.15 * seed.get(h, 0) + sum(0.85 * rank.get(a, 0) * w for (a, b), w in links.items() if b == h) for h in got}
     assert got["friend.info"].trust == pytest.approx(rank["friend.info"] * 6)
 
@@ -352,6 +352,18 @@ def test_tiff_pages_behind_a_bad_one(spark):
     assert len(tiff.inflate(zlib.compress(bytes(1 << 24)), 100)) == 100 and len(list(tiff.pages(bomb))) == 1
 
 
+@pytest.mark.parametrize("most", [1 << 21, 1 << 31])
+def test_repeated_words_of_many_words(most):
+    """Texts of more different words than fit a third of a key."""
+    r = np.random.default_rng(3)
+    numbers = np.array([0, 1, 5, most // 2, most // 2 + 5, most - 1, most // 4 + 5, 1 << 20])
+    for n in (0, 1, 3, 4, 40, 300):
+        words = numbers[r.integers(0, len(numbers), n)]
+        windows = [tuple(words[k : k + 3]) for k in range(n - 2)]
+        hit = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        assert fertility.repeated_words(words) == len(hit)
+
+
 def test_fertility_counts(spark, odd, none):
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")

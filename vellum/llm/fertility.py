@@ -69,10 +69,14 @@ class Pieces(dict):
 
 
 def repeated_words(words: np.ndarray) -> int:
-    """Words in windows of three that occur twice or more; words: numbers below 2**21, equal for equal words."""
+    """Words in windows of three that occur twice or more; words: numbers below 2**31, equal for equal words."""
     if len(words) < 4:
         return 0
-    keys = words[:-2] << 42 | words[1:-1] << 21 | words[2:]
+    if words.max() < 1 << 21:
+        keys = words[:-2] << 42 | words[1:-1] << 21 | words[2:]
+    else:  # pairs by numbers of their own, so that three words fit a key
+        pairs = np.unique(words[:-1] << 32 | words[1:], return_inverse=True)[1].astype(np.int64)
+        keys = pairs[:-1] << 32 | words[2:]
     order = np.argsort(keys, kind="stable")
     same = np.diff(keys[order]) == 0
     if not same.any():
