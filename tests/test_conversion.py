@@ -1,5 +1,6 @@
 """Repair against glyphs, section trees and whole conversions: against plain versions and known results."""
 
+import difflib
 import random
 import re
 import unicodedata
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import repair
 from vellum.functions import text as t
-from vellum.operators import enrich, glyphs, structure, vocabulary
+from vellum.operators import audit, enrich, glyphs, structure, vocabulary
 from vellum.plans import convert
 from vellum.queries import derived, outputs, scalars
 from vellum.sources.shared import Scratch
@@ -60,6 +61,40 @@ def test_repaired_words_of_all_lines(spark):
     assert got == {k: repair.GREEK_NAME.sub(lambda m: repair.GREEK[m[1]], x) for k, x in plain.items()}
 
 
+def normalized(latex):
+    out = re.sub(r"\\tag\{[^}]*\}", "", latex)
+    for _ in range(3):
+        out = re.sub(r"\\(?:text|operatorname|mathrm|mathbf|mathit|mathbb|boldsymbol|rm)\s*\{?([^{}]*)\}?", r"\1", out)
+    out = re.sub(r"\\(sin|cos|tan|max|min|exp|log|ln)\b", r"\1", out).replace("\\left", "").replace("\\right", "")
+    return re.sub(r"\\[,!;:> ]|\s+", "", out).lower()
+
+
+def alike(a, b):
+    return round(difflib.SequenceMatcher(None, normalized(a), normalized(b)).ratio(), 3)
+
+
+def test_similarity_of_all_equations(spark):
+    blocks = [b for b in derived.blocks(spark, DIR).collect() if b.type == "equation"]
+    want = {}
+    for b in blocks:
+        engine, said = alike(b.text, b.line), alike(b.line, b.line) if b.seq % 2 == 0 else None
+        want[f"d{b.doc_id}", b.block_id] = engine, said, None if said is None else "tie" if said == engine else "transcription" if said > engine else "engine"
+    got = [((r.source, r.block_id), (r.engine_ratio, r.transcribed_ratio, r.winner)) for r in outputs.x41_similarity(spark, DIR).collect()]
+    assert dict(got) == want and len(got) == len(blocks)
+    assert {x[2] for x in want.values()} >= {None, "tie", "transcription"}
+
+
+def test_similarity_of_odd_equations(spark):
+    """Long texts of few letters, equal ones and empty ones among them, and nulls."""
+    r = random.Random(4)
+    texts = ["", " ", "\\left", "x", "ab" * 300, "ab" * 299 + "c", r"\text{A b}\tag{1}", None] + ["".join(r.choices("abcxyz+=", k=n)) for n in (5, 199, 200, 201, 900)]
+    pairs = [(str(k), a, b, c) for k, (a, b, c) in enumerate(r.choices(texts, k=3)[:3] for _ in range(150))]
+    pairs += [(f"e{k}", a, a, a) for k, a in enumerate(texts)]
+    df = spark.createDataFrame(pairs, "block_id string, latex string, text string, transcribed string").withColumn("source", F.lit("s"))
+    got = {x.block_id: (x.engine_ratio, x.transcribed_ratio) for x in audit.similarity(df.select("source", "block_id", "latex"), df.select("source", "block_id", "text", "transcribed")).collect()}
+    assert got == {k: (None if b is None else alike(b, a or ""), None if b is None or c is None else alike(c, a or "")) for k, a, b, c in pairs}
+
+
 def test_compatibility_forms_are_folded_in_vocabularies(spark):
     df = spark.createDataFrame([(1, "diﬀerent ﬁt Ａb²c é"), (1, "fit plain"), (2, None)], "doc_id long, text string")
     assert {x.doc_id: x.words for x in vocabulary.vocabulary(df).collect()} == {1: sorted(words_of("diﬀerent ﬁt Ａb²c é") | {"fit", "plain"})}

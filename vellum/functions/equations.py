@@ -89,13 +89,16 @@ def unbalanced(markdown: Column) -> Column:
 
 
 def normalized(latex: Column) -> Column:
-    """For comparison: tags, wrappers, spacing and delimiters gone, in lower case; null as empty."""
+    """For comparison: tags, wrappers, spacing and delimiters gone, in lower case; null as empty.
+
+    The separators 1C to 1F, which broken fonts leave for ligatures, are white space here.
+    """
     out = F.regexp_replace(F.coalesce(latex, F.lit("")), r"\\tag\{[^}]*\}", "")
     for _ in range(3):  # wrappers nest
-        out = F.regexp_replace(out, r"\\(?:text|operatorname|mathrm|mathbf|mathit|mathbb|boldsymbol|rm)\s*\{?([^{}]*)\}?", "$1")
+        out = F.regexp_replace(out, r"(?U)\\(?:text|operatorname|mathrm|mathbf|mathit|mathbb|boldsymbol|rm)[\s\x1c-\x1f]*\{?([^{}]*)\}?", "$1")
     out = F.regexp_replace(out, r"\\(sin|cos|tan|max|min|exp|log|ln)\b", "$1")
     out = F.replace(F.replace(out, F.lit("\\left"), F.lit("")), F.lit("\\right"), F.lit(""))
-    return F.lower(F.regexp_replace(out, r"\\[,!;:> ]|\s+", ""))
+    return F.lower(F.regexp_replace(out, r"(?U)\\[,!;:> ]|[\s\x1c-\x1f]+", ""))
 
 
 def latex_from_html(html: Column) -> Column:

@@ -153,4 +153,9 @@ def apply_scripts(text: Column, glyphs: Column, flags: Column, escape: bool = Fa
     return F.when(flagged, (_overlay_escaped if escape else _overlay)(F.when(flagged, text), glyphs, flags)).otherwise(t.escape(text) if escape else text)
 
 
-ratio = mapped(lambda a, b: round(difflib.SequenceMatcher(None, a, b or "").ratio(), 3), T.DoubleType())
+_ratio = mapped(lambda a, b: round(difflib.SequenceMatcher(None, a, b or "").ratio(), 3), T.DoubleType())
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """How alike two texts are, 0 to 1 in thousandths. Of equal texts Python gets a null."""
+    return F.when(a == b, F.lit(1.0)).otherwise(_ratio(F.when(F.coalesce(a != b, F.lit(True)), a), b))

@@ -70,9 +70,10 @@ def totals(facts: DataFrame) -> DataFrame:
 def similarity(labels: DataFrame, blocks: DataFrame) -> DataFrame:
     """Labels (source, block_id, latex) with how like the truth the engine's text and the transcription are, and which is closer."""
     j = labels.join(blocks.select("source", "block_id", F.col("text").alias("engine"), "transcribed"), ["source", "block_id"], "left")
-    truth = e.normalized(F.col("latex"))
-    found = F.col("engine").isNotNull()
-    j = j.withColumn("engine_ratio", F.when(found, repair.ratio(e.normalized(F.col("engine")), truth))).withColumn("transcribed_ratio", F.when(found & F.col("transcribed").isNotNull(), repair.ratio(e.normalized(F.col("transcribed")), truth)))
+    names = ("latex", "engine", "transcribed")
+    j = j.withColumns({f"_{c}": F.when(F.col(c).isNotNull() | F.lit(c == "latex"), e.normalized(F.col(c))) for c in names})
+    found, truth = F.col("engine").isNotNull(), F.col("_latex")
+    j = j.withColumns({f"{c}_ratio": F.when(found, repair.ratio(F.col(f"_{c}"), truth)) for c in names[1:]}).drop(*[f"_{c}" for c in names])
     better = F.when(F.col("transcribed_ratio") > F.col("engine_ratio"), "transcription").when(F.col("transcribed_ratio") < F.col("engine_ratio"), "engine").when(F.col("transcribed_ratio").isNotNull(), "tie")
     return j.withColumn("winner", better)
 

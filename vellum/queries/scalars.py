@@ -104,11 +104,11 @@ def x41_normalized(spark, sf_dir):
 
 def _unwrapped(x: str) -> str:
     for _ in range(3):
-        x = d.gone(x, r"\\(?:text|operatorname|mathrm|mathbf|mathit|mathbb|boldsymbol|rm)\s*\{?([^{}]*)\}?", r"\1")
+        x = d.gone(x, r"\\(?:text|operatorname|mathrm|mathbf|mathit|mathbb|boldsymbol|rm)[\s\x1c-\x1f]*\{?([^{}]*)\}?", r"\1")
     return x
 
 
-X41 = rf"WITH {d.BLOCKS_SQL} SELECT doc_id, seq, lower({d.gone('replace(replace(' + d.gone(_unwrapped(d.gone('text', r'\\tag\{[^}]*\}')), r'\\(sin|cos|tan|max|min|exp|log|ln)\b', r'\1') + ', concat(chr(92), ' + chr(39) + 'left' + chr(39) + '), ' + chr(39) * 2 + '), concat(chr(92), ' + chr(39) + 'right' + chr(39) + '), ' + chr(39) * 2 + ')', r'\\[,!;:> ]|\s+')}) AS normalized FROM blocks"
+X41 = rf"WITH {d.BLOCKS_SQL} SELECT doc_id, seq, lower({d.gone('replace(replace(' + d.gone(_unwrapped(d.gone('text', r'\\tag\{[^}]*\}')), r'\\(sin|cos|tan|max|min|exp|log|ln)\b', r'\1') + ', concat(chr(92), ' + chr(39) + 'left' + chr(39) + '), ' + chr(39) * 2 + '), concat(chr(92), ' + chr(39) + 'right' + chr(39) + '), ' + chr(39) * 2 + ')', r'\\[,!;:> ]|[\s\x1c-\x1f]+')}) AS normalized FROM blocks"
 
 
 def t1_vocabulary(spark, sf_dir):
