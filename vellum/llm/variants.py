@@ -90,7 +90,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     cut = F.floor(F.col("length") / 2).cast("int")
     heads = F.substring("a", F.lit(1), cut) == F.substring("b", F.lit(1), cut)
     flips = F.bit_count(F.col("m_a").bitwiseXOR(F.col("m_b")))
-    met = left.join(right, "key").where((F.col("longer") | (F.col("a") < F.col("b"))) & (flips <= 2))
+    # by the size of the words' file Spark would broadcast the rows made of it, ten for each word
+    met = left.join(right.hint("merge"), "key").where((F.col("longer") | (F.col("a") < F.col("b"))) & (flips <= 2))
     met = met.where((F.col("band") == first) & (F.col("side") == F.when(heads, 0).otherwise(1)))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
 
@@ -101,6 +102,7 @@ def forms(words: DataFrame, scratch: Scratch) -> DataFrame:
     n_near: how many words are near; form: the near word of largest n, of equals the least by code point, if it
     is TIMES as frequent, else null; root: where the forms lead from the word, itself if it has none. n grows by TIMES with
     each step, so that the ways end; they are followed by pointer doubling. No words give no rows; null ones are left out.
+    Tables of words are joined by shuffles alone, so that none passes through the driver.
     """
     words = scratch.table(words.where("word IS NOT NULL").select("word", "n"), "words")
     pair = F.struct(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("other"), F.col("n_b").alias("other_n"))
@@ -115,10 +117,10 @@ def forms(words: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         k += 1
         on = to.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = scratch.table(to.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"roots-{k}")
+        step = scratch.table(to.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"roots-{k}")
         moved = not step.where("moved").isEmpty()
         to = step.select("word", "root")
         if not moved:
             break
-    out = words.join(near, "word", "left").join(to, "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(to.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
