@@ -28,9 +28,10 @@ def vocabulary(pages: DataFrame) -> DataFrame:
 
 
 def page_texts(glyphs: DataFrame) -> DataFrame:
-    """(doc_id, page, text): each page's glyphs in drawing order."""
-    listed = glyphs.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("draw_idx", "ch"))).alias("g"))
-    return listed.select("doc_id", "page", F.array_join(F.col("g.ch"), "").alias("text"))
+    """(doc_id, page, text): each page's glyphs, or runs of them, in drawing order."""
+    ch = "text" if "text" in glyphs.columns else "ch"
+    listed = glyphs.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("draw_idx", ch))).alias("g"))
+    return listed.select("doc_id", "page", F.array_join(F.col(f"g.{ch}"), "").alias("text"))
 
 
 def repaired(texts: DataFrame, known: DataFrame, scratch: Scratch, keys: list[str]) -> DataFrame:

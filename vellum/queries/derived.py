@@ -55,6 +55,14 @@ def glyphs_of(texts: DataFrame, line: str = "text") -> DataFrame:
     return each.select("doc_id", "page", order.alias("draw_idx"), "ch", at.alias("l"), "b", (at + PITCH).alias("r"), (F.col("b") + 10).alias("t"))
 
 
+def runs_of(texts: DataFrame, line: str = "text") -> DataFrame:
+    """The glyphs of glyphs_of as runs (doc_id, page, draw_idx, text, l, b, r, t, advance), one for each line."""
+    rows = texts.select("doc_id", "page", "seq", "top", F.posexplode(F.split(line, "\n")).alias("_n", "text")).where("text <> ''")
+    b = F.col("top") - F.col("_n") * LEADING
+    order = (F.col("seq").cast("long") * 1000 + F.col("_n")) * 10_000_000
+    return rows.select("doc_id", "page", order.alias("draw_idx"), "text", F.lit(0.0).alias("l"), b.alias("b"), F.lit(PITCH).alias("r"), (b + 10).alias("t"), F.lit(PITCH).alias("advance"))
+
+
 def box_of(line: str = "text") -> Column:
     """The box of such a text, as wide as its longest line."""
     parts = F.split(line, "\n")
