@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.functions import headings as h
 from vellum.functions import text as t
 
 KEY = ["doc_id", "block_id"]
+#: What a cell of a whole table has, and tables that a worker takes at a time.
+CELL, TABLES = ("row", "col", "row_span", "col_span", "header", "text"), 256
 
 
 def grid(cells: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -61,3 +67,48 @@ def needs_rebuild(cells: DataFrame) -> DataFrame:
 def rendered(has_spanning_cells: Column, html: Column, gfm: Column) -> Column:
     """HTML for a table with spans, if there is any; else the grid without its caption."""
     return F.when(has_spanning_cells & html.isNotNull(), html).otherwise(h.strip_caption(gfm))
+
+
+def markup(num_rows: int, num_cols: int, cells: list[tuple]) -> tuple[str, str]:
+    """html and gfm of a table of cells (CELL), one at a place at most; texts go into gfm as markdown_cell has them."""
+    tags, texts, heads = ({} for _ in range(3))
+    for r, c, down, right, header, text in cells:
+        if down > 1 or right > 1:
+            tags.update({(y, x): "" for y in range(r, r + down) for x in range(c, c + right) if (y, x) != (r, c)})
+    for r, c, down, right, header, text in cells:
+        tag = "th" if header else "td"
+        over = (f' rowspan="{down}"' if down > 1 else "") + (f' colspan="{right}"' if right > 1 else "")
+        tags.setdefault((r, c), "" if text is None else f"<{tag}{over}>{text}</{tag}>")
+        texts[r, c] = (text or "").replace("|", "\\|").replace("\n", " ")
+        heads[r] = heads.get(r, False) or bool(header)
+    rows, columns = range(num_rows), range(num_cols)
+    html = "".join(f"<tr>{''.join(tags.get((r, c), '<td></td>') for c in columns)}</tr>" for r in rows)
+    lines = [f"| {' | '.join(texts.get((r, c), '') for c in columns)} |" for r in rows]
+    at = max(next((r for r in rows if not heads.get(r, False)), num_rows) - 1, 0)
+    return f"<table><tbody>{html}</tbody></table>", "\n".join([lines[at], "|" + "---|" * num_cols, *lines[:at], *lines[at + 1 :]])
+
+
+def markup_of_tables(tables: DataFrame) -> DataFrame:
+    """(KEY, spans, html, gfm) of tables (KEY, num_rows, num_cols, cells) that come whole, cells being an array of CELL: nothing is shuffled.
+
+    The markup is that of html(grid) and gfm(grid); tables without rows or columns have none. spans: whether a cell spans several places.
+    """
+    made = [T.StructField("spans", T.BooleanType()), T.StructField("html", T.StringType()), T.StructField("gfm", T.StringType())]
+    schema = T.StructType([tables.schema[k] for k in KEY] + made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, TABLES):
+                batch = whole.slice(start, TABLES)
+                of = batch.column("cells").offsets.to_pylist()
+                held = batch.column("cells").values.slice(of[0], of[-1] - of[0])
+                cells = list(zip(*[held.field(n).to_pylist() for n in CELL], strict=True))
+                own = [cells[a - of[0] : b - of[0]] for a, b in zip(of, of[1:], strict=False)]
+                done = [markup(*x) for x in zip(batch.column("num_rows").to_pylist(), batch.column("num_cols").to_pylist(), own, strict=True)]
+                columns = [*[batch.column(k) for k in KEY], [any(c[2] > 1 or c[3] > 1 for c in x) for x in own], [x[0] for x in done], [x[1] for x in done]]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+    return tables.where("num_rows > 0 and num_cols > 0 and cells is not null").select(*KEY, "num_rows", "num_cols", F.transform("cells", lambda c: F.struct(*[c[n].alias(n) for n in CELL])).alias("cells")).mapInArrow(run, schema)
