@@ -46,6 +46,23 @@ def prepared_blocks(blocks: DataFrame, regions: DataFrame, scanned: DataFrame) -
     return j.withColumn("_text", F.when(reread | F.col("_pre"), F.col("_laid")).when(F.col("_prose"), F.col("_filled")).otherwise(text))
 
 
+def kept_blocks(prepared: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Of prepared blocks what finishing them reads, each text once: `_new` where `_text` isn't the text, readings for equations and scripts alone."""
+    raised = F.coalesce(F.col("marks").rlike(r"[\^_]"), F.lit(False))
+    read = F.when(raised | ((F.col("type") == "equation") & F.col("bbox").isNotNull() & ~F.col("_ocr")), F.col("_reading"))
+    new = F.when(~F.col("_text").eqNullSafe(F.col("text")), F.struct(F.col("_text").alias("text")))
+    refilled = F.col("_filled") != F.col("text")
+    made = ("ocr", "preformatted", "text_source", "text_layer", "ordered", "reading", "marks", "disorder", "layout")
+    own = [c for c in blocks.columns if c not in made]
+    return prepared.select(*own, "_ocr", "_prose", "_pre", new.alias("_new"), refilled.alias("_refilled"), read.alias("_read"), F.when(raised, F.col("marks")).alias("marks"), "disorder")
+
+
+def used_blocks(kept: DataFrame) -> DataFrame:
+    """Kept blocks with `_text` again."""
+    text = F.when(F.col("_new").isNotNull(), F.col("_new.text")).otherwise(F.col("text"))
+    return kept.withColumn("_text", text).withColumn("_reading", F.coalesce("_read", F.lit(""))).drop("_new", "_read")
+
+
 def finished_blocks(prepared: DataFrame, joined: DataFrame) -> DataFrame:
     """Blocks after repair, with ocr, preformatted, text_source, text_layer and ordered; joined: (doc_id, block_id, text) of words joined.
 
@@ -61,7 +78,7 @@ def finished_blocks(prepared: DataFrame, joined: DataFrame) -> DataFrame:
     suspect = F.when(equation & ~ocr, e.reading_below(F.col("_agreed"), reading))
     confidence = F.when(equation & ocr, 0.0).when(equation, F.coalesce("_agreed", "confidence")).otherwise(F.col("confidence"))
     ordered = F.when(suspect.isNotNull(), t.is_clean(reading) & (F.coalesce("disorder", F.lit(0.0)) < e.SCRAMBLED_ABOVE))
-    source = F.when(F.col("_prose") & (F.col("_filled") != F.col("text")), "glyphs")
+    source = F.when(F.col("_prose") & F.col("_refilled"), "glyphs")
     made = ("text", "confidence", "ocr", "preformatted", "text_source", "text_layer", "ordered", "reading", "marks", "disorder", "layout")
     kept = [c for c in prepared.columns if c not in made and not c.startswith("_")]
     new = F.when(F.col("_prose"), scripted).otherwise(F.col("_text"))
@@ -141,9 +158,12 @@ def enrich(blocks: DataFrame, glyphs: DataFrame, scratch: Scratch, tables: DataF
     boxes = placed(blocks, "block", "page", "bbox").unionByName(placed(tables, "table", "page", "bbox"))
     boxes = boxes.unionByName(placed(cells.join(tables.select(*tb.KEY, "page"), tb.KEY), "cell", "page", "bbox"))
     boxes = boxes.unionByName(placed(figures, "caption", "page", F.col("caption_bbox").alias("bbox")))
-    regions = scratch.table(gl.regions(boxes, glyphs, PLACE), "regions")
+    regions = gl.regions(boxes, glyphs, PLACE)
+    # most layouts are the reading, and most marks blank
+    regions = regions.withColumn("layout", F.when(F.col("layout") != F.col("reading"), F.col("layout"))).withColumn("marks", F.when(F.col("marks").rlike(r"[\^_]"), F.col("marks")))
+    regions = scratch.table(regions, "regions").withColumn("layout", F.coalesce("layout", "reading"))
     kinds = ("reading", "marks", "disorder", "layout")
-    b = scratch.table(prepared_blocks(blocks, of_kind(regions, "block", *kinds), scanned), "prepared-blocks")
+    b = used_blocks(scratch.table(kept_blocks(prepared_blocks(blocks, of_kind(regions, "block", *kinds), scanned), blocks), "prepared-blocks"))
     c = scratch.table(prepared_cells(cells, of_kind(regions, "cell", "reading", "marks")), "prepared-cells")
     f = scratch.table(prepared_figures(figures, of_kind(regions, "caption", "reading")), "prepared-figures")
     texts = placed(b.where("_prose"), "block", F.col("_text").alias("text")).unionByName(placed(c, "cell-text", F.col("_text").alias("text")))

@@ -57,16 +57,23 @@ def repaired(texts: DataFrame, known: DataFrame, scratch: Scratch, keys: list[st
             break
         passes.append(changed.withColumn("at", F.lit(k)))
         now = changed.where(t.has_split_ligature(text))
+    split = t.has_split_ligature(text)
+    whole = rows.where(~split).withColumn("was", text)
     if passes:
         last = functools.reduce(DataFrame.unionByName, passes).groupBy(*keys).agg(F.max_by("text", "at").alias("new"))
-        rows = scratch.table(rows.join(last, keys, "left").select(*keys, F.col("text").alias("was"), F.coalesce("new", "text").alias("text")), "joined")
+        joined = rows.where(split).join(last, keys, "left").select(*keys, F.coalesce("new", "text").alias("text"), F.col("text").alias("was"))
+        whole = whole.unionByName(scratch.table(joined, "joined"))
     else:
-        rows = rows.withColumn("was", text)
-    halves = rows.select(*keys, F.explode(t.split_words(text)).alias("s")).select(*keys, F.col("s.left").alias("left"), F.concat("s.left", "s.right").alias("whole"))
-    good = halves.join(known.withColumnRenamed("word", "whole"), ["doc_id", "whole"], "left_semi")
-    good = good.join(known.withColumnRenamed("word", "left"), ["doc_id", "left"], "left_anti")
-    good = good.groupBy(*keys).agg(F.collect_set(F.struct("left", "whole")).alias("good"))
-    whole = rows.join(good, keys, "left").withColumn("text", F.when(F.col("good").isNull(), text).otherwise(repair.join_words(text, F.col("good"))))
+        whole = whole.unionByName(rows.where(split).withColumn("was", text))
+    # the words of a document decide, so that it asks once for a pair, whatever the texts it stands in
+    halves = whole.select("doc_id", F.explode(t.split_words(text)).alias("s")).select("doc_id", F.col("s.left").alias("left"), F.concat("s.left", "s.right").alias("whole"))
+    good = halves.distinct().join(known.withColumnRenamed("word", "whole"), ["doc_id", "whole"], "left_semi")
+    good = scratch.table(good.join(known.withColumnRenamed("word", "left"), ["doc_id", "left"], "left_anti").select("doc_id", "left", "whole"), "good")
+    # texts with such a pair, by the pair: of a document's hits a text gets its own
+    pairs = F.transform(t.split_words(text), lambda s: F.struct(s["left"].alias("left"), F.concat(s["left"], s["right"]).alias("whole")))
+    held = whole.join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(*keys, F.explode(pairs).alias("s")).select(*keys, "s.*")
+    held = held.join(good, ["doc_id", "left", "whole"]).groupBy(*keys).agg(F.collect_set(F.struct("left", "whole")).alias("good"))
+    whole = whole.join(held, keys, "left").withColumn("text", F.when(F.col("good").isNull(), text).otherwise(repair.join_words(text, F.col("good"))))
     return scratch.table(whole.where("text <> was").select(*keys, "text"), "repaired")
 
 
