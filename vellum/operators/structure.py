@@ -107,11 +107,22 @@ def heading_plan(blocks: DataFrame, keys: list[str]) -> DataFrame:
     A heading that repeats the title goes. A bare label takes the next heading into itself, which goes; if that
     one repeats the title, both go. A taken heading that is a label takes the next all the same.
     """
-    found = blocks.where(is_heading()).withColumn("head", t.strip(F.col("text")))
-    order = Window.partitionBy(*keys).orderBy("seq")
-    title = h.normalized_title(F.col("title"))
-    dup = (title != "") & (h.normalized_title(F.col("head")) == title)
-    seen = found.withColumn("dup", F.coalesce(dup, F.lit(False))).withColumn("next", F.lead("head").over(order))
-    seen = seen.withColumn("next_dup", F.lead("dup", 1, False).over(order)).withColumn("label", h.is_label(F.col("head")) & ~F.col("dup") & F.col("next").isNotNull())
-    skip = F.col("dup") | (F.col("label") & F.col("next_dup")) | F.lag("label", 1, False).over(order)
-    return seen.withColumn("skip", skip).withColumn("merged", F.when(F.col("label") & ~F.col("next_dup"), F.concat("head", F.lit(": "), "next"))).drop("head", "next", "next_dup", "dup", "label")
+    return with_heading_plan(blocks.where(is_heading()), keys)
+
+
+def with_heading_plan(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """All blocks with the plan of heading_plan; skip and merged are null for those that are no headings.
+
+    The headings of a file are a partition of their own beside its other blocks, so that blocks which lie together by doc_id stay where they are.
+    """
+    found = blocks.withColumn("_heading", F.coalesce(is_heading(), F.lit(False)))
+    found = found.withColumn("_head", F.when(F.col("_heading"), t.strip(F.col("text"))))
+    order = Window.partitionBy(*keys, "_heading").orderBy("seq")
+    title = F.when(F.col("_heading"), h.normalized_title(F.col("title")))
+    dup = (title != "") & (h.normalized_title(F.col("_head")) == title)
+    seen = found.withColumn("_dup", F.coalesce(dup, F.lit(False))).withColumn("_next", F.lead("_head").over(order)).withColumn("_next_dup", F.lead("_dup", 1, False).over(order))
+    label = F.when(F.col("_heading"), h.is_label(F.col("_head")) & ~F.col("_dup") & F.col("_next").isNotNull())
+    seen = seen.withColumn("_label", label)
+    skip = F.when(F.col("_heading"), F.col("_dup") | (F.col("_label") & F.col("_next_dup")) | F.lag("_label", 1, False).over(order))
+    merged = F.when(F.col("_label") & ~F.col("_next_dup"), F.concat("_head", F.lit(": "), "_next"))
+    return seen.withColumn("skip", skip).withColumn("merged", merged).drop("_heading", "_head", "_next", "_next_dup", "_dup", "_label")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import headings as h
 from vellum.operators import bibliography, coverage, crops, emit, enrich, structure
 from vellum.operators import tables as tb
 from vellum.sources.config import Config
@@ -21,7 +22,6 @@ WANTED = {
 }
 #: As much for documents.
 SAID = {"title": "string", "authors": "array<string>", "year": "string", "doi": "string", "file_name": "string", "page_count": "int", "engine_versions": "map<string,string>"}
-SECTION = ["doc_id", "seq", "section_id", "parent_seq", "title", "depth", "kind", "page_start"]
 
 
 @dataclass
@@ -47,31 +47,38 @@ def with_tables(blocks: DataFrame, tables: DataFrame, figures: DataFrame | None
     return out
 
 
-def sectioned(blocks: DataFrame, documents: DataFrame, bookmarks: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(blocks with section_seq and depth, sections, documents with section_source and split).
+def titled(documents: DataFrame, bookmarks: DataFrame | None) -> DataFrame:
+    """Documents with marked, whether bookmarks give their sections, and split, whether they become several files."""
+    if bookmarks is None:
+        return documents.withColumns({"marked": F.lit(False), "split": F.lit(False)})
+    marked = bookmarks.select("doc_id").distinct().withColumn("marked", F.lit(True))
+    split = structure.splits(structure.from_bookmarks(bookmarks), documents).select("doc_id", "split")
+    named = documents.join(marked, "doc_id", "left").join(split, "doc_id", "left")
+    return named.withColumns({"marked": F.coalesce("marked", F.lit(False)), "split": F.coalesce("split", F.lit(False))})
+
+
+def sectioned(blocks: DataFrame, documents: DataFrame, bookmarks: DataFrame | None) -> DataFrame:
+    """Blocks of the documents (doc_id, doc_title, marked, split) with those columns, section_seq, depth, file_no and file_title.
 
     A document with bookmarks takes its sections from those, and blocks by their page; any other from its headings. The
-    depth of a heading block is that of the section it opens, which bookmarks have none of.
+    depth of a heading block is that of the section it opens, which bookmarks have none of. Blocks are dealt by doc_id
+    once, together with the bookmarks, and stay where they are.
     """
-    heads = structure.from_headings(blocks)
     if bookmarks is None:
-        marked = documents.select("doc_id").limit(0)
-        sections, placed = heads.select(*SECTION), structure.sections_of_blocks(blocks)
-        split = documents.select("doc_id", F.lit(False).alias("split"))
+        placed = structure.sections_of_blocks(blocks.join(documents, "doc_id"))
+        placed = placed.withColumns({"file_no": F.lit(0), "file_title": F.lit(None).cast("string")})
     else:
-        marked = bookmarks.select("doc_id").distinct()
-        marks = structure.from_bookmarks(bookmarks)
-        heads = heads.join(marked, "doc_id", "left_anti")
-        sections = marks.select(*SECTION).unionByName(heads.select(*SECTION))
-        by_page = structure.sections_by_page(blocks.join(marked, "doc_id", "left_semi"), marks)
-        placed = by_page.unionByName(structure.sections_of_blocks(blocks.join(marked, "doc_id", "left_anti")))
-        split = structure.splits(marks, documents).select("doc_id", "split")
-    depths = heads.select("doc_id", F.col("section_id").alias("block_id"), F.col("depth").alias("_depth"))
-    placed = placed.join(depths, ["doc_id", "block_id"], "left").withColumn("depth", F.coalesce("_depth", "depth")).drop("_depth")
-    has = heads.select("doc_id").distinct().withColumn("_heads", F.lit(True))
-    named = documents.join(marked.withColumn("_marks", F.lit(True)), "doc_id", "left").join(has, "doc_id", "left").join(split, "doc_id", "left")
-    source = F.when(F.col("_marks"), "bookmarks").when(F.col("_heads"), "heading_outline").otherwise("none")
-    return placed, sections, named.withColumn("section_source", source).withColumn("split", F.coalesce("split", F.lit(False))).drop("_marks", "_heads")
+        order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        root = F.col("parent_seq").isNull()
+        number, name = F.sum(root.cast("int")).over(order).cast("int"), F.last(F.when(root, F.col("title")), ignorenulls=True).over(order)
+        starts = structure.from_bookmarks(bookmarks).select("doc_id", F.max("page_start").over(order).alias("page"), F.lit(0).alias("_kind"), F.struct(F.col("seq").alias("seq"), number.alias("no"), name.alias("title")).alias("_start"))
+        both = blocks.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True).join(documents, "doc_id")
+        by_page = Window.partitionBy("doc_id").orderBy("page", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        placed = structure.sections_of_blocks(both.withColumn("_start", F.max("_start").over(by_page)).where("_kind = 1"))
+        placed = placed.withColumn("section_seq", F.when(F.col("marked"), F.col("_start.seq")).otherwise(F.col("section_seq")))
+        placed = placed.withColumns({"file_no": F.coalesce(F.when(F.col("split"), F.col("_start.no")), F.lit(0)), "file_title": F.coalesce("_start.title", F.lit("Front matter"))}).drop("_kind", "_start")
+    opens = structure.is_heading() & ~F.col("marked")
+    return placed.withColumn("depth", F.when(opens, h.depth(F.col("text"), F.col("level"))).otherwise(F.col("depth")))
 
 
 def convert(blocks: DataFrame, documents: DataFrame, rasters: DataFrame | None = None, bookmarks: DataFrame | None = None, label: str = emit.LABEL, scratch: Scratch | None = None) -> Result:
@@ -79,39 +86,28 @@ def convert(blocks: DataFrame, documents: DataFrame, rasters: DataFrame | None =
 
     Long documents with several top bookmarks become a file for each and one of contents; all others are one file, an
     empty one where a document has no blocks. Blocks of documents that aren't in `documents` are in no file: the report has them as dropped.
-    With scratch, rendered blocks are written and read again, as files, report and profile all start from them.
+    The files come of one pass over the blocks, which are shuffled once, by doc_id. With scratch, rendered blocks are
+    written and read again, as files, report and profile all start from them.
     """
-    blocks, documents = complete(blocks), complete(documents, SAID)
-    known = blocks.join(documents.select("doc_id"), "doc_id", "left_semi")
-    placed, sections, documents = sectioned(known, documents, bookmarks)
-    titles = documents.select("doc_id", F.coalesce("title", F.lit("Document")).alias("doc_title"), "split")
-    numbered = emit.file_numbers(placed, sections).join(titles, "doc_id")
+    blocks, documents = complete(blocks), titled(complete(documents, SAID), bookmarks)
+    titles = documents.select("doc_id", F.coalesce("title", F.lit("Document")).alias("doc_title"), "marked", "split")
+    numbered = sectioned(blocks, titles, bookmarks)
     apart = F.col("split")
-    numbered = numbered.withColumn("file_no", F.when(apart, F.col("file_no")).otherwise(0)).withColumn("title", F.when(apart, F.col("file_title")).otherwise(F.col("doc_title")))
+    numbered = numbered.withColumn("title", F.when(apart, F.col("file_title")).otherwise(F.col("doc_title")))
     numbered = numbered.withColumn("file_name", F.when(apart, emit.file_name(F.col("file_no"), F.col("title"))).otherwise("document.md")).withColumn("base_depth", apart.cast("int"))
-    plan = structure.heading_plan(numbered, ["doc_id", "file_name"]).select("doc_id", "block_id", F.col("skip").alias("_skip"), F.col("merged").alias("_merged"))
-    planned = numbered.join(plan, ["doc_id", "block_id"], "left").withColumn("skip", F.col("_skip")).withColumn("merged", F.col("_merged")).drop("_skip", "_merged")
-    rendered = emit.render(planned, label)
+    rendered = emit.render(structure.with_heading_plan(numbered, ["doc_id", "file_name"]), label).drop("marked")
     if scratch is not None:
-        rendered, documents = scratch.table(rendered, "rendered"), scratch.table(documents, "documents")
-        titles = documents.select("doc_id", F.coalesce("title", F.lit("Document")).alias("doc_title"), "split")
-    keys = ["doc_id", "file_no", "file_name", "title", "split"]
-    bare = titles.join(known.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("file_no"), F.lit("document.md").alias("file_name"), F.col("doc_title").alias("title"), F.lit(False).alias("split"), F.lit("").alias("body"))
-    bodies = emit.files(rendered, keys, rasters).unionByName(bare)
-    head = F.coalesce("merged", F.trim("text"))
-    shown = rendered.where((F.col("type") == "heading") & F.col("rendered").isNotNull() & (F.col("status") == "emitted"))
-    shown = shown.select("doc_id", "file_no", "file_name", "seq", F.col("heading_level").alias("level"), head.alias("head"))
-    fields = emit.front_fields(documents, coverage.figures_of(known))
-    written = emit.with_front(bodies, fields, F.col("title"))
-    written = written.select("doc_id", "file_name", emit.page(F.col("front"), F.col("title"), F.col("body")).alias("body"))
-    listed = bodies.where("split").select("doc_id", "file_no", "file_name", F.col("title").alias("file_title")).join(shown, ["doc_id", "file_no", "file_name"], "left")
-    contents = emit.with_front(emit.index(listed).join(titles.select("doc_id", "doc_title"), "doc_id"), fields, F.lit("Contents"))
-    contents = contents.select("doc_id", F.lit("index.md").alias("file_name"), emit.page(F.col("front"), F.concat("doc_title", F.lit(" — Contents")), F.col("body")).alias("body"))
-    files = emit.linked(written, emit.section_map(shown)).unionByName(contents)
-    lost = coverage.unplaced(blocks, known.join(documents.select("doc_id"), "doc_id", "left_semi"))
+        rendered = scratch.table(rendered, "rendered")
+    also = {"heads": emit.shown_headings(), "has_heads": F.max(structure.is_heading()), **coverage.front_figures()}
+    files = emit.complete_files(emit.files(rendered, ["doc_id", "file_no", "file_name", "title", "split"], rasters, also), documents)
+    lost = coverage.unplaced(blocks, blocks.join(documents.select("doc_id"), "doc_id", "left_semi"))
     report = coverage.report(rendered.unionByName(lost, allowMissingColumns=True))
-    profile = coverage.profile(rendered, report, documents)
-    return Result(rendered, files, report, profile, documents)
+    has = rendered.where(structure.is_heading()).select("doc_id").distinct().withColumn("_heads", F.lit(True))
+    source = F.when(F.col("marked"), "bookmarks").when(F.col("_heads"), "heading_outline").otherwise("none")
+    sources = documents.join(has, "doc_id", "left").withColumn("section_source", source).drop("marked", "_heads")
+    if scratch is not None:
+        sources = scratch.table(sources, "documents")
+    return Result(rendered, files, report, coverage.profile(rendered, report, documents), sources)
 
 
 @dataclass
