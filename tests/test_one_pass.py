@@ -41,3 +41,13 @@ def test_files_of_bookmarks_headings_and_nothing(plain):
     assert "section_source: heading_outline\nequations:\n  total: 1\n" in got[2, "document.md"] and "# Document\n\n<!-- page 1 -->" in got[2, "document.md"]
     assert got[3, "document.md"].endswith("---\n\n# Empty\n\n\n") and "equations" not in got[3, "document.md"]
     assert {(r.doc_id, r.lossless, r.dropped) for r in result.report.collect()} == {(1, True, 0), (2, True, 0), (4, True, 1)}
+
+
+def test_signals_render_once(plain):
+    """Bodies and figures of blocks come of the same rendering: one exchange, one read of the documents."""
+    df = outputs.a11_signals(plain, DIR)
+    assert exchanges(df) == 1 and df._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    r = outputs.rendered(plain, DIR)
+    bodies = outputs.emit.files(r, ["doc_id"]).selectExpr("doc_id", "body AS markdown")
+    apart = outputs.audit.signals(r, bodies).select(*df.columns)
+    assert sorted(df.collect()) == sorted(apart.collect())

@@ -20,18 +20,28 @@ def markdown_signals(markdown: Column) -> dict[str, Column]:
     return {"ligature_residual": F.regexp_count(markdown, F.lit(RESIDUAL)), "unbalanced_eq": e.unbalanced(markdown), "illegible_table_rows": F.size(F.filter(rows, t.is_garbage))}
 
 
+def block_signals() -> dict[str, Column]:
+    """The figures of an output's blocks, as aggregates over them."""
+    equation, ocr = F.col("type") == "equation", F.coalesce("ocr", F.lit(False))
+    prose = F.col("type").isin(*t.PROSE) & ~t.is_blank(F.col("text"))
+    return {
+        "blocks": F.count("*"), "dropped": F.count_if(F.col("status") == "dropped"), "lossless": F.count("*") == F.count_if(F.col("status").isin("emitted", "cropped", "flagged", "dropped")),
+        "eq_total": F.count_if(equation), "eq_image_backed": F.count_if(equation & F.col("crop_path").isNotNull()), "ocr_pages": F.size(F.collect_set(F.when(ocr, F.col("page")))).cast("long"), "illegible": F.count_if(F.when(prose, t.is_garbage(F.col("text")))),
+    }
+
+
+def measured(outputs: DataFrame) -> DataFrame:
+    """Outputs with the figures of their markdown in its place."""
+    return outputs.withColumns(markdown_signals(F.col("markdown"))).drop("markdown")
+
+
 def signals(blocks: DataFrame, outputs: DataFrame) -> DataFrame:
     """One row for each output (doc_id, source, pages, tables, markdown), with the figures of its blocks.
 
-    Keyed by source and doc_id, so that two documents of one file name both count.
+    Keyed by source and doc_id, so that two documents of one file name both count. Where outputs are made of blocks in the same
+    job, emit.files gives block_signals beside each body, and measured the rest, without a second pass.
     """
-    equation, ocr = F.col("type") == "equation", F.coalesce("ocr", F.lit(False))
-    illegible = F.col("type").isin(*t.PROSE) & ~t.is_blank(F.col("text")) & t.is_garbage(F.col("text"))
-    n = blocks.groupBy("doc_id").agg(
-        F.count("*").alias("blocks"), F.count_if(F.col("status") == "dropped").alias("dropped"), (F.count("*") == F.count_if(F.col("status").isin("emitted", "cropped", "flagged", "dropped"))).alias("lossless"),
-        F.count_if(equation).alias("eq_total"), F.count_if(equation & F.col("crop_path").isNotNull()).alias("eq_image_backed"), F.count_distinct(F.when(ocr, F.col("page"))).alias("ocr_pages"), F.count_if(illegible).alias("illegible"),
-    )
-    return outputs.withColumns(markdown_signals(F.col("markdown"))).drop("markdown").join(n, "doc_id")
+    return measured(outputs).join(blocks.groupBy("doc_id").agg(*[c.alias(n) for n, c in block_signals().items()]), "doc_id")
 
 
 def compare(current: DataFrame, baseline: DataFrame) -> DataFrame:
