@@ -71,8 +71,16 @@ def normalize(text: Column) -> Column:
     return strip_orphan_combining(unglyph(text))
 
 
+LETTERS = re.compile("[A-Za-z]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The ASCII words of a text, compatibility forms folded."""
+    return LETTERS.findall(text if text.isascii() else unicodedata.normalize("NFKC", text))
+
+
 def vocabulary_of(text: str) -> list[str]:
-    return sorted(set(re.findall("[A-Za-z]+", unicodedata.normalize("NFKC", text))))
+    return sorted(set(words_of(text)))
 
 
 vocabulary = mapped(vocabulary_of, T.ArrayType(T.StringType()))
@@ -91,15 +99,24 @@ def join_ligatures_once(s: str, known: set[str]) -> str:
     return LIGATURE.sub(join, s)
 
 
-join_ligatures = mapped(lambda s, hits: join_ligatures_once(s, set(hits)))
-
+def join_known(s: str, known: set[str], good: set[tuple[str, str]]) -> str:
+    """Split ligatures joined, in passes, as a joined one may be a piece of the next; then pieces of words, the first of which isn't a word itself.
 
-def join_split_words(s: str, good: set[tuple[str, str]]) -> str:
-    """Joins two pieces that are among the good ones: (first piece, whole)."""
-    return SPLIT_WORD.sub(lambda m: m[1] + m[2] if (m[1], m[1] + m[2]) in good else m[0], s)
+    The pairs that were joined, (first piece, whole), are added to good.
+    """
+    for _ in range(PASSES if LIGATURE.search(s) else 0):
+        before, s = s, join_ligatures_once(s, known)
+        if s == before:
+            break
 
+    def join(m: re.Match) -> str:
+        left, right = m.groups()
+        if left in known or (whole := left + right) not in known:
+            return m[0]
+        good.add((left, whole))
+        return whole
 
-join_words = mapped(lambda s, good: join_split_words(s, {(x["left"], x["whole"]) for x in (good if good is not None else ())}))
+    return SPLIT_WORD.sub(join, s)
 
 
 def transfer(s: str, glyphs: str, flags: list[str | None]) -> list[str | None]:

@@ -168,7 +168,9 @@ def enrich(blocks: DataFrame, glyphs: DataFrame, scratch: Scratch, tables: DataF
     f = scratch.table(prepared_figures(figures, of_kind(regions, "caption", "reading")), "prepared-figures")
     texts = placed(b.where("_prose"), "block", F.col("_text").alias("text")).unionByName(placed(c, "cell-text", F.col("_text").alias("text")))
     texts = texts.unionByName(placed(f, "caption", F.col("_text").alias("text"))).unionByName(placed(tables, "gfm", F.col("gfm").alias("text"))).unionByName(placed(tables, "html", F.col("html").alias("text")))
-    joined = vocabulary.repaired(texts, vocabulary.words(vocabulary.page_texts(glyphs)), scratch, PLACE)
+    rows = texts.withColumn(vocabulary.PAGE, F.lit(False)).unionByName(vocabulary.page_texts(glyphs).select("doc_id", "text", F.lit(True).alias(vocabulary.PAGE)), allowMissingColumns=True)
+    joined = scratch.table(vocabulary.joined(rows.repartition("doc_id"), pairs="pairs"), "joined")
+    scratch.table(joined.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", "p.*").distinct(), "good")
     done_cells = finished_cells(c, of_kind(joined, "cell-text", "text"))
     return Enriched(
         scratch.table(finished_blocks(b, of_kind(joined, "block", "text")), "blocks"),

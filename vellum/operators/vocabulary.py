@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import functools
+import itertools
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.functions import repair
 from vellum.functions import text as t
@@ -34,52 +38,50 @@ def page_texts(glyphs: DataFrame) -> DataFrame:
     return listed.select("doc_id", "page", F.array_join(F.col(f"g.{ch}"), "").alias("text"))
 
 
-def repaired(texts: DataFrame, known: DataFrame, scratch: Scratch, keys: list[str]) -> DataFrame:
-    """(keys, text) of the texts (keys, text) that change when split ligatures and split words are joined.
+#: What a row of `joined` is: a page of the document's text layer, whose words are known, or a text.
+PAGE = "_page"
 
-    keys name a row once and hold doc_id; known: (doc_id, word), the words of each document, distinct. A join needs a word that the
-    document has, so what each text could become is put to the known words by a semi-join on (doc_id, word), and only
-    the hits come back to the text: no row ever carries a vocabulary. A joined ligature may be a piece of the next
-    one, so they go through in passes, of which each takes the texts that the one before changed; then split words, whose
-    first piece must not be a word. Null texts don't change.
+
+def joined(rows: DataFrame, wanted: str | None = None, pairs: str | None = None) -> DataFrame:
+    """The texts of rows (doc_id, PAGE, text, ...) with split ligatures and split words joined where the document's pages have the word; pages go.
+
+    PAGE says whether a row is a page of the document or one of its texts. Rows must lie together by doc_id. They are sorted, pages
+    first, and a worker holds the distinct words of one document at a time; no row carries them, and no text is shuffled or stored
+    for its words. wanted: a boolean column, of texts to be joined; others stay, as do those without a doc_id. pairs: a column
+    for the split words that were joined (left, whole).
+    """
+    struct = T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("whole", T.StringType())]))
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in (PAGE, wanted)] + ([T.StructField(pairs, struct)] if pairs else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind, now, known = to_arrow_schema(schema), None, set()
+        for batch in batches:
+            own, asked = batch.column(PAGE), batch.column(wanted).to_pylist() if wanted else itertools.repeat(True)
+            texts, used = [], []
+            for doc, page, text, want in zip(batch.column("doc_id").to_pylist(), own.to_pylist(), batch.column("text").to_pylist(), asked, strict=False):
+                if doc != now:
+                    now, known = doc, set()
+                if page:
+                    if text is not None and doc is not None:
+                        known.update(repair.words_of(text))
+                    continue
+                good: set[tuple[str, str]] = set()
+                texts.append(repair.join_known(text, known, good) if want and text is not None and known else text)
+                used.append([{"left": a, "whole": b} for a, b in sorted(good)])
+            if texts:
+                kept = batch.filter(pc.invert(own))
+                columns = [pa.array(texts, f.type) if f.name == "text" else pa.array(used, f.type) if f.name == pairs else kept.column(f.name) for f in kind]
+                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+    return rows.sortWithinPartitions("doc_id", F.col(PAGE).desc()).mapInArrow(run, schema)
+
+
+def repair_words(blocks: DataFrame, pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """blocks with split ligatures and words of their texts joined where the document's pages (doc_id, text) have the word.
+
+    One shuffle, by doc_id; nothing is stored, so that scratch may be left out.
     """
-    text = F.col("text")
-    rows = texts.where(t.has_split_ligature(text) | t.has_split_word(text)).select(*keys, "text")
-    rows = scratch.table(rows, "candidates")
-    known = scratch.table(known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "word"), "known")
-    now, passes = rows.where(t.has_split_ligature(text)), []
-    for k in range(repair.PASSES):
-        asked = now.select(*keys, F.explode(t.ligature_forms(text)).alias("word"))
-        hits = asked.join(known, ["doc_id", "word"], "left_semi").groupBy(*keys).agg(F.collect_set("word").alias("hits"))
-        joined = now.join(hits, keys).withColumn("new", repair.join_ligatures(text, F.col("hits"))).where("new <> text")
-        changed = scratch.table(joined.select(*keys, F.col("new").alias("text")), f"pass-{k}")
-        if changed.isEmpty():
-            break
-        passes.append(changed.withColumn("at", F.lit(k)))
-        now = changed.where(t.has_split_ligature(text))
-    split = t.has_split_ligature(text)
-    whole = rows.where(~split).withColumn("was", text)
-    if passes:
-        last = functools.reduce(DataFrame.unionByName, passes).groupBy(*keys).agg(F.max_by("text", "at").alias("new"))
-        joined = rows.where(split).join(last, keys, "left").select(*keys, F.coalesce("new", "text").alias("text"), F.col("text").alias("was"))
-        whole = whole.unionByName(scratch.table(joined, "joined"))
-    else:
-        whole = whole.unionByName(rows.where(split).withColumn("was", text))
-    # the words of a document decide, so that it asks once for a pair, whatever the texts it stands in
-    halves = whole.select("doc_id", F.explode(t.split_words(text)).alias("s")).select("doc_id", F.col("s.left").alias("left"), F.concat("s.left", "s.right").alias("whole"))
-    good = halves.distinct().join(known.withColumnRenamed("word", "whole"), ["doc_id", "whole"], "left_semi")
-    good = scratch.table(good.join(known.withColumnRenamed("word", "left"), ["doc_id", "left"], "left_anti").select("doc_id", "left", "whole"), "good")
-    # texts with such a pair, by the pair: of a document's hits a text gets its own
-    pairs = F.transform(t.split_words(text), lambda s: F.struct(s["left"].alias("left"), F.concat(s["left"], s["right"]).alias("whole")))
-    held = whole.join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(*keys, F.explode(pairs).alias("s")).select(*keys, "s.*")
-    held = held.join(good, ["doc_id", "left", "whole"]).groupBy(*keys).agg(F.collect_set(F.struct("left", "whole")).alias("good"))
-    whole = whole.join(held, keys, "left").withColumn("text", F.when(F.col("good").isNull(), text).otherwise(repair.join_words(text, F.col("good"))))
-    return scratch.table(whole.where("text <> was").select(*keys, "text"), "repaired")
-
-
-def repair_words(blocks: DataFrame, pages: DataFrame, scratch: Scratch, keys: tuple[str, ...] = ("doc_id", "block_id")) -> DataFrame:
-    """blocks with split ligatures and words of their texts joined where the document's pages (doc_id, text) have the word."""
-    needed = blocks.where(t.has_split_ligature(F.col("text")) | t.has_split_word(F.col("text"))).select("doc_id").distinct()
-    known = words(pages.join(needed, "doc_id", "left_semi"))
-    new = repaired(blocks, known, scratch, list(keys)).withColumnRenamed("text", "_new")
-    return blocks.join(new, list(keys), "left").withColumn("text", F.coalesce("_new", "text")).drop("_new").select(*blocks.columns)
+    rows = blocks.withColumn(PAGE, F.lit(False)).unionByName(pages.select("doc_id", "text", F.lit(True).alias(PAGE)), allowMissingColumns=True)
+    return joined(rows.repartition("doc_id")).select(*blocks.columns)

@@ -10,7 +10,6 @@ from vellum.functions import repair
 from vellum.functions import text as t
 from vellum.operators import crops, translate, vocabulary
 from vellum.queries import derived as d
-from vellum.sources.shared import Scratch
 
 C = F.col
 
@@ -122,9 +121,9 @@ T1 = rf"WITH lines AS ({d.LINES_SQL}), w AS (SELECT DISTINCT doc_id, unnest(rege
 
 def x9_repaired(spark, sf_dir):
     """Split ligatures and words joined where the document's own lines have the word: Python, no SQL."""
-    blocks = d.blocks(spark, sf_dir)
-    pages = d.lines(spark, sf_dir).select("doc_id", F.col("line").alias("text")).unionByName(blocks.select("doc_id", F.lit("different lowdin").alias("text")).distinct())
-    done = vocabulary.repair_words(blocks, pages, Scratch(spark, "x9"))
+    docs = d.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    pages = docs.select("doc_id", F.concat("text", F.lit("\ndifferent lowdin")).alias("text"))
+    done = vocabulary.repair_words(d.blocks(spark, sf_dir).select("doc_id", "seq", "text"), pages)
     return done.select("doc_id", "seq", repair.normalize(C("text")).alias("text"))
 
 
