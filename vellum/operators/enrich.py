@@ -21,85 +21,80 @@ PLACE = ["doc_id", "kind", "block_id", "row", "col"]
 
 def placed(df: DataFrame, kind: str, *columns: Column | str) -> DataFrame:
     """Rows of one kind under PLACE; those that are no cells have no row and col."""
-    at = ["row", "col"] if kind in ("cell", "cell-text") else [F.lit(-1).alias("row"), F.lit(-1).alias("col")]
+    at = ["row", "col"] if kind == "cell" else [F.lit(-1).alias("row"), F.lit(-1).alias("col")]
     return df.select("doc_id", F.lit(kind).alias("kind"), "block_id", *at, *columns)
 
 
 def of_kind(df: DataFrame, kind: str, *columns: Column | str) -> DataFrame:
-    return df.where(F.col("kind") == kind).select("doc_id", "block_id", *(["row", "col"] if kind in ("cell", "cell-text") else []), *columns)
+    return df.where(F.col("kind") == kind).select("doc_id", "block_id", *(["row", "col"] if kind == "cell" else []), *columns)
 
 
-def prepared_blocks(blocks: DataFrame, regions: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Blocks with what their repair needs: `_text`, which is laid out, refilled or as it was, `_prose` where words and scripts follow.
+#: What repair makes of blocks; columns of these names are replaced.
+MADE = ("ocr", "preformatted", "text_source", "text_layer", "ordered", "reading", "marks", "disorder", "layout")
 
-    regions: (doc_id, block_id, reading, marks, disorder, layout), layout being the reading with its line breaks; scanned:
-    (doc_id, page) without a text layer.
-    """
-    j = blocks.join(scanned.select("doc_id", "page", F.lit(True).alias("_scan")), ["doc_id", "page"], "left").join(regions, ["doc_id", "block_id"], "left")
-    ocr, boxed = F.coalesce(F.col("_scan"), F.lit(False)), F.col("bbox").isNotNull()
-    text, reading, laid = F.col("text"), F.coalesce("reading", F.lit("")), F.coalesce("layout", F.lit(""))
-    j = j.withColumns({"_ocr": ocr, "_reading": reading, "_laid": t.clean_preformatted(laid, repair.unglyph), "_normal": repair.normalize(reading)})
-    prose = ~F.col("_ocr") & boxed & F.col("type").isin(*t.PROSE)
-    j = j.withColumn("_pre", prose & t.is_preformatted(laid)).withColumn("_filled", t.refilled(text, F.col("_normal")))
-    reread = ~F.col("_ocr") & boxed & (F.col("type") == "code") & (F.length("_laid") > 0) & ~t.is_garbage(F.col("_laid"))
-    j = j.withColumn("_prose", prose & ~F.col("_pre"))
-    return j.withColumn("_text", F.when(reread | F.col("_pre"), F.col("_laid")).when(F.col("_prose"), F.col("_filled")).otherwise(text))
 
+def rows_of(blocks: DataFrame, tables: DataFrame, cells: DataFrame, figures: DataFrame) -> DataFrame:
+    """(PLACE, page, bbox, text, own): all boxes and all texts, own being what else blocks have."""
+    own = F.struct(*[c for c in blocks.columns if c not in ("doc_id", "block_id", "page", "bbox", "text", *MADE)]).alias("own")
+    rows = placed(blocks, "block", "page", "bbox", "text", own)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    null = lambda n: F.lit(None).cast(kinds[n]).alias(n)
+    celled = cells.join(tables.select(*tb.KEY, "page"), tb.KEY, "left")
+    for df, kind, columns in (
+        (tables, "table", ("page", "bbox", null("text"))), (celled, "cell", ("page", "bbox", "text")), (figures, "caption", ("page", F.col("caption_bbox").alias("bbox"), F.col("caption").alias("text"))),
+        (tables, "gfm", (null("page"), null("bbox"), F.col("gfm").alias("text"))), (tables, "html", (null("page"), null("bbox"), F.col("html").alias("text"))),
+    ):
+        rows = rows.unionByName(placed(df, kind, *columns, null("own")))
+    return rows
 
-def kept_blocks(prepared: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Of prepared blocks what finishing them reads, each text once: `_new` where `_text` isn't the text, readings for equations and scripts alone."""
-    raised = F.coalesce(F.col("marks").rlike(r"[\^_]"), F.lit(False))
-    read = F.when(raised | ((F.col("type") == "equation") & F.col("bbox").isNotNull() & ~F.col("_ocr")), F.col("_reading"))
-    new = F.when(~F.col("_text").eqNullSafe(F.col("text")), F.struct(F.col("_text").alias("text")))
-    refilled = F.col("_filled") != F.col("text")
-    made = ("ocr", "preformatted", "text_source", "text_layer", "ordered", "reading", "marks", "disorder", "layout")
-    own = [c for c in blocks.columns if c not in made]
-    return prepared.select(*own, "_ocr", "_prose", "_pre", new.alias("_new"), refilled.alias("_refilled"), read.alias("_read"), F.when(raised, F.col("marks")).alias("marks"), "disorder")
 
+def prepared(regions: DataFrame) -> DataFrame:
+    """Rows of rows_of with their measures, and `scanned`, as repair of words takes them: text is laid out, refilled or as it was, which is `was`.
 
-def used_blocks(kept: DataFrame) -> DataFrame:
-    """Kept blocks with `_text` again."""
-    text = F.when(F.col("_new").isNotNull(), F.col("_new.text")).otherwise(F.col("text"))
-    return kept.withColumn("_text", text).withColumn("_reading", F.coalesce("_read", F.lit(""))).drop("_new", "_read")
+    Code is read again from the layout. Prose that is laid out is kept so; other prose, cells and captions are refilled where they are garbage, cells
+    then without the pipes that stand for rules. Of readings and marks what finishing reads is kept, of layouts those that differ from the reading.
+    """
+    kind, text, type_ = F.col("kind"), F.col("text"), F.col("own.type")
+    block, boxed, raised = kind == "block", F.col("bbox").isNotNull(), F.coalesce(F.col("marks").rlike(r"[\^_]"), F.lit(False))
+    laid, readable = F.when(block, F.coalesce("layout", F.lit(""))), ~F.col("scanned") & boxed
+    j = regions.withColumns({"_laid": t.clean_preformatted(laid, repair.unglyph), "_normal": repair.normalize(F.when(kind != vocabulary.PAGE, F.coalesce("reading", F.lit(""))))})
+    prose = F.coalesce(block & readable & type_.isin(*t.PROSE), F.lit(False))
+    j = j.withColumn("_pre", prose & t.is_preformatted(laid)).withColumn("_filled", t.refilled(F.when(kind != vocabulary.PAGE, text), F.col("_normal")))
+    filled, reread = F.col("_filled"), block & readable & (type_ == "code") & (F.length("_laid") > 0) & ~t.is_garbage(F.col("_laid"))
+    j = j.withColumn("_prose", prose & ~F.col("_pre"))
+    new = F.when(reread | F.col("_pre"), F.col("_laid")).when(F.col("_prose"), filled)
+    new = new.when((kind == "cell") & boxed & (filled != text), t.drop_rule_pipes(filled)).when((kind == "caption") & boxed & F.col("reading").isNotNull(), filled).otherwise(text)
+    read = F.when(raised | (kind == "table") | (block & (type_ == "equation") & readable), F.col("reading"))
+    return j.select(
+        *PLACE, "page", "scanned", "bbox", "own", F.when(kind != vocabulary.PAGE, text).alias("was"), new.alias("text"), read.alias("reading"), F.when(raised, F.col("marks")).alias("marks"), "disorder",
+        F.when(F.col("layout") != F.col("reading"), F.col("layout")).alias("layout"), "_pre", "_prose", (F.col("_prose") & (filled != text)).alias("_refilled"),
+        (kind == vocabulary.PAGE).alias(vocabulary.PAGE), (F.col("_prose") | kind.isin("cell", "caption", "gfm", "html")).alias("_joins"),
+    )
 
 
-def finished_blocks(prepared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Blocks after repair, with ocr, preformatted, text_source, text_layer and ordered; joined: (doc_id, block_id, text) of words joined.
+def finished_blocks(regions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks after repair, with ocr, preformatted, text_source, text_layer and ordered.
 
-    On a page without a text layer nothing can be checked: ocr is set, and an equation with a box gets confidence 0. Code is
-    read again from the layout. Prose that is laid out becomes preformatted; other prose is refilled where it is
-    garbage, its words are joined, and scripts are marked. An equation is scored against the reading, which is kept where they disagree.
+    On a page without a text layer nothing can be checked: ocr is set, and an equation with a box gets confidence 0. Prose has its words
+    joined, and scripts are marked. An equation is scored against the reading, which is kept where they disagree.
     """
-    j = prepared.join(joined.select("doc_id", "block_id", F.col("text").alias("_joined")), ["doc_id", "block_id"], "left")
-    ocr, reading = F.col("_ocr"), F.col("_reading")
-    scripted = repair.apply_scripts(F.coalesce("_joined", "_text"), reading, F.coalesce("marks", F.lit("")))
-    equation = (F.col("type") == "equation") & F.col("bbox").isNotNull()
-    j = j.withColumn("_agreed", F.when(equation & ~ocr, e.agreement(F.col("text"), reading)))
+    j = regions.where("kind = 'block'")
+    ocr, reading, was, own = F.col("scanned"), F.coalesce("reading", F.lit("")), F.col("was"), F.col("own")
+    equation = (own["type"] == "equation") & F.col("bbox").isNotNull()
+    j = j.withColumn("_agreed", F.when(equation & ~ocr, e.agreement(was, reading)))
     suspect = F.when(equation & ~ocr, e.reading_below(F.col("_agreed"), reading))
-    confidence = F.when(equation & ocr, 0.0).when(equation, F.coalesce("_agreed", "confidence")).otherwise(F.col("confidence"))
+    confidence = F.when(equation & ocr, 0.0).when(equation, F.coalesce("_agreed", own["confidence"])).otherwise(own["confidence"])
     ordered = F.when(suspect.isNotNull(), t.is_clean(reading) & (F.coalesce("disorder", F.lit(0.0)) < e.SCRAMBLED_ABOVE))
-    source = F.when(F.col("_prose") & F.col("_refilled"), "glyphs")
-    made = ("text", "confidence", "ocr", "preformatted", "text_source", "text_layer", "ordered", "reading", "marks", "disorder", "layout")
-    kept = [c for c in prepared.columns if c not in made and not c.startswith("_")]
-    new = F.when(F.col("_prose"), scripted).otherwise(F.col("_text"))
-    return j.select(*kept, new.alias("text"), confidence.alias("confidence"), ocr.alias("ocr"), F.col("_pre").alias("preformatted"), source.alias("text_source"), repair.normalize(suspect).alias("text_layer"), ordered.alias("ordered"))
+    new = F.when(F.col("_prose"), repair.apply_scripts(F.col("text"), reading, F.coalesce("marks", F.lit("")))).otherwise(F.col("text"))
+    kept = [F.col(c) if c in ("doc_id", "block_id", "page", "bbox") else own[c].alias(c) for c in blocks.columns if c not in ("text", "confidence", *MADE)]
+    return j.select(*kept, new.alias("text"), confidence.alias("confidence"), ocr.alias("ocr"), F.col("_pre").alias("preformatted"), F.when(F.col("_refilled"), "glyphs").alias("text_source"), repair.normalize(suspect).alias("text_layer"), ordered.alias("ordered"))
 
 
-def prepared_cells(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """Cells with `_text`: refilled where garbage, and then without the pipes that stand for rules. regions: (doc_id, block_id, row, col, reading, marks)."""
-    j = cells.join(regions.select(*tb.KEY, "row", "col", "reading", "marks"), [*tb.KEY, "row", "col"], "left")
-    j = j.withColumn("_normal", repair.normalize(F.coalesce("reading", F.lit(""))))
-    filled = F.when(F.col("bbox").isNotNull(), t.refilled(F.col("text"), F.col("_normal"))).otherwise(F.col("text"))
-    j = j.withColumn("_filled", filled)
-    return j.withColumn("_text", F.when(F.col("_filled") != F.col("text"), t.drop_rule_pipes(F.col("_filled"))).otherwise(F.col("text")))
-
-
-def finished_cells(prepared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Cells with `repaired` (for markdown) and `repaired_html`: words joined, scripts marked."""
-    j = prepared.join(joined.select(*tb.KEY, "row", "col", F.col("text").alias("_joined")), [*tb.KEY, "row", "col"], "left")
-    whole, reading, marks = F.coalesce("_joined", "_text"), F.coalesce("reading", F.lit("")), F.coalesce("marks", F.lit(""))
-    kept = [c for c in prepared.columns if not c.startswith("_") and c not in ("reading", "marks")]
-    return j.select(*kept, tb.markdown_cell(repair.apply_scripts(whole, reading, marks)).alias("repaired"), repair.apply_scripts(whole, reading, marks, escape=True).alias("repaired_html"))
+def finished_cells(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """Cells with `repaired` (for markdown) and `repaired_html`: refilled, words joined, scripts marked."""
+    j = cells.join(of_kind(regions, "cell", F.col("text").alias("_text"), "reading", "marks"), [*tb.KEY, "row", "col"], "left")
+    whole, reading, marks = F.coalesce("_text", "text"), F.coalesce("reading", F.lit("")), F.coalesce("marks", F.lit(""))
+    return j.select(*cells.columns, tb.markdown_cell(repair.apply_scripts(whole, reading, marks)).alias("repaired"), repair.apply_scripts(whole, reading, marks, escape=True).alias("repaired_html"))
 
 
 def finished_tables(tables: DataFrame, cells: DataFrame, layouts: DataFrame, scanned: DataFrame, joined: DataFrame) -> DataFrame:
@@ -125,16 +120,9 @@ def finished_tables(tables: DataFrame, cells: DataFrame, layouts: DataFrame, sca
     return j.select(*kept, gfm.alias("gfm"), html.alias("html"), F.when(pre, t.clean_preformatted(layout, repair.unglyph)).alias("preformatted"))
 
 
-def prepared_figures(figures: DataFrame, regions: DataFrame) -> DataFrame:
-    """Figures with `_text`, the caption refilled from its own region (doc_id, block_id, reading) where it is garbage."""
-    j = figures.join(regions.select("doc_id", "block_id", "reading"), ["doc_id", "block_id"], "left").withColumn("_normal", repair.normalize(F.col("reading")))
-    refill = F.col("caption_bbox").isNotNull() & F.col("reading").isNotNull()
-    return j.withColumn("_text", F.when(refill, t.refilled(F.col("caption"), F.col("_normal"))).otherwise(F.col("caption"))).drop("reading", "_normal")
-
-
-def finished_figures(prepared: DataFrame, joined: DataFrame) -> DataFrame:
-    j = prepared.join(joined.select("doc_id", "block_id", F.col("text").alias("_joined")), ["doc_id", "block_id"], "left")
-    return j.withColumn("caption", F.coalesce("_joined", "_text")).drop("_joined", "_text")
+def finished_figures(figures: DataFrame, regions: DataFrame) -> DataFrame:
+    j = figures.join(of_kind(regions, "caption", F.col("text").alias("_text")), ["doc_id", "block_id"], "left")
+    return j.withColumn("caption", F.coalesce("_text", "caption")).drop("_text").select(*figures.columns)
 
 
 @dataclass
@@ -148,33 +136,26 @@ class Enriched:
 def enrich(blocks: DataFrame, glyphs: DataFrame, scratch: Scratch, tables: DataFrame, cells: DataFrame, figures: DataFrame) -> Enriched:
     """All repairs of blocks, tables, cells and figures against glyphs (doc_id, page, draw_idx, ch, l, b, r, t).
 
-    The glyphs are read once for the boxes of all kinds and once for the words of the pages; all texts go through one
-    repair of words. tables: (doc_id, block_id, page, bbox, num_rows, num_cols, has_spanning_cells, gfm, html); cells: (doc_id,
-    block_id, row, col, row_span, col_span, header, text, bbox); figures: (doc_id, block_id, page, caption, caption_bbox, ...).
+    Boxes, texts and glyphs meet in one shuffle, by document, and stay where they lie: pages are measured, texts prepared, and then,
+    sorted behind the pages of their document, joined to its words. tables: (doc_id, block_id, page, bbox, num_rows, num_cols, has_spanning_cells,
+    gfm, html); cells: (doc_id, block_id, row, col, row_span, col_span, header, text, bbox); figures: (doc_id, block_id, page, caption, caption_bbox, ...).
     Empty tables of any of these will do. scanned: the pages (doc_id, page) without a text layer.
     """
-    shown = blocks.select("doc_id", "page").unionByName(tables.select("doc_id", "page")).unionByName(figures.select("doc_id", "page"))
-    scanned = scratch.table(gl.pages_without_text(shown, glyphs), "scanned")
-    boxes = placed(blocks, "block", "page", "bbox").unionByName(placed(tables, "table", "page", "bbox"))
-    boxes = boxes.unionByName(placed(cells.join(tables.select(*tb.KEY, "page"), tb.KEY), "cell", "page", "bbox"))
-    boxes = boxes.unionByName(placed(figures, "caption", "page", F.col("caption_bbox").alias("bbox")))
-    regions = gl.regions(boxes, glyphs, PLACE)
-    # most layouts are the reading, and most marks blank
-    regions = regions.withColumn("layout", F.when(F.col("layout") != F.col("reading"), F.col("layout"))).withColumn("marks", F.when(F.col("marks").rlike(r"[\^_]"), F.col("marks")))
-    regions = scratch.table(regions, "regions").withColumn("layout", F.coalesce("layout", "reading"))
-    kinds = ("reading", "marks", "disorder", "layout")
-    b = used_blocks(scratch.table(kept_blocks(prepared_blocks(blocks, of_kind(regions, "block", *kinds), scanned), blocks), "prepared-blocks"))
-    c = scratch.table(prepared_cells(cells, of_kind(regions, "cell", "reading", "marks")), "prepared-cells")
-    f = scratch.table(prepared_figures(figures, of_kind(regions, "caption", "reading")), "prepared-figures")
-    texts = placed(b.where("_prose"), "block", F.col("_text").alias("text")).unionByName(placed(c, "cell-text", F.col("_text").alias("text")))
-    texts = texts.unionByName(placed(f, "caption", F.col("_text").alias("text"))).unionByName(placed(tables, "gfm", F.col("gfm").alias("text"))).unionByName(placed(tables, "html", F.col("html").alias("text")))
-    rows = texts.withColumn(vocabulary.PAGE, F.lit(False)).unionByName(vocabulary.page_texts(glyphs).select("doc_id", "text", F.lit(True).alias(vocabulary.PAGE)), allowMissingColumns=True)
-    joined = scratch.table(vocabulary.joined(rows.repartition("doc_id"), pairs="pairs"), "joined")
-    scratch.table(joined.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", "p.*").distinct(), "good")
-    done_cells = finished_cells(c, of_kind(joined, "cell-text", "text"))
+    rows = rows_of(blocks, tables, cells, figures)
+    keys = [*PLACE[1:], "bbox", "text", "own"]
+    pages = gl.whole_pages(rows, glyphs, keys, {"kind": F.lit(vocabulary.PAGE)})
+    done = vocabulary.joined(prepared(gl.regions_of_pages(pages, ["doc_id", "page", "scanned", *keys], every=True)), "_joins", "pairs")
+    # a text that stayed as it was is kept once
+    new = F.when(~F.col("text").eqNullSafe(F.col("was")), F.struct("text"))
+    regions = scratch.table(done.withColumn("new", new).drop("text"), "regions")
+    regions = regions.withColumn("text", F.when(F.col("new").isNotNull(), F.col("new.text")).otherwise(F.col("was"))).drop("new")
+    shown = regions.where(F.col("kind").isin("block", "table", "caption") & (F.col("scanned") | F.col("doc_id").isNull() | F.col("page").isNull()))
+    scanned = scratch.table(shown.select("doc_id", "page").distinct(), "scanned")
+    scratch.table(regions.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", "p.*").distinct(), "good")
+    layouts = of_kind(regions, "table", F.coalesce("layout", "reading").alias("layout"))
     return Enriched(
-        scratch.table(finished_blocks(b, of_kind(joined, "block", "text")), "blocks"),
-        scratch.table(finished_tables(tables, done_cells, of_kind(regions, "table", "layout"), scanned, joined), "tables"),
-        scratch.table(finished_figures(f, of_kind(joined, "caption", "text")), "figures"),
+        scratch.table(finished_blocks(regions, blocks), "prepared-blocks"),
+        scratch.table(finished_tables(tables, finished_cells(cells, regions), layouts, scanned, regions), "tables"),
+        scratch.table(finished_figures(figures, regions), "figures"),
         scanned,
     )
