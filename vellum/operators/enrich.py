@@ -56,12 +56,15 @@ def prepared(regions: DataFrame) -> DataFrame:
     """
     kind, text, type_ = F.col("kind"), F.col("text"), F.col("own.type")
     block, boxed, raised = kind == "block", F.col("bbox").isNotNull(), F.coalesce(F.col("marks").rlike(r"[\^_]"), F.lit(False))
-    laid, readable = F.when(block, F.coalesce("layout", F.lit(""))), ~F.col("scanned") & boxed
-    j = regions.withColumns({"_laid": t.clean_preformatted(laid, repair.unglyph), "_normal": repair.normalize(F.when(kind != vocabulary.PAGE, F.coalesce("reading", F.lit(""))))})
-    prose = F.coalesce(block & readable & type_.isin(*t.PROSE), F.lit(False))
-    j = j.withColumn("_pre", prose & t.is_preformatted(laid)).withColumn("_filled", t.refilled(F.when(kind != vocabulary.PAGE, text), F.col("_normal")))
-    filled, reread = F.col("_filled"), block & readable & (type_ == "code") & (F.length("_laid") > 0) & ~t.is_garbage(F.col("_laid"))
-    j = j.withColumn("_prose", prose & ~F.col("_pre"))
+    laid, readable = F.coalesce("layout", F.lit("")), ~F.col("scanned") & boxed
+    prose, code = F.coalesce(block & readable & type_.isin(*t.PROSE), F.lit(False)), F.coalesce(block & readable & (type_ == "code"), F.lit(False))
+    # what one line, or a text that can be read, needs no look at costs nothing
+    held = F.when(prose | (kind.isin("cell", "caption") & boxed), text)
+    j = regions.withColumns({"_bad": F.coalesce(t.is_garbage(held), F.lit(False)), "_pre": F.when(prose & laid.rlike(r"[\n\r]"), t.is_preformatted(laid)).otherwise(False)})
+    j = j.withColumns({"_laid": t.clean_preformatted(F.when(code | F.col("_pre"), laid), repair.unglyph), "_normal": repair.normalize(F.when(F.col("_bad"), F.coalesce("reading", F.lit(""))))})
+    better = t.clean_reading(F.col("_normal"))
+    j = j.withColumn("_prose", prose & ~F.col("_pre")).withColumn("_filled", F.when(F.col("_bad") & (F.length(better) > 0) & ~t.is_garbage(better), better).otherwise(text))
+    filled, reread = F.col("_filled"), code & (F.length("_laid") > 0) & ~t.is_garbage(F.col("_laid"))
     new = F.when(reread | F.col("_pre"), F.col("_laid")).when(F.col("_prose"), filled)
     new = new.when((kind == "cell") & boxed & (filled != text), t.drop_rule_pipes(filled)).when((kind == "caption") & boxed & F.col("reading").isNotNull(), filled).otherwise(text)
     read = F.when(raised | (kind == "table") | (block & (type_ == "equation") & readable), F.col("reading"))

@@ -144,11 +144,12 @@ CELL = f"doc_id %s, block_id string, row int, col int, row_span int, col_span in
 FIGURE = f"doc_id %s, block_id string, page int, bbox {BOX}, caption string, caption_bbox {BOX}"
 
 
-def run(source: Source, scratch: Scratch, config: Config | None = None, models: Models | None = None) -> Result:
+def run(source: Source, scratch: Scratch, config: Config | None = None, models: Models | None = None, keep: bool = True) -> Result:
     """The whole conversion: repair against glyphs, scanned prose read again, metadata, crops, transcriptions, descriptions, files.
 
     Each step that a missing part or model would need is left out. Answers come before metadata and structure where they
-    replace text, and transcriptions before descriptions, which don't override them.
+    replace text, and transcriptions before descriptions, which don't override them. keep: rendered blocks are written, for callers that
+    read several parts of the result; without, each part renders them anew, and files come of the pass that deals blocks out.
     """
     config, models, spark = config or Config(), models or Models(), source.blocks.sparkSession
     key = dict(source.blocks.dtypes)["doc_id"]
@@ -176,7 +177,7 @@ def run(source: Source, scratch: Scratch, config: Config | None = None, models:
         blocks = scratch.table(crops.reread(blocks, answers), "reread")
     documents = source.documents
     said = bibliography.metadata(blocks, complete(documents, {"embedded": "map<string,string>", "file_name": "string"}))
-    documents = documents.drop("title", "authors", "year", "doi", "embedded").join(said, "doc_id", "left")
+    documents = scratch.table(documents.drop("title", "authors", "year", "doi", "embedded").join(said, "doc_id", "left"), "described")
     if shooting:
         shown = figures.where("bbox IS NOT NULL").select("doc_id", "block_id", F.lit("figure").alias("crop_kind"), "page", "bbox")
         rendered = tables.where((F.trim(F.coalesce("gfm", F.lit(""))) != "") | F.col("html").isNotNull())
@@ -198,5 +199,6 @@ def run(source: Source, scratch: Scratch, config: Config | None = None, models:
             answers = asked(untold, context, "descriptions")
             blocks = crops.described(blocks, answers)
             figures = figures.join(answers, ["doc_id", "block_id"], "left").withColumn("description", F.coalesce("said", "description")).drop("said")
-    blocks = scratch.table(with_tables(blocks, tables, figures), "rendering")
-    return convert(blocks, documents, None, source.bookmarks, config.label, scratch)
+    if source.tables is not None or source.figures is not None or shooting:
+        blocks = scratch.table(with_tables(blocks, tables, figures), "rendering")
+    return convert(blocks, documents, None, source.bookmarks, config.label, scratch if keep else None)
