@@ -199,6 +199,8 @@ def run(source: Source, scratch: Scratch, config: Config | None = None, models:
             answers = asked(untold, context, "descriptions")
             blocks = crops.described(blocks, answers)
             figures = figures.join(answers, ["doc_id", "block_id"], "left").withColumn("description", F.coalesce("said", "description")).drop("said")
-    if source.tables is not None or source.figures is not None or shooting:
+    if source.tables is not None or source.figures is not None or shooting or not config.enrich:
         blocks = scratch.table(with_tables(blocks, tables, figures), "rendering")
+    else:
+        blocks = blocks.drop("table_text", "table_preformatted", "has_table", "asset_path", "caption", "figure_description")
     return convert(blocks, documents, None, source.bookmarks, config.label, scratch if keep else None)
